@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from siftline.llm import exact_dedup
+from siftline.llm import exact_dedup, simhash
 
 QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_simhash": simhash.op9_simhash,
 }
 
 ORACLE_SQL = {
