@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from siftline.llm import exact_dedup, simhash
+from siftline.llm import exact_dedup, packing, simhash
 
 QUERIES = {
+    "op2_packing": packing.op2_packing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_simhash": simhash.op9_simhash,
 }
