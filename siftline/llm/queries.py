@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from siftline.llm import bpe, exact_dedup, packing, simhash
+from siftline.llm import bpe, exact_dedup, language_id, packing, simhash
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
+    "op3_language_id": language_id.op3_language_id,
     "op7_bpe": bpe.op7_bpe,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_simhash": simhash.op9_simhash,
