@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from siftline.llm import bpe, exact_dedup, language_id, packing, simhash
+from siftline.llm import bpe, exact_dedup, language_id, packing, simhash, suffix_tree
 
 QUERIES = {
+    "op1_suffix_tree": suffix_tree.op1_suffix_tree,
     "op2_packing": packing.op2_packing,
     "op3_language_id": language_id.op3_language_id,
     "op7_bpe": bpe.op7_bpe,
