@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one step of a Python task holds at a time (one longer text still forms a step).
 STEP_BYTES = 8 << 20
@@ -109,3 +110,43 @@ def sum_by(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = np.concatenate(([0], np.cumsum(values)))
     ends = np.cumsum(lengths)
     return total[ends] - total[ends - lengths]
+
+
+def byte_class(chars: bytes) -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[np.frombuffer(chars, np.uint8)] = True
+    return table
+
+
+def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a string array and the offsets of its texts; null is empty."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return flat, offsets - offsets[0]
+
+
+def marks_by_text(marked: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many bytes of each text are marked."""
+    return np.diff(np.searchsorted(np.flatnonzero(marked), offsets))
+
+
+def added(docs: DataFrame, text_col: str, fields: str, make) -> DataFrame:
+    """docs and further columns. make() is called once a task and gives a function from a text array to the columns' values.
+
+    The names in `fields` must not be among those of docs.
+    """
+    schema = docs.sparkSession.createDataFrame([], fields).schema
+    names = [f.name for f in schema.fields]
+    out = StructType([*docs.schema.fields, *schema.fields])
+
+    def run(batches):
+        act = make()
+        for part in slices(batches, text_col):
+            new = [x if isinstance(x, pa.Array) else pa.array(x) for x in act(part.column(text_col))]
+            yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *names])
+
+    return docs.mapInArrow(run, out)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from siftline.llm import bpe, exact_dedup, language_id, packing, simhash, suffix_tree
+from siftline.llm import bpe, exact_dedup, language_id, packing, quality_model, quality_rules, simhash, suffix_tree
 
 QUERIES = {
     "op1_suffix_tree": suffix_tree.op1_suffix_tree,
     "op2_packing": packing.op2_packing,
     "op3_language_id": language_id.op3_language_id,
+    "op6_quality_model": quality_model.op6_quality_model,
     "op7_bpe": bpe.op7_bpe,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_simhash": simhash.op9_simhash,
+    "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
 ORACLE_SQL = {
