@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from siftline.llm import bpe, exact_dedup, language_id, packing, quality_model, quality_rules, simhash, suffix_tree
+from siftline.llm import bpe, chat_template, exact_dedup, language_id, license_scan, packing, quality_model, quality_rules, simhash, suffix_tree
 
 QUERIES = {
     "op1_suffix_tree": suffix_tree.op1_suffix_tree,
     "op2_packing": packing.op2_packing,
     "op3_language_id": language_id.op3_language_id,
+    "op4_license_scan": license_scan.op4_license_scan,
+    "op5_chat_template": chat_template.op5_chat_template,
     "op6_quality_model": quality_model.op6_quality_model,
     "op7_bpe": bpe.op7_bpe,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
@@ -16,5 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_chat_template": chat_template.ORACLE_OP5,
     "op8_exact_dedup": exact_dedup.ORACLE_OP8,
 }
