@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from siftline.llm import bpe, chat_template, exact_dedup, language_id, license_scan, packing, quality_model, quality_rules, simhash, suffix_tree
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_suffix_tree": suffix_tree.op1_suffix_tree,
     "op2_packing": packing.op2_packing,
     "op3_language_id": language_id.op3_language_id,

@@ -7,10 +7,14 @@ t_i is max_bits - m + 1 (-1: the partition is not probed): two fingerprints that
 differ in more than max_bits bits. A dynamic programme chooses m and the t_i for the least estimated probes plus candidates.
 Probes meet the index on (partition, value), and every candidate is verified.
 
-A bucket whose pairs would be too many is not capped: its members instead emit the points within half the radius, and
+With a small radius a bucket whose pairs would be too many is not capped: its members instead emit the points within half the radius, and
 all that share a point are tied to its smallest close member. That gives the same components with work linear in the
 bucket. Components come from alternating large-star and small-star steps on the links.
 
+For similarity search (`similar_documents`) the radius is wide and each link is confirmed by a second, 128-bit SimHash of
+five-word shingles. There a bucket is searched in the task, breadth first: what a member reaches leaves the set of those that
+others are compared with, so a dense group costs little more than its size. Large buckets are dealt as pairs of blocks.
+
 Edge cases: a text of fewer words than a shingle is one shingle, a text without words (or null) has fingerprint zero and
 is linked like any other; null doc_ids are never a component's id unless nothing else is in it (then the id is null);
 repeated rows share class and component; an empty table gives no rows; other columns are ignored.
@@ -108,12 +112,12 @@ def correlated_groups(n: int, both: np.ndarray, m: int) -> list[list[int]]:
     return groups
 
 
-def plan(n: int, both: np.ndarray, max_bits: int) -> list[tuple[list[int], int]]:
-    """(bits, threshold) of each probed partition, at the least estimated number of probes and candidates."""
+def plan(n: int, both: np.ndarray, max_bits: int, probe_cost: float = 1.0, most_parts: int = BITS) -> list[tuple[list[int], int]]:
+    """(bits, threshold) of each probed partition, at the least estimated number of probes (at probe_cost each) and candidates."""
     p = np.diag(both) / max(n, 1)
     differ = 2 * p * (1 - p)
     best: tuple[float, list[tuple[list[int], int]]] = (float("inf"), [])
-    for m in range(1, max_bits + 2):
+    for m in range(1, min(max_bits + 1, most_parts) + 1):
         groups = correlated_groups(n, both, m)
         cost = []
         for group in groups:
@@ -122,7 +126,7 @@ def plan(n: int, both: np.ndarray, max_bits: int) -> list[tuple[list[int], int]]
             for b in group:
                 at = at * (1 - differ[b]) + np.concatenate(([0.0], at[:-1])) * differ[b]
             keys = np.cumsum([comb(len(group), d) for d in range(max_bits + 1)])
-            cost.append({-1: 0.0} | {t: float(n * (keys[t] + (t > 0)) + 0.5 * n * n * at[: t + 1].sum()) for t in range(max_bits + 1)})
+            cost.append({-1: 0.0} | {t: float(probe_cost * n * keys[t] + 0.5 * n * n * at[: t + 1].sum()) for t in range(max_bits + 1)})
         states: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
         for c in cost:
             following: dict[int, tuple[float, list[int]]] = {}
@@ -144,24 +148,30 @@ def flips(bits: list[int], radius: int) -> list[list[int]]:
 
 
 
-def links(classes: DataFrame, max_bits: int = 2) -> DataFrame:
-    """Links (a, b) between classes (fp, node) that join exactly the components of all pairs within max_bits."""
-    parts = plan(*bit_counts(classes), max_bits)
+def bucket_rows(classes: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
+    """part, value, indexed (the class's own value), probe, and the columns of classes, for each key of each class."""
+    own = classes.columns
     rows = []
     for i, (group, t) in enumerate(parts):
         mask = sum(1 << (BITS - 1 - b) for b in group)
         mask = mask - (1 << BITS) if mask >> (BITS - 1) else mask
         value = F.col("fp").bitwiseAND(F.lit(mask))
-        keyed = classes.select(F.lit(i).alias("part"), value.alias("value"), "fp", "node", F.lit(True).alias("indexed"), F.lit(t == 0).alias("probe"))
+        keyed = classes.select(F.lit(i).alias("part"), value.alias("value"), *own, F.lit(True).alias("indexed"), F.lit(t == 0).alias("probe"))
         rows.append(keyed)
         if t:
             near = F.array(*[F.lit(x) for some in flips(group, t)[1:] for x in some])
             # The index row probes its own value; the others are probed at each value within the threshold.
             rows[-1] = keyed.withColumn("probe", F.lit(True))
-            rows.append(classes.select(F.lit(i).alias("part"), F.explode(F.transform(near, lambda x: value.bitwiseXOR(x))).alias("value"), "fp", "node", F.lit(False).alias("indexed"), F.lit(True).alias("probe")))
+            rows.append(classes.select(F.lit(i).alias("part"), F.explode(F.transform(near, lambda x: value.bitwiseXOR(x))).alias("value"), *own, F.lit(False).alias("indexed"), F.lit(True).alias("probe")))
     keys = rows[0]
     for other in rows[1:]:
         keys = keys.unionByName(other)
+    return keys
+
+
+def links(classes: DataFrame, max_bits: int = 2) -> DataFrame:
+    """Links (a, b) between classes (fp, node) that join exactly the components of all pairs within max_bits."""
+    keys = bucket_rows(classes, plan(*bit_counts(classes), max_bits))
     shared = keys.groupBy("part", "value").agg(F.sum(F.col("indexed").cast("long")).alias("i"), F.count(F.lit(1)).alias("p")).filter("i > 0 AND p > 1")
     shared = stored(shared, "simhash-buckets")
     met = stored(keys.join(shared, ["part", "value"]), "simhash-keys")
@@ -202,6 +212,115 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+#: Rows of a bucket that are compared in one place; a larger bucket is dealt as all pairs of blocks of this size.
+BLOCK = 4096
+
+
+def reach(fp: np.ndarray, wide: np.ndarray, indexed: np.ndarray, max_bits: int, check_bits: int) -> list[tuple[int, int]]:
+    """Spanning links of the groups among the rows of a bucket; two probes that only pass through need not be compared."""
+    # Index rows first: a member that only probes has to look at those alone.
+    left = np.concatenate((np.flatnonzero(indexed), np.flatnonzero(~indexed)))
+    out, queue = [], []
+    while len(left) or queue:
+        if not queue:
+            queue.append(int(left[0]))
+            left = left[1:]
+        x = queue.pop()
+        among = left if indexed[x] else left[: int(np.count_nonzero(indexed[left]))]
+        near = np.bitwise_count(fp[among] ^ fp[x]) <= max_bits
+        if not near.any():
+            continue
+        near = among[near]
+        near = near[np.bitwise_count(wide[near] ^ wide[x]).sum(axis=1) <= check_bits]
+        if len(near):
+            out += [(x, int(y)) for y in near]
+            queue += near.tolist()
+            left = left[~np.isin(left, near)]
+    return out
+
+
+def similar_links(classes: DataFrame, max_bits: int, check_bits: int) -> DataFrame:
+    """Links (a, b) between classes (fp, wide0, wide1, node) that span the groups within both radii."""
+    # A probe is a row to shuffle, a candidate two machine words to compare; partitions keep 8 bits at least.
+    keys = bucket_rows(classes, plan(*bit_counts(classes), max_bits, probe_cost=300.0, most_parts=8)).drop("probe")
+    shared = stored(keys.groupBy("part", "value").agg(F.sum(F.col("indexed").cast("long")).alias("i"), F.count(F.lit(1)).alias("p")).filter("i > 0 AND p > 1").drop("i"), "similar-buckets")
+    blocks = F.ceil(F.col("p") / BLOCK)
+    met = keys.join(shared, ["part", "value"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp", "wide0"), blocks))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = met.select("part", "value", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"), "fp", "wide0", "wide1", "node", "indexed")
+    places = ["part", "value", "u", "v"]
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def solve(table: pa.Table):
+            fp, w0, w1, node = (table.column(c).to_numpy() for c in ("fp", "wide0", "wide1", "node"))
+            indexed = table.column("indexed").to_numpy()
+            found = reach(fp, np.stack([w0, w1], axis=1), indexed, max_bits, check_bits)
+            return [(max(node[x], node[y]), min(node[x], node[y])) for x, y in found if node[x] != node[y]]
+
+        def batch_of(found):
+            return pa.RecordBatch.from_arrays([pa.array([int(x[i]) for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            spot = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in places], axis=1)
+            edges = np.flatnonzero((spot[1:] != spot[:-1]).any(axis=1)) + 1
+            found = []
+            for a, b in zip([0, *edges], [*edges, batch.num_rows]):
+                if held and tuple(spot[a]) != last:
+                    found += solve(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = tuple(spot[a])
+            yield batch_of(found)
+        if held:
+            yield batch_of(solve(pa.Table.from_batches(held)))
+
+    return met.repartition(*places).sortWithinPartitions(*places).mapInArrow(run, "a long, b long").distinct()
+
+
+def wide_fingerprint(text: str | None, size: int = 5) -> tuple[int, int]:
+    """128-bit SimHash over XXH3-128 of the text's shingles, as two signed integers."""
+    words = words_of(text, lower=True)
+    if not words:
+        return 0, 0
+    line = b" ".join(words)
+    ends = list(accumulate(map(len, words), lambda a, n: a + 1 + n))
+    starts = [0, *(e + 1 for e in ends[:-1])]
+    digest = xxhash.xxh3_128_digest
+    hashes = np.frombuffer(b"".join([digest(line[s:e]) for s, e in zip(starts, ends[size - 1 :])] or [digest(line)]), np.uint8).reshape(-1, 16)
+    ones = np.zeros(128, np.int64)
+    for at in range(0, len(hashes), 4096):
+        ones += np.unpackbits(hashes[at : at + 4096], axis=1).sum(axis=0, dtype=np.int32)
+    packed = np.packbits(2 * ones > len(hashes)).tobytes()
+    return int.from_bytes(packed[:8], "big", signed=True), int.from_bytes(packed[8:], "big", signed=True)
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, max_bits: int = 10, check_size: int = 5, check_bits: int = 26) -> DataFrame:
+    """row_key, doc_id, component_id of near-duplicates at about Jaccard 0.8 and more on five-word shingles.
+
+    That similarity is a cosine of 0.89, so about 10 of 64 and 19 (deviation 4) of 128 bits differ.
+    """
+
+    def run(batches):
+        for part in slices(batches):
+            texts = part.column("text").to_pylist()
+            wide = [wide_fingerprint(t, check_size) for t in texts]
+            yield pa.RecordBatch.from_arrays([part.column("row_key"), part.column("doc_id"), pa.array([fingerprint(t, size) for t in texts], pa.int64()), *(pa.array([w[i] for w in wide], pa.int64()) for i in (0, 1))], ["row_key", "doc_id", "fp", "wide0", "wide1"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    fps = stored(rows.mapInArrow(run, "row_key long, doc_id long, fp long, wide0 long, wide1 long"), "fingerprints")
+    node = F.coalesce(F.min("doc_id"), F.lit(NO_ID) + F.pmod(F.xxhash64("fp", "wide0", "wide1"), F.lit(1 << 61)))
+    same = ["fp", "wide0", "wide1"]
+    classes = stored(fps.groupBy(*same).agg(node.alias("node")), "classes")
+    roots = components(similar_links(classes, max_bits, check_bits))
+    ends = stored(classes.join(roots, "node", "left").select(*same, F.coalesce("root", "node").alias("root")), "roots")
+    return fps.join(ends, same).select("row_key", "doc_id", F.col("root").alias("component"), F.when(F.col("root") < NO_ID, F.col("root")).alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, max_bits: int = 2) -> DataFrame:
     """One row per document: row_key, doc_id, fp, component_id (smallest doc_id reachable)."""
     fps = stored(fingerprints(docs, id_col, text_col, size), "fingerprints")
