@@ -226,33 +226,38 @@ class Template:
     def fold_body(self, nodes: list) -> list:
         out: list = []
         for node in nodes:
-            if node[0] == "put":
-                e = self.fold(node[1])
-                node = ("text", "" if e[1] is None else str(e[1])) if e[0] == "const" else ("put", e)
-            elif node[0] == "for":
-                node = ("for", node[1], self.fold(node[2]), self.fold_body(node[3]))
-            elif node[0] == "set":
-                node = ("set", node[1], self.fold(node[2]))
-            elif node[0] == "generation":
-                node = ("generation", self.fold_body(node[1]))
-            elif node[0] == "if":
-                branches = []
-                for test, body in node[1]:
-                    test = self.fold(test)
-                    if test[0] != "const" or test[1]:
-                        branches.append((test, self.fold_body(body)))
-                    if test[0] == "const" and test[1]:
-                        break
-                if branches and branches[0][0][0] == "const":
-                    out += branches[0][1]
-                    continue
-                node = ("if", branches)
-            if node[0] == "text" and out and out[-1][0] == "text":
-                out[-1] = ("text", out[-1][1] + node[1])
-            elif node != ("text", ""):
-                out.append(node)
+            for folded in self.fold_node(node):
+                if folded[0] == "text" and out and out[-1][0] == "text":
+                    out[-1] = ("text", out[-1][1] + folded[1])
+                elif folded != ("text", ""):
+                    out.append(folded)
         return out
 
+    def fold_node(self, node) -> list:
+        """What stands for the node: constants become text, and of an if the branch that is always taken, or none."""
+        kind = node[0]
+        if kind == "put":
+            e = self.fold(node[1])
+            return [("text", "" if e[1] is None else str(e[1])) if e[0] == "const" else ("put", e)]
+        if kind == "for":
+            return [("for", node[1], self.fold(node[2]), self.fold_body(node[3]))]
+        if kind == "set":
+            return [("set", node[1], self.fold(node[2]))]
+        if kind == "generation":
+            return [("generation", self.fold_body(node[1]))]
+        if kind != "if":
+            return [node]
+        branches = []
+        for test, body in node[1]:
+            test = self.fold(test)
+            if test[0] != "const" or test[1]:
+                branches.append((test, self.fold_body(body)))
+            if test[0] == "const" and test[1]:
+                break
+        if branches and branches[0][0][0] == "const":
+            return branches[0][1]
+        return [("if", branches)] if branches else []
+
     # Closures.
 
     def value(self, e) -> Callable[[dict], object]:
