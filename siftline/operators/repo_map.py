@@ -83,7 +83,7 @@ def capsule(files: DataFrame, symbol: str, ignore_case: bool = False, within: st
     limit = max(1, min(PAGE_MAX, limit))
     inside = path_filter(F.col("path"), within)
     found = definition(files, symbol, ignore_case, within)
-    parts = [found.select(F.lit("definition").alias("part"), "path", "line", F.lit(None).cast("int").alias("col"), F.concat_ws("\n", F.array("kind"), "doc").alias("text"))]
+    parts = [found.select(F.lit("definition").alias("part"), "path", "line", F.lit(1).alias("col"), F.concat_ws("\n", F.array("kind"), "doc").alias("text"))]
     used = callers(files, symbol, 1, ignore_case).orderBy("path", "line").limit(limit).filter(inside)
     parts.append(used.select(F.lit("caller").alias("part"), "path", "line", "col", "text"))
     importing = IMPORT_WORDS + r"[^\n]*" + bounded(quoted(symbol))

@@ -90,7 +90,7 @@ UNION ALL SELECT path, line, 5 AS col, trim(raw) AS text, 2 AS depth, regexp_ext
 SELECT c.path, 'def ' || regexp_extract(text, '(?m)^def (\w+)', 1) AS symbols, coalesce(n, 0) AS in_degree, round(ln(1 + coalesce(n, 0)), 6) AS weight FROM code c LEFT JOIN n ON regexp_extract(c.path, '([^/]*)\.py$', 1) = spec""",
     "capsule": rf"""WITH {CODE}, {lines_of('code')}, {SYMBOLS}, {_RING1},
 i AS (SELECT path, line, 1 AS col, raw AS text FROM lines WHERE regexp_matches(raw, '(import|from)\b.*\bpart_1\b') ORDER BY path, line LIMIT 10), c AS (SELECT path, line, col, text FROM ring1 ORDER BY path, line LIMIT 10)
-SELECT 'definition' AS part, 'parts/part_1.py' AS path, 1 AS line, NULL::INT AS col, 'def' AS text UNION ALL SELECT 'caller', * FROM c UNION ALL SELECT 'import', * FROM i""",
+SELECT 'definition' AS part, 'parts/part_1.py' AS path, 1 AS line, 1 AS col, 'def' AS text UNION ALL SELECT 'caller', * FROM c UNION ALL SELECT 'import', * FROM i""",
     "lexical_counts": f"WITH {DOCS}, {lines_of('docs')}, {counts(KEYWORDS)} SELECT * FROM counts",
     "lexical_idf": f"WITH {DOCS}, {lines_of('docs')}, {counts(KEYWORDS)} " + " UNION ALL ".join(f"SELECT '{w}' AS keyword, round(w{i}, 9) AS weight FROM idf" for i, w in enumerate(KEYWORDS)),
     "lexical_rank": f"WITH {DOCS}, {lines_of('docs')}, {counts(KEYWORDS)} SELECT path, round({_LEX}, 6) AS lex FROM counts, idf",
