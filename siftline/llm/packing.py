@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from array import array
+from bisect import insort
 
 import numpy as np
 import pandas as pd
@@ -29,23 +31,24 @@ PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens
 
 
 def encoder(json_path: str, ranks_path: str, pattern: str):
-    """text -> ids as little-endian bytes, equal to the `tokenizers` file's. Units go through the same vocabulary's ranks
-    (byte-level BPE, checked to agree); a text with a special token's string goes to `tokenizers` itself."""
+    """text -> ids as little-endian bytes, equal to the `tokenizers` file's. They come from the same vocabulary's ranks
+    (byte-level BPE, checked to agree, and faster); a text with a special token's string goes to `tokenizers` itself."""
     import tiktoken
     from tokenizers import Tokenizer
 
-    from siftline.llm.tokens import UnitIds, load_ranks
+    from siftline.llm.tokens import load_ranks
 
     whole = Tokenizer.from_file(json_path)
     special = [t.content for t in whole.get_added_tokens_decoder().values()]
-    memo = UnitIds(tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(ranks_path), special_tokens={}).encode_ordinary)
+    by_ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(ranks_path), special_tokens={}).encode_ordinary
 
     def encode(text: str | None) -> bytes:
-        if text and any(s in text for s in special):
-            return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return memo.of(text)
+        if not text:
+            return b""
+        ids = whole.encode(text, add_special_tokens=False).ids if any(s in text for s in special) else by_ranks(text)
+        return array("I", ids).tobytes()
 
-    return encode, memo
+    return encode
 
 
 def cuts(n: int, capacity: int, piece: int, fine: bool = False) -> list[tuple[int, int]]:
@@ -66,7 +69,7 @@ def cuts(n: int, capacity: int, piece: int, fine: bool = False) -> list[tuple[in
 
 def pieces(docs: DataFrame, paths: tuple[str, str, str], id_col: str, text_col: str, capacity: int, piece: int, end_id: int) -> DataFrame:
     def run(batches):
-        encode, memo = encoder(*paths)
+        encode = encoder(*paths)
         end = np.array([end_id], "<u4").tobytes()
         for part in slices(batches):
             out: list[list] = [[] for _ in range(6)]
@@ -76,7 +79,6 @@ def pieces(docs: DataFrame, paths: tuple[str, str, str], id_col: str, text_col:
                 for start, length in cuts(n, capacity, piece, fine=key % 4 == 0):
                     for column, x in zip(out, (doc, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, key)):
                         column.append(x)
-            memo.trim()
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row_key"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_key"), F.col(text_col).alias("text"))
@@ -84,24 +86,32 @@ def pieces(docs: DataFrame, paths: tuple[str, str, str], id_col: str, text_col:
 
 
 def differencing(lengths: np.ndarray, k: int) -> list[list[int]]:
-    """Karmarkar-Karp: indexes of the lengths in each of k windows."""
-    heap = []
-    for i, x in enumerate(lengths):
-        sums = np.zeros(k, np.int64)
-        sums[-1] = x
-        heap.append((-int(x) if k > 1 else 0, i, sums, [[] for _ in range(k - 1)] + [[i]]))
+    """Karmarkar-Karp: indexes of the lengths in each of k windows. A partial partition lists its non-empty windows as
+    (sum, number), ascending; the other windows of the k are empty."""
+    members = [[i] for i in range(len(lengths))]
+    spread = lambda a: a[-1][0] - (a[0][0] if len(a) == k else 0)
+    heap = [(-spread(a), i, a) for i, x in enumerate(lengths.tolist()) for a in [[(x, i)]]]
     heapq.heapify(heap)
     serial = len(heap)
+
+    def joined(x, y):
+        members[x[1]] += members[y[1]]
+        return x[0] + y[0], x[1]
+
     while len(heap) > 1:
-        _, _, a, xs = heapq.heappop(heap)
-        _, _, b, ys = heapq.heappop(heap)
-        sums = a + b[::-1]  # ascending sums: the largest of one joins the smallest of the other
-        order = np.argsort(sums, kind="stable")
-        sums = sums[order]
-        both = [x + y if x and y else x or y for x, y in zip(xs, reversed(ys))]
-        heapq.heappush(heap, (-int(sums[-1] - sums[0]), serial, sums, [both[i] for i in order]))
+        a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
+        if len(a) < len(b):
+            a, b = b, a
+        over = len(a) + len(b) - k
+        if len(b) == 1:
+            insort(a, joined(a.pop(0), b[0]) if over > 0 else b[0])
+        elif over <= 0:
+            a = sorted(a + b)
+        else:  # the smallest of one with the largest of the other, and the reverse, until k are left
+            a = sorted([*(joined(x, y) for x, y in zip(a[:over], reversed(b[:over]))), *a[over:], *b[over:]])
+        heapq.heappush(heap, (-spread(a), serial, a))
         serial += 1
-    return heap[0][3] if heap else []
+    return [members[i] for _, i in heap[0][2]] if heap else []
 
 
 def pack(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -114,7 +124,7 @@ def pack(lengths: np.ndarray, capacity: int) -> list[list[int]]:
         k += 1
 
 
-def packed(docs: DataFrame, paths: tuple[str, str, str], id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, piece: int = 256, block_windows: int = 160, end_id: int = 0) -> DataFrame:
+def packed(docs: DataFrame, paths: tuple[str, str, str], id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, piece: int = 256, block_windows: int = 512, end_id: int = 0) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Sequence ids are even for windows that one document fills and odd (block and window) for packed ones.

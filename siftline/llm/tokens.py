@@ -1,14 +1,10 @@
-"""Byte-level BPE ids of whole texts, with a memo over space-delimited units."""
+"""What byte-level BPE encoders share: rank files, and units that can be encoded apart."""
 
 from __future__ import annotations
 
 import base64
 import re
 
-import numpy as np
-
-from siftline.llm.common import MEMO_ENTRIES
-
 #: A space that another white-space character follows: there units may not be cut.
 LOOSE = re.compile(r" \s")
 
@@ -37,21 +33,3 @@ def units(text: str) -> list[str]:
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-
-
-class UnitIds(dict):
-    """Memo from unit to its ids as little-endian unsigned 32-bit bytes."""
-
-    def __init__(self, encode):
-        self.encode = encode
-
-    def __missing__(self, unit: str) -> bytes:
-        ids = self[unit] = np.array(self.encode(unit), "<u4").tobytes()
-        return ids
-
-    def of(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, units(text or "")))
-
-    def trim(self) -> None:
-        if len(self) > MEMO_ENTRIES:
-            self.clear()
