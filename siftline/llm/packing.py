@@ -2,10 +2,11 @@
 
 A document's ids are those of the `tokenizers` file, then one end id. Windows that one document fills are cut off first.
 The rest of a document is cut into equal pieces of at most `piece` ids, so that a window takes several of them; in every
-fourth row the rest is halved again and again instead, and its small pieces even out what the others leave. The pieces are dealt by document into blocks of about `block_windows` windows, and each block is solved on its own: every piece starts as a
-partial partition of k sums, all but one zero; the two with the largest spread (largest less smallest sum) are merged, largest sums
-with smallest, until one partition is left. Its windows are near-equal. k is the least count that could hold the block and
-rises whenever a window exceeds the capacity. Only lengths meet in a block, never ids or texts.
+fourth row the rest is halved again and again instead, and its small pieces even out what the others leave. The pieces are
+dealt by document into blocks of about `block_windows` windows, and each block is solved on its own: every piece starts as a
+partial partition of k sums, all but one zero; the two with the largest spread (largest less smallest sum) are merged, largest
+sums with smallest, until one partition is left. Its windows are near-equal. k is the least count that could hold the block
+and rises whenever a window exceeds the capacity. Only lengths meet in a block, never ids or texts.
 
 Edge cases: null and empty texts are the end id alone; repeated rows and null doc_ids are packed like any other row; a
 document's pieces may lie in several sequences; ties are broken by the order of rows in the table; an empty table gives
