@@ -11,9 +11,10 @@ With a small radius a bucket whose pairs would be too many is not capped: its me
 all that share a point are tied to its smallest close member. That gives the same components with work linear in the
 bucket. Components come from alternating large-star and small-star steps on the links.
 
-For similarity search (`similar_documents`) the radius is wide and each link is confirmed by a second, 128-bit SimHash of
+For similarity search (`similar_documents`) the radius is wide and each link is tested by a second, 128-bit SimHash of
 five-word shingles. There a bucket is searched in the task, breadth first: what a member reaches leaves the set of those that
-others are compared with, so a dense group costs little more than its size. Large buckets are dealt as pairs of blocks.
+others are compared with, so a dense group costs little more than its size. Large buckets are dealt as pairs of blocks. What
+sketches miss is found by prefixes of the shingle sets, and every link is confirmed by the sets' exact Jaccard similarity.
 
 Edge cases: a text of fewer words than a shingle is one shingle, a text without words (or null) has fingerprint zero and
 is linked like any other; null doc_ids are never a component's id unless nothing else is in it (then the id is null);
@@ -282,43 +283,98 @@ def similar_links(classes: DataFrame, max_bits: int, check_bits: int) -> DataFra
     return met.repartition(*places).sortWithinPartitions(*places).mapInArrow(run, "a long, b long").distinct()
 
 
-def wide_fingerprint(text: str | None, size: int = 5) -> tuple[int, int]:
-    """128-bit SimHash over XXH3-128 of the text's shingles, as two signed integers."""
+def spans(text: str | None, size: int) -> list[bytes]:
+    """The text's shingles; a text of fewer words is one shingle, one without words has none."""
     words = words_of(text, lower=True)
     if not words:
-        return 0, 0
+        return []
     line = b" ".join(words)
     ends = list(accumulate(map(len, words), lambda a, n: a + 1 + n))
     starts = [0, *(e + 1 for e in ends[:-1])]
+    return [line[s:e] for s, e in zip(starts, ends[size - 1 :])] or [line]
+
+
+def wide_sketch(text: str | None, size: int = 5) -> tuple[tuple[int, int], np.ndarray]:
+    """128-bit SimHash over XXH3-128 of the text's shingles, as two signed integers, and the sorted set of their lower halves."""
     digest = xxhash.xxh3_128_digest
-    hashes = np.frombuffer(b"".join([digest(line[s:e]) for s, e in zip(starts, ends[size - 1 :])] or [digest(line)]), np.uint8).reshape(-1, 16)
+    hashes = np.frombuffer(b"".join(map(digest, spans(text, size))), np.uint8).reshape(-1, 16)
     ones = np.zeros(128, np.int64)
     for at in range(0, len(hashes), 4096):
         ones += np.unpackbits(hashes[at : at + 4096], axis=1).sum(axis=0, dtype=np.int32)
     packed = np.packbits(2 * ones > len(hashes)).tobytes()
-    return int.from_bytes(packed[:8], "big", signed=True), int.from_bytes(packed[8:], "big", signed=True)
+    wide = int.from_bytes(packed[:8], "big", signed=True), int.from_bytes(packed[8:], "big", signed=True)
+    return wide, np.unique(np.ascontiguousarray(hashes[:, 8:]).view(">i8").ravel().astype(np.int64))
+
+
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) of rows, those whose sets (row_key, shingles) have a Jaccard similarity of 0.8 or more."""
+    side = lambda x: sets.select(F.col("row_key").alias(x), F.col("shingles").alias(f"{x}_set"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    shared = F.size(F.array_intersect("a_set", "b_set"))
+    return both.filter(9 * shared >= 4 * (F.size("a_set") + F.size("b_set"))).select("a", "b")
+
 
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """The rows of keys (s, row_key, ...) whose s is in two rows at least, with their number n."""
+    often = keys.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return keys.join(often, "s")
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, max_bits: int = 10, check_size: int = 5, check_bits: int = 26) -> DataFrame:
-    """row_key, doc_id, component_id of near-duplicates at about Jaccard 0.8 and more on five-word shingles.
 
-    That similarity is a cosine of 0.89, so about 10 of 64 and 19 (deviation 4) of 128 bits differ.
+def met_by_prefix(fps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored sets (row_key, shingles) that may be alike to another, and stored (s, row_key, n_set): rows alike share an s.
+
+    Rows at Jaccard 0.8 or more share four fifths of either's shingles, so in any order of all shingles they meet in the first
+    fifth (and one) of both. The order of the hashes leaves out most rows; of the others, the rarest shingles come first.
+    """
+    first = lambda n: F.floor(n / 5).cast("int") + 1
+    own = fps.select("row_key", F.explode(F.slice("shingles", F.lit(1), first(F.size("shingles")))).alias("s"))
+    some = stored(shared_keys(own).select("row_key").distinct(), "similar-rows")
+    sets = stored(fps.select("row_key", "shingles").join(some, "row_key", "left_semi"), "shingle-sets")
+    every = shared_keys(sets.select("row_key", F.size("shingles").alias("n_set"), F.explode("shingles").alias("s")))
+    ranked = every.groupBy("row_key", "n_set").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("found"))
+    # Shingles of this row alone come before all others.
+    left = first(F.col("n_set")) - (F.col("n_set") - F.size("found"))
+    rows = ranked.filter(left > 0).select(F.explode(F.slice("found", F.lit(1), left)).alias("x"), "row_key", "n_set")
+    return sets, stored(rows.select(F.col("x.s").alias("s"), "row_key", "n_set"), "similar-prefixes")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, max_bits: int = 10, check_size: int = 5, check_bits: int = 26, row_col: str | None = None) -> DataFrame:
+    """row_key, doc_id, component, component_id of the components of all pairs at Jaccard 0.8 and more on five-word shingles.
+
+    Sketches link dense groups first, so that these never meet in pairs; then all rows of different groups meet by their prefixes.
+    Every link of either kind is confirmed on the sets of shingles. row_col: a column that numbers the rows, of a stored table.
     """
 
     def run(batches):
         for part in slices(batches):
             texts = part.column("text").to_pylist()
-            wide = [wide_fingerprint(t, check_size) for t in texts]
-            yield pa.RecordBatch.from_arrays([part.column("row_key"), part.column("doc_id"), pa.array([fingerprint(t, size) for t in texts], pa.int64()), *(pa.array([w[i] for w in wide], pa.int64()) for i in (0, 1))], ["row_key", "doc_id", "fp", "wide0", "wide1"])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    fps = stored(rows.mapInArrow(run, "row_key long, doc_id long, fp long, wide0 long, wide1 long"), "fingerprints")
-    node = F.coalesce(F.min("doc_id"), F.lit(NO_ID) + F.pmod(F.xxhash64("fp", "wide0", "wide1"), F.lit(1 << 61)))
-    same = ["fp", "wide0", "wide1"]
-    classes = stored(fps.groupBy(*same).agg(node.alias("node")), "classes")
-    roots = components(similar_links(classes, max_bits, check_bits))
-    ends = stored(classes.join(roots, "node", "left").select(*same, F.coalesce("root", "node").alias("root")), "roots")
-    return fps.join(ends, same).select("row_key", "doc_id", F.col("root").alias("component"), F.when(F.col("root") < NO_ID, F.col("root")).alias("component_id"))
+            wide, sets = zip(*[wide_sketch(t, check_size) for t in texts])
+            name = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+            columns = [pa.array([fingerprint(t, size) for t in texts], pa.int64()), *(pa.array([w[i] for w in wide], pa.int64()) for i in (0, 1)), pa.array(name, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))]
+            yield pa.RecordBatch.from_arrays([part.column("row_key"), part.column("doc_id"), *columns], ["row_key", "doc_id", "fp", "wide0", "wide1", "name", "shingles"])
+
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    rows = docs.select(row.alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    fps = stored(rows.mapInArrow(run, "row_key long, doc_id long, fp long, wide0 long, wide1 long, name binary, shingles array<long>"), "fingerprints")
+    # Rows with equal sets are a class, named by its smallest row.
+    classes = stored(fps.groupBy("name").agg(F.min(F.struct("row_key", "fp", "wide0", "wide1")).alias("x"), F.count(F.lit(1)).alias("n")).select("name", "n", F.col("x.row_key").alias("node"), "x.fp", "x.wide0", "x.wide1"), "classes")
+    copies = stored(fps.select("row_key", "name").join(classes.filter("n > 1").select("name", "node"), "name").filter("row_key != node").select(F.col("row_key").alias("a"), F.col("node").alias("b")), "copies")
+    sets, prefixes = met_by_prefix(fps.join(copies, F.col("row_key") == F.col("a"), "left_anti"))
+    by_sketch = alike(similar_links(classes.select("fp", "wide0", "wide1", "node"), max_bits, check_bits), sets)
+    linked = stored(copies.unionByName(by_sketch), "sketch-links")
+    roots = stored(components(linked), "sketch-roots")
+    met = prefixes.join(roots.withColumnRenamed("node", "row_key"), "row_key", "left").withColumn("root", F.coalesce("root", "row_key"))
+    met = stored(met, "prefix-roots")
+    mixed = met.groupBy("s").agg(F.min("root").alias("r"), F.max("root").alias("q")).filter("r != q").select("s")
+    met = stored(met.join(mixed, "s"), "prefix-mixed")
+    x, y = (met.select("s", F.struct("row_key", "n_set", "root").alias(c)) for c in "xy")
+    apart = x.join(y, "s").filter("x.row_key > y.row_key AND x.root != y.root AND 5 * x.n_set >= 4 * y.n_set AND 5 * y.n_set >= 4 * x.n_set")
+    pairs = stored(apart.select(F.col("x.row_key").alias("a"), F.col("y.row_key").alias("b")).distinct(), "prefix-pairs")
+    ends = components(linked.unionByName(alike(pairs, sets)))
+    found = fps.select("row_key", "doc_id").join(ends.withColumnRenamed("node", "row_key"), "row_key", "left")
+    found = stored(found.select("row_key", "doc_id", F.coalesce("root", "row_key").alias("component")), "similar-groups")
+    return found.join(found.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("row_key", "doc_id", "component", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, max_bits: int = 2) -> DataFrame:

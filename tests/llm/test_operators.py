@@ -443,6 +443,50 @@ def test_similar_documents(spark):
     assert [found[i] for i in range(len(rows))] == truth
 
 
+def edited(rng, w, vocabulary, how, n):
+    """w with n words replaced in a block or appended as a passage, or spread over it."""
+    new = [str(x) for x in rng.choice(vocabulary, n)]
+    if how == "block":
+        at = int(rng.integers(0, len(w) - n))
+        return w[:at] + new + w[at + n :]
+    if how == "appended":
+        return w + new
+    out = list(w)
+    for at, x in zip(rng.choice(len(w) // 5, n, replace=False) * 5, new):
+        out[at] = x
+    return out
+
+
+def test_similar_documents_at_the_limit(spark):
+    """Pairs at Jaccard 0.80 to 0.9 are all linked, pairs at 0.6 to 0.8 never."""
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, linked = [], {}
+    for how, above, below in (("block", range(18, 29), range(32, 55, 2)), ("appended", range(53, 74), range(78, 145, 3)), ("scattered", range(5, 7), range(8, 12))):
+        for n in [*above, *below] * 2:
+            w = [str(x) for x in rng.choice(vocabulary, 300)]
+            v = edited(rng, w, vocabulary, how, n)
+            j = len(shingles(w) & shingles(v)) / len(shingles(w) | shingles(v))
+            assert 0.6 < j < 0.9
+            linked[len(rows)] = (how, n, j, j >= 0.8)
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(v))]
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wrong = [x for i, x in linked.items() if (found[i + 1] == i) != x[3]]
+    assert not wrong and len(found) == len(rows)
+    assert sum(x[3] for x in linked.values()) > 60 and sum(not x[3] for x in linked.values()) > 60
+
+
+def test_similar_documents_repeats_and_ids(spark):
+    """A much repeated passage doesn't make texts alike; rows with one doc_id stay apart."""
+    rng = np.random.default_rng(12)
+    fresh = lambda n: " ".join(f"v{i}" for i in rng.integers(0, 10**6, n))
+    passage = fresh(12)
+    rows = [(i, " ".join([passage] * 60) + " " + fresh(80)) for i in range(6)] + [(50, fresh(90)), (50, fresh(90))]
+    found = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r.component for r in found}) == 8
+
+
 # 10
 
 
