@@ -2,8 +2,8 @@
 
 Texts are lower-cased (A-Z) and reduced to their words, single spaces between and around. Three base phrases are counted
 wherever their words stand consecutively. Beyond them hundreds of signature rules, each a hand-written shape of a regular expression
-over words for one of the licenses below, are tried. A rule is gated twice by keywords: a text without any of the few trigger
-words is never looked at, and a rule's expression runs only on texts that contain its own keyword. A rule's matches are found
+over words for one of the licenses below, are tried. A rule is gated twice by keywords: a text without any of the strings that
+the rules' matches contain is never looked at, and a rule's expression runs only on texts that contain its own keyword. A rule's matches are found
 by splitting the text at them, so their word intervals follow from lengths and counts of spaces.
 
 Overlapping detections are resolved by priority and containment: sorted by start, then longest, then rule order, a detection is
@@ -29,9 +29,6 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: A text is scanned only if it contains one of these.
-TRIGGERS = ("licen", "copyright", "spdx", "public domain", "warranty", "unlicense", "creative commons", "redistribution")
-
 #: label: (keywords of which a text has one, expression of the license's name, its SPDX identifiers), in words.
 NAMES: dict[str, tuple[tuple[str, ...], str, tuple[str, ...]]] = {
     "mit": (("mit", "expat"), r"(?:the )?(?:mit|expat)", ("mit", "mit 0", "mit cmu")),
@@ -114,17 +111,24 @@ class Rule:
     pattern: str  # over words, without the spaces around them
     priority: int  # 1 to 5
     weight: float
+    gate: str  # whatever matches contains this
 
 
 def rules() -> list[Rule]:
     """All rules in their order, which breaks ties."""
-    out = [Rule(label, (keyword,), keyword, pattern, priority, weight) for label, keyword, pattern, priority, weight in PASSAGES]
+    out = [Rule(label, (keyword,), keyword, pattern, priority, weight, keyword) for label, keyword, pattern, priority, weight in PASSAGES]
     for label, (keywords, name, ids) in NAMES.items():
-        out += [Rule(label, (f"spdx license identifier {i}",), "spdx", rf"spdx license identifier {i}(?: (?:only|or later))?", 5, 1.0) for i in ids]
-        out += [Rule(label, keywords, shape, before + name + after, priority, weight) for _, before, after, shape, priority, weight in SHAPES]
+        out += [Rule(label, (f"spdx license identifier {i}",), "spdx", rf"spdx license identifier {i}(?: (?:only|or later))?", 5, 1.0, "licen") for i in ids]
+        out += [Rule(label, keywords, shape, before + name + after, priority, weight, "licen") for _, before, after, shape, priority, weight in SHAPES]
     return out
 
 
+def gates() -> list[str]:
+    """A text is scanned only if it contains one of these; a text that any rule matches does."""
+    every = sorted({r.gate for r in rules()})
+    return [g for g in every if not any(other in g for other in every if other != g)]
+
+
 def spaced_words(text: Column) -> Column:
     """' word word ... ' in lower case; two spaces without words."""
     lower = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
@@ -203,7 +207,7 @@ def scanned(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("d
     labelled = lambda label: lambda i: F.struct(F.lit(label).alias("label"), i.cast("long").alias("place"))
     places = F.concat(*[F.transform(phrase_places(F.col("__words"), p), labelled(label)) for p, label in BASE.items()])
     none = "array<struct<first:bigint,last:bigint,label:string,priority:int,weight:double>>"
-    found = F.when(any_of([F.contains(line, F.lit(t)) for t in TRIGGERS]), detections(line)).otherwise(F.array().cast(none))
+    found = F.when(any_of([F.contains(line, F.lit(t)) for t in gates()]), detections(line)).otherwise(F.array().cast(none))
     return rows.select(*keep, F.when(F.length(F.trim(line)) == 0, F.lit(0)).otherwise(n_spaces(line) - 1).cast("long").alias("n_words"), places.alias("base"), found.alias("found"))
 
 

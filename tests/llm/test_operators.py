@@ -200,6 +200,36 @@ def test_license_rules(spark):
     assert found("no permit here") == []
 
 
+def shortest(parsed):
+    """A text that the parsed expression matches, with the first branches and the fewest repeats."""
+    out = ""
+    for op, x in parsed:
+        match str(op):
+            case "LITERAL":
+                out += chr(x)
+            case "IN":
+                out += chr(x[0][1]) if str(x[0][0]) == "LITERAL" else chr(x[0][1][0]) if str(x[0][0]) == "RANGE" else "x"
+            case "MAX_REPEAT":
+                out += x[0] * shortest(x[2])
+            case "SUBPATTERN":
+                out += shortest(x[3])
+            case "BRANCH":
+                out += shortest(x[1][0])
+            case "ASSERT":
+                out += shortest(x[1])
+            case other:
+                raise ValueError(other)
+    return out
+
+
+def test_each_license_rule_fires_alone(spark):
+    rules = license_scan.rules()
+    texts = [shortest(re._parser.parse(r.pattern)) for r in rules]
+    rows = license_scan.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    silent = [(rules[r.doc_id].label, texts[r.doc_id]) for r in rows if rules[r.doc_id].label not in {x.label for x in r.found}]
+    assert not silent and len(rows) == len(rules)
+
+
 def test_license_edges(odd, empty):
     assert license_scan.scanned(odd).count() == odd.count() and license_scan.scanned(empty).count() == 0
 
