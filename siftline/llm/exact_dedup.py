@@ -40,10 +40,15 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def rows_for_state(docs: DataFrame, id_col: str, text_col: str, digest=sha256) -> DataFrame:
-    """One narrow row per document. row_key is its place in the table, so docs has to be a stored table (or as stable)."""
+def row_number(row_col: str | None) -> Column:
+    """The column that numbers the rows; without one, a row's place in this scan, which another scan need not repeat."""
+    return F.col(row_col) if row_col else F.monotonically_increasing_id()
+
+
+def rows_for_state(docs: DataFrame, id_col: str, text_col: str, digest=sha256, row_col: str | None = None) -> DataFrame:
+    """One narrow row per document. row_key is its number (see row_number)."""
     return docs.select(
-        F.monotonically_increasing_id().alias("row_key"),
+        row_number(row_col).alias("row_key"),
         F.col(id_col).alias("doc_id"),
         digest(normalised(text_col)).alias("digest"),
         F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n_chars"),
@@ -77,18 +82,18 @@ def colliding(docs: DataFrame, text_col: str, digest=sha256) -> DataFrame:
     return texts.groupBy("digest").agg(F.min("body").alias("a"), F.max("body").alias("b")).filter("a != b").select("digest")
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256) -> DataFrame:
-    """One row per document: row_key, doc_id, keep_key, keep_id, group_size, kept, digest."""
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256, row_col: str | None = None) -> DataFrame:
+    """One row per document: row_key, doc_id, keep_key, keep_id, group_size, kept, digest. row_col: a column that numbers the rows, of a stored table."""
     spark = docs.sparkSession
     rows_dir = scratch_path(spark, "dedup-rows")
-    rows = rows_for_state(docs, id_col, text_col, digest)
+    rows = rows_for_state(docs, id_col, text_col, digest, row_col)
     rows.write.parquet(rows_dir)
     rows = spark.read.schema(rows.schema).parquet(rows_dir)
     state = ingest(spark, rows_dir, rows.schema, scratch_path(spark, "dedup-state"))
     found = rows.join(state, "digest").select("row_key", "doc_id", "digest", F.col("keep.keep_key").alias("keep_key"), F.col("keep.keep_id").alias("keep_id"), "group_size")
     clashes = stored(colliding(docs, text_col, digest), "dedup-clashes")
     if not clashes.isEmpty():
-        texts = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).alias("doc_id"), normalised(text_col).alias("body"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n_chars"))
+        texts = docs.select(row_number(row_col).alias("row_key"), F.col(id_col).alias("doc_id"), normalised(text_col).alias("body"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n_chars"))
         texts = stored(texts.withColumn("digest", digest(F.col("body"))).join(clashes, "digest", "left_semi"), "dedup-clash-texts")
         best = F.min(F.struct((-F.col("n_chars")).alias("c"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("keep_id"), F.col("row_key").alias("keep_key"))).alias("keep")
         groups = stored(texts.groupBy("digest", "body").agg(best, F.count(F.lit(1)).alias("group_size")), "dedup-clash-groups")
