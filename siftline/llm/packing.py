@@ -16,9 +16,11 @@ no rows; extra columns are ignored. Texts that contain the file's special token
 from __future__ import annotations
 
 import heapq
+import json
 import zlib
 from array import array
 from bisect import insort
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,20 +35,26 @@ PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens
 
 def encoder(json_path: str, ranks_path: str, pattern: str):
     """text -> ids as little-endian bytes, equal to the `tokenizers` file's. They come from the same vocabulary's ranks
-    (byte-level BPE, checked to agree, and faster); a text with a special token's string goes to `tokenizers` itself."""
+    (byte-level BPE, checked to agree, and faster); a text with a special token's string goes to `tokenizers` itself, which
+    is loaded when the first such text comes."""
     import tiktoken
-    from tokenizers import Tokenizer
 
     from siftline.llm.tokens import load_ranks
 
-    whole = Tokenizer.from_file(json_path)
-    special = [t.content for t in whole.get_added_tokens_decoder().values()]
+    with open(json_path, encoding="utf-8") as f:
+        special = [t["content"] for t in json.load(f)["added_tokens"]]
     by_ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(ranks_path), special_tokens={}).encode_ordinary
 
+    @lru_cache(1)
+    def whole():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(json_path)
+
     def encode(text: str | None) -> bytes:
         if not text:
             return b""
-        ids = whole.encode(text, add_special_tokens=False).ids if any(s in text for s in special) else by_ranks(text)
+        ids = whole().encode(text, add_special_tokens=False).ids if any(s in text for s in special) else by_ranks(text)
         return array("I", ids).tobytes()
 
     return encode
