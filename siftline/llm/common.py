@@ -1,8 +1,9 @@
-"""Helpers that the training-data operators share: scratch tables, Arrow batch slicing, word codes."""
+"""Helpers that the training-data operators share: scratch tables, row numbers, Arrow batch slicing, word codes."""
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -20,6 +21,11 @@ STEP_BYTES = 8 << 20
 #: Entries of a per-task memo before it is emptied; bounds a worker's memory, never the result.
 MEMO_ENTRIES = 400_000
 
+#: Row numbers up to this many are broadcast (8 bytes each); more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+#: The column that numbers rows.
+ROW = "__siftline_row"
+
 _local_scratch: dict[str, str] = {}
 
 
@@ -32,10 +38,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
+    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset on a local master (tests)."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or _local_scratch.get(sc.applicationId)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = _local_scratch[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="siftline-")
     return f"{base.rstrip('/')}/siftline-{sc.applicationId}"
 
@@ -51,6 +59,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def is_parquet_scan(docs: DataFrame) -> bool:
+    """Whether docs is a plain read of Parquet files, nothing joined, filtered or renamed."""
+    plan = docs._jdf.queryExecution().analyzed()
+    return plan.getClass().getSimpleName() == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation" and "Parquet" in plan.relation().fileFormat().toString()
+
+
+def numbered(docs: DataFrame, name: str = ROW) -> DataFrame:
+    """docs with a number for each row that is the same in every scan, however the files are split.
+
+    Rows of Parquet files are numbered by file and place in the file, so texts needn't be stored again; any other docs are
+    numbered in a stored copy.
+    """
+    if not is_parquet_scan(docs):
+        return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    path = F.col("_metadata.file_path")
+    files = stored(docs.select(path.alias(f"{name}_path")).distinct().coalesce(1).withColumn(f"{name}_file", F.monotonically_increasing_id()), "files")  # a row a file
+    place = docs.withColumn(name, F.col("_metadata.row_index")).withColumn(f"{name}_path", path)
+    number = F.shiftleft(F.col(f"{name}_file"), 36) + F.col(name)
+    return place.join(F.broadcast(files), f"{name}_path").select(*docs.columns, number.alias(name))
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """The stored rows of numbers, marked for broadcast if they are at most BROADCAST_ROWS."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
 def release(spark: SparkSession) -> None:
     """Delete every scratch table that this application wrote. Call it once results have been saved."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch(spark))
@@ -134,19 +168,22 @@ def marks_by_text(marked: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.diff(np.searchsorted(np.flatnonzero(marked), offsets))
 
 
-def added(docs: DataFrame, text_col: str, fields: str, make) -> DataFrame:
-    """docs and further columns. make() is called once a task and gives a function from a text array to the columns' values.
-
-    The names in `fields` must not be among those of docs.
-    """
+def added(docs: DataFrame, text_col: str, keep: tuple[str, ...], fields: str, make) -> DataFrame:
+    """The kept columns (as k0, k1, ..., whatever their names) and further ones. make() is called once a task and gives a function
+    from a text array to the further columns' values. See named()."""
+    rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text"))
     schema = docs.sparkSession.createDataFrame([], fields).schema
-    names = [f.name for f in schema.fields]
-    out = StructType([*docs.schema.fields, *schema.fields])
+    out = StructType([*rows.schema.fields[:-1], *schema.fields])
 
     def run(batches):
         act = make()
-        for part in slices(batches, text_col):
-            new = [x if isinstance(x, pa.Array) else pa.array(x) for x in act(part.column(text_col))]
-            yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *names])
+        for part in slices(batches):
+            new = [x if isinstance(x, pa.Array) else pa.array(x) for x in act(part.column("text"))]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], out.names)
+
+    return rows.mapInArrow(run, out)
+
 
-    return docs.mapInArrow(run, out)
+def named(rows: DataFrame, keep: tuple[str, ...], *more: str) -> DataFrame:
+    """k0, k1, ... under their own names again, and more columns."""
+    return rows.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *more)

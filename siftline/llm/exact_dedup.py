@@ -1,13 +1,15 @@
 """Exact deduplication with stateful streaming; DataFrame and SQL functions only.
 
 Texts are equal when identical after deleting every character of [\\x20\\x09-\\x0D]; null counts as empty. Each document
-is reduced to a SHA-256 digest of its normalised text, its code points and a content locator. A Structured Streaming
-aggregation without watermark or expiry keeps, in disk-backed (RocksDB) state keyed by digest, the stable identifier and
-locator of the row that stays and the number of rows seen. A later `ingest` of new rows continues from that state.
+is reduced to a SHA-256 digest of its normalised text, its code points and a content locator: the number of its row, which is its
+file and its place in the file. A Structured Streaming aggregation without watermark or expiry keeps, in disk-backed (RocksDB)
+state keyed by digest, the stable identifier and locator of the row that stays and the number of rows seen. A later `ingest` of
+new rows continues from that state.
 
-Hits are then checked over full bytes: for each digest the smallest and the largest normalised text are compared, an
-associative aggregate that combines before the shuffle, so a group with a third of all rows costs a task no more than any
-other. Digests whose texts differ are regrouped by the texts themselves, so even colliding digests give exact groups.
+Hits are then checked over full bytes: the texts of rows whose digest was met more than once are fetched by their locators, and
+for each digest the smallest and the largest are compared, an associative aggregate that combines before the shuffle, so a
+group with a third of all rows costs a task no more than any other. Digests whose texts differ are regrouped by the texts
+themselves, so even colliding digests give exact groups.
 
 Edge cases: null and empty texts are one group; a null doc_id sorts last among ties and is never a stable identifier if
 another row has one; fully equal rows are told apart by their place in the table; an empty table gives no rows; other
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import documents, scratch_path, stored
+from siftline.llm.common import ROW, documents, numbered, scratch_path, small, stored
 
 WHITE = " \t\n\x0b\x0c\r"
 STATE_CONF = {
@@ -40,19 +42,10 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def row_number(row_col: str | None) -> Column:
-    """The column that numbers the rows; without one, a row's place in this scan, which another scan need not repeat."""
-    return F.col(row_col) if row_col else F.monotonically_increasing_id()
-
-
-def rows_for_state(docs: DataFrame, id_col: str, text_col: str, digest=sha256, row_col: str | None = None) -> DataFrame:
-    """One narrow row per document. row_key is its number (see row_number)."""
+def rows_for_state(docs: DataFrame, id_col: str, text_col: str, row_col: str, digest=sha256) -> DataFrame:
+    """One narrow row per document; row_key is its locator."""
     return docs.select(
-        row_number(row_col).alias("row_key"),
-        F.col(id_col).alias("doc_id"),
-        digest(normalised(text_col)).alias("digest"),
-        F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n_chars"),
-        F.input_file_name().alias("locator"),
+        F.col(row_col).alias("row_key"), F.col(id_col).alias("doc_id"), digest(normalised(text_col)).alias("digest"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n_chars")
     )
 
 
@@ -63,9 +56,7 @@ def ingest(spark: SparkSession, rows_dir: str, schema, state_dir: str) -> DataFr
         spark.conf.set(k, v)
     try:
         # Of equal texts the longest original stays, then the smallest id; nulls last.
-        keep = F.struct(
-            (-F.col("n_chars")).alias("less_chars"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("keep_id"), F.col("row_key").alias("keep_key"), F.col("locator").alias("locator")
-        )
+        keep = F.struct((-F.col("n_chars")).alias("less_chars"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("keep_id"), F.col("row_key").alias("keep_key"))
         state = spark.readStream.schema(schema).parquet(rows_dir).groupBy("digest").agg(F.min(keep).alias("keep"), F.count(F.lit(1)).alias("group_size"))
         state.writeStream.outputMode("update").format("noop").option("checkpointLocation", state_dir).trigger(availableNow=True).start().awaitTermination()
         held = spark.read.format("statestore").option("path", state_dir).load()
@@ -76,24 +67,28 @@ def ingest(spark: SparkSession, rows_dir: str, schema, state_dir: str) -> DataFr
     return held.select(F.col("key.digest").alias("digest"), F.col(fields[0]).alias("keep"), F.col(fields[1]).alias("group_size"))
 
 
-def colliding(docs: DataFrame, text_col: str, digest=sha256) -> DataFrame:
-    """Digests under which full texts differ (for SHA-256: none, but they are looked at)."""
-    texts = docs.select(normalised(text_col).alias("body")).select(digest(F.col("body")).alias("digest"), "body")
+def colliding(texts: DataFrame) -> DataFrame:
+    """Digests of rows (digest, body) under which full texts differ (for SHA-256: none, but they are looked at)."""
     return texts.groupBy("digest").agg(F.min("body").alias("a"), F.max("body").alias("b")).filter("a != b").select("digest")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256, row_col: str | None = None) -> DataFrame:
-    """One row per document: row_key, doc_id, keep_key, keep_id, group_size, kept, digest. row_col: a column that numbers the rows, of a stored table."""
+    """One row per document: row_key, doc_id, keep_key, keep_id, group_size, kept, digest. row_col: a column that numbers the rows, the same in every scan."""
     spark = docs.sparkSession
+    if row_col is None:
+        docs, row_col = numbered(docs), ROW
     rows_dir = scratch_path(spark, "dedup-rows")
-    rows = rows_for_state(docs, id_col, text_col, digest, row_col)
+    rows = rows_for_state(docs, id_col, text_col, row_col, digest)
     rows.write.parquet(rows_dir)
     rows = spark.read.schema(rows.schema).parquet(rows_dir)
     state = ingest(spark, rows_dir, rows.schema, scratch_path(spark, "dedup-state"))
     found = rows.join(state, "digest").select("row_key", "doc_id", "digest", F.col("keep.keep_key").alias("keep_key"), F.col("keep.keep_id").alias("keep_id"), "group_size")
-    clashes = stored(colliding(docs, text_col, digest), "dedup-clashes")
+    found = stored(found, "dedup-found")
+    hits = small(found.filter("group_size > 1").select("row_key"))
+    fetched = docs.select(F.col(row_col).alias("row_key"), F.col(text_col).alias("text")).join(hits, "row_key", "left_semi").select(normalised("text").alias("body"))
+    clashes = stored(colliding(fetched.select(digest(F.col("body")).alias("digest"), "body")), "dedup-clashes")
     if not clashes.isEmpty():
-        texts = docs.select(row_number(row_col).alias("row_key"), F.col(id_col).alias("doc_id"), normalised(text_col).alias("body"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n_chars"))
+        texts = docs.select(F.col(row_col).alias("row_key"), F.col(id_col).alias("doc_id"), normalised(text_col).alias("body"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n_chars"))
         texts = stored(texts.withColumn("digest", digest(F.col("body"))).join(clashes, "digest", "left_semi"), "dedup-clash-texts")
         best = F.min(F.struct((-F.col("n_chars")).alias("c"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("keep_id"), F.col("row_key").alias("keep_key"))).alias("keep")
         groups = stored(texts.groupBy("digest", "body").agg(best, F.count(F.lit(1)).alias("group_size")), "dedup-clash-groups")
