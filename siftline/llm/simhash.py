@@ -1,30 +1,33 @@
 """SimHash near-duplicates found by the generalised pigeonhole principle.
 
-Fingerprints are 64-bit majorities over the XXH64 (seed 42) hashes of word shingles. Equal fingerprints collapse to one
-class first, so copies never meet each other again. To find classes at `max_bits` or fewer differing bits, the 64 bits are
-dealt into m partitions that keep correlated bits together, and partition i gets a threshold t_i, where the sum of all
-t_i is max_bits - m + 1 (-1: the partition is not probed): two fingerprints that differ more than t_i in every partition
-differ in more than max_bits bits. A dynamic programme chooses m and the t_i for the least estimated probes plus candidates.
-Probes meet the index on (partition, value), and every candidate is verified.
-
-With a small radius a bucket whose pairs would be too many is not capped: its members instead emit the points within half the radius, and
-all that share a point are tied to its smallest close member. That gives the same components with work linear in the
-bucket. Components come from alternating large-star and small-star steps on the links.
-
-For similarity search (`similar_documents`) the radius is wide and each link is tested by a second, 128-bit SimHash of
-five-word shingles. There a bucket is searched in the task, breadth first: what a member reaches leaves the set of those that
-others are compared with, so a dense group costs little more than its size. Large buckets are dealt as pairs of blocks. What
-sketches miss is found by prefixes of the shingle sets, and every link is confirmed by the sets' exact Jaccard similarity.
+Fingerprints are majorities over the hashes of word shingles. Equal fingerprints collapse to one class first, so copies never
+meet each other again. The bits are dealt into m partitions that keep correlated bits together, and partition i gets a
+threshold t_i of its own: classes that differ in t_i or fewer bits of it are candidates. A dynamic programme chooses m and the
+t_i for the least estimated number of probes and candidates. Probes meet the index by partition and value, and every
+candidate is verified. Components come from alternating large-star and small-star steps on the links.
+
+`near_duplicates` finds all classes of 64-bit fingerprints within `max_bits` bits. There the t_i add up to max_bits - m + 1 (-1: the
+partition is not probed): fingerprints that differ more in every partition differ in more than max_bits bits. A bucket whose
+pairs would be too many is not capped: its members instead emit the points within half the radius, and all that share a
+point are tied to its smallest close member. That gives the same components with work linear in the bucket.
+
+`similar_documents` finds texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. At that limit two 128-bit
+fingerprints of the sets differ in about 15 % of their bits, for which no exact set of thresholds is affordable. The programme
+therefore chooses thresholds so that a pair at the limit is met in some partition with a chance of `recall`, whatever the corpus size; closer
+pairs are met more surely. Candidates within `max_bits` of all bits are confirmed on the sets themselves, nearest pairs
+first; later ones only where the first left their ends in different components. In a crowded bucket the minimum spanning forest stands for all pairs. A value that very many classes have
+in a partition gets pivots: classes close to a pivot are linked to it and leave that partition to the others.
 
 Edge cases: a text of fewer words than a shingle is one shingle, a text without words (or null) has fingerprint zero and
-is linked like any other; null doc_ids are never a component's id unless nothing else is in it (then the id is null);
-repeated rows share class and component; an empty table gives no rows; other columns are ignored.
+is linked like any other (in `similar_documents` to equal sets alone); null doc_ids are never a component's id unless nothing else is
+in it (then the id is null); rows with one doc_id but different texts are rows like any other; repeated rows share class and
+component; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from itertools import accumulate, combinations
-from math import comb
+from math import acos, comb, log, pi
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import documents, slices, stored, words_of
+from siftline.llm.common import ROW, documents, numbered, slices, small, stored, words_of
 
 BITS = 64
 #: Pairs that a bucket may form at most; larger ones are linked through shared points.
 BUCKET_PAIRS = 1024
-#: Stand-in ids of classes with null doc_ids only; above any real id.
-NO_ID = 1 << 62
+#: Masks of a partition at most; a threshold that needs more is not considered.
+MASKS = 4096
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -74,34 +77,36 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "row_key long, doc_id long, fp long")
 
 
-def bit_counts(classes: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of classes, and how many have bits i and j both set (64 x 64)."""
+def bit_counts(classes: DataFrame, columns: tuple[str, ...] = ("fp",)) -> tuple[int, np.ndarray]:
+    """Number of classes, and how many have bits i and j both set; the columns hold 64 bits each."""
+    width = BITS * len(columns)
 
     def run(batches):
-        total, n = np.zeros((BITS, BITS), np.int64), 0
+        total, n = np.zeros((width, width), np.int64), 0
         for batch in batches:
-            bits = np.unpackbits(batch.column("fp").to_numpy(zero_copy_only=False).astype(">i8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32)
+            sides = [np.unpackbits(batch.column(c).to_numpy(zero_copy_only=False).astype(">i8").view(np.uint8).reshape(-1, 8), axis=1) for c in columns]
+            bits = np.concatenate(sides, axis=1).astype(np.float32)
             total += np.rint(bits.T @ bits).astype(np.int64)
             n += len(bits)
         cells = np.append(total.ravel(), n)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells), dtype=np.int32)), pa.array(cells)], ["cell", "n"])
 
-    rows = classes.select("fp").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # 4,097 rows
-    cells = np.zeros(BITS * BITS + 1, np.int64)
+    rows = classes.select(*columns).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # width * width + 1 rows
+    cells = np.zeros(width * width + 1, np.int64)
     for r in rows:
         cells[r["cell"]] = r["n"]
-    return int(cells[-1]), cells[:-1].reshape(BITS, BITS)
+    return int(cells[-1]), cells[:-1].reshape(width, width)
 
 
 def correlated_groups(n: int, both: np.ndarray, m: int) -> list[list[int]]:
     """Deal the bits (0: highest) into m groups of near-equal width, each grown from its bits' strongest correlations."""
-    p = np.diag(both) / max(n, 1)
+    p, bits = np.diag(both) / max(n, 1), len(both)
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-9))
     r = np.abs((both / max(n, 1) - np.outer(p, p)) / np.outer(spread, spread))
     np.fill_diagonal(r, 0)
-    left, groups = set(range(BITS)), []
+    left, groups = set(range(bits)), []
     for i in range(m):
-        width = BITS // m + (i < BITS % m)
+        width = bits // m + (i < bits % m)
         rest = sorted(left)
         group = [rest[int(np.argmax(r[np.ix_(rest, rest)].sum(axis=1)))]]
         left.discard(group[0])
@@ -113,57 +118,102 @@ def correlated_groups(n: int, both: np.ndarray, m: int) -> list[list[int]]:
     return groups
 
 
-def plan(n: int, both: np.ndarray, max_bits: int, probe_cost: float = 1.0, most_parts: int = BITS) -> list[tuple[list[int], int]]:
-    """(bits, threshold) of each probed partition, at the least estimated number of probes (at probe_cost each) and candidates."""
+def masks(width: int, radius: int) -> int:
+    return sum(comb(width, d) for d in range(radius + 1))
+
+
+def chances(group: list[int], differ: np.ndarray, most: int) -> np.ndarray:
+    """Chance that two classes differ in 0 to `most` bits of the group."""
+    at = np.zeros(most + 1)
+    at[0] = 1.0
+    for b in group:
+        at = at * (1 - differ[b]) + np.concatenate(([0.0], at[:-1])) * differ[b]
+    return at
+
+
+def plan(n: int, both: np.ndarray, max_bits: int) -> list[tuple[list[int], int]]:
+    """(bits, threshold) of each probed partition: none of the pairs within max_bits is missed, at the least estimated number of probes and candidates."""
     p = np.diag(both) / max(n, 1)
     differ = 2 * p * (1 - p)
     best: tuple[float, list[tuple[list[int], int]]] = (float("inf"), [])
-    for m in range(1, min(max_bits + 1, most_parts) + 1):
+    for m in range(1, max_bits + 2):
         groups = correlated_groups(n, both, m)
-        cost = []
-        for group in groups:
-            at = np.zeros(max_bits + 1)  # chance that two classes differ in d bits of the group
-            at[0] = 1.0
-            for b in group:
-                at = at * (1 - differ[b]) + np.concatenate(([0.0], at[:-1])) * differ[b]
-            keys = np.cumsum([comb(len(group), d) for d in range(max_bits + 1)])
-            cost.append({-1: 0.0} | {t: float(probe_cost * n * keys[t] + 0.5 * n * n * at[: t + 1].sum()) for t in range(max_bits + 1)})
         states: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
-        for c in cost:
+        for group in groups:
+            at = chances(group, differ, max_bits)
+            cost = {-1: 0.0} | {t: float(n * masks(len(group), t) + 0.5 * n * n * at[: t + 1].sum()) for t in range(max_bits + 1) if masks(len(group), t) <= MASKS}
             following: dict[int, tuple[float, list[int]]] = {}
             for spent, (so_far, chosen) in states.items():
-                for t, x in c.items():
+                for t, x in cost.items():
                     if spent + t not in following or so_far + x < following[spent + t][0]:
                         following[spent + t] = (so_far + x, [*chosen, t])
             states = following
-        total, chosen = states[max_bits - m + 1]
-        if total < best[0]:
+        if max_bits - m + 1 in states and states[max_bits - m + 1][0] < best[0]:
+            total, chosen = states[max_bits - m + 1]
+            best = total, [(g, t) for g, t in zip(groups, chosen) if t >= 0]
+    return best[1]
+
+
+def limit_share(jaccard: float) -> float:
+    """The share of bits in which the SimHashes of two sets differ, expected where their Jaccard similarity is this (sets of one size)."""
+    return acos(2 * jaccard / (1 + jaccard)) / pi
+
+
+#: Thresholds of a partition in `covering`: both ends emit the values within half of it, so that any two within it share one.
+EVEN = (0, 2, 4)
+
+
+def covering(n: int, both: np.ndarray, share: float, recall: float, row_cost: float = 300.0, most_parts: int = 16) -> list[tuple[list[int], int]]:
+    """(bits, threshold) of each probed partition: a pair that differs in each bit with chance `share` is met in one of them with
+    chance `recall`, at the least estimated cost of emitted rows (row_cost each) and compared pairs."""
+    p = np.diag(both) / max(n, 1)
+    differ, same = 2 * p * (1 - p), np.full(len(both), share)
+    unit = 0.02
+    need = int(np.ceil(-log(1 - recall) / unit))
+    best: tuple[float, list[tuple[list[int], int]]] = (float("inf"), [])
+    for m in range(4, most_parts + 1):
+        groups = correlated_groups(n, both, m)
+        states: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
+        for group in groups:
+            at, met = chances(group, differ, max(EVEN)), chances(group, same, max(EVEN))
+            options = {-1: (0.0, 0)}
+            for t in EVEN:
+                rows = masks(len(group), t // 2)
+                if rows <= MASKS:
+                    meetings = at[0] * rows + 2 * at[1 : t + 1].sum()
+                    options[t] = (row_cost * n * rows + 0.5 * n * n * meetings, int(-log(max(1 - met[: t + 1].sum(), 1e-9)) / unit))
+            following: dict[int, tuple[float, list[int]]] = {}
+            for sure, (so_far, chosen) in states.items():
+                for t, (x, gain) in options.items():
+                    now = min(sure + gain, need)
+                    if now not in following or so_far + x < following[now][0]:
+                        following[now] = (so_far + x, [*chosen, t])
+            states = following
+        if need in states and states[need][0] < best[0]:
+            total, chosen = states[need]
             best = total, [(g, t) for g, t in zip(groups, chosen) if t >= 0]
     return best[1]
 
 
+def signed(x: int) -> int:
+    return x - (1 << BITS) if x >> (BITS - 1) else x
+
+
 def flips(bits: list[int], radius: int) -> list[list[int]]:
     """Signed masks that change d of the bits, by d from 0 to radius."""
-    signed = lambda x: x - (1 << BITS) if x >> (BITS - 1) else x
     return [[signed(sum(1 << (BITS - 1 - b) for b in c)) for c in combinations(bits, d)] for d in range(radius + 1)]
 
 
-
 def bucket_rows(classes: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
-    """part, value, indexed (the class's own value), probe, and the columns of classes, for each key of each class."""
+    """part, value, indexed (the class's own value) and the columns of classes, for each key of each class."""
     own = classes.columns
     rows = []
     for i, (group, t) in enumerate(parts):
-        mask = sum(1 << (BITS - 1 - b) for b in group)
-        mask = mask - (1 << BITS) if mask >> (BITS - 1) else mask
-        value = F.col("fp").bitwiseAND(F.lit(mask))
-        keyed = classes.select(F.lit(i).alias("part"), value.alias("value"), *own, F.lit(True).alias("indexed"), F.lit(t == 0).alias("probe"))
-        rows.append(keyed)
+        value = F.col("fp").bitwiseAND(F.lit(signed(sum(1 << (BITS - 1 - b) for b in group))))
+        rows.append(classes.select(F.lit(i).alias("part"), value.alias("value"), *own, F.lit(True).alias("indexed")))
         if t:
             near = F.array(*[F.lit(x) for some in flips(group, t)[1:] for x in some])
-            # The index row probes its own value; the others are probed at each value within the threshold.
-            rows[-1] = keyed.withColumn("probe", F.lit(True))
-            rows.append(classes.select(F.lit(i).alias("part"), F.explode(F.transform(near, lambda x: value.bitwiseXOR(x))).alias("value"), *own, F.lit(False).alias("indexed"), F.lit(True).alias("probe")))
+            rows.append(classes.select(F.lit(i).alias("part"), F.explode(F.transform(near, lambda x: value.bitwiseXOR(x))).alias("value"), *own, F.lit(False).alias("indexed")))
     keys = rows[0]
     for other in rows[1:]:
         keys = keys.unionByName(other)
@@ -172,7 +222,10 @@ def bucket_rows(classes: DataFrame, parts: list[tuple[list[int], int]]) -> DataF
 
 def links(classes: DataFrame, max_bits: int = 2) -> DataFrame:
     """Links (a, b) between classes (fp, node) that join exactly the components of all pairs within max_bits."""
-    keys = bucket_rows(classes, plan(*bit_counts(classes), max_bits))
+    n, both = bit_counts(classes)
+    if n < 2:
+        return classes.sparkSession.createDataFrame([], "a long, b long")
+    keys = bucket_rows(classes, plan(n, both, max_bits))
     shared = keys.groupBy("part", "value").agg(F.sum(F.col("indexed").cast("long")).alias("i"), F.count(F.lit(1)).alias("p")).filter("i > 0 AND p > 1")
     shared = stored(shared, "simhash-buckets")
     met = stored(keys.join(shared, ["part", "value"]), "simhash-keys")
@@ -213,74 +266,176 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-#: Rows of a bucket that are compared in one place; a larger bucket is dealt as all pairs of blocks of this size.
-BLOCK = 4096
-
-
-def reach(fp: np.ndarray, wide: np.ndarray, indexed: np.ndarray, max_bits: int, check_bits: int) -> list[tuple[int, int]]:
-    """Spanning links of the groups among the rows of a bucket; two probes that only pass through need not be compared."""
-    # Index rows first: a member that only probes has to look at those alone.
-    left = np.concatenate((np.flatnonzero(indexed), np.flatnonzero(~indexed)))
-    out, queue = [], []
-    while len(left) or queue:
-        if not queue:
-            queue.append(int(left[0]))
-            left = left[1:]
-        x = queue.pop()
-        among = left if indexed[x] else left[: int(np.count_nonzero(indexed[left]))]
-        near = np.bitwise_count(fp[among] ^ fp[x]) <= max_bits
-        if not near.any():
-            continue
-        near = among[near]
-        near = near[np.bitwise_count(wide[near] ^ wide[x]).sum(axis=1) <= check_bits]
-        if len(near):
-            out += [(x, int(y)) for y in near]
-            queue += near.tolist()
-            left = left[~np.isin(left, near)]
-    return out
-
-
-def similar_links(classes: DataFrame, max_bits: int, check_bits: int) -> DataFrame:
-    """Links (a, b) between classes (fp, wide0, wide1, node) that span the groups within both radii."""
-    # A probe is a row to shuffle, a candidate two machine words to compare; partitions keep 8 bits at least.
-    keys = bucket_rows(classes, plan(*bit_counts(classes), max_bits, probe_cost=300.0, most_parts=8)).drop("probe")
-    shared = stored(keys.groupBy("part", "value").agg(F.sum(F.col("indexed").cast("long")).alias("i"), F.count(F.lit(1)).alias("p")).filter("i > 0 AND p > 1").drop("i"), "similar-buckets")
-    blocks = F.ceil(F.col("p") / BLOCK)
-    met = keys.join(shared, ["part", "value"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp", "wide0"), blocks))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    met = met.select("part", "value", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"), "fp", "wide0", "wide1", "node", "indexed")
-    places = ["part", "value", "u", "v"]
+def forest(wide: np.ndarray, max_bits: int) -> np.ndarray:
+    """Rows x 2: the minimum spanning forest of the rows (of 64-bit words) with links of max_bits or fewer (Prim's algorithm).
 
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-        last = None
+    It joins the same groups as all pairs do, whatever smaller number of bits one asks for.
+    """
+    left, out = np.arange(1, len(wide)), []
+    best, parent, x = np.full(len(left), 1 << 30), np.zeros(len(left), np.int64), 0
+    for m in range(len(left), 0, -1):
+        bits = np.bitwise_count(wide[left[:m]] ^ wide[x]).sum(axis=1)
+        closer = bits < best[:m]
+        best[:m][closer], parent[:m][closer] = bits[closer], x
+        at = int(np.argmin(best[:m]))
+        x = int(left[at])
+        if best[at] <= max_bits:
+            out.append((parent[at], x))
+        for some in (left, best, parent):
+            some[at] = some[m - 1]
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+#: Rows of a bucket that are compared in all pairs, and near pairs a row that it may have; beyond, its minimum spanning forest is taken.
+RUN, PAIRS = 2048, 8
+#: A value gets so many pivots if it has more classes in its partition than CROWD and than OVER times the even share.
+CROWD, OVER, PIVOTS = 4096, 8, 4
+
+
+class Spots:
+    """Which values a class has in each partition, with those within half the threshold, as hashes; who is absorbed by a pivot."""
+
+    def __init__(self, parts: list[tuple[list[int], int]], radius: int):
+        self.parts = []
+        for i, (group, t) in enumerate(parts):
+            side = lambda half, some: np.uint64(sum(1 << (BITS - 1 - b % BITS) for b in some if b // BITS == half))
+            near = [c for d in range(t // 2 + 1) for c in combinations(group, d)]
+            self.parts.append((np.uint64((i + 1) * 0x9E3779B97F4A7C15 % (1 << BITS)), side(0, group), side(1, group), np.array([side(0, c) for c in near]), np.array([side(1, c) for c in near])))
+        self.radius, self.crowds = radius, {}
+        self.even = np.array([0.5 ** len(group) for group, _ in parts])
+
+    @staticmethod
+    def mixed(salt: np.uint64, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        h = (x ^ salt) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(31)) ^ y) * np.uint64(0x94D049BB133111EB)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (h ^ (h >> np.uint64(32))).astype(np.int64)
+
+    def own(self, wide: np.ndarray) -> np.ndarray:
+        """Classes x partitions: the hash of the class's own value."""
+        return np.stack([self.mixed(i, wide[:, 0] & m0, wide[:, 1] & m1) for i, m0, m1, _, _ in self.parts], axis=1)
+
+    def absorbed(self, wide: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Classes x partitions: whether a pivot is near; and (nodes, pivots) of each such meeting."""
+        out, found = np.zeros((len(wide), len(self.parts)), bool), []
+        if self.crowds:
+            own = self.own(wide)
+            for at in zip(*np.nonzero(np.isin(own, np.fromiter(self.crowds, np.int64, len(self.crowds))))):
+                for w0, w1, pivot in self.crowds[int(own[at])]:
+                    if pivot != node[at[0]] and int(np.bitwise_count(wide[at[0]] ^ np.array([w0, w1], np.uint64)).sum()) <= self.radius:
+                        out[at] = True
+                        found.append((node[at[0]], pivot))
+                        break
+                if any(pivot == node[at[0]] for _, _, pivot in self.crowds[int(own[at])]):
+                    out[at] = False  # pivots themselves stay
+        return out, found
+
+    def rows(self, wide: np.ndarray, node: np.ndarray):
+        """(spots, places) of all partitions."""
+        out, _ = self.absorbed(wide, node)
+        for k, (i, m0, m1, f0, f1) in enumerate(self.parts):
+            here = np.flatnonzero(~out[:, k])
+            spots = self.mixed(i, (wide[here, 0] & m0)[:, None] ^ f0, (wide[here, 1] & m1)[:, None] ^ f1)
+            yield spots.ravel(), np.repeat(here, len(f0))
+
+
+def wide_of(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([batch.column(c).to_numpy().astype(np.uint64) for c in ("wide0", "wide1")], axis=1)
+
+
+def pairs_in_runs(spot: np.ndarray, wide: np.ndarray, node: np.ndarray, max_bits: int) -> list[np.ndarray]:
+    """[a, b, bits] of different nodes of a run of equal spots that are within max_bits; of a crowded run those that span its groups."""
+    begins = np.flatnonzero(np.concatenate(([True], spot[1:] != spot[:-1], [True])))
+    size = np.diff(begins)
+    crowded, run = size > RUN, np.repeat(np.arange(len(size)), size)
+    end = np.where(crowded, begins[:-1], begins[1:])[run]
+    found = [np.zeros((0, 2), np.int64)]
+    left, d = np.arange(len(spot)), 1
+    while len(left := left[left + d < end[left]]):
+        near = np.bitwise_count(wide[left] ^ wide[left + d]).sum(axis=1) <= max_bits
+        found.append(np.stack([left[near], left[near] + d], axis=1))
+        d += 1
+    pairs = np.concatenate(found)
+    crowded |= np.bincount(run[pairs[:, 0]], minlength=len(size)) > PAIRS * size
+    pairs = np.concatenate([pairs[~crowded[run[pairs[:, 0]]]], *(begins[at] + forest(wide[begins[at] : begins[at + 1]], max_bits) for at in np.flatnonzero(crowded))])
+    x, y = pairs.T
+    bits = np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1).astype(np.int64)
+    rows = np.stack([np.maximum(node[x], node[y]), np.minimum(node[x], node[y]), bits], axis=1)
+    rows = np.unique(rows[rows[:, 0] != rows[:, 1]], axis=0)
+    return [rows[:, k] for k in range(3)]
+
+
+def candidates(classes: DataFrame, share: float, recall: float, max_bits: int) -> DataFrame:
+    """a, b, bits: pairs of classes (wide0, wide1, node) that meet in a partition and differ in max_bits or fewer."""
+    spark = classes.sparkSession
+    n, both = bit_counts(classes, ("wide0", "wide1"))
+    schema = "a long, b long, bits long"
+    if n < 2:
+        return spark.createDataFrame([], schema)
+    spots = Spots(covering(n, both, share, recall), max_bits // 2)
+
+    def values(batches):
+        for batch in batches:
+            own = spots.own(wide_of(batch))
+            yield pa.RecordBatch.from_arrays([pa.array(own.ravel()), pa.array(np.tile(spots.even, len(own)))], ["value", "even"])
+
+    often = F.col("n") > F.greatest(F.lit(CROWD), OVER * n * F.col("even"))
+    crowds = stored(classes.mapInArrow(values, "value long, even double").groupBy("value", "even").agg(F.count(F.lit(1)).alias("n")).filter(often).select("value"), "crowds")
+    if not crowds.isEmpty():  # at most partitions * classes / CROWD values
+
+        def members(batches):
+            wanted = known.value
+            for batch in batches:
+                own = spots.own(wide_of(batch))
+                at, k = np.nonzero(np.isin(own, wanted))
+                yield pa.RecordBatch.from_arrays([pa.array(own[at, k]), *(batch.column(c).take(pa.array(at)) for c in ("wide0", "wide1", "node"))], ["value", "wide0", "wide1", "node"])
+
+        known = spark.sparkContext.broadcast(np.array([r["value"] for r in crowds.collect()], np.int64))
+        draw = [F.min(F.struct(F.xxhash64(F.lit(i), "node"), "wide0", "wide1", "node")).alias(f"p{i}") for i in range(PIVOTS)]
+        for r in classes.mapInArrow(members, "value long, wide0 long, wide1 long, node long").groupBy("value").agg(*draw).collect():
+            spots.crowds[r["value"]] = list({x["node"]: (x["wide0"] & (1 << BITS) - 1, x["wide1"] & (1 << BITS) - 1, x["node"]) for x in r[1:]}.values())
+
+    shared = spark.sparkContext.broadcast(spots)
+
+    def emitted(batches):
+        own = shared.value
+        for batch in batches:
+            for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
+                for spot, at in own.rows(wide_of(part), part.column("node").to_numpy()):
+                    yield pa.RecordBatch.from_arrays([pa.array(spot), *(part.column(c).take(pa.array(at)) for c in ("wide0", "wide1", "node"))], ["spot", "wide0", "wide1", "node"])
+
+    def to_pivots(batches):
+        own = shared.value
+        for batch in batches:
+            wide, node = wide_of(batch), batch.column("node").to_numpy()
+            _, found = own.absorbed(wide, node)
+            rows = np.array([(max(x), min(x), 0) for x in found], np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(3)], ["a", "b", "bits"])
 
-        def solve(table: pa.Table):
-            fp, w0, w1, node = (table.column(c).to_numpy() for c in ("fp", "wide0", "wide1", "node"))
-            indexed = table.column("indexed").to_numpy()
-            found = reach(fp, np.stack([w0, w1], axis=1), indexed, max_bits, check_bits)
-            return [(max(node[x], node[y]), min(node[x], node[y])) for x, y in found if node[x] != node[y]]
+    def met(batches):
+        """Batches are sorted by spot; the last run of one may go on in the next."""
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def batch_of(found):
-            return pa.RecordBatch.from_arrays([pa.array([int(x[i]) for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+        def solve(parts):
+            found = pairs_in_runs(*(np.concatenate(x) for x in zip(*parts)), max_bits)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b", "bits"])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            spot = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in places], axis=1)
-            edges = np.flatnonzero((spot[1:] != spot[:-1]).any(axis=1)) + 1
-            found = []
-            for a, b in zip([0, *edges], [*edges, batch.num_rows]):
-                if held and tuple(spot[a]) != last:
-                    found += solve(pa.Table.from_batches(held))
+            if batch.num_rows:
+                spot, node, wide = batch.column("spot").to_numpy(), batch.column("node").to_numpy(), wide_of(batch)
+                cut = int(np.searchsorted(spot, spot[-1]))
+                if cut or (held and held[-1][0][-1] != spot[0]):
+                    yield solve([*held, (spot[:cut], wide[:cut], node[:cut])])
                     held = []
-                held.append(batch.slice(a, b - a))
-                last = tuple(spot[a])
-            yield batch_of(found)
+                held.append((spot[cut:], wide[cut:], node[cut:]))
         if held:
-            yield batch_of(solve(pa.Table.from_batches(held)))
+            yield solve(held)
 
-    return met.repartition(*places).sortWithinPartitions(*places).mapInArrow(run, "a long, b long").distinct()
+    keys = classes.mapInArrow(emitted, "spot long, wide0 long, wide1 long, node long")
+    found = keys.repartition("spot").sortWithinPartitions("spot").mapInArrow(met, schema)
+    if spots.crowds:
+        found = found.unionByName(classes.mapInArrow(to_pivots, schema))
+    return found.groupBy("a", "b").agg(F.min("bits").alias("bits"))
 
 
 def spans(text: str | None, size: int) -> list[bytes]:
@@ -294,97 +449,83 @@ def spans(text: str | None, size: int) -> list[bytes]:
     return [line[s:e] for s, e in zip(starts, ends[size - 1 :])] or [line]
 
 
-def wide_sketch(text: str | None, size: int = 5) -> tuple[tuple[int, int], np.ndarray]:
-    """128-bit SimHash over XXH3-128 of the text's shingles, as two signed integers, and the sorted set of their lower halves."""
+def wide_sketch(text: str | None, size: int = 5) -> tuple[int, int, bytes]:
+    """128-bit SimHash over the set of the text's shingles (XXH3-128), as two signed integers, and a digest that names the set."""
     digest = xxhash.xxh3_128_digest
     hashes = np.frombuffer(b"".join(map(digest, spans(text, size))), np.uint8).reshape(-1, 16)
+    names, first = np.unique(np.ascontiguousarray(hashes[:, 8:]).view(np.int64).ravel(), return_index=True)
+    hashes = hashes[first]
     ones = np.zeros(128, np.int64)
     for at in range(0, len(hashes), 4096):
         ones += np.unpackbits(hashes[at : at + 4096], axis=1).sum(axis=0, dtype=np.int32)
     packed = np.packbits(2 * ones > len(hashes)).tobytes()
-    wide = int.from_bytes(packed[:8], "big", signed=True), int.from_bytes(packed[8:], "big", signed=True)
-    return wide, np.unique(np.ascontiguousarray(hashes[:, 8:]).view(">i8").ravel().astype(np.int64))
+    return int.from_bytes(packed[:8], "big", signed=True), int.from_bytes(packed[8:], "big", signed=True), digest(names.tobytes())
 
 
-def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) of rows, those whose sets (row_key, shingles) have a Jaccard similarity of 0.8 or more."""
-    side = lambda x: sets.select(F.col("row_key").alias(x), F.col("shingles").alias(f"{x}_set"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
-    shared = F.size(F.array_intersect("a_set", "b_set"))
-    return both.filter(9 * shared >= 4 * (F.size("a_set") + F.size("b_set"))).select("a", "b")
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The set of the text's shingles as 32-bit hashes (among a million shingles about a hundred coincide)."""
+    digest = xxhash.xxh3_64_digest
+    return np.unique(np.frombuffer(b"".join(map(digest, spans(text, size))), np.int32)[::2])
 
 
-def shared_keys(keys: DataFrame) -> DataFrame:
-    """The rows of keys (s, row_key, ...) whose s is in two rows at least, with their number n."""
-    often = keys.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return keys.join(often, "s")
+def alike(pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
+    """Of the pairs (a, b) of rows, those whose sets (row_key, shingles) have this Jaccard similarity at least."""
+    side = lambda x: sets.select(F.col("row_key").alias(x), F.col("shingles").alias(f"{x}_set"))
+    both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
+    shared = F.size(F.array_intersect("a_set", "b_set"))
+    return both.filter(shared >= F.lit(jaccard) * (F.size("a_set") + F.size("b_set") - shared) - 1e-9).select("a", "b")
 
 
-def met_by_prefix(fps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stored sets (row_key, shingles) that may be alike to another, and stored (s, row_key, n_set): rows alike share an s.
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, jaccard: float = 0.8, recall: float = 0.98, max_bits: int = 29, row_col: str | None = None) -> DataFrame:
+    """row_key, doc_id, component, component_id of the components of pairs at this Jaccard similarity or more on sets of shingles.
 
-    Rows at Jaccard 0.8 or more share four fifths of either's shingles, so in any order of all shingles they meet in the first
-    fifth (and one) of both. The order of the hashes leaves out most rows; of the others, the rarest shingles come first.
-    """
-    first = lambda n: F.floor(n / 5).cast("int") + 1
-    own = fps.select("row_key", F.explode(F.slice("shingles", F.lit(1), first(F.size("shingles")))).alias("s"))
-    some = stored(shared_keys(own).select("row_key").distinct(), "similar-rows")
-    sets = stored(fps.select("row_key", "shingles").join(some, "row_key", "left_semi"), "shingle-sets")
-    every = shared_keys(sets.select("row_key", F.size("shingles").alias("n_set"), F.explode("shingles").alias("s")))
-    ranked = every.groupBy("row_key", "n_set").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("found"))
-    # Shingles of this row alone come before all others.
-    left = first(F.col("n_set")) - (F.col("n_set") - F.size("found"))
-    rows = ranked.filter(left > 0).select(F.explode(F.slice("found", F.lit(1), left)).alias("x"), "row_key", "n_set")
-    return sets, stored(rows.select(F.col("x.s").alias("s"), "row_key", "n_set"), "similar-prefixes")
-
-
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, max_bits: int = 10, check_size: int = 5, check_bits: int = 26, row_col: str | None = None) -> DataFrame:
-    """row_key, doc_id, component, component_id of the components of all pairs at Jaccard 0.8 and more on five-word shingles.
-
-    Sketches link dense groups first, so that these never meet in pairs; then all rows of different groups meet by their prefixes.
-    Every link of either kind is confirmed on the sets of shingles. row_col: a column that numbers the rows, of a stored table.
+    recall: the estimated share of pairs just at the limit that are met. row_col: a column that numbers the rows, the same in every scan.
     """
+    if row_col is None:
+        docs, row_col = numbered(docs), ROW
+    rows = docs.select(F.col(row_col).alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    def run(batches):
+    def sketch(batches):
+        for part in slices(batches):
+            w0, w1, name = zip(*[wide_sketch(t, size) for t in part.column("text").to_pylist()])
+            columns = [pa.array(w0, pa.int64()), pa.array(w1, pa.int64()), pa.array(name, pa.binary())]
+            yield pa.RecordBatch.from_arrays([part.column("row_key"), part.column("doc_id"), *columns], ["row_key", "doc_id", "wide0", "wide1", "name"])
+
+    def sets_of(batches):
         for part in slices(batches):
-            texts = part.column("text").to_pylist()
-            wide, sets = zip(*[wide_sketch(t, check_size) for t in texts])
-            name = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+            sets = [shingle_set(t, size) for t in part.column("text").to_pylist()]
             ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
-            columns = [pa.array([fingerprint(t, size) for t in texts], pa.int64()), *(pa.array([w[i] for w in wide], pa.int64()) for i in (0, 1)), pa.array(name, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))]
-            yield pa.RecordBatch.from_arrays([part.column("row_key"), part.column("doc_id"), *columns], ["row_key", "doc_id", "fp", "wide0", "wide1", "name", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column("row_key"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["row_key", "shingles"])
 
-    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
-    rows = docs.select(row.alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    fps = stored(rows.mapInArrow(run, "row_key long, doc_id long, fp long, wide0 long, wide1 long, name binary, shingles array<long>"), "fingerprints")
+    sketches = stored(rows.mapInArrow(sketch, "row_key long, doc_id long, wide0 long, wide1 long, name binary"), "sketches")
     # Rows with equal sets are a class, named by its smallest row.
-    classes = stored(fps.groupBy("name").agg(F.min(F.struct("row_key", "fp", "wide0", "wide1")).alias("x"), F.count(F.lit(1)).alias("n")).select("name", "n", F.col("x.row_key").alias("node"), "x.fp", "x.wide0", "x.wide1"), "classes")
-    copies = stored(fps.select("row_key", "name").join(classes.filter("n > 1").select("name", "node"), "name").filter("row_key != node").select(F.col("row_key").alias("a"), F.col("node").alias("b")), "copies")
-    sets, prefixes = met_by_prefix(fps.join(copies, F.col("row_key") == F.col("a"), "left_anti"))
-    by_sketch = alike(similar_links(classes.select("fp", "wide0", "wide1", "node"), max_bits, check_bits), sets)
-    linked = stored(copies.unionByName(by_sketch), "sketch-links")
-    roots = stored(components(linked), "sketch-roots")
-    met = prefixes.join(roots.withColumnRenamed("node", "row_key"), "row_key", "left").withColumn("root", F.coalesce("root", "row_key"))
-    met = stored(met, "prefix-roots")
-    mixed = met.groupBy("s").agg(F.min("root").alias("r"), F.max("root").alias("q")).filter("r != q").select("s")
-    met = stored(met.join(mixed, "s"), "prefix-mixed")
-    x, y = (met.select("s", F.struct("row_key", "n_set", "root").alias(c)) for c in "xy")
-    apart = x.join(y, "s").filter("x.row_key > y.row_key AND x.root != y.root AND 5 * x.n_set >= 4 * y.n_set AND 5 * y.n_set >= 4 * x.n_set")
-    pairs = stored(apart.select(F.col("x.row_key").alias("a"), F.col("y.row_key").alias("b")).distinct(), "prefix-pairs")
-    ends = components(linked.unionByName(alike(pairs, sets)))
-    found = fps.select("row_key", "doc_id").join(ends.withColumnRenamed("node", "row_key"), "row_key", "left")
-    found = stored(found.select("row_key", "doc_id", F.coalesce("root", "row_key").alias("component")), "similar-groups")
-    return found.join(found.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("row_key", "doc_id", "component", "component_id")
+    classes = stored(sketches.groupBy("name").agg(F.min(F.struct("row_key", "wide0", "wide1")).alias("x")).select("name", F.col("x.row_key").alias("node"), "x.wide0", "x.wide1"), "classes")
+    pairs = stored(candidates(classes.select("wide0", "wide1", "node"), limit_share(jaccard), recall, max_bits), "candidates")
+    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("row_key")).distinct(), "candidate-rows")
+    sets = stored(rows.select("row_key", "text").join(small(ends), "row_key", "left_semi").mapInArrow(sets_of, "row_key long, shingles array<int>"), "shingle-sets")
+    # Each row's nearest pair first; then those whose ends are still apart.
+    both = pairs.select("a", "b", "bits", F.explode(F.array("a", "b")).alias("x"))
+    nearest = both.groupBy("x").agg(F.min(F.struct("bits", "a", "b")).alias("y")).select("y.a", "y.b").distinct()
+    first = stored(alike(nearest, sets, jaccard), "nearest-links")
+    roots = stored(components(first), "nearest-roots")
+    root = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+    apart = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
+    apart = apart.select("a", "b").join(nearest, ["a", "b"], "left_anti")
+    found = stored(components(first.unionByName(alike(apart, sets, jaccard))), "similar-roots")
+    named = classes.join(found, "node", "left").select("name", F.coalesce("root", "node").alias("component"))
+    grouped = stored(sketches.select("row_key", "doc_id", "name").join(named, "name").select("row_key", "doc_id", "component"), "similar-groups")
+    return grouped.join(grouped.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("row_key", "doc_id", "component", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, max_bits: int = 2) -> DataFrame:
     """One row per document: row_key, doc_id, fp, component_id (smallest doc_id reachable)."""
     fps = stored(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    node = F.coalesce(F.min("doc_id"), F.lit(NO_ID) + F.pmod(F.col("fp"), F.lit(1 << 61)))
-    classes = stored(fps.groupBy("fp").agg(node.alias("node")), "classes")
-    roots = components(links(classes, max_bits))
-    ends = stored(classes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root")), "roots")
-    return fps.join(ends, "fp").select("row_key", "doc_id", "fp", F.when(F.col("root") < NO_ID, F.col("root")).alias("component_id"))
+    classes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    roots = components(links(classes.select("fp", F.col("fp").alias("node")), max_bits))
+    ends = stored(classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+    least = ends.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = stored(ends.join(least, "root").select("fp", "component_id"), "component-ids")
+    return fps.join(named, "fp").select("row_key", "doc_id", "fp", "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
