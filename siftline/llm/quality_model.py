@@ -8,7 +8,8 @@ over Arrow slices on the executors.
 
 Edge cases: null and empty texts have statistics of zero and a score like any other text; null labels teach nothing; a document
 labelled twice teaches with either label; with no labels, or labels of one kind, the score is their smoothed share;
-repeated rows are scored each; an empty table gives no rows; labels, lang, source and doc_id never enter a score.
+repeated rows are scored each; an empty table gives no rows; labels, lang, source and doc_id never enter a score, and
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import Hashes, added, byte_class, documents, marks_by_text, remainder, slices, utf8, words_of
+from siftline.llm.common import Hashes, added, byte_class, documents, marks_by_text, named, remainder, slices, utf8, words_of
 from siftline.llm.quality_rules import duplicate_lines
 
 STATISTICS = 14
@@ -145,8 +146,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return machine
 
 
-def scored(docs: DataFrame, machine: Machine, text_col: str = "text", name: str = "score") -> DataFrame:
-    """docs and the probability of label 1."""
+def scored(docs: DataFrame, machine: Machine, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """The kept columns and `score`, the probability of label 1."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def make():
@@ -154,7 +155,7 @@ def scored(docs: DataFrame, machine: Machine, text_col: str = "text", name: str
         features = Features(own.bits)
         return lambda texts: [own.probability(*features(texts))]
 
-    return added(docs, text_col, f"`{name}` double", make)
+    return named(added(docs, text_col, keep, "score double", make), keep, "score")
 
 
 def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:

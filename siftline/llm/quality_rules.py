@@ -7,7 +7,7 @@ fail a base rule. Hosts are pre-aggregated before they meet, and the verdicts th
 they are at most HOST_ROWS, else by shuffle, where adaptive execution splits hot hosts.
 
 Edge cases: null and empty texts have no words and fail; null sources form one host; repeated rows count each; one host alone gets
-the weakest prior; an empty table gives no rows; extra columns are passed on by `rated` unless they bear the names it adds.
+the weakest prior; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import added, byte_class, documents, marks_by_text, starts_of, stored, utf8, words_of
+from siftline.llm.common import added, byte_class, documents, marks_by_text, named, starts_of, stored, utf8, words_of
 
 SYMBOLS = byte_class(b"#*$%&|<>")
 WHITE = byte_class(b" \t\n\x0b\x0c\r")
@@ -96,11 +96,7 @@ def rule_failed():
     return base_failed() | (10 * F.col("n_symbols") > F.col("word_chars")) | (100 * F.col("n_dup_lines") > 30 * F.col("n_lines"))
 
 
-def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    return added(docs, text_col, MEASURES, lambda: measures)
-
-
-def bad_hosts(rows: DataFrame, host_col: str, host_limit: float, least_strength: float = 2.0, most_strength: float = 1e4) -> DataFrame:
+def bad_hosts(rows: DataFrame, host_limit: float, host_col: str = "host", least_strength: float = 2.0, most_strength: float = 1e4) -> DataFrame:
     """(host, no_host, rate) of the hosts to reject. rows: measured documents."""
     by_host = rows.groupBy(F.col(host_col).alias("host")).agg(F.count(F.lit(1)).alias("n"), F.sum(rule_failed().cast("long")).alias("f"))
     hosts = stored(by_host, "hosts")
@@ -113,7 +109,7 @@ def bad_hosts(rows: DataFrame, host_col: str, host_limit: float, least_strength:
     return hosts.select(F.coalesce(F.col("host").cast("string"), F.lit("")).alias("host"), F.col("host").isNull().alias("no_host"), rate.alias("rate")).filter(F.col("rate") > host_limit)
 
 
-def judged(rows: DataFrame, bad: DataFrame, host_col: str) -> DataFrame:
+def judged(rows: DataFrame, bad: DataFrame, host_col: str = "host") -> DataFrame:
     """rows with base_failed, host_failed and kept."""
     bad = stored(bad.select("host", "no_host"), "bad-hosts").select(F.col("host").alias("__host"), F.col("no_host").alias("__no_host"), F.lit(True).alias("__bad"))
     if bad.limit(HOST_ROWS + 1).count() <= HOST_ROWS:
@@ -123,14 +119,48 @@ def judged(rows: DataFrame, bad: DataFrame, host_col: str) -> DataFrame:
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed")).drop("__host", "__no_host", "__bad")
 
 
-def rated(docs: DataFrame, text_col: str = "text", host_col: str = "source", host_limit: float = 0.6) -> DataFrame:
-    """docs with their measures, base_failed, host_failed and kept; texts are read twice rather than stored."""
-    bad = bad_hosts(measured(docs.select(host_col, text_col), text_col), host_col, host_limit)
-    return judged(measured(docs, text_col), bad, host_col)
+def rated(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", host_col: str = "source", host_limit: float = 0.6) -> DataFrame:
+    """The kept columns, the measures, base_failed, host_failed and kept. Each text is measured once; the measures are stored."""
+    rows = added(docs, text_col, (*keep, host_col), MEASURES, lambda: measures)
+    rows = stored(rows.withColumnRenamed(f"k{len(keep)}", "host"), "measures")  # a few numbers a document
+    names = [x.split()[0] for x in MEASURES.split(", ")]
+    return named(judged(rows, bad_hosts(rows, host_limit)), keep, *names, "base_failed", "host_failed", "kept")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
-    rows = stored(measured(docs).drop("text"), "measures")  # a few numbers a document
-    out = judged(rows, bad_hosts(rows, "source", 0.6), "source")
+    out = rated(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_failed")
+
+
+ORACLE_OP10 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, source, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT k, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d
+), grams AS (
+  SELECT k, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g FROM (SELECT k, words, unnest(range(1, len(words) - 1)) AS i FROM w)
+), covered AS (
+  SELECT DISTINCT k, i + o AS at FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS n FROM grams), (SELECT unnest([0, 1, 2]) AS o) WHERE n > 1
+), repeated AS (SELECT k, count(*) AS n FROM covered GROUP BY k
+), lines AS (
+  SELECT k, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup FROM (SELECT k, unnest(string_split(t, chr(10))) AS l FROM d)
+  WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY k
+), m AS (
+  SELECT doc_id, source, len(words)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(n_lines, 0) AS n_lines,
+    coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(repeated.n, 0)::BIGINT AS n_repeat_words
+  FROM d JOIN w USING (k) LEFT JOIN repeated USING (k) LEFT JOIN lines USING (k)
+), b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
+), r AS (SELECT *, base_failed OR 10 * n_symbols > word_chars OR 100 * n_dup_lines > 30 * n_lines AS failed FROM b
+), hosts AS (SELECT source, count(*)::DOUBLE AS n, sum(failed::INT)::DOUBLE AS f FROM r GROUP BY source
+), totals AS (SELECT sum(n) AS n, sum(f) AS f, sum(f * f / n) AS squares, count(*) AS k, (sum(f) + 0.5) / (sum(n) + 1) AS mean FROM hosts
+), prior AS (
+  SELECT mean, k, greatest((squares - n * mean * mean - k * mean * (1 - mean)) / n, 0) AS spread FROM totals
+), strong AS (
+  SELECT mean, CASE WHEN k <= 1 THEN 2.0 WHEN spread > 0 THEN least(greatest(mean * (1 - mean) / spread - 1, 2.0), 1e4) ELSE 1e4 END AS strength FROM prior
+), bad AS (SELECT source FROM hosts, strong WHERE (f + mean * strength) / (n + strength) > 0.6)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM r.source) AS kept,
+  EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM r.source) AS host_failed
+FROM r
+"""

@@ -22,4 +22,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op5_chat_template": chat_template.ORACLE_OP5,
     "op8_exact_dedup": exact_dedup.ORACLE_OP8,
+    "op10_quality_rules": quality_rules.ORACLE_OP10,
 }
