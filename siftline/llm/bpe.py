@@ -1,12 +1,16 @@
-"""Byte-level BPE by merge replay over a block of text.
+"""Byte-level BPE by corpus-level merge replay.
 
-Each task works through blocks of documents. The distinct pattern matches ("words") of a block that it has not met yet are laid out as
-one corpus of symbols with links to the next and the previous symbol of the same word. An inverted index leads from
-a merge's rank to the positions of its pairs. Merges are replayed over the whole corpus in rank order, from the left within a
-rank; each touches only the pair and its two neighbours, whose new pairs enter the index. A new pair of lower rank goes
-first, so every word ends as the reference algorithm (always the lowest pair, leftmost first) ends it. Words that are in the
+Texts are cut into units that can be encoded apart (see tokens.units). A first pass counts the distinct units of the whole corpus.
+The frequent ones, at most `table_units` of them, form a table whose partitions are each laid out as one corpus of symbols, with links to the
+next and the previous symbol of the same word. An inverted index leads from a merge's rank to the positions of its pairs.
+Merges are replayed over all positions in rank order; each touches only the pair and its two neighbours, whose new pairs enter the
+index. The ids go back to the tasks as a broadcast of bounded size. A second pass encodes the texts: units beyond the table,
+most of which occur once, are replayed where they stand, by the same replay over a block of texts. Words that are in the
 vocabulary get their id at once, as `tiktoken` gives it. A very long word costs no more per symbol than a short one.
 
+A merge that gives rise to a pair of lower rank would have to yield to it (always the lowest pair, leftmost first); a word to
+which that happens is encoded apart in exactly that order.
+
 Edge cases: null and empty texts have no ids; ids decode to exactly the text's UTF-8 bytes; repeated rows, null doc_ids and
 extra columns make no difference; an empty table gives no rows.
 """
@@ -14,6 +18,7 @@ extra columns make no difference; an empty table gives no rows.
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +26,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import MEMO_ENTRIES, documents, slices
+from siftline.llm.common import MEMO_ENTRIES, documents, slices, stored
 from siftline.llm.tokens import load_ranks, units
 
+#: Characters of text whose new units are replayed together.
+BLOCK_CHARS = 16 << 20
+
 
 class MergeReplay:
     """Ranks (bytes -> id, single bytes included) and the merges that follow from them."""
@@ -32,118 +40,240 @@ class MergeReplay:
         self.ranks = ranks
         #: left id << 32 | right id -> id of the two joined: every way to cut a token into two tokens.
         self.merges = {ranks[t[:i]] << 32 | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        self.keys = np.sort(np.fromiter(self.merges, np.int64, len(self.merges)))
+        self.values = np.array([self.merges[k] for k in self.keys.tolist()], np.int64)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)])
-        get = self.merges.get
-        self.byte_pairs = np.array([get(a << 32 | b, -1) for a in self.byte_ids.tolist() for b in self.byte_ids.tolist()])
 
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word."""
-        out: list = [[self.ranks[w]] if w in self.ranks else [] for w in words]
+    def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids, -1 where they don't merge."""
+        if not len(self.keys):
+            return np.full(len(left), -1)
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.values[at], -1)
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word as little-endian unsigned 32-bit bytes."""
+        out = [self.ranks.get(w, -1).to_bytes(4, "little", signed=True) if w in self.ranks else b"" for w in words]
         todo = [i for i, x in enumerate(out) if not x and words[i]]
-        if not todo:
-            return out
-        corpus = np.frombuffer(b"".join(words[i] for i in todo), np.uint8)
-        ends = np.cumsum([len(words[i]) for i in todo])
-        starts = np.concatenate(([0], ends[:-1]))
-        symbol = self.byte_ids[corpus].tolist()
-        link = np.arange(1, len(corpus) + 1)
-        link[ends - 1] = -1
-        following = link.tolist()
-        link = np.arange(-1, len(corpus) - 1)
-        link[starts] = -1
-        before = link.tolist()
-        pair = np.full(len(corpus), -1)
-        pair[:-1] = self.byte_pairs[corpus[:-1].astype(np.int64) << 8 | corpus[1:]]
-        pair[ends - 1] = -1
-        order = np.argsort(pair, kind="stable")[np.count_nonzero(pair < 0) :]
-        ranks, at = np.unique(pair[order], return_index=True)
-        #: The inverted index: a merge's rank -> positions of its pair's left symbol. current: the rank at a position now.
-        index = {r: x.tolist() for r, x in zip(ranks.tolist(), np.split(order, at[1:]))}
-        current = pair.tolist()
-        queue = list(index)
-        heapq.heapify(queue)
-        merge, push, pop = self.merges.get, heapq.heappush, heapq.heappop
+        if todo:
+            ids, counts, odd = self.replay([words[i] for i in todo])
+            data, ends = ids.astype("<u4").tobytes(), 4 * np.cumsum(counts)
+            for i, start, end, again in zip(todo, (ends - 4 * counts).tolist(), ends.tolist(), odd.tolist()):
+                out[i] = np.array(self.one(words[i]), "<u4").tobytes() if again else data[start:end]
+        return out
+
+    def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words, their number by word, and the words to encode apart."""
+        corpus = np.frombuffer(b"".join(words), np.uint8)
+        lengths = np.array([len(w) for w in words])
+        ends = np.cumsum(lengths)
+        starts, places = ends - lengths, np.arange(len(corpus))
+        word, odd = np.repeat(np.arange(len(words)), lengths), np.zeros(len(words), bool)
+        symbol, following, before = self.byte_ids[corpus], places + 1, places - 1
+        following[ends - 1], before[starts] = -1, -1
+        #: The inverted index: a merge's rank -> positions of its pairs' left symbols. current: the rank at a position now.
+        current, index, queue = np.full(len(corpus), -1), {}, []
+
+        def enter(rank: np.ndarray, at: np.ndarray) -> None:
+            at, rank = at[rank >= 0], rank[rank >= 0]
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            cuts = np.flatnonzero(np.diff(rank, prepend=-1))
+            for r, some in zip(rank[cuts].tolist(), np.split(at, cuts[1:])):
+                if r not in index:
+                    index[r] = []
+                    heapq.heappush(queue, r)
+                index[r].append(some)
+
+        inner = np.flatnonzero(following >= 0)
+        current[inner] = self.joined(symbol[inner], symbol[inner + 1])
+        enter(current, places)
         while queue:
-            r = pop(queue)
-            positions = index.pop(r)
-            positions.sort()
-            for done, p in enumerate(positions):
-                if current[p] != r:
-                    continue  # a neighbour's merge took one of the two
-                q = following[p]
-                after, prior = following[q], before[p]
-                symbol[p], following[p], current[q] = r, after, -1
-                lower = False
-                x = -1
-                if after >= 0:
-                    before[after] = p
-                    x = merge(r << 32 | symbol[after], -1)
-                    if x >= 0:
-                        if x in index:
-                            index[x].append(p)
-                        else:
-                            index[x] = [p]
-                            push(queue, x)
-                        lower = x <= r
-                current[p] = x
-                if prior >= 0:
-                    x = current[prior] = merge(symbol[prior] << 32 | r, -1)
-                    if x >= 0:
-                        if x in index:
-                            index[x].append(prior)
-                        else:
-                            index[x] = [prior]
-                            push(queue, x)
-                        lower |= x <= r
-                if lower:  # it goes before the rest of this rank
-                    if r not in index:
-                        index[r] = []
-                        push(queue, r)
-                    index[r].extend(positions[done + 1 :])
-                    break
-        for i, p in zip(todo, starts.tolist()):
-            ids = out[i]
-            while p >= 0:
-                ids.append(symbol[p])
-                p = following[p]
+            r = heapq.heappop(queue)
+            p = np.unique(np.concatenate(index.pop(r)))
+            p = p[current[p] == r]  # else a neighbour's merge took one of the two
+            q = following[p]
+            chained = np.concatenate(([False], q[:-1] == p[1:]))[: len(p)]
+            if chained.any():  # of a run like a a a a every other pair, from its left
+                at = np.arange(len(p))
+                odd_place = (at - np.maximum.accumulate(np.where(chained, 0, at))) % 2 == 1
+                p, q = p[~odd_place], q[~odd_place]
+            after = following[q]
+            symbol[p], following[p], current[q] = r, after, -1
+            inside = after >= 0
+            before[after[inside]] = p[inside]
+            right = np.full(len(p), -1)
+            right[inside] = self.joined(symbol[p[inside]], symbol[after[inside]])
+            current[p] = right
+            prior = before[p]
+            left_of = p[prior >= 0]
+            prior = prior[prior >= 0]
+            left = self.joined(symbol[prior], symbol[left_of])
+            current[prior] = left
+            odd[word[p[(right >= 0) & (right <= r)]]] = True
+            odd[word[prior[(left >= 0) & (left <= r)]]] = True
+            enter(np.concatenate((right, left)), np.concatenate((p, prior)))
+        live = np.zeros(len(corpus), bool)
+        at = starts
+        while len(at):
+            live[at] = True
+            at = following[at]
+            at = at[at >= 0]
+        return symbol[live], np.bincount(word[live], minlength=len(words)), odd
+
+    def one(self, word: bytes) -> list[int]:
+        """Ids of a word, by the lowest pair, leftmost first."""
+        ids = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
+        following, before = [*range(1, len(ids)), -1], list(range(-1, len(ids) - 1))
+        get = self.merges.get
+        current = [get(a << 32 | b, -1) for a, b in zip(ids, ids[1:])] + [-1]
+        heap = [(r, i) for i, r in enumerate(current) if r >= 0]
+        heapq.heapify(heap)
+        while heap:
+            r, p = heapq.heappop(heap)
+            if current[p] != r:
+                continue
+            q = following[p]
+            after, prior = following[q], before[p]
+            ids[p], following[p], current[q] = r, after, -1
+            current[p] = get(r << 32 | ids[after], -1) if after >= 0 else -1
+            if after >= 0:
+                before[after] = p
+            if prior >= 0:
+                current[prior] = get(ids[prior] << 32 | r, -1)
+            for at in (p, prior):
+                if at >= 0 and current[at] >= 0:
+                    heapq.heappush(heap, (current[at], at))
+        out, p = [], 0
+        while p >= 0:
+            out.append(ids[p])
+            p = following[p]
         return out
 
 
+class Numbers(dict):
+    """Numbers units from 0 as they come, and lists them."""
+
+    def __init__(self, units_: list[str] = ()):
+        super().__init__(zip(units_, range(len(units_))))
+        self.listed = list(units_)
+
+    def __missing__(self, unit: str) -> int:
+        n = self[unit] = len(self.listed)
+        self.listed.append(unit)
+        return n
+
+
 class BlockEncoder:
-    """Encodes blocks of texts; memos of units and words are emptied when large."""
+    """Encodes blocks of texts with a table of units whose ids are known; what blocks add to it is dropped once it is large."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, known: dict[str, bytes] | None = None):
         self.replay = MergeReplay(ranks)
         self.findall = regex.compile(pattern).findall
-        self.units: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.known = known or {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers, self.ids = Numbers(list(self.known)), list(self.known.values())
+
+    def cut(self, text: str | None) -> np.ndarray:
+        """Numbers of the text's units."""
+        return np.array(list(map(self.numbers.__getitem__, units(text or ""))), np.int32)
+
+    def solve(self) -> None:
+        """Find the ids of units that have none yet, all in one replay."""
+        fresh = self.numbers.listed[len(self.ids) :]
+        words = list(map(self.findall, fresh))
+        todo = list({w for ws in words for w in ws})
+        found = dict(zip(todo, self.replay.encode([w.encode("utf-8") for w in todo])))
+        self.ids += [b"".join(map(found.__getitem__, ws)) for ws in words]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes."""
-        for memo in (self.units, self.words):
-            if len(memo) > MEMO_ENTRIES:
-                memo.clear()
-        known = self.units
-        cut = [units(t or "") for t in texts]
-        new = {u: self.findall(u) for us in cut for u in us if u not in known}
-        words = list({w for ws in new.values() for w in ws if w not in self.words})
-        self.words.update((w, np.array(ids, "<u4").tobytes()) for w, ids in zip(words, self.replay.encode([w.encode("utf-8") for w in words])))
-        known.update((u, b"".join(map(self.words.__getitem__, ws))) for u, ws in new.items())
-        return [b"".join(map(known.__getitem__, us)) for us in cut]
-
-
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns and `ids` (binary, little-endian unsigned 32-bit) of each row's whole text."""
-    rows = docs.select(*keep, F.col(text_col).alias("__text"))
-    schema = rows.select(*keep).withColumn("ids", F.lit(b"")).schema
+        return self.joined([self.cut(t) for t in texts])
+
+    def joined(self, cuts: list[np.ndarray]) -> list[bytes]:
+        self.solve()
+        out = [b"".join(map(self.ids.__getitem__, x.tolist())) for x in cuts]
+        if len(self.ids) > len(self.known) + MEMO_ENTRIES:
+            self.clear()
+        return out
+
+
+def counted(texts: DataFrame) -> DataFrame:
+    """unit, n: how often each unit occurs in the column text."""
+
+    def run(batches):
+        held: Counter = Counter()
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["unit", "n"])
+
+        for part in slices(batches, "text", 2 << 20):
+            for t in part.column("text").to_pylist():
+                held.update(units(t or ""))
+            if len(held) > MEMO_ENTRIES:
+                yield batch()
+                held.clear()
+        if held:
+            yield batch()
+
+    return texts.mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+
+
+def frequent(texts: DataFrame, ranks_path: str, pattern: str, table_units: int) -> dict[str, bytes]:
+    """Ids of the most frequent units, at most table_units, none that occurs once or has more than 64 characters."""
+    counts = stored(counted(texts).filter("n > 1 AND length(unit) <= 64").withColumn("step", F.floor(4 * F.log2("n"))), "units")
+    steps = sorted(counts.groupBy("step").count().collect(), reverse=True)  # a few hundred rows
+    least, room = float("inf"), table_units
+    for step, n in steps:
+        room -= n
+        if room < 0:
+            break
+        least = step
 
     def run(batches):
         block = BlockEncoder(load_ranks(ranks_path), pattern)
-        for part in slices(batches, "__text", 4 << 20):
-            ids = block.encode(part.column("__text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(ids, pa.binary())], [*keep, "ids"])
+        names = [u for b in batches for u in b.column("unit").to_pylist()]
+        if names:
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(block.encode(names), pa.binary())], ["unit", "ids"])
+
+    if least == float("inf"):
+        return {}
+    chosen = counts.filter(F.col("step") >= least).select("unit").repartition("unit")
+    rows = chosen.mapInArrow(run, "unit string, ids binary").toPandas()  # at most table_units rows
+    return dict(zip(rows["unit"], map(bytes, rows["ids"])))
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), table_units: int = 200_000) -> DataFrame:
+    """The kept columns and `ids` (binary, little-endian unsigned 32-bit) of each row's whole text."""
+    rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text"))
+    known = docs.sparkSession.sparkContext.broadcast(frequent(rows.select("text"), ranks_path, pattern, table_units))
+    schema = rows.drop("text").withColumn("ids", F.lit(b"")).schema
+
+    def run(batches):
+        block = BlockEncoder(load_ranks(ranks_path), pattern, known.value)
+        held, size = [], 0
+
+        def solved():
+            flat = block.joined([x for _, cuts in held for x in cuts])
+            at = 0
+            for columns, cuts in held:
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(flat[at : at + len(cuts)], pa.binary())], schema.names)
+                at += len(cuts)
+
+        for part in slices(batches, "text", 2 << 20):
+            texts = part.column("text").to_pylist()
+            held.append((part.columns[:-1], [block.cut(t) for t in texts]))
+            size += sum(len(t or "") for t in texts)
+            if size > BLOCK_CHARS:
+                yield from solved()
+                held, size = [], 0
+        yield from solved()
 
-    return rows.mapInArrow(run, schema)
+    found = rows.mapInArrow(run, schema)
+    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "ids")
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -151,9 +281,19 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     schema = encoded.withColumn("decoded", F.lit(b"")).schema
 
     def run(batches):
-        by_id = {i: b for b, i in load_ranks(ranks_path).items()}.__getitem__
-        for part in slices(batches, "ids"):
-            texts = [b"".join(map(by_id, np.frombuffer(x, "<u4").tolist())) for x in part.column("ids").to_pylist()]
+        by_id = dict(sorted((i, b) for b, i in load_ranks(ranks_path).items()))
+        blob = np.frombuffer(b"".join(by_id.values()), np.uint8)
+        length = np.zeros(max(by_id) + 1, np.int64)
+        length[list(by_id)] = [len(b) for b in by_id.values()]
+        first = np.cumsum(length) - length
+        for part in slices(batches, "ids", 2 << 20):
+            held = part.column("ids").to_pylist()
+            ids = np.frombuffer(b"".join(held), "<u4")
+            sizes = length[ids]
+            ends = np.cumsum(sizes)
+            data = blob[np.repeat(first[ids] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+            stops = np.concatenate(([0], ends))[np.cumsum([len(x) // 4 for x in held])].tolist()
+            texts = [data[a:b] for a, b in zip([0, *stops[:-1]], stops)]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], [*part.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, schema)
