@@ -67,18 +67,48 @@ def whole_word(pattern: str) -> str:
     return f"{edge(pattern, True)}(?:{pattern}){edge(pattern, False)}"
 
 
+#: Elements of an array that one inner fold appends to its result; folds of folds keep long arrays linear.
+FOLD = 128
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def chunks(values: Column) -> Column:
+    """The array cut into arrays of FOLD elements."""
+    n = F.ceil(F.size(values) / FOLD).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.slice(values, i * FOLD + 1, FOLD))).otherwise(F.slice(F.array(values), 1, 0))
+
+
+def sums_before(values: Column) -> Column:
+    """For each element of an array of integers the sum of those before it."""
+    start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<bigint>").alias("before"))
+
+    def fold(some: Column) -> Column:
+        return F.aggregate(some, start, lambda acc, x: F.struct((acc["total"] + x).alias("total"), F.concat(acc["before"], F.array(acc["total"])).alias("before")))
+
+    def joined(parts: Column) -> Column:
+        bases = fold(F.transform(parts, lambda p: p["total"]))["before"]
+        return F.flatten(F.zip_with(parts, bases, lambda p, base: F.transform(p["before"], lambda x: x + base)))
+
+    return let(F.transform(chunks(values), fold), joined)
+
+
 def match_columns(raw: Column, pattern: str | Column) -> Column:
     """1-based columns of the non-overlapping, non-empty matches in a line: sums of what stands between and of matches."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    found = F.regexp_extract_all(raw, pattern, F.lit(0))
-    pairs = F.arrays_zip(F.slice(F.split(raw, pattern, F.lit(-1)), F.lit(1), F.size(found)).alias("p"), found.alias("m"))
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("columns"))
+    matches = F.transform(F.regexp_extract_all(raw, pattern, F.lit(0)), F.length)
+    pieces = F.transform(F.split(raw, pattern, F.lit(-1)), F.length)
 
-    def step(acc, x):
-        begin = acc["at"] + F.length(x["p"])
-        return F.struct((begin + F.length(x["m"])).alias("at"), F.concat(acc["columns"], F.array(begin)).alias("columns"))
+    def starts(x: Column) -> Column:
+        between = F.slice(x["pieces"], F.lit(1), F.size(x["matches"]))
+        before = sums_before(F.zip_with(between, x["matches"], lambda p, m: (p + m).cast("long")))
+        return F.zip_with(before, between, lambda b, p: (b + p + 1).cast("int"))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["columns"])
+    one = lambda x: F.array(F.get(x["pieces"], 0) + 1)
+    return let(F.struct(matches.alias("matches"), pieces.alias("pieces")), lambda x: F.when(F.size(x["matches"]) == 1, one(x)).otherwise(starts(x)))
 
 
 def occurrences(text: Column, literal: str) -> Column:

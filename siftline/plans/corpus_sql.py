@@ -94,7 +94,7 @@ SELECT 'definition' AS part, 'parts/part_1.py' AS path, 1 AS line, 1 AS col, 'de
     "lexical_counts": f"WITH {DOCS}, {lines_of('docs')}, {counts(KEYWORDS)} SELECT * FROM counts",
     "lexical_idf": f"WITH {DOCS}, {lines_of('docs')}, {counts(KEYWORDS)} " + " UNION ALL ".join(f"SELECT '{w}' AS keyword, round(w{i}, 9) AS weight FROM idf" for i, w in enumerate(KEYWORDS)),
     "lexical_rank": f"WITH {DOCS}, {lines_of('docs')}, {counts(KEYWORDS)} SELECT path, round({_LEX}, 6) AS lex FROM counts, idf",
-    "heat_merge": """WITH r AS (SELECT l_orderkey AS path, l_linenumber AS start, l_linenumber + (l_quantity::INT % 3) AS stop, l_discount * 10 AS p FROM lineitem), k AS (SELECT * FROM r WHERE p >= 0.2),
+    "heat_merge": """WITH r AS (SELECT l_orderkey AS path, l_linenumber AS start, l_linenumber + (l_quantity::INT % 3) AS stop, l_discount * 10 AS p FROM lineitem), k AS (SELECT path, start, stop, max(p) AS p FROM r WHERE p >= 0.2 GROUP BY ALL),
 f AS (SELECT *, CASE WHEN start <= max(stop) OVER (PARTITION BY path ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS fresh FROM k),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM f) SELECT path, min(start)::INT AS start, max(stop)::INT AS stop, round(max(p), 6) AS p FROM g GROUP BY path, island""",
     "opens_summed": "SELECT source || '/' || lang || '/doc_' || doc_id || '.txt' AS path, count(*) AS opened, max(ts) AS last FROM events JOIN documents ON user_id = doc_id GROUP BY 1",
