@@ -7,7 +7,7 @@ cross-entropy per character. Its score is the chance that this is right, fitted
 kept out of the models; below the smallest score at which those rows reach `precision`, `accepted` is false.
 
 Edge cases: null texts and texts without letters are `und` with score 0 and not accepted; rows with a null language or text
-teach nothing; without any labelled row every text is `und`; ties take the first language in alphabetical order;
+teach nothing; a language with few rows is learnt from all of them; without any labelled row every text is `und`; ties take the first language in alphabetical order;
 repeated rows and other columns make no difference; an empty table gives no rows.
 """
 
@@ -180,11 +180,15 @@ def fit(labelled: DataFrame, order: int = 4, fit_chars: int = 4_000_000, check_r
     """labelled: doc_id, lang, text. Models see about fit_chars characters a language, the calibration about check_rows rows."""
     labelled = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND lang != 'und'")
     is_check = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(5)) == 0
-    sizes = labelled.groupBy("lang").agg(F.sum(F.when(~is_check, F.length("text"))).alias("chars"), F.sum(is_check.cast("long")).alias("rows")).collect()  # a row a language
-    sizes = [r for r in sizes if r["chars"]]
-    if not sizes:
+    sizes = labelled.groupBy("lang").agg(F.sum(F.when(~is_check, F.length("text"))).alias("chars"), F.sum(F.length("text")).alias("all"), F.sum(is_check.cast("long")).alias("rows")).collect()  # a row a language
+    # A language all of whose rows are to be kept out is learnt from them nevertheless.
+    few = [r["lang"] for r in sizes if not r["chars"] and r["all"]]
+    share = {r["lang"]: fit_chars / (r["chars"] or r["all"]) for r in sizes if r["all"]}
+    if not share:
+        return Identifier({}, order)
+    counts = gram_counts(sampled(labelled.filter(~is_check | F.col("lang").isin(few)), "fit", share), order).filter("n > 0").toPandas()
+    if counts.empty:
         return Identifier({}, order)
-    counts = gram_counts(sampled(labelled.filter(~is_check), "fit", {r["lang"]: fit_chars / r["chars"] for r in sizes}), order).toPandas()
     alphabet = len({g[-1] for g in counts["gram"]})
     models = {lang: KneserNey(np.array(some["gram"].tolist()), some["n"].to_numpy(), alphabet) for lang, some in counts.groupby("lang")}
     fitted = Identifier(models, order)

@@ -1,10 +1,10 @@
 """License scans by ordered signature rules; DataFrame and SQL functions only.
 
 Texts are lower-cased (A-Z) and reduced to their words, single spaces between and around. Three base phrases are counted
-wherever their words stand consecutively. Beyond them hundreds of signature rules, each a hand-written shape of a regular expression
-over words for one of the licenses below, are tried. A rule is gated twice by keywords: a text without any of the strings that
-the rules' matches contain is never looked at, and a rule's expression runs only on texts that contain its own keyword. A rule's matches are found
-by splitting the text at them, so their word intervals follow from lengths and counts of spaces.
+wherever their words stand consecutively. Beyond them the ordered rules of license_rules, regular expressions over words written
+by hand, are tried. They are gated twice by keywords: a text without any of the rules' keywords is not looked at, and a rule's
+expression runs only on texts that contain its own. A rule's matches are found by splitting the text at them, so their word
+intervals follow from lengths and counts of spaces.
 
 Overlapping detections are resolved by priority and containment: sorted by start, then longest, then rule order, a detection is
 suppressed if an interval of the same or a higher priority that contains it came earlier, or one of a higher
@@ -16,12 +16,14 @@ from U+0080 on; repeated rows and null doc_ids are scanned like any other; an em
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.functions.text import chunks, let, sums_before
 from siftline.llm.common import documents
+from siftline.llm.license_rules import RULES
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words: ASCII other than digits and letters.
@@ -29,103 +31,13 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: label: (keywords of which a text has one, expression of the license's name, its SPDX identifiers), in words.
-NAMES: dict[str, tuple[tuple[str, ...], str, tuple[str, ...]]] = {
-    "mit": (("mit", "expat"), r"(?:the )?(?:mit|expat)", ("mit", "mit 0", "mit cmu")),
-    "apache": (("apache",), r"(?:the )?apache(?: software)?", ("apache 1 0", "apache 1 1", "apache 2 0")),
-    "gpl": (("gpl", "general public"), r"(?:the )?(?:gnu )?(?:gpl|general public)(?: v?[123])?", ("gpl 1 0", "gpl 2 0", "gpl 3 0")),
-    "lgpl": (("lgpl", "lesser general", "library general"), r"(?:the )?(?:gnu )?(?:lgpl|(?:lesser|library) general public)(?: v?[23](?: 1)?)?", ("lgpl 2 0", "lgpl 2 1", "lgpl 3 0")),
-    "agpl": (("agpl", "affero"), r"(?:the )?(?:gnu )?(?:agpl|affero general public)(?: v?3)?", ("agpl 1 0", "agpl 3 0")),
-    "bsd": (("bsd",), r"(?:the )?(?:new |modified |simplified |original |[0234] clause )?bsd(?: [0234] clause)?", ("0bsd", "bsd 1 clause", "bsd 2 clause", "bsd 3 clause", "bsd 4 clause")),
-    "mpl": (("mpl", "mozilla"), r"(?:the )?(?:mpl|mozilla public)(?: v?[12](?: [01])?)?", ("mpl 1 0", "mpl 1 1", "mpl 2 0")),
-    "epl": (("epl", "eclipse"), r"(?:the )?(?:epl|eclipse public)(?: v?[12](?: 0)?)?", ("epl 1 0", "epl 2 0")),
-    "cddl": (("cddl", "common development"), r"(?:the )?(?:cddl|common development and distribution)", ("cddl 1 0", "cddl 1 1")),
-    "isc": ((" isc ",), r"(?:the )?isc", ("isc",)),
-    "zlib": (("zlib",), r"(?:the )?zlib(?: libpng)?", ("zlib", "libpng 2 0")),
-    "boost": (("boost", "bsl"), r"(?:the )?(?:boost(?: software)?|bsl)", ("bsl 1 0",)),
-    "artistic": (("artistic",), r"(?:the )?(?:perl )?artistic(?: 2(?: 0)?)?", ("artistic 1 0", "artistic 2 0")),
-    "cc0": (("cc0", "creative commons zero"), r"(?:the )?(?:cc0|creative commons zero)", ("cc0 1 0",)),
-    "cc-by": (("cc by", "creative commons"), r"(?:a |the )?(?:cc by|creative commons attribution)", ("cc by 3 0", "cc by 4 0")),
-    "cc-by-sa": (("cc by sa", "creative commons"), r"(?:a |the )?(?:cc by sa|creative commons attribution share ?alike)", ("cc by sa 3 0", "cc by sa 4 0")),
-    "cc-by-nc": (("cc by nc", "creative commons"), r"(?:a |the )?(?:cc by nc|creative commons attribution non ?commercial)", ("cc by nc 3 0", "cc by nc 4 0")),
-    "cc-by-nd": (("cc by nd", "creative commons"), r"(?:a |the )?(?:cc by nd|creative commons attribution no ?deriv(?:atives|s)?)", ("cc by nd 3 0", "cc by nd 4 0")),
-    "unlicense": (("unlicense",), r"(?:the )?unlicense", ("unlicense",)),
-    "wtfpl": (("wtfpl", "you want to public"), r"(?:the )?(?:wtfpl|do what the f[a-z]* you want to public)", ("wtfpl",)),
-    "python": (("psf", "python software"), r"(?:the )?(?:psf|python software foundation)", ("psf 2 0", "python 2 0")),
-    "postgresql": (("postgresql",), r"(?:the )?postgresql", ("postgresql",)),
-    "openssl": (("openssl",), r"(?:the )?openssl", ("openssl",)),
-    "ofl": (("ofl", "open font"), r"(?:the )?(?:sil )?(?:ofl|open font)", ("ofl 1 0", "ofl 1 1")),
-    "odbl": (("odbl", "database"), r"(?:the )?(?:odbl|open (?:data commons open )?database)", ("odbl 1 0",)),
-    "eupl": (("eupl", "european union public"), r"(?:the )?(?:eupl|european union public)", ("eupl 1 1", "eupl 1 2")),
-    "ms-pl": (("ms pl", "microsoft public"), r"(?:the )?(?:ms pl|microsoft public)", ("ms pl",)),
-    "cpl": (("common public",), r"(?:the )?common public", ("cpl 1 0",)),
-    "upl": (("upl", "universal permissive"), r"(?:the )?(?:upl|universal permissive)", ("upl 1 0",)),
-    "ncsa": (("ncsa",), r"(?:the )?(?:university of illinois )?ncsa(?: open source)?", ("ncsa",)),
-}
-
-#: Shapes around a license's name: (name, before, after, keyword, priority, weight).
-SHAPES = (
-    ("licensed-under", r"licen[sc]ed under (?:the terms of )?(?:version \S+ of )?", r" licen[sc]e", "ed under", 3, 0.95),
-    ("released-under", r"(?:released|distributed|published|available|provided) under (?:the terms of )?", r" licen[sc]e", " under", 3, 0.95),
-    ("covered-by", r"(?:covered|governed) by (?:the terms of )?", r" licen[sc]e", "ed by", 3, 0.9),
-    ("terms-of", r"terms (?:and conditions )?of ", r" licen[sc]e", "terms", 2, 0.9),
-    ("see-license", r"(?:see|read) ", r" licen[sc]e", "licen", 2, 0.8),
-    ("license-field", r"licen[sc]e (?:is )?", r"(?: licen[sc]e)?", "licen", 1, 0.7),
-    ("version-of", r"", r" licen[sc]e (?:version |v)\S+", "licen", 2, 0.9),
-    ("name", r"", r" licen[sc]e", "licen", 1, 0.75),
-)
-
-#: Passages of license texts themselves: (label, keyword, expression, priority, weight).
-PASSAGES = (
-    ("mit", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software", 4, 1.0),
-    ("mit", "substantial portions", r"shall be included in all copies or substantial portions of the software", 4, 1.0),
-    ("isc", "permission to use copy modify and", r"permission to use copy modify and or distribute this software for any purpose with or without fee", 4, 1.0),
-    ("bsd", "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted", 4, 1.0),
-    ("bsd", "endorse or promote", r"used to endorse or promote products derived from this software", 4, 0.9),
-    ("apache", "you may not use this file", r"you may not use this file except in compliance with the license", 4, 1.0),
-    ("apache", "apache org licenses", r"(?:www )?apache org licenses(?: license 2 0)?", 4, 1.0),
-    ("gpl", "redistribute it and or modify", r"redistribute it and or modify it under the terms of the gnu general public license", 4, 1.0),
-    ("lgpl", "redistribute it and or modify", r"redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license", 4, 1.0),
-    ("agpl", "redistribute it and or modify", r"redistribute it and or modify it under the terms of the gnu affero general public license", 4, 1.0),
-    ("gpl", "free software foundation", r"published by the free software foundation", 3, 0.8),
-    ("mpl", "source code form is subject", r"this source code form is subject to the terms of the mozilla public license", 4, 1.0),
-    ("boost", "machine executable object code", r"in the form of machine executable object code generated by a source language processor", 4, 1.0),
-    ("zlib", "as is without any express", r"provided as is without any express or implied warranty", 3, 0.8),
-    ("unlicense", "free and unencumbered", r"this is free and unencumbered software released into the public domain", 4, 1.0),
-    ("public-domain", "public domain", r"(?:placed |released |dedicated )?(?:in|into|to) the public domain", 2, 0.8),
-    ("cc0", "creativecommons org publicdomain", r"creativecommons org publicdomain zero", 4, 1.0),
-    ("cc-by", "creativecommons org licenses by", r"creativecommons org licenses by(?= [0-9])", 4, 1.0),
-    ("cc-by-sa", "creativecommons org licenses by sa", r"creativecommons org licenses by sa", 4, 1.0),
-    ("cc-by-nc", "creativecommons org licenses by nc", r"creativecommons org licenses by nc", 4, 1.0),
-    ("cc-by-nd", "creativecommons org licenses by nd", r"creativecommons org licenses by nd", 4, 1.0),
-    ("proprietary", "all rights reserved", r"copyright (?:\S+ ){0,6}all rights reserved", 1, 0.5),
-    ("proprietary", "proprietary", r"proprietary and confidential", 2, 0.8),
-)
-
-
-@dataclass(frozen=True)
-class Rule:
-    label: str
-    keywords: tuple[str, ...]  # a text has to contain one
-    shape: str  # and this
-    pattern: str  # over words, without the spaces around them
-    priority: int  # 1 to 5
-    weight: float
-    gate: str  # whatever matches contains this
-
-
-def rules() -> list[Rule]:
-    """All rules in their order, which breaks ties."""
-    out = [Rule(label, (keyword,), keyword, pattern, priority, weight, keyword) for label, keyword, pattern, priority, weight in PASSAGES]
-    for label, (keywords, name, ids) in NAMES.items():
-        out += [Rule(label, (f"spdx license identifier {i}",), "spdx", rf"spdx license identifier {i}(?: (?:only|or later))?", 5, 1.0, "licen") for i in ids]
-        out += [Rule(label, keywords, shape, before + name + after, priority, weight, "licen") for _, before, after, shape, priority, weight in SHAPES]
-    return out
+#: What the rules are as a Spark value.
+TABLE = "array<struct<label:string,priority:int,weight:double,keyword:string,pattern:string>>"
 
 
 def gates() -> list[str]:
     """A text is scanned only if it contains one of these; a text that any rule matches does."""
-    every = sorted({r.gate for r in rules()})
+    every = sorted({keyword for _, _, _, keyword, _ in RULES})
     return [g for g in every if not any(other in g for other in every if other != g)]
 
 
@@ -143,17 +55,16 @@ def intervals(line: Column, pattern: Column) -> Column:
     """Array of (first, last) word numbers of the pattern's matches between spaces of a line from spaced_words."""
     whole = F.concat(F.lit("(?<= )(?:"), pattern, F.lit(")(?= )"))
     # Piece i ends where match i begins. A word's number is the number of spaces before it, less one.
-    pieces = F.split(line, whole, F.lit(-1))
-    matches = F.regexp_extract_all(line, whole, F.lit(0))
-    first = F.struct(F.lit(0).cast("long").alias("spaces"), F.array().cast("array<struct<first:bigint,last:bigint>>").alias("found"))
+    matches = F.transform(F.regexp_extract_all(line, whole, F.lit(0)), n_spaces)
+    pieces = F.transform(F.split(line, whole, F.lit(-1)), n_spaces)
 
-    def step(acc, x):
-        begin = acc["spaces"] + n_spaces(x["p"]) - 1
-        last = begin + n_spaces(x["m"])
-        return F.struct((last + 1).cast("long").alias("spaces"), F.concat(acc["found"], F.array(F.struct(begin.cast("long").alias("first"), last.cast("long").alias("last")))).alias("found"))
+    def places(x: Column) -> Column:
+        between = F.slice(x["pieces"], F.lit(1), F.size(x["matches"]))
+        before = sums_before(F.zip_with(between, x["matches"], lambda p, m: (p + m).cast("long")))
+        first = F.zip_with(before, between, lambda b, p: b + p - 1)
+        return F.zip_with(first, x["matches"], lambda f, m: F.struct(f.cast("long").alias("first"), (f + m).cast("long").alias("last")))
 
-    pairs = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(matches)).alias("p"), matches.alias("m"))
-    return F.aggregate(pairs, first, step, lambda acc: acc["found"])
+    return let(F.struct(matches.alias("matches"), pieces.alias("pieces")), places)
 
 
 def phrase_places(words: Column, phrase: str) -> Column:
@@ -172,21 +83,17 @@ def phrase_places(words: Column, phrase: str) -> Column:
 
 def detections(line: Column) -> Column:
     """All rules' matches that no other suppresses, as an array of (first, last, label, priority, weight), by first."""
-    table = F.array(
-        *[
-            F.struct(
-                F.array(*map(F.lit, r.keywords)).alias("keywords"), F.lit(r.shape).alias("shape"), F.lit(r.pattern).alias("pattern"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"), F.lit(i).alias("rank")
-            )
-            for i, r in enumerate(rules())
-        ]
-    )
-    tried = F.filter(table, lambda r: F.contains(line, r["shape"]) & F.exists(r["keywords"], lambda k: F.contains(line, k)))
+    fields = ("label", "priority", "weight", "keyword", "pattern")
+    table = F.from_json(F.lit(json.dumps([dict(zip(fields, rule)) for rule in RULES])), TABLE)
+    ranked = F.transform(table, lambda r, i: F.struct(r.alias("rule"), i.alias("rank")))
+    tried = F.filter(ranked, lambda r: F.contains(line, r["rule"]["keyword"]))
     # In this order whatever contains an interval comes before it.
-    place = lambda r, x: F.struct(x["first"].alias("first"), (-x["last"]).alias("less_last"), (-r["priority"]).alias("less_priority"), r["rank"].alias("rank"), r["label"].alias("label"), r["weight"].alias("weight"))
-    found = F.array_sort(F.flatten(F.transform(tried, lambda r: F.transform(intervals(line, r["pattern"]), lambda x: place(r, x)))))
+    place = lambda r, x: F.struct(x["first"].alias("first"), (-x["last"]).alias("less_last"), (-r["rule"]["priority"]).alias("less_priority"), r["rank"].alias("rank"), r["rule"]["label"].alias("label"), r["rule"]["weight"].alias("weight"))
+    found = F.array_sort(F.flatten(F.transform(tried, lambda r: F.transform(intervals(line, r["rule"]["pattern"]), lambda x: place(r, x)))))
     out = "array<struct<first:bigint,last:bigint,label:string,priority:int,weight:double>>"
     # reach[q]: the furthest end so far of any detection of priority q or more.
-    start = F.struct(F.array_repeat(F.lit(-1).cast("long"), 6).alias("reach"), F.array().cast(out).alias("kept"))
+    reach = F.array_repeat(F.lit(-1).cast("long"), 6)
+    none = F.array().cast(out)
 
     def step(acc, x):
         last, priority = -x["less_last"], -x["less_priority"]
@@ -194,7 +101,12 @@ def detections(line: Column) -> Column:
         stays = F.get(acc["reach"], priority) < last
         return F.struct(F.transform(acc["reach"], lambda t, q: F.when(q <= priority, F.greatest(t, last)).otherwise(t)).alias("reach"), F.when(stays, F.concat(acc["kept"], hit)).otherwise(acc["kept"]).alias("kept"))
 
-    return F.aggregate(found, start, step, lambda acc: acc["kept"])
+    def chunk(acc, some):
+        inner = F.aggregate(some, F.struct(acc["reach"].alias("reach"), none.alias("kept")), step)
+        return let(inner, lambda x: F.struct(x["reach"].alias("reach"), F.concat(acc["parts"], F.array(x["kept"])).alias("parts")))
+
+    start = F.struct(reach.alias("reach"), F.array().cast(f"array<{out}>").alias("parts"))
+    return let(found, lambda all_: F.aggregate(chunks(all_), start, chunk, lambda acc: F.flatten(acc["parts"])))
 
 
 def scanned(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

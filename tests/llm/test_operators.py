@@ -192,7 +192,7 @@ def test_licenses(spark):
 
 
 def test_license_rules(spark):
-    assert len(license_scan.rules()) > 200
+    assert len(license_scan.RULES) > 200 and len({r[4] for r in license_scan.RULES}) == len(license_scan.RULES)
     found = lambda t: [(x.first, x.last, x.label) for x in license_scan.scanned(spark.createDataFrame([(1, t)], "doc_id long, text string")).first().found]
     assert found("We are licensed under the MIT License today") == [(2, 6, "mit")]  # the bare name within is suppressed
     assert found("SPDX-License-Identifier: Apache-2.0") == [(0, 5, "apache")]
@@ -223,13 +223,42 @@ def shortest(parsed):
 
 
 def test_each_license_rule_fires_alone(spark):
-    rules = license_scan.rules()
-    texts = [shortest(re._parser.parse(r.pattern)) for r in rules]
+    rules = license_scan.RULES
+    texts = [shortest(re._parser.parse(pattern)) for *_, pattern in rules]
+    assert all(keyword in f" {text} " for (_, _, _, keyword, _), text in zip(rules, texts))
     rows = license_scan.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    silent = [(rules[r.doc_id].label, texts[r.doc_id]) for r in rows if rules[r.doc_id].label not in {x.label for x in r.found}]
+    silent = [(rules[r.doc_id][0], texts[r.doc_id]) for r in rows if rules[r.doc_id][0] not in {x.label for x in r.found}]
     assert not silent and len(rows) == len(rules)
 
 
+def brute_detections(line):
+    """All rules on a line of words by a plain regular expression, then suppression by pairs."""
+    hits = []
+    for rank, (label, priority, weight, _, pattern) in enumerate(license_scan.RULES):
+        for m in re.finditer(rf"(?<= )(?:{pattern})(?= )", line):
+            first = line[: m.start()].count(" ") - 1
+            hits.append((first, -(first + m[0].count(" ")), -priority, rank, label))
+    hits.sort()
+    out = []
+    for i, (first, less_last, less_priority, _, label) in enumerate(hits):
+        if not any(h[1] <= less_last and h[2] <= less_priority for h in hits[:i]):
+            out.append((first, -less_last, label))
+    return out
+
+
+def test_licenses_of_whole_texts(spark):
+    """The query's operator on real documents and on mixtures of the rules' own passages, against brute force."""
+    rng = np.random.default_rng(8)
+    passages = [shortest(re._parser.parse(r[4])) for r in license_scan.RULES]
+    texts = [" ".join(str(x) for x in rng.choice([*passages, "the", "licensed under", "a", "version 2 0"], 40)) for _ in range(40)] + ["mit license " * 300]
+    texts += duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet' WHERE text ILIKE '%licen%' ORDER BY doc_id LIMIT 40").df().text.tolist()
+    rows = license_scan.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        line = " " + " ".join(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), texts[r.doc_id]))) + " "
+        assert [(x.first, x.last, x.label) for x in r.found] == brute_detections(line)
+    assert sum(len(r.found) for r in rows) > 1000
+
+
 def test_license_edges(odd, empty):
     assert license_scan.scanned(odd).count() == odd.count() and license_scan.scanned(empty).count() == 0
 
