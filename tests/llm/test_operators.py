@@ -79,29 +79,82 @@ def test_suffix_tree(spark, sample):
     assert held.score.sum() > held.base_score.sum()
 
 
-def test_suffix_tree_is_a_distribution(spark):
-    texts = ["a b c", "a b c", "a b d", "b c a", "c a b a b c", "e"] * 6
-    tree, counts = suffix_tree.learn(spark.createDataFrame([(t,) for t in texts], "text string"), least_count=2, least_gain=0.5)
-    assert any(level.state.any() for level in tree.levels)
-    known = {r.key: r.n for r in counts.collect()}
-    memo = suffix_tree.Hashes()
-    for prefix in (["a", "b"], ["b"], [], ["e"], ["zz", "a"]):
-        total = 0.0
-        for h in [*known, 12345]:  # the unknown class as well
-            hashes = np.array([memo[w.encode()] for w in prefix] + [h], np.int64)
-            score, codes, _ = suffix_tree.walk(tree, hashes, np.array([len(hashes)]))
-            p = score[-1] + (0 if codes[-1] >= 0 else tree.root(np.array([known.get(h, 0)]))[0])
-            total += 10**p
-        assert total == pytest.approx(1.0, abs=1e-6)
+def brute_tree(train, least, least_count, depth, least_gain, discount):
+    """The same model by dictionaries: a function from words to the log10 probability of their text."""
+    lines = [[*words(t), "\n"] for t in train]
+    c = collections.Counter(w for x in lines for w in x)
+    n, hot = sum(c.values()), {w for w in c if c[w] >= least}
+    root = lambda w: (c[w] + 1) / (n + len(c) + 1)
+    grams = [collections.Counter(tuple(x[i : i + k]) for x in lines for i in range(len(x) - k + 1)) for k in range(depth + 2)]
+    tree = {(v,): {} for v in hot if v != "\n"}
+    for k in range(2, depth + 2):
+        for g, m in grams[k].items():
+            if m >= least and set(g) <= hot and g[:-1] in tree:
+                tree[g[:-1]][g[-1]] = m
+                if k <= depth and g[-1] != "\n":
+                    tree[g] = {}
+    rare = {(v,): {w: grams[2][v, w] for w in hot if grams[2][v, w] > 1} for v in c if v not in hot and c[v] >= least_count}
+    all_ = tree | {k: v for k, v in rare.items() if v}
+    count = lambda s: c[s[0]] if len(s) == 1 else grams[len(s)][s]
+    left = {s: 1 - sum(m - discount for m in x.values()) / count(s) for s, x in all_.items()}
+
+    def p(w, s):
+        if not s:
+            return root(w)
+        direct = (all_[s][w] - discount) / count(s) if w in all_[s] else 0
+        return direct + left[s] * p(w, s[1:])
+
+    states = set()
+    for s, x in all_.items():
+        rest = max(1 - sum(x.values()) / count(s), 0)
+        gain = sum(m * math.log(m / count(s) / p(w, s[1:])) for w, m in x.items())
+        if rest > 0:
+            gain += count(s) * rest * math.log(max(rest, 1e-12) / min(max(1 - sum(p(w, s[1:]) for w in x), 1e-12), 1))
+        if gain >= least_gain:
+            states |= {s[i:] for i in range(len(s))}
+
+    def score(text):
+        x, out, used = [*words(text), "\n"], 0.0, 0
+        for i, w in enumerate(x):
+            s = next((tuple(x[i - k : i]) for k in range(min(depth, i), 0, -1) if tuple(x[i - k : i]) in states), ())
+            out, used = out + math.log10(p(w, s)), used + len(s)
+        return out, used / len(x), len(states & set(rare)), max(map(len, states), default=0)
+
+    return score
+
+
+def test_suffix_tree_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    vocabulary = [f"w{i}" for i in range(60)]
+    zipf = 1 / np.arange(1, 61) ** 1.3
+    train = [" ".join(rng.choice(vocabulary, 30, p=zipf / zipf.sum())) for _ in range(60)] + ["w1 w2 w3 w1 w2 w4 odd w5 w6"] * 9 + ["rare5 w1", "rare5 w1 rare6 w2"] * 3
+    texts = [*train[:20], *train[-16:], "", "rare5 w2 unseen w1 w2 w3", None, "odd odd rare6"]
+    model = suffix_tree.learn(spark.createDataFrame([(t,) for t in train], "text string"), least_share=10 / 2400, least_count=3, depth=3, least_gain=2.0)
+    least = max(3, math.ceil(10 / 2400 * model.tree.total))
+    brute = brute_tree(train, least, 3, 3, 2.0, 0.6)
+    got = suffix_tree.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    assert len(got) == len(texts) and brute("")[2] > 0 and brute("")[3] == 3
+    for r in got:
+        assert (r.score, r.mean_depth) == pytest.approx(brute(texts[r.doc_id])[:2])
+
+
+def test_symbols():
+    texts = [None, "", " ", "A b", "b a  \t", "é É aB", "x" * 5000, "\x0b\x0cword\x1c\x85", "ab"]
+    import pyarrow as pa
+
+    hashes, lengths = suffix_tree.symbols(pa.array(texts))
+    want = [w for t in texts for w in [*words(t), ""]]
+    assert lengths.tolist() == [len(words(t)) + 1 for t in texts] and len(hashes) == len(want)
+    assert len(set(zip(want, hashes.tolist()))) == len(set(want)) == len(set(hashes.tolist()))
 
 
 def test_suffix_tree_edges(spark, odd, empty):
-    tree, counts = suffix_tree.learn(odd)
-    assert suffix_tree.score(odd, tree, counts).count() == odd.count()
-    tree, counts = suffix_tree.learn(empty)
-    rows = suffix_tree.score(odd, tree, counts).collect()
+    model = suffix_tree.learn(odd)
+    assert suffix_tree.score(odd, model, keep=("doc_id", "score", "row_key")).count() == odd.count()
+    model = suffix_tree.learn(empty)
+    rows = suffix_tree.score(odd, model).collect()
     assert all(r.n_known == 0 and r.score == pytest.approx(0) for r in rows)
-    assert suffix_tree.score(empty, tree, counts).count() == 0
+    assert suffix_tree.score(empty, model).count() == 0
 
 
 # 2
