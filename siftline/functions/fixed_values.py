@@ -119,6 +119,10 @@ DEFINING_SHAPE = r"^\s*(?:(?:public|private|protected|static|async|abstract|over
 DEFINITION_HEAD = r"^\s*(?:export\s+|default\s+|async\s+|public\s+|private\s+|protected\s+|static\s+|pub\s+|abstract\s+|final\s+|sealed\s+)*(?:function|def|fn|func|class|struct|enum|interface|trait|type|const|let|var)\s+"
 MENTION_OF_DEFINITION = r"(?:function|class|const|let|var|def|fn|func|interface|type|struct|enum|impl)\b[^\n]*"
 CALL_DEFINITION_SHAPE = r"^\s*(?:(?:public|private|protected|static|async|abstract|override|readonly|final|sealed|get|set)\s+)*"
+CALLED_NAME = r"\b([A-Za-z_$][\w$]*)\s*\("
+CALL_DEFINITION_BODY = r"[A-Za-z_$][\w$]*\s*\([^;]*\)\s*[:{]"
+CONSTRUCTOR_LINE = r"^\s*(?:(?:public|private|protected)\s+)*constructor\s*\("
+CONSTRUCTOR_BODY = r"\bconstructor\s*\([^)]*\)\s*\{"
 KINDS = {
     "call": r"\b[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*\s*\(",
     "function": r"^\s*(?:export\s+|default\s+|async\s+|public\s+|private\s+|protected\s+|static\s+|pub\s+)*(?:function|def|fn|func)\b",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from siftline.functions.fixed_values import DEFINING, DEFINING_SHAPE, IMPORT_WORDS
+from siftline.functions.fixed_values import CONSTRUCTOR_BODY, CONSTRUCTOR_LINE, DEFINING, DEFINING_SHAPE, IMPORT_WORDS
 from siftline.functions.text import bounded, edge, insensitive, line_array, match_columns, quoted, row_text
 from siftline.operators.symbols import symbol_array
 
@@ -54,7 +54,7 @@ def sites(files: DataFrame, ignore_case: bool = False) -> DataFrame:
 
 def _constructs(text: Column, name: Column) -> Column:
     """constructor( at the start of a line, or before a body, is a definition."""
-    starts = text.rlike(r"(?i)^\s*(?:(?:public|private|protected)\s+)*constructor\s*\(") | text.rlike(r"(?i)\bconstructor\s*\([^)]*\)\s*\{")
+    starts = text.rlike("(?i)" + CONSTRUCTOR_LINE) | text.rlike("(?i)" + CONSTRUCTOR_BODY)
     return (F.lower(name) == "constructor") & starts
 
 

@@ -36,6 +36,33 @@ def may_be_empty(pattern: str) -> bool:
         return False  # Java's dialect alone knows it
 
 
+def runs_away(pattern: str) -> bool:
+    """Whether an expression can take exponential time on a line: an endless repeat of what is itself nothing but an endless repeat, or
+    of alternatives that are the same. Expressions that Java's dialect alone knows are not judged."""
+    try:
+        parsed = _parser.parse(pattern)
+    except re.error:
+        return False
+
+    def inside(items, endless: bool) -> bool:
+        wide = [x for x in items if _parser.SubPattern(parsed.state, [x]).getwidth()[0] > 0]
+        for op, x in items:
+            name = str(op)
+            if name in ("MAX_REPEAT", "MIN_REPEAT"):
+                unbounded = x[1] is _parser.MAXREPEAT
+                if endless and unbounded and len(wide) <= 1 and (op, x) in (wide or [(op, x)]) or inside(x[2], unbounded):
+                    return True
+            elif name == "SUBPATTERN" and inside(x[3], endless and len(wide) <= 1):
+                return True
+            elif name == "BRANCH":
+                shown = [str(list(b)) for b in x[1]]
+                if endless and len(set(shown)) < len(shown) or any(inside(b, endless and len(wide) <= 1) for b in x[1]):
+                    return True
+        return False
+
+    return inside(parsed, False)
+
+
 def empty_hits_of(text: str | None, pattern: str) -> list[dict]:
     """Matches of an expression that may match nothing, line by line; none after the last character of an unended text."""
     lines = (text or "").split("\n")
@@ -70,6 +97,8 @@ def grep(
 ) -> DataFrame:
     """path, line, col, text of every match in files (path, text); before, after (arrays) and enclosing as asked."""
     rx = search_pattern(pattern, literal, ignore_case, word, smart_case)
+    if not literal and runs_away(rx):
+        raise ValueError(f"{pattern!r} repeats what can match in many ways; a line could hold a task for good")
     before, after = (max(0, min(CONTEXT_MAX, int(n))) for n in (before, after))
     rows = files.select("path", "text")
     if literal and not ignore_case and not smart_case:

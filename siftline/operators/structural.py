@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.functions.fixed_values import CALL_DEFINITION_SHAPE, DEFINITION_HEAD
+from siftline.functions.fixed_values import CALL_DEFINITION_BODY, CALL_DEFINITION_SHAPE, CALLED_NAME, CONSTRUCTOR_LINE, DEFINITION_HEAD
 from siftline.functions.text import line_array
 from siftline.operators.callers import callers
 from siftline.operators.grep import grep
@@ -19,10 +21,10 @@ def files_with(files: DataFrame, pattern: str) -> DataFrame:
 
 def defines_its_call(text: Column) -> Column:
     """Whether the line defines what a call on it seems to call."""
-    name = F.regexp_extract(text, DEFINITION_HEAD + r"([A-Za-z_$][\w$]*)", 1)
-    called = F.regexp_extract_all(text, F.lit(r"\b([A-Za-z_$][\w$]*)\s*\("), F.lit(1))
-    shape = text.rlike(CALL_DEFINITION_SHAPE + r"[A-Za-z_$][\w$]*\s*\([^;]*\)\s*[:{]") | text.rlike(r"^\s*(?:(?:public|private|protected)\s+)*constructor\s*\(")
-    return F.array_contains(called, name) | (shape & (F.size(called) > 0))
+    called = F.regexp_extract_all(text, F.lit(CALLED_NAME), F.lit(1))
+    defined = F.regexp_extract(text, DEFINITION_HEAD + r"([A-Za-z_$][\w$]*)", 1)
+    headed = text.rlike(f"{CALL_DEFINITION_SHAPE}{CALL_DEFINITION_BODY}|{CONSTRUCTOR_LINE}")
+    return F.array_contains(called, defined) | (headed & (F.size(called) > 0))
 
 
 def structural(files: DataFrame, pattern: str | Structural, ignore_case: bool = False, **context) -> DataFrame:
@@ -42,10 +44,9 @@ def structural(files: DataFrame, pattern: str | Structural, ignore_case: bool =
 def rewrite_preview(matches: DataFrame, pattern: str | Structural, template: str) -> DataFrame:
     """matches with `rewritten`: the template filled from the first match in the row's text. Nothing is written."""
     plan = lower(pattern) if isinstance(pattern, str) else pattern
-    made = F.lit(template)
-    # Longer names first, or $A would be filled within $AB; the nameless slot is part of others' marks, so it is last.
-    for name in sorted(plan.slots, key=lambda n: (n == "$$$", -len(n))):
-        value = F.regexp_extract("text", plan.pattern, plan.slots.index(name) + 1)
-        for mark in ("$$$",) if name == "$$$" else (f"$$${name}", f"${name}"):
-            made = F.replace(made, F.lit(mark), value)
+    marks = {mark: i for i, name in enumerate(plan.slots, 1) for mark in (["$$$"] if name == "$$$" else [f"$$${name}", f"${name}"])}
+    # One pass over the template, so that what a slot was filled with is never filled again; of marks at one place the longest counts.
+    any_mark = "|".join(map(re.escape, sorted(marks, key=len, reverse=True))) or r"(?!)"
+    pieces = re.split(f"({any_mark})", template)
+    made = F.concat(*[F.regexp_extract("text", plan.pattern, marks[x]) if x in marks else F.lit(x) for x in pieces])
     return matches.filter(F.col("text").rlike(plan.pattern)).withColumn("rewritten", made)

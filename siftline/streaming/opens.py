@@ -16,6 +16,17 @@ def counted(stream: DataFrame) -> DataFrame:
     return stream.filter("path IS NOT NULL").groupBy("path").agg(F.count(F.lit(1)).alias("opened"), F.max("ts").alias("last"))
 
 
-def into_table(counts: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Run over what is there now, into an in-memory table of complete counts; call again for what came since."""
-    return counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def into_table(counts: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Run over what is there now, writing the counts that changed under folder; call again for what came since. A batch
+    that is run again after a failure replaces its own rows."""
+
+    def save(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+    return counts.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, folder: str) -> DataFrame:
+    """path, opened, last as of the last batch."""
+    latest = F.max_by(F.struct("opened", "last"), "batch")
+    return spark.read.parquet(folder).groupBy("path").agg(latest.alias("x")).select("path", "x.*")

@@ -34,9 +34,37 @@ def test_store(spark, tmp_path):
 def test_stream(spark, tmp_path):
     log = spark.createDataFrame([("a",), ("a",), ("b",)], "path string").selectExpr("path", "timestamp'2024-01-01' AS ts")
     log.write.parquet(str(tmp_path / "in"))
-    run = lambda: opens.into_table(opens.counted(opens.opens(spark, str(tmp_path / "in"))), "opens_now", str(tmp_path / "state")).awaitTermination()
+    kept = str(tmp_path / "counts")
+    run = lambda: opens.into_table(opens.counted(opens.opens(spark, str(tmp_path / "in"))), kept, str(tmp_path / "state")).awaitTermination()
     run()
-    assert {r.path: r.opened for r in spark.table("opens_now").collect()} == {"a": 2, "b": 1}
+    assert {r.path: r.opened for r in opens.current(spark, kept).collect()} == {"a": 2, "b": 1}
+    log.limit(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    assert {r.path: r.opened for r in opens.current(spark, kept).collect()} == {"a": 3, "b": 1}
+
+
+def test_expressions_that_run_away(corpus):
+    from siftline.operators.grep import grep, runs_away
+
+    assert all(map(runs_away, ["(a|a)*b", "(a+)+$", r"(\w+\s*)+x", "((a+))+", "(?:a*)*"]))
+    assert not any(map(runs_away, [r"(?:\w+\.)+", "(a|b)*", "a+b+", "(foo|bar+)+", "[a-z]+(?:-[a-z]+)*"]))
+    with pytest.raises(ValueError):
+        grep(corpus({"a": "a" * 50}), "(a|a)*b", literal=False)
+
+
+def test_rewritten_text_is_not_filled_again(corpus):
+    from siftline.operators.structural import rewrite_preview, structural
+
+    got = rewrite_preview(structural(corpus({"a.ts": "swap('$B', x)"}), "swap($A, $B)"), "swap($A, $B)", "swap($B, $A)").first()
+    assert got.rewritten == "swap(x, '$B')"
+
+
+def test_heat_of_equal_ranges(spark):
+    from siftline.operators.lexical import merged_heat
+
+    rows = [("a", 2, 2, 1.0, "x"), ("a", 4, 6, 0.9, "z"), ("a", 4, 6, 0.5, "y"), ("b", 1, 3, 0.4, "u"), ("b", 4, 4, 0.6, "v")]
+    got = merged_heat(spark.createDataFrame(rows, "path string, start int, stop int, p double, snippet string"), 0.2).collect()
+    assert sorted(map(tuple, got)) == [("a", 2, 2, 1.0, "x"), ("a", 4, 6, 0.9, "y"), ("b", 1, 4, 0.6, "u")]
 
 
 def test_registry(spark):
