@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from siftline.functions.fixed_values import CONSTRUCTOR_BODY, CONSTRUCTOR_LINE, DEFINING, DEFINING_SHAPE, IMPORT_WORDS
-from siftline.functions.text import bounded, edge, insensitive, line_array, match_columns, quoted, row_text
-from siftline.operators.symbols import symbol_array
+from siftline.functions.text import bounded, edge, insensitive, let, line_array, match_columns, quoted, row_text
+from siftline.operators.symbols import SYMBOL, symbol_array
+from siftline.sources.scratch import stored
 
 IDENTIFIER = r"[\w$]+"
 CALLED = r"(?<![\w$])([\w$]+)(?=\s*\()"
@@ -24,31 +23,53 @@ def sites(files: DataFrame, ignore_case: bool = False) -> DataFrame:
     Lines that define the symbol are no sites of it. One pass over the texts serves any number of symbols.
     """
     fold = F.lower if ignore_case else (lambda c: c)
-    rows = files.select("path", line_array(F.col("text")).alias("lines"))
-    rows = rows.withColumn("symbols", symbol_array(F.col("lines"), F.col("path"), 1))
+    none = F.slice(F.array(F.struct(F.lit("").alias("sym"), F.lit(0).alias("col"), F.lit(0).alias("form"))), 1, 0)
 
     def named(raw: Column, pattern: str, form: int) -> Column:
         names = F.regexp_extract_all(raw, F.lit(pattern), F.lit(1))
-        return F.transform(F.arrays_zip(names.alias("sym"), match_columns(raw, pattern).alias("col")), lambda x: F.struct(x["sym"].alias("sym"), x["col"].alias("col"), F.lit(form).alias("form")))
+        return F.zip_with(names, match_columns(raw, pattern), lambda sym, col: F.struct(sym.alias("sym"), col.alias("col"), F.lit(form).alias("form")))
 
     def imported(raw: Column) -> Column:
-        tail = F.regexp_extract(raw, IMPORTING, 0)
+        names = F.regexp_extract_all(F.regexp_replace(F.regexp_extract(raw, IMPORTING, 0), "^" + IMPORT_WORDS, ""), F.lit(f"({IDENTIFIER})"), F.lit(1))
         at = F.element_at(match_columns(raw, IMPORTING), 1)
-        names = F.array_distinct(F.regexp_extract_all(F.regexp_replace(tail, "^" + IMPORT_WORDS, ""), F.lit(f"({IDENTIFIER})"), F.lit(1)))
-        return F.when(raw.rlike(IMPORTING), F.transform(names, lambda s: F.struct(s.alias("sym"), at.alias("col"), F.lit(1).alias("form")))).otherwise(F.array().cast("array<struct<sym:string,col:int,form:int>>"))
+        return let(at, lambda col: F.transform(F.array_distinct(names), lambda x: F.struct(x.alias("sym"), col.alias("col"), F.lit(1).alias("form"))))
 
-    def of_line(raw: Column, i: Column) -> Column:
-        text = row_text(raw)
-        shape = F.regexp_extract(text, DEFINING_SHAPE + rf"({IDENTIFIER})\s*\([^;]*\)\s*[:{{]", 1)
+    def membered(raw: Column) -> Column:
         # A member's name up to a `$` counts as well: there a word ends.
-        members = named(raw, MEMBER, 2)
-        short = F.transform(F.filter(members, lambda x: F.contains(x["sym"], F.lit("$"))), lambda x: x.withField("sym", F.regexp_extract(x["sym"], r"^\w+", 0)))
-        every = F.concat(named(raw, CALLED, 0), imported(raw), members, F.filter(short, lambda x: x["sym"] != ""))
-        kept = F.filter(every, lambda x: (fold(x["sym"]) != fold(shape)) & ~_constructs(text, x["sym"]))
-        owner = F.try_element_at(F.filter("symbols", lambda s: s["line"] <= i + 1), F.lit(-1))["name"]
-        return F.when(~text.rlike(DEFINING), F.transform(kept, lambda x: F.struct((i + 1).alias("line"), x["col"].alias("col"), text.alias("text"), fold(x["sym"]).alias("sym"), x["form"].alias("form"), owner.alias("owner"))))
-
-    found = rows.select("path", F.explode(F.flatten(F.array_compact(F.transform("lines", of_line)))).alias("x"))
+        cut = lambda some: F.transform(F.filter(some, lambda x: F.contains(x["sym"], F.lit("$"))), lambda x: x.withField("sym", F.regexp_extract(x["sym"], r"^\w+", 0)))
+        return let(named(raw, MEMBER, 2), lambda some: F.concat(some, F.filter(cut(some), lambda x: x["sym"] != "")))
+
+    def of_line(raw: Column, i: Column, symbols: Column) -> Column:
+        def of_text(text: Column) -> Column:
+            shape = F.regexp_extract(text, DEFINING_SHAPE + rf"({IDENTIFIER})\s*\([^;]*\)\s*[:{{]", 1)
+            every = F.concat(
+                F.when(F.contains(raw, F.lit("(")), named(raw, CALLED, 0)).otherwise(none),
+                F.when(raw.rlike(IMPORT_WORDS), imported(raw)).otherwise(none),
+                F.when(F.contains(raw, F.lit(".")), membered(raw)).otherwise(none),
+            )
+            kept = let(shape, lambda defined: F.filter(every, lambda x: (fold(x["sym"]) != fold(defined)) & ~_constructs(text, x["sym"])))
+            row = lambda x, owner: F.struct((i + 1).alias("line"), x["col"].alias("col"), text.alias("text"), fold(x["sym"]).alias("sym"), x["form"].alias("form"), owner.alias("owner"))
+            return F.when(~text.rlike(DEFINING), let(_owner(symbols, i + 1), lambda owner: F.transform(kept, lambda x: row(x, owner))))
+
+        return F.when(raw.rlike(r"[(.]|" + IMPORT_WORDS), let(row_text(raw), of_text))
+
+    return _exploded(files, of_line, True)
+
+
+def _owner(symbols: Column, line: Column) -> Column:
+    return F.try_element_at(F.filter(symbols, lambda s: s["line"] <= line), F.lit(-1))["name"]
+
+
+def _exploded(files: DataFrame, of_line, owners: bool) -> DataFrame:
+    """path and the fields of what of_line(raw, index, symbols) gives for each line; lines and symbols are worked out once a file."""
+
+    def of_symbols(lines: Column, symbols: Column) -> Column:
+        return F.flatten(F.array_compact(F.transform(lines, lambda raw, i: of_line(raw, i, symbols))))
+
+    def of_lines(lines: Column) -> Column:
+        return let(symbol_array(lines, F.col("path"), 1), lambda s: of_symbols(lines, s)) if owners else of_symbols(lines, F.lit(None).cast(f"array<{SYMBOL}>"))
+
+    found = files.select("path", F.explode(let(line_array(F.col("text")), of_lines)).alias("x"))
     return found.select("path", "x.*")
 
 
@@ -58,27 +79,32 @@ def _constructs(text: Column, name: Column) -> Column:
     return (F.lower(name) == "constructor") & starts
 
 
-def pattern_sites(files: DataFrame, symbol: str, ignore_case: bool) -> DataFrame:
-    """As sites, of one symbol of any shape; only lines that contain it are looked at."""
+def mentions(symbol: str, ignore_case: bool = False) -> Column:
+    """Whether a text contains the symbol anywhere; a test that may let too much through."""
+    if not ignore_case:
+        return F.contains(F.col("text"), F.lit(symbol))
+    # A different case has a different length in few alphabets; those go on to the expressions.
+    return F.contains(F.lower("text"), F.lit(symbol.lower())) if symbol.isascii() else F.lit(True)
+
+
+def pattern_sites(files: DataFrame, symbol: str, ignore_case: bool, owners: bool) -> DataFrame:
+    """As sites, of one symbol of any shape, without owners unless asked; only lines that contain it are looked at."""
     flag = insensitive if ignore_case else (lambda p: p)
     esc, name = quoted(symbol), bounded(quoted(symbol))
     own = rf"(?<![\w$]){esc}(?![\w$])"
     forms = [rf"{own}\s*\(", IMPORTING + own, r"\." + esc + edge(esc, False)]
     defines = "|".join(f"(?:{p})" for p in (DEFINING + r"[^\n]*" + name, DEFINING_SHAPE + name + r"\s*\([^;]*\)\s*[:{]"))
-    # A different case has a different length in few alphabets; those go on to the expressions.
-    has = lambda c: F.contains(F.lower(c), F.lit(symbol.lower())) if symbol.isascii() else F.lit(True)
-    rows = files.filter(has(F.col("text"))).select("path", line_array(F.col("text")).alias("lines"))
-    rows = rows.withColumn("symbols", symbol_array(F.col("lines"), F.col("path"), 1))
+    near = flag(rf"(?<![\w$]){esc}" + edge(esc, False))  # every form has this in it
 
-    def of_line(raw: Column, i: Column) -> Column:
-        text = row_text(raw)
+    def of_line(raw: Column, i: Column, symbols: Column) -> Column:
         each = F.concat(*[_tagged(match_columns(raw, flag(p)), form) for form, p in enumerate(forms)])
-        owner = F.try_element_at(F.filter("symbols", lambda s: s["line"] <= i + 1), F.lit(-1))["name"]
-        every = F.transform(each, lambda x: F.struct((i + 1).alias("line"), x["col"].alias("col"), text.alias("text"), x["form"].alias("form"), owner.alias("owner")))
-        return F.when(has(raw) & ~text.rlike(flag(defines)) & ~_constructs(text, F.lit(symbol)), every)
+        owner = _owner(symbols, i + 1) if owners else F.lit(None).cast("string")
+        rows = lambda text: F.transform(each, lambda x: F.struct((i + 1).alias("line"), x["col"].alias("col"), text.alias("text"), x["form"].alias("form"), owner.alias("owner")))
+        of_text = lambda text: F.when(~text.rlike(flag(defines)) & ~_constructs(text, F.lit(symbol)), rows(text))
+        return F.when(raw.rlike(near), let(row_text(raw), of_text))
 
-    found = rows.select("path", F.explode(F.flatten(F.array_compact(F.transform("lines", of_line)))).alias("x"))
-    return found.select("path", "x.line", "x.col", "x.text", F.lit(symbol.lower() if ignore_case else symbol).alias("sym"), "x.form", "x.owner")
+    found = _exploded(files.filter(mentions(symbol, ignore_case) & F.col("text").rlike(near)), of_line, owners)
+    return found.select("path", "line", "col", "text", F.lit(symbol.lower() if ignore_case else symbol).alias("sym"), "form", "owner")
 
 
 def _tagged(columns: Column, form: int) -> Column:
@@ -88,28 +114,29 @@ def _tagged(columns: Column, form: int) -> Column:
 def callers(files: DataFrame, symbol: str, depth: int = 1, ignore_case: bool = False) -> DataFrame:
     """path, line, col, text, depth, via: the sites of symbol, then those of the symbols around them, each line once.
 
-    The relation of sites is read once; a ring is an equi-join on the symbol, less the lines that were seen. Nothing is
-    collected but whether a ring is empty.
+    A ring is an equi-join of sites and symbols, less the lines that were seen. Rings before the last are stored, as later ones
+    start from them; all sites of the corpus are stored only where two rings need them.
     """
     if not symbol:
         raise ValueError("a symbol is needed")
     depth = max(1, min(3, depth))
     spark = files.sparkSession
     first = symbol.lower() if ignore_case else symbol
-    if depth > 1:
-        known = sites(files, ignore_case).cache()
-    plain = depth > 1 and re.fullmatch(IDENTIFIER, symbol, re.ASCII)
-    ring = (known.filter(F.col("sym") == first) if plain else pattern_sites(files, symbol, ignore_case)).withColumn("rank", F.lit(0))
+    ring = pattern_sites(files, symbol, ignore_case, owners=depth > 1).withColumn("rank", F.lit(None).cast("struct<path:string,line:int>"))
     out = _once(ring).withColumn("depth", F.lit(1))
-    asked = spark.createDataFrame([(first,)], "sym string")
+    if depth > 1:
+        known = sites(files, ignore_case)
+        known = stored(known) if depth > 2 else known
+        asked = spark.createDataFrame([(first,)], "sym string")
     for n in range(2, depth + 1):
+        out = stored(out)
         last = out.filter(F.col("depth") == n - 1)
         fold = F.lower if ignore_case else (lambda c: c)
         # Symbols in the order in which their sites come; that order decides which symbol a line is found by.
-        around = last.filter("owner IS NOT NULL").groupBy(fold(F.col("owner")).alias("sym")).agg(F.min(F.struct("path", "line")).alias("rank_"))
+        around = last.filter("owner IS NOT NULL").groupBy(fold(F.col("owner")).alias("sym")).agg(F.min(F.struct("path", "line")).alias("rank"))
         around = around.join(asked, "sym", "left_anti")
         asked = asked.unionByName(around.select("sym"))
-        ring = known.join(around, "sym").withColumn("rank", F.col("rank_")).join(out.select("path", "line"), ["path", "line"], "left_anti")
+        ring = known.join(around, "sym").join(out.select("path", "line"), ["path", "line"], "left_anti")
         out = out.unionByName(_once(ring).withColumn("depth", F.lit(n)))
     return out.select("path", "line", "col", "text", "depth", F.col("sym").alias("via"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.fixed_values import CONTEXT_MAX, MATCH_CAP
-from siftline.functions.text import insensitive, line_array, match_columns, quoted, row_text, whole_word
+from siftline.functions.text import insensitive, let, line_array, match_columns, quoted, row_text, whole_word
 from siftline.operators.symbols import SYMBOL, symbol_array
 
 HIT = "array<struct<line:int,columns:array<int>>>"
@@ -103,17 +103,11 @@ def grep(
     rows = files.select("path", "text")
     if literal and not ignore_case and not smart_case:
         rows = rows.filter(F.contains(F.col("text"), F.lit(pattern)))
-    if may_be_empty(rx):
-        rows = rows.withColumn("hits", empty_hits(F.col("text"), rx)).withColumn("lines", line_array(F.col("text")))
-    else:
-        rows = rows.withColumn("lines", line_array(F.col("text"))).withColumn("hits", hit_lines(F.col("lines"), rx))
-    lines = F.col("lines")
-    # Only lines with a match get beyond this; the arrays of lines are not copied to them.
-    rows = rows.filter(F.size("hits") > 0)
-    if enclosing:
-        rows = rows.withColumn("symbols", symbol_array(lines, F.col("path"), depth))
-
-    def shown(hit: Column) -> Column:
+    empty = may_be_empty(rx)
+    if empty:
+        rows = rows.withColumn("found", empty_hits(F.col("text"), rx))
+
+    def shown(hit: Column, lines: Column, symbols: Column | None) -> Column:
         at = hit["line"]
         fields = [at.alias("line"), hit["columns"].alias("columns"), row_text(F.get(lines, at - 1)).alias("text")]
         if before:
@@ -122,10 +116,19 @@ def grep(
         if after:
             fields.append(F.transform(F.slice(lines, at + 1, F.lit(after)), row_text).alias("after"))
         if enclosing:
-            fields.append(F.try_element_at(F.filter("symbols", lambda s: s["line"] <= at), F.lit(-1)).alias("enclosing"))
+            fields.append(F.try_element_at(F.filter(symbols, lambda s: s["line"] <= at), F.lit(-1)).alias("enclosing"))
         return F.struct(*fields)
 
-    found = rows.select("path", F.explode(F.transform("hits", shown)).alias("hit"))
+    def of_hits(lines: Column, hits: Column) -> Column:
+        if not enclosing:
+            return F.transform(hits, lambda hit: shown(hit, lines, None))
+        return let(symbol_array(lines, F.col("path"), depth), lambda symbols: F.transform(hits, lambda hit: shown(hit, lines, symbols)))
+
+    def of_lines(lines: Column) -> Column:
+        # Lines, matches and symbols are worked out once a file, and symbols only for files with a match.
+        return let(F.col("found") if empty else hit_lines(lines, rx), lambda hits: F.when(F.size(hits) > 0, of_hits(lines, hits)))
+
+    found = rows.select("path", F.explode(let(line_array(F.col("text")), of_lines)).alias("hit"))
     extra = [f"hit.{name}" for name, wanted in (("before", before), ("after", after), ("enclosing", enclosing)) if wanted]
     return found.select("path", "hit.line", F.explode("hit.columns").alias("col"), "hit.text", *extra)
 

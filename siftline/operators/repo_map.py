@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions.fixed_values import CAPSULE_CANDIDATES, CAPSULE_MENTIONS, CODE_EXTENSIONS, DOC_LINE, DOC_LINES, IMPORT_SPECS, IMPORT_WORDS, MENTION_OF_DEFINITION, PAGE_MAX
-from siftline.functions.text import bounded, extension, line_array, module_key, quoted, trimmed
-from siftline.operators.callers import callers
+from siftline.functions.text import bounded, extension, let, line_array, module_key, quoted, trimmed
+from siftline.operators.callers import callers, mentions
 from siftline.operators.grep import file_counts, grep
 from siftline.operators.symbols import symbol_array
 from siftline.plans.path_query import path_filter
+from siftline.sources.scratch import stored
 
 
 def import_keys(text: Column) -> Column:
@@ -24,17 +25,21 @@ def in_degrees(files: DataFrame) -> DataFrame:
 
     Importers are counted by key before they meet the files, so that a name that many files bear and many import is no product.
     """
-    rows = files.filter("text IS NOT NULL").select("path", module_key(F.col("path")).alias("key"), import_keys(F.col("text")).alias("keys"))
-    importers = rows.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("importers"))
-    own = F.array_contains("keys", F.col("key")).cast("long")
-    found = rows.select("path", "key", own.alias("own")).join(importers, "key", "left")
-    return found.select("path", (F.coalesce("importers", F.lit(0)) - F.col("own")).alias("in_degree"))
+    return _with_degrees(files)
+
+
+def _with_degrees(files: DataFrame, *more: Column) -> DataFrame:
+    """in_degrees with more columns over path and text, in the same projection."""
+    files = files.filter("text IS NOT NULL")
+    importers = files.select(F.explode(import_keys(F.col("text"))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("importers"))
+    own = let(module_key(F.col("path")), lambda key: F.array_contains(import_keys(F.col("text")), key)).cast("long")
+    rows = files.select("path", module_key(F.col("path")).alias("key"), own.alias("own"), *more).join(importers, "key", "left")
+    return rows.withColumn("in_degree", F.coalesce("importers", F.lit(0)) - F.col("own")).drop("key", "own", "importers")
 
 
 def repo_map(files: DataFrame, frecency: DataFrame | None = None, modified: DataFrame | None = None) -> DataFrame:
     """path, symbols (top level), in_degree, modified, weight: frecency + 1 if modified + ln(1 + in_degree)."""
-    rows = files.filter("text IS NOT NULL").select("path", symbol_array(line_array(F.col("text")), F.col("path"), 0).alias("symbols"))
-    rows = rows.join(in_degrees(files), "path")
+    rows = _with_degrees(files, let(line_array(F.col("text")), lambda lines: symbol_array(lines, F.col("path"), 0)).alias("symbols"))
     changed, fre = F.lit(False), F.lit(0.0)
     if modified is not None:
         rows = rows.join(modified.select("path", F.lit(True).alias("changed")).distinct(), "path", "left")
@@ -82,6 +87,8 @@ def capsule(files: DataFrame, symbol: str, ignore_case: bool = False, within: st
         raise ValueError("a symbol is needed")
     limit = max(1, min(PAGE_MAX, limit))
     inside = path_filter(F.col("path"), within)
+    # Every part comes from files that contain the symbol: they are picked once, and the rest is work on those.
+    files = stored(files.filter(mentions(symbol, ignore_case)).select("path", "text"))
     found = definition(files, symbol, ignore_case, within)
     parts = [found.select(F.lit("definition").alias("part"), "path", "line", F.lit(1).alias("col"), F.concat_ws("\n", F.array("kind"), "doc").alias("text"))]
     used = callers(files, symbol, 1, ignore_case).orderBy("path", "line").limit(limit).filter(inside)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.fixed_values import COMMENT_LINE, EXTENSION_FAMILY, GENERATOR_LINE, NOT_A_METHOD, SYMBOL_SHAPES
-from siftline.functions.text import extension, line_array, trimmed
+from siftline.functions.text import extension, let, line_array, trimmed
 
 SYMBOL = "struct<line:int,col:int,kind:string,name:string>"
 
@@ -33,22 +33,31 @@ def shaped(line: Column, inner: Column, family: str) -> Column:
 
 def symbol_array(lines: Column, path: Column, depth: int = 0) -> Column:
     """Symbols of one file, top to bottom. lines: see line_array. depth 1 takes members (indented by four at most) as well."""
-    ext = extension(path)
 
     def of(family: str) -> Column:
         def one(raw: Column, i: Column) -> Column:
-            line, wide = trimmed(raw), indent(raw)
-            comment = F.lit(False) if family == "markdown" else line.rlike(COMMENT_LINE) & ~line.rlike(GENERATOR_LINE)
-            looked_at = (line != "") & (wide <= (4 if depth else 0)) & ~comment
-            what = F.when(looked_at, shaped(line, wide > 0, family))
-            return F.when(what.isNotNull(), F.struct((i + 1).alias("line"), F.greatest(F.instr(raw, what["name"]), F.lit(1)).alias("col"), what["kind"].alias("kind"), what["name"].alias("name")))
+            blank = raw.rlike(r"^[ \t]")
+
+            def symbol(what: Column) -> Column:
+                at = F.greatest(F.instr(raw, what["name"]), F.lit(1))
+                return F.when(what.isNotNull(), F.struct((i + 1).alias("line"), at.alias("col"), what["kind"].alias("kind"), what["name"].alias("name")))
+
+            def of_line(line: Column) -> Column:
+                comment = F.lit(False) if family == "markdown" else line.rlike(COMMENT_LINE) & ~line.rlike(GENERATOR_LINE)
+                return let(F.when((line != "") & ~comment, shaped(line, blank, family)), symbol)
+
+            # Most lines are indented too far; they go no further than this test.
+            return F.when(~blank | (indent(raw) <= 4) if depth else ~blank, let(trimmed(raw), of_line))
 
         return F.array_compact(F.transform(lines, one))
 
-    out = of("other")
-    for family, extensions in EXTENSION_FAMILY.items():
-        out = F.when(ext.isin(*extensions), of(family)).otherwise(out)
-    return out
+    def of_extension(ext: Column) -> Column:
+        out = of("other")
+        for family, extensions in EXTENSION_FAMILY.items():
+            out = F.when(ext.isin(*extensions), of(family)).otherwise(out)
+        return out
+
+    return let(extension(path), of_extension)
 
 
 def outline(files: DataFrame, depth: int = 0) -> DataFrame:

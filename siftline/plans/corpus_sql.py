@@ -56,6 +56,15 @@ _RING1 = rf"""owned AS (SELECT l.path, l.line, l.raw, s.name AS owner FROM lines
 ring1 AS (SELECT path, line, CASE WHEN regexp_matches(raw, '{_CALL}') THEN strpos(raw, 'part_1') ELSE 1 END::INT AS col, trim(raw) AS text, owner FROM owned
   WHERE NOT regexp_matches(raw, '^\s*def\s') AND (regexp_matches(raw, '{_CALL}') OR regexp_matches(raw, '(import|from)\b.*[^\w$]part_1([^\w$]|$)')))"""
 
+# A window ends with the last line whose running size still fits, or with its first line; windows follow each other by recursion.
+_PASSAGES = f"""needs AS (SELECT path, line, raw, strlen(raw) + strlen('L' || line || '| ') + 1 AS need FROM lines), ends AS (SELECT *, sum(need) OVER (PARTITION BY path ORDER BY line) AS c FROM needs),
+nexts AS (SELECT a.path, a.line AS start, greatest(a.line, b.line) AS stop FROM ends a ASOF LEFT JOIN ends b ON a.path = b.path AND a.c - a.need + 1024 >= b.c),
+windows AS (SELECT path, start, stop FROM nexts WHERE start = 1 UNION ALL SELECT n.path, n.start, n.stop FROM windows w JOIN nexts n ON n.path = w.path AND n.start = w.stop + 1),
+pieces_of AS (SELECT w.path, w.start, w.stop, e.line, 'L' || e.line || '| ' || CASE WHEN need > 1024 THEN left(raw, list_max(list_filter(range(0, 1025), lambda k: strlen(left(raw, k)) <= 1024 - (need - strlen(raw)))::INT)) ELSE raw END || chr(10) AS piece FROM windows w JOIN ends e ON e.path = w.path AND e.line BETWEEN w.start AND w.stop),
+texts AS (SELECT path, start, stop, string_agg(piece, '' ORDER BY line) AS text FROM pieces_of GROUP BY ALL),
+passages AS (SELECT path, start::INT AS start, stop::INT AS stop, text, {" + ".join(f"w{i} * ln(1 + (length(lower(text)) - length(replace(lower(text), '{w}', ''))) // {len(w)})" for i, w in enumerate(KEYWORDS))} AS score FROM texts, idf)"""
+_TRACK = r"(?:^|[^\w$])track\s*\("
+
 ORACLE_SQL: dict[str, str] = {
     "find_fuzzy": f"WITH {DOCS} {fuzzy('src1 doc en')}",
     "find_filtered": rf"WITH {DOCS}, kept AS (SELECT * FROM docs WHERE (path = 'src1' OR starts_with(path, 'src1/')) AND regexp_matches(path, '(^|/)doc_[^/]*[13579]\.txt$') AND NOT (path = 'src1/de' OR starts_with(path, 'src1/de/')) AND NOT list_contains(string_split(path, '/'), 'fr')) {fuzzy('doc').replace('FROM docs', 'FROM kept')}",
@@ -71,7 +80,7 @@ fre AS (SELECT path, n * pow(0.5, (epoch_us((SELECT max(ts) FROM events)) - epoc
 SELECT m.path, m.line, m.col, m.text, coalesce(before, '') AS before, coalesce(after, '') AS after FROM matches m JOIN c ON m.path = c.path AND m.line = c.line""",
     "grep_file_counts": f"WITH {DOCS}, {lines_of('docs')}, {matches('the th')} SELECT path, count(*) AS n FROM matches GROUP BY 1",
     "grep_totals": f"WITH {DOCS}, {lines_of('docs')}, {matches('the th')} SELECT count(*) AS matches, count(DISTINCT path) AS files FROM matches",
-    "grep_capped": f"WITH {DOCS}, {lines_of('docs')}, {matches('the th')} SELECT * FROM matches ORDER BY path, line, col LIMIT 20000",
+    "grep_capped": f"WITH {DOCS}, {lines_of('docs')}, {matches('the th')} SELECT * FROM matches ORDER BY path, line, col LIMIT 1000",
     "grep_enclosing": f"WITH {CODE}, {lines_of('code')}, {SYMBOLS}, {matches('part_7')} SELECT m.path, m.line, m.col, m.text, s.kind || ' ' || s.name || ' ' || s.line AS enclosing FROM matches m ASOF LEFT JOIN symbols s ON m.path = s.path AND s.line <= m.line",
     "outline": f"WITH {CODE}, {lines_of('code')}, {SYMBOLS} SELECT path, line, strpos(raw, name)::INT AS col, kind, name FROM symbols",
     "outline_kind_counts": f"WITH {CODE}, {lines_of('code')}, {SYMBOLS} SELECT kind, count(*) AS n FROM symbols GROUP BY 1",
@@ -79,6 +88,9 @@ SELECT m.path, m.line, m.col, m.text, coalesce(before, '') AS before, coalesce(a
     "callers_d2": rf"""WITH {CODE}, {lines_of('code')}, {SYMBOLS}, {_RING1} SELECT path, line, col, text, 1 AS depth, 'part_1' AS via FROM ring1
 UNION ALL SELECT path, line, 5 AS col, trim(raw) AS text, 2 AS depth, regexp_extract(raw, '(order_\d+)\(', 1) AS via FROM lines WHERE NOT regexp_matches(raw, '^def ') AND regexp_extract(raw, '(order_\d+)\(', 1) IN (SELECT owner FROM ring1 WHERE owner IS NOT NULL)""",
     "callers_certainty": f"WITH {CODE}, {lines_of('code')}, {SYMBOLS}, {_RING1} SELECT path, line, 'exact' AS certainty FROM ring1",
+    "callers_pages": rf"""WITH docs AS (SELECT 'pages/' || page_id || '.html' AS path, html AS text FROM pages), {lines_of('docs')}
+SELECT path, line, (length(regexp_extract(raw, '^(.*?){_TRACK}', 1)) + CASE WHEN regexp_matches(raw, '^track\s*\(') THEN 1 ELSE 2 END)::INT AS col, {TRIM} AS text, 1 AS depth, 'track' AS via FROM lines
+WHERE regexp_matches(raw, '{_TRACK}') AND NOT regexp_matches(raw, '^\s*(?:function|def|fn|func|class)\b')""",
     "structural_call": rf"WITH {CODE}, {lines_of('code')} SELECT path, line, (length(regexp_extract(raw, '^(.*?)\b[A-Za-z_$][\w$]*\s*\(', 1)) + 1)::INT AS col, trim(raw) AS text FROM lines WHERE regexp_matches(raw, '\b[A-Za-z_$][\w$]*\s*\(') AND NOT regexp_matches(raw, '^\s*def\s')",
     "structural_symbol": rf"WITH {CODE}, {lines_of('code')} SELECT path, line, 1 AS col, raw AS text FROM lines WHERE regexp_matches(raw, '^def order_7\b')",
     "structural_inside": rf"WITH {CODE}, {lines_of('code')} SELECT path, line, 1 AS col, raw AS text FROM lines WHERE regexp_matches(raw, '^def\b') AND path IN (SELECT path FROM lines WHERE contains(raw, 'from part_1 import part_1'))",
@@ -94,6 +106,10 @@ SELECT 'definition' AS part, 'parts/part_1.py' AS path, 1 AS line, 1 AS col, 'de
     "lexical_counts": f"WITH {DOCS}, {lines_of('docs')}, {counts(KEYWORDS)} SELECT * FROM counts",
     "lexical_idf": f"WITH {DOCS}, {lines_of('docs')}, {counts(KEYWORDS)} " + " UNION ALL ".join(f"SELECT '{w}' AS keyword, round(w{i}, 9) AS weight FROM idf" for i, w in enumerate(KEYWORDS)),
     "lexical_rank": f"WITH {DOCS}, {lines_of('docs')}, {counts(KEYWORDS)} SELECT path, round({_LEX}, 6) AS lex FROM counts, idf",
+    "passages": f"WITH RECURSIVE {DOCS}, {lines_of('docs')}, {counts(KEYWORDS)}, {_PASSAGES} SELECT * FROM passages",
+    "select_windows": f"""WITH RECURSIVE {DOCS}, {lines_of('docs')}, {counts(KEYWORDS)}, {_PASSAGES},
+ranked AS (SELECT *, count(*) OVER (PARTITION BY path) AS n, max(score) OVER (PARTITION BY path) AS best, row_number() OVER (PARTITION BY path ORDER BY start) - 1 AS place, row_number() OVER (PARTITION BY path ORDER BY score DESC, start) AS rank FROM passages)
+SELECT path, start, stop, text, score FROM ranked WHERE n <= 3 OR CASE WHEN best = 0 THEN place IN (0, (n - 1) // 2, n - 1) ELSE rank <= 3 END""",
     "heat_merge": """WITH r AS (SELECT l_orderkey AS path, l_linenumber AS start, l_linenumber + (l_quantity::INT % 3) AS stop, l_discount * 10 AS p FROM lineitem), k AS (SELECT path, start, stop, max(p) AS p FROM r WHERE p >= 0.2 GROUP BY ALL),
 f AS (SELECT *, CASE WHEN start <= max(stop) OVER (PARTITION BY path ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS fresh FROM k),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM f) SELECT path, min(start)::INT AS start, max(stop)::INT AS stop, round(max(p), 6) AS p FROM g GROUP BY path, island""",

@@ -94,7 +94,7 @@ QUERIES = {
     "grep_context": grep_context,
     "grep_file_counts": _docs(lambda f: grep.file_counts(grep.grep(f, "the th"))),
     "grep_totals": _docs(lambda f: grep.totals(grep.grep(f, "the th"))),
-    "grep_capped": _docs(lambda f: grep.capped(grep.grep(f, "the th"))),
+    "grep_capped": _docs(lambda f: grep.capped(grep.grep(f, "the th"), 1000)),
     "grep_enclosing": grep_enclosing,
     "outline": _code(symbols.outline),
     "outline_kind_counts": _code(lambda f: symbols.kind_counts(symbols.outline(f))),

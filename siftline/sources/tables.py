@@ -22,8 +22,10 @@ def pages_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A module for each part, for each order one that imports its first part and calls all its parts, for each customer
     one that calls the orders."""
+    # Texts are small and costly to look through: as many partitions as the session asks for, which AQE does not join.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    items = table(spark, sf_dir, "lineitem").repartition(n, "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
     part = lambda x: F.concat(F.lit("part_"), x["l_partkey"].cast("string"))
     calls = F.transform("items", lambda x: F.concat(F.lit("    "), part(x), F.lit("("), x["l_quantity"].cast("int").cast("string"), F.lit(")")))
     first = F.coalesce(part(F.get("items", F.lit(0))), F.lit("part_1"))
@@ -31,12 +33,12 @@ def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(
         F.lit("from "), first, F.lit(" import "), first, F.lit("\n# "), F.col("o_orderpriority"), F.lit("\ndef order_"), key, F.lit("():\n"), F.coalesce(F.array_join(calls, "\n"), F.lit("    return 0")), F.lit("\n")
     )
-    orders = table(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    orders = table(spark, sf_dir, "orders").repartition(n, "o_orderkey").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     orders = orders.select(F.concat(F.lit("orders/o_"), key, F.lit(".py")).alias("path"), text.alias("text"))
     number = F.col("p_partkey").cast("string")
     body = F.concat(F.lit("def part_"), number, F.lit("(quantity):\n    return quantity\n"))
     parts = table(spark, sf_dir, "part").select(F.concat(F.lit("parts/part_"), number, F.lit(".py")).alias("path"), body.alias("text"))
-    by_customer = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("c")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
+    by_customer = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("c"), "o_orderkey").repartition(n, "c").groupBy("c").agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
     uses = F.array_join(F.transform("keys", lambda k: F.concat(F.lit("    order_"), k.cast("string"), F.lit("()\n"))), "")
     reports = by_customer.select(F.concat(F.lit("reports/r_"), "c", F.lit(".py")).alias("path"), F.concat(F.lit("def report_"), "c", F.lit("():\n"), uses).alias("text"))
     return orders.unionByName(parts).unionByName(reports)
