@@ -60,7 +60,7 @@ ring1 AS (SELECT path, line, CASE WHEN regexp_matches(raw, '{_CALL}') THEN strpo
 _PASSAGES = f"""needs AS (SELECT path, line, raw, strlen(raw) + strlen('L' || line || '| ') + 1 AS need FROM lines), ends AS (SELECT *, sum(need) OVER (PARTITION BY path ORDER BY line) AS c FROM needs),
 nexts AS (SELECT a.path, a.line AS start, greatest(a.line, b.line) AS stop FROM ends a ASOF LEFT JOIN ends b ON a.path = b.path AND a.c - a.need + 1024 >= b.c),
 windows AS (SELECT path, start, stop FROM nexts WHERE start = 1 UNION ALL SELECT n.path, n.start, n.stop FROM windows w JOIN nexts n ON n.path = w.path AND n.start = w.stop + 1),
-pieces_of AS (SELECT w.path, w.start, w.stop, e.line, 'L' || e.line || '| ' || CASE WHEN need > 1024 THEN left(raw, list_max(list_filter(range(0, 1025), lambda k: strlen(left(raw, k)) <= 1024 - (need - strlen(raw)))::INT)) ELSE raw END || chr(10) AS piece FROM windows w JOIN ends e ON e.path = w.path AND e.line BETWEEN w.start AND w.stop),
+pieces_of AS (SELECT w.path, w.start, w.stop, e.line, 'L' || e.line || '| ' || CASE WHEN need > 1024 THEN left(raw, list_max(list_filter(range(0, 1025), lambda k: strlen(left(raw, k)) <= 1024 - (need - strlen(raw))))::INT) ELSE raw END || chr(10) AS piece FROM windows w JOIN ends e ON e.path = w.path AND e.line BETWEEN w.start AND w.stop),
 texts AS (SELECT path, start, stop, string_agg(piece, '' ORDER BY line) AS text FROM pieces_of GROUP BY ALL),
 passages AS (SELECT path, start::INT AS start, stop::INT AS stop, text, {" + ".join(f"w{i} * ln(1 + (length(lower(text)) - length(replace(lower(text), '{w}', ''))) // {len(w)})" for i, w in enumerate(KEYWORDS))} AS score FROM texts, idf)"""
 _TRACK = r"(?:^|[^\w$])track\s*\("
