@@ -30,7 +30,7 @@ from siftline.llm.common import MEMO_ENTRIES, documents, slices, stored
 from siftline.llm.tokens import load_ranks, units
 
 #: Characters of text whose new units are replayed together.
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 8 << 20
 
 
 class MergeReplay:
