@@ -104,6 +104,10 @@ GENERATOR_LINE = r"^\*\s*[A-Za-z_$][\w$]*\s*\("
 COMMENT_LINE = r"^(?://|#|/\*|\*|<!--|--)"
 DOC_LINE = r"^(?://|#|\*|/\*|--|\"\"\"|'''|;)"
 
+# --- Fixed values: what shows that a literal was meant as an expression ---------------------------------------------------------
+REGEX_SYNTAX = r"\\[.^$*+?(){}\[\]\/wWsSdDbB]|(?<![|\s])\|(?![|\s])|\.\*|\.\+|\(\?|\{\d+,?\d*\}"
+QUESTION_WORDS = 3
+
 # --- Fixed values: import statements, definitions, calls -------------------------------------------------------------------------
 IMPORT_SPECS = (
     r"(?:import|from)\s+['\"]([^'\"]+)['\"]",

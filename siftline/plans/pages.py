@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, Row
 
-from siftline.functions.fixed_values import MAX_CHARS, PAGE_DEFAULT, PAGE_MAX, SUMMARY_TOP
+from siftline.functions.fixed_values import MAX_CHARS, PAGE_DEFAULT, PAGE_MAX, QUESTION_WORDS, REGEX_SYNTAX, SUMMARY_TOP
 
 
 def page_size(limit: int | float | None) -> int:
@@ -64,6 +65,33 @@ def match_text(row: Row, concise: bool = False) -> str:
     return "\n".join([*(f"    {row.line - len(before) + i}: {x}" for i, x in enumerate(before)), f"{row.path}:{row.line}:{row.col}: {row.text}", *(f"    {row.line + 1 + i}: {x}" for i, x in enumerate(after))])
 
 
+def grep_text(rows: list[Row], tags: dict[str, str], concise: bool = False) -> str:
+    """A page of matches by file, in the order in which files come, each file under its tag if it has one (see tags.header).
+
+    The enclosing symbol stands above the matches in it, once for matches that follow each other.
+    """
+    by_file: dict[str, list[str]] = {}
+    above = None
+    for row in rows:
+        inside = None if concise else row.asDict().get("enclosing")
+        head = f"in {inside['kind']} {inside['name']}" if inside else None
+        shown = by_file.setdefault(row.path, [])
+        shown += [head] if head and head != above else []
+        shown.append(match_text(row, concise))
+        above = head
+    return "\n".join(line for path, shown in by_file.items() for line in ([f"[{path}#{tags[path]}]"] if path in tags else []) + shown)
+
+
+def nothing_found(pattern: str, literal: bool = True) -> str:
+    """What to say of a search without matches, and what else to try."""
+    hints = []
+    if literal and re.search(REGEX_SYNTAX, pattern):
+        hints.append("it looks like an expression: try literal=False")
+    if literal and len(pattern.split()) >= QUESTION_WORDS:
+        hints.append("it looks like a question: try search")
+    return "; ".join([f'0 matches for "{pattern}" ({"literal" if literal else "expression"})', *hints])
+
+
 def within_budget(text: str, max_chars: int | None, counts: dict[str, int]) -> str:
     """The text, or where it is too long the largest counts."""
     if max_chars is not None and not 1 <= max_chars:

@@ -20,6 +20,19 @@ def test_pages(spark):
     assert pages.human_size(10) == "10 B" and pages.human_size(2048) == "2.0 KB"
 
 
+def test_page_of_matches(corpus):
+    from siftline.operators import grep, tags
+
+    files = corpus({"a.py": "def f():\n    hit\n    hit\ndef g():\n    hit\n", "b.txt": "hit\n"})
+    rows = grep.in_order(grep.grep(files, "hit", enclosing=True)).collect()
+    kept = {r.path: r.tag for r in files.select("path", tags.content_tag("text").alias("tag")).collect() if r.path == "a.py"}
+    assert pages.grep_text(rows, kept).split("\n") == [f"[a.py#{kept['a.py']}]", "in def f", "a.py:2:5: hit", "a.py:3:5: hit", "in def g", "a.py:5:5: hit", "b.txt:1:1: hit"]
+    assert pages.grep_text(rows, {}, concise=True).split("\n") == ["a.py:2", "a.py:3", "a.py:5", "b.txt:1"]
+    hinted = {p: pages.nothing_found(p).count(";") for p in ("foo(bar)", "a || b", r"foo\.bar", "a|b", "where is it", r"what .* is")}
+    assert hinted == {"foo(bar)": 0, "a || b": 1, r"foo\.bar": 1, "a|b": 1, "where is it": 1, r"what .* is": 2}
+    assert pages.nothing_found("a.*b", literal=False) == '0 matches for "a.*b" (expression)'
+
+
 def test_store(spark, tmp_path):
     (tmp_path / "s").mkdir()
     (tmp_path / "s/a.json").write_text('{"path":"a","opened":2,"last":"2024-01-01T00:00:00Z"}\n{"path":"b","opened":-1,"last":"2024-01-01T00:00:00Z"}\nnot json\n')
