@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from siftline.llm import bpe, chat_template, exact_dedup, language_id, license_scan, packing, quality_model, quality_rules, simhash, suffix_tree
+from siftline.llm import bpe, chat_template, exact_dedup, language_id, license_scan, mixing, packing, quality_model, quality_rules, simhash, suffix_tree
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -17,10 +17,12 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_simhash": simhash.op9_simhash,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op13_mixing": mixing.op13_mixing,
 }
 
 ORACLE_SQL = {
     "op5_chat_template": chat_template.ORACLE_OP5,
     "op8_exact_dedup": exact_dedup.ORACLE_OP8,
     "op10_quality_rules": quality_rules.ORACLE_OP10,
+    "op13_mixing": mixing.ORACLE_OP13,
 }
