@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from siftline.llm import bpe, chat_template, exact_dedup, language_id, license_scan, mixing, packing, quality_model, quality_rules, simhash, suffix_tree
+from siftline.llm import bpe, chat_template, exact_dedup, language_id, license_scan, mixing, packing, prefix_trie, quality_model, quality_rules, simhash, suffix_tree
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_simhash": simhash.op9_simhash,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op13_mixing": mixing.op13_mixing,
 }
 
@@ -24,5 +25,6 @@ ORACLE_SQL = {
     "op5_chat_template": chat_template.ORACLE_OP5,
     "op8_exact_dedup": exact_dedup.ORACLE_OP8,
     "op10_quality_rules": quality_rules.ORACLE_OP10,
+    "op11_prefix_trie": prefix_trie.ORACLE_OP11,
     "op13_mixing": mixing.ORACLE_OP13,
 }
