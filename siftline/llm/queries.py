@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from siftline.llm import bpe, chat_template, exact_dedup, language_id, license_scan, mixing, packing, prefix_trie, quality_model, quality_rules, simhash, suffix_tree
+from siftline.llm import bpe, chat_template, exact_dedup, language_id, license_scan, mixing, packing, prefix_trie, quality_model, quality_rules, simhash, spelling, suffix_tree
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
     "op13_mixing": mixing.op13_mixing,
 }
 
@@ -26,5 +27,6 @@ ORACLE_SQL = {
     "op8_exact_dedup": exact_dedup.ORACLE_OP8,
     "op10_quality_rules": quality_rules.ORACLE_OP10,
     "op11_prefix_trie": prefix_trie.ORACLE_OP11,
+    "op12_spelling_variants": spelling.ORACLE_OP12,
     "op13_mixing": mixing.ORACLE_OP13,
 }
