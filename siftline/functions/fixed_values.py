@@ -17,6 +17,8 @@ SKETCH_OVERHEAD, SKETCH_LEAST, SKETCH_MOST = 12, 24, 180
 IDF_LEAST, IDF_MOST = 0.5, 6.0
 MAP_CHARS, MAX_CHARS, SUMMARY_TOP = 8000, 1_000_000, 10
 METAVARIABLES = 9
+#: Turns of a repeated group that Java's engine may take on its stack; seconds that the other matcher may take for one text.
+GROUP_TURNS, MATCH_SECONDS = 64, 3.0
 
 # --- Fixed values: words of queries that carry no meaning ----------------------------------------------------------------
 STOPWORDS = frozenset(
@@ -69,7 +71,7 @@ EXTENSION_FAMILY = {
 # --- Fixed values: shapes of symbol lines: (expression, kind or the group that names it, group of the name, members only, by shape)
 _ID, _WORD = r"[A-Za-z_$][\w$]*", r"[A-Za-z_]\w*"
 _GENERIC = (
-    (rf"^(?:(?:public|private|protected|internal|sealed|open|data|abstract|final|static|export|async)\s+)*(class|function|def|fn|func|interface|enum|struct|type)\s+({_WORD})", 1, 2, False, False),
+    (rf"^(?:(?:public|private|protected|internal|sealed|open|data|abstract|final|static|export|async)\s++)*+(class|function|def|fn|func|interface|enum|struct|type)\s+({_WORD})", 1, 2, False, False),
 )
 SYMBOL_SHAPES = {
     "script": (
@@ -79,7 +81,7 @@ SYMBOL_SHAPES = {
         (rf"^(?:export\s+)?(?:const\s+)?enum\s+({_ID})", "enum", 1, False, False),
         (rf"^(?:export\s+)?type\s+({_ID})", "type", 1, False, False),
         (rf"^(?:export\s+)?const\s+({_ID})\s*=.*=>", "const", 1, False, False),
-        (rf"^(?:(?:public|private|protected|static|async|abstract|override|readonly)\s+|\*\s*)*(?:get\s+|set\s+)?({_ID})\s*\([^;]*\)\s*(?::\s*[^{{}};]+)?\s*(?:\{{[^\n]*)?,?\s*$", "method", 1, True, True),
+        (rf"^(?:(?:public|private|protected|static|async|abstract|override|readonly)\s++(?!\()|\*\s*+)*+(?:get\s+|set\s+)?({_ID})\s*\([^;]*\)\s*(?::\s*[^{{}};]+)?\s*(?:\{{[^\n]*)?,?\s*$", "method", 1, True, True),
     ),
     "python": ((rf"^(?:async\s+)?def\s+({_WORD})", "def", 1, False, False), (rf"^class\s+({_WORD})", "class", 1, False, False)),
     "go": ((rf"^func\s+(?:\([^)]*\)\s*)?({_WORD})", "func", 1, False, False), (rf"^type\s+({_WORD})", "type", 1, False, False)),
@@ -88,9 +90,9 @@ SYMBOL_SHAPES = {
         (r"^impl\s+(?:<[^>]*>\s*)?([A-Za-z_][\w:]*)", "impl", 1, False, False),
     ),
     "java": (
-        (rf"^(?:(?:public|private|protected|static|final|abstract|sealed|partial|internal|synchronized)\s+)*(class|interface|enum|record|struct)\s+({_WORD})", 1, 2, False, False),
-        (rf"^(?:(?:public|private|protected)\s+)*({_WORD})\s*\([^;]*\)\s*(?:throws\s+[\w,\s.]+)?\s*(?:\{{[^\n]*)?,?\s*$", "ctor", 1, True, True),
-        (rf"^(?:(?:public|private|protected|static|final|async|override|virtual|synchronized)\s+)*[\w<>.\[\],? ]+\s+({_WORD})\s*\([^;]*\)\s*(?:throws\s+[\w,\s.]+)?\s*(?:\{{[^\n]*)?,?\s*$", "method", 1, True, True),
+        (rf"^(?:(?:public|private|protected|static|final|abstract|sealed|partial|internal|synchronized)\s++)*+(class|interface|enum|record|struct)\s+({_WORD})", 1, 2, False, False),
+        (rf"^(?:(?:public|private|protected)\s++(?!\())*+({_WORD})\s*\([^;]*\)\s*(?:throws\s+[\w,\s.]+)?\s*(?:\{{[^\n]*)?,?\s*$", "ctor", 1, True, True),
+        (rf"^(?:(?:public|private|protected|static|final|async|override|virtual|synchronized)\s++(?!(?:\w+\s*)?\())*+[\w<>.\[\],? ]+\s+({_WORD})\s*\([^;]*\)\s*(?:throws\s+[\w,\s.]+)?\s*(?:\{{[^\n]*)?,?\s*$", "method", 1, True, True),
     ),
     "c": (
         (rf"^(?:template\s*<[^>]*>\s*)?(class|struct|enum(?:\s+class)?)\s+({_WORD})", 1, 2, False, False),
@@ -118,23 +120,23 @@ IMPORT_SPECS = (
     r"\buse\s+([\w:]+)",
 )
 IMPORT_WORDS = r"(?:import|from|require|use|include)\b"
-DEFINING = r"^\s*(?:export\s+|default\s+|async\s+|public\s+|private\s+|protected\s+|static\s+|pub\s+)*(?:function|def|fn|func|class)\b"
-DEFINING_SHAPE = r"^\s*(?:(?:public|private|protected|static|async|abstract|override|readonly|get|set)\s+)*"
-DEFINITION_HEAD = r"^\s*(?:export\s+|default\s+|async\s+|public\s+|private\s+|protected\s+|static\s+|pub\s+|abstract\s+|final\s+|sealed\s+)*(?:function|def|fn|func|class|struct|enum|interface|trait|type|const|let|var)\s+"
+DEFINING = r"^\s*+(?:export\s++|default\s++|async\s++|public\s++|private\s++|protected\s++|static\s++|pub\s++)*+(?:function|def|fn|func|class)\b"
+DEFINING_SHAPE = r"^\s*+(?:(?:public|private|protected|static|async|abstract|override|readonly|get|set)\s++(?!\())*+"
+DEFINITION_HEAD = r"^\s*+(?:export\s++|default\s++|async\s++|public\s++|private\s++|protected\s++|static\s++|pub\s++|abstract\s++|final\s++|sealed\s++)*+(?:function|def|fn|func|class|struct|enum|interface|trait|type|const|let|var)\s+"
 MENTION_OF_DEFINITION = r"(?:function|class|const|let|var|def|fn|func|interface|type|struct|enum|impl)\b[^\n]*"
-CALL_DEFINITION_SHAPE = r"^\s*(?:(?:public|private|protected|static|async|abstract|override|readonly|final|sealed|get|set)\s+)*"
+CALL_DEFINITION_SHAPE = r"^\s*+(?:(?:public|private|protected|static|async|abstract|override|readonly|final|sealed|get|set)\s++(?!\())*+"
 CALLED_NAME = r"\b([A-Za-z_$][\w$]*)\s*\("
 CALL_DEFINITION_BODY = r"[A-Za-z_$][\w$]*\s*\([^;]*\)\s*[:{]"
-CONSTRUCTOR_LINE = r"^\s*(?:(?:public|private|protected)\s+)*constructor\s*\("
+CONSTRUCTOR_LINE = r"^\s*+(?:(?:public|private|protected)\s++)*+constructor\s*\("
 CONSTRUCTOR_BODY = r"\bconstructor\s*\([^)]*\)\s*\{"
 KINDS = {
-    "call": r"\b[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*\s*\(",
-    "function": r"^\s*(?:export\s+|default\s+|async\s+|public\s+|private\s+|protected\s+|static\s+|pub\s+)*(?:function|def|fn|func)\b",
-    "class": r"^\s*(?:export\s+|default\s+|abstract\s+|public\s+|private\s+|protected\s+|final\s+|sealed\s+|static\s+)*(?:class|struct|enum|interface|trait)\b",
+    "call": r"\b[A-Za-z_$][\w$]*+(?:\.[A-Za-z_$][\w$]*+)*+\s*+\(",
+    "function": r"^\s*+(?:export\s++|default\s++|async\s++|public\s++|private\s++|protected\s++|static\s++|pub\s++)*+(?:function|def|fn|func)\b",
+    "class": r"^\s*+(?:export\s++|default\s++|abstract\s++|public\s++|private\s++|protected\s++|final\s++|sealed\s++|static\s++)*+(?:class|struct|enum|interface|trait)\b",
     "import": r"^\s*(?:import|from|require|use|include)\b",
     "return": r"^\s*return\b",
 }
-ATOM = r"""((?:"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`|[A-Za-z_$][\w$]*))"""
+ATOM = r"""((?:"(?:[^"\\]++|\\.)*+"|'(?:[^'\\]++|\\.)*+'|`(?:[^`\\]++|\\.)*+`|[A-Za-z_$][\w$]*))"""
 MULTI = r"(.*?)"
 LANGUAGES = {
     "ts": ("ts", "tsx", "mts", "cts", "js", "jsx", "mjs", "cjs", "typescript", "javascript"),

@@ -3,18 +3,15 @@
 from __future__ import annotations
 
 import re
-from re import _parser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.functions.fixed_values import CONTEXT_MAX, MATCH_CAP
+from siftline.functions.expressions import bounded_hits, bounded_test, compiled, in_columns, may_be_empty
+from siftline.functions.fixed_values import CONTEXT_MAX, MATCH_CAP, MATCH_SECONDS
 from siftline.functions.text import insensitive, let, line_array, match_columns, quoted, row_text, whole_word
 from siftline.operators.symbols import SYMBOL, symbol_array
 
-HIT = "array<struct<line:int,columns:array<int>>>"
-
 
 def search_pattern(pattern: str, literal: bool = True, ignore_case: bool = False, word: bool = False, smart_case: bool = False) -> str:
     """The expression to look for. Smart case decides by the pattern's capitals; a leading (?i) of an expression wins."""
@@ -28,84 +25,35 @@ def search_pattern(pattern: str, literal: bool = True, ignore_case: bool = False
     return insensitive(out) if ignore_case else out
 
 
-def may_be_empty(pattern: str) -> bool:
-    """Whether some match of the expression has no characters."""
-    try:
-        return _parser.parse(pattern).getwidth()[0] == 0
-    except re.error:
-        return False  # Java's dialect alone knows it
-
-
-def runs_away(pattern: str) -> bool:
-    """Whether an expression can take exponential time on a line: an endless repeat of what is itself nothing but an endless repeat, or
-    of alternatives that are the same. Expressions that Java's dialect alone knows are not judged."""
-    try:
-        parsed = _parser.parse(pattern)
-    except re.error:
-        return False
-
-    def inside(items, endless: bool) -> bool:
-        wide = [x for x in items if _parser.SubPattern(parsed.state, [x]).getwidth()[0] > 0]
-        for op, x in items:
-            name = str(op)
-            if name in ("MAX_REPEAT", "MIN_REPEAT"):
-                unbounded = x[1] is _parser.MAXREPEAT
-                if endless and unbounded and len(wide) <= 1 and (op, x) in (wide or [(op, x)]) or inside(x[2], unbounded):
-                    return True
-            elif name == "SUBPATTERN" and inside(x[3], endless and len(wide) <= 1):
-                return True
-            elif name == "BRANCH":
-                shown = [str(list(b)) for b in x[1]]
-                if endless and len(set(shown)) < len(shown) or any(inside(b, endless and len(wide) <= 1) for b in x[1]):
-                    return True
-        return False
-
-    return inside(parsed, False)
-
-
-def empty_hits_of(text: str | None, pattern: str) -> list[dict]:
-    """Matches of an expression that may match nothing, line by line; none after the last character of an unended text."""
-    lines = (text or "").split("\n")
-    ended = lines[-1] == ""
-    if ended:
-        lines.pop()
-    rx, out = re.compile(pattern, re.ASCII), []
-    for i, line in enumerate(lines):
-        line = line.removesuffix("\r")
-        last = len(line) if not ended and i == len(lines) - 1 and line else -1
-        if columns := [m.start() + 1 for m in rx.finditer(line) if not (m.start() == m.end() == last)]:
-            out.append({"line": i + 1, "columns": columns})
-    return out
-
-
-def empty_hits(text: Column, pattern: str) -> Column:
-    @F.pandas_udf(HIT)
-    def found(texts: pd.Series) -> pd.Series:
-        return pd.Series([empty_hits_of(t, pattern) for t in texts])
-
-    return found(text)
-
-
 def hit_lines(lines: Column, pattern: str) -> Column:
     """(line, columns) of each line of an array that has a match."""
     seen = F.transform(lines, lambda x, i: F.when(x.rlike(pattern), F.struct((i + 1).alias("line"), match_columns(x, pattern).alias("columns"))))
     return F.array_compact(seen)
 
 
+def has_match(text: Column, pattern: str) -> Column:
+    """Whether a line of the text has a match of an expression."""
+    return F.exists(line_array(text), lambda x: x.rlike(pattern)) if in_columns(pattern) else bounded_test(text, pattern)
+
+
 def grep(
-    files: DataFrame, pattern: str, literal: bool = True, ignore_case: bool = False, word: bool = False, smart_case: bool = False, before: int = 0, after: int = 0, enclosing: bool = False, depth: int = 0
+    files: DataFrame, pattern: str, literal: bool = True, ignore_case: bool = False, word: bool = False, smart_case: bool = False, before: int = 0, after: int = 0, enclosing: bool = False, depth: int = 0, seconds: float = MATCH_SECONDS
 ) -> DataFrame:
-    """path, line, col, text of every match in files (path, text); before, after (arrays) and enclosing as asked."""
+    """path, line, col, text of every match in files (path, text); before, after (arrays) and enclosing as asked.
+
+    Expressions that are not safe on Java's engine, and those that may match nothing, go to the matcher, which raises
+    MatchOverBudget where one text takes it more than `seconds`.
+    """
     rx = search_pattern(pattern, literal, ignore_case, word, smart_case)
-    if not literal and runs_away(rx):
-        raise ValueError(f"{pattern!r} repeats what can match in many ways; a line could hold a task for good")
     before, after = (max(0, min(CONTEXT_MAX, int(n))) for n in (before, after))
     rows = files.select("path", "text")
     if literal and not ignore_case and not smart_case:
         rows = rows.filter(F.contains(F.col("text"), F.lit(pattern)))
-    empty = may_be_empty(rx)
-    if empty:
-        rows = rows.withColumn("found", empty_hits(F.col("text"), rx))
+    given = not literal and (may_be_empty(rx) or not in_columns(rx))
+    if given:
+        rows = rows.withColumn("found", bounded_hits(F.col("text"), rx, seconds))
+    elif not literal:
+        compiled(rx)  # a wrong expression is refused here, not in a task
 
     def shown(hit: Column, lines: Column, symbols: Column | None) -> Column:
         at = hit["line"]
@@ -126,7 +74,7 @@ def grep(
 
     def of_lines(lines: Column) -> Column:
         # Lines, matches and symbols are worked out once a file, and symbols only for files with a match.
-        return let(F.col("found") if empty else hit_lines(lines, rx), lambda hits: F.when(F.size(hits) > 0, of_hits(lines, hits)))
+        return let(F.col("found") if given else hit_lines(lines, rx), lambda hits: F.when(F.size(hits) > 0, of_hits(lines, hits)))
 
     found = rows.select("path", F.explode(let(line_array(F.col("text")), of_lines)).alias("hit"))
     extra = [f"hit.{name}" for name, wanted in (("before", before), ("after", after), ("enclosing", enclosing)) if wanted]

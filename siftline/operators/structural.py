@@ -8,15 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.fixed_values import CALL_DEFINITION_BODY, CALL_DEFINITION_SHAPE, CALLED_NAME, CONSTRUCTOR_LINE, DEFINITION_HEAD
-from siftline.functions.text import line_array
 from siftline.operators.callers import callers
-from siftline.operators.grep import grep
+from siftline.operators.grep import grep, has_match
 from siftline.plans.structural_pattern import Structural, lower
 
 
 def files_with(files: DataFrame, pattern: str) -> DataFrame:
     """path of the files in which a line has a match; no join, and lines stay in their rows."""
-    return files.filter(F.exists(line_array(F.col("text")), lambda x: x.rlike(pattern))).select("path")
+    return files.filter(has_match(F.col("text"), pattern)).select("path")
 
 
 def defines_its_call(text: Column) -> Column:

@@ -73,6 +73,8 @@ ORACLE_SQL: dict[str, str] = {
 fre AS (SELECT path, n * pow(0.5, (epoch_us((SELECT max(ts) FROM events)) - epoch_us(last)) / 604800000000.0) AS f FROM s), fz AS ({fuzzy('doc')}) SELECT fz.path, score, round(coalesce(f, 0), 6) AS frecency FROM fz LEFT JOIN fre ON fz.path = fre.path""",
     "grep_literal": f"WITH {DOCS}, {lines_of('docs')}, {matches('the th')} SELECT * FROM matches",
     "grep_regex": f"WITH {DOCS}, {lines_of('docs')}, {matches('[aeiou]{3}r+e')} SELECT * FROM matches",
+    "grep_group_loop": f"WITH {DOCS}, {lines_of('docs')}, {matches('(?:th|er|en)+ing')} SELECT * FROM matches",
+    "grep_two_gaps": f"WITH {DOCS}, {lines_of('docs')}, {matches('the.*ing.*and')} SELECT * FROM matches",
     "grep_word": rf"WITH {DOCS}, {lines_of('docs')}, {matches(r'\b(?:stand|der)\b')} SELECT * FROM matches",
     "grep_icase": f"WITH {DOCS}, {lines_of('docs')}, {matches('(?i)license')} SELECT * FROM matches",
     "grep_smartcase": f"WITH {DOCS}, {lines_of('docs')}, {matches('Und ')} SELECT * FROM matches",

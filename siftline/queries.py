@@ -88,6 +88,8 @@ QUERIES = {
     "find_frecency": find_frecency,
     "grep_literal": _docs(lambda f: grep.grep(f, "the th")),
     "grep_regex": _docs(lambda f: grep.grep(f, "[aeiou]{3}r+e", literal=False)),
+    "grep_group_loop": _docs(lambda f: grep.grep(f, "(th|er|en)+ing", literal=False)),
+    "grep_two_gaps": _docs(lambda f: grep.grep(f, "the.*ing.*and", literal=False)),
     "grep_word": _docs(lambda f: grep.grep(f, "stand|der", literal=False, word=True)),
     "grep_icase": _docs(lambda f: grep.grep(f, "license", ignore_case=True)),
     "grep_smartcase": _docs(lambda f: grep.grep(f, "Und ", smart_case=True)),

@@ -56,15 +56,6 @@ def test_stream(spark, tmp_path):
     assert {r.path: r.opened for r in opens.current(spark, kept).collect()} == {"a": 3, "b": 1}
 
 
-def test_expressions_that_run_away(corpus):
-    from siftline.operators.grep import grep, runs_away
-
-    assert all(map(runs_away, ["(a|a)*b", "(a+)+$", r"(\w+\s*)+x", "((a+))+", "(?:a*)*"]))
-    assert not any(map(runs_away, [r"(?:\w+\.)+", "(a|b)*", "a+b+", "(foo|bar+)+", "[a-z]+(?:-[a-z]+)*"]))
-    with pytest.raises(ValueError):
-        grep(corpus({"a": "a" * 50}), "(a|a)*b", literal=False)
-
-
 def test_rewritten_text_is_not_filled_again(corpus):
     from siftline.operators.structural import rewrite_preview, structural
 
