@@ -5,6 +5,7 @@ PAGE_DEFAULT, PAGE_MAX = 30, 50
 MATCH_CAP = 20_000
 FILE_BYTES = 2 * 1024 * 1024
 READ_BYTES = 4 * 1024 * 1024
+PROBE_BYTES = 8192
 TREE_DEPTH = 25
 ROW_CHARS = 500
 CONTEXT_MAX = 5

@@ -71,6 +71,16 @@ ORACLE_SQL: dict[str, str] = {
     "find_dir_counts": f"WITH {DOCS}, f AS ({fuzzy('doc')}) SELECT regexp_replace(path, '/[^/]*$', '') AS dir, count(*) AS n FROM f GROUP BY 1",
     "find_frecency": f"""WITH {DOCS}, o AS (SELECT source || '/' || lang || '/doc_' || doc_id || '.txt' AS path, ts FROM events JOIN documents ON user_id = doc_id), s AS (SELECT path, count(*) AS n, max(ts) AS last FROM o GROUP BY 1),
 fre AS (SELECT path, n * pow(0.5, (epoch_us((SELECT max(ts) FROM events)) - epoch_us(last)) / 604800000000.0) AS f FROM s), fz AS ({fuzzy('doc')}) SELECT fz.path, score, round(coalesce(f, 0), 6) AS frecency FROM fz LEFT JOIN fre ON fz.path = fre.path""",
+    "ignored_paths": rf"""WITH {DOCS} SELECT DISTINCT path FROM docs WHERE path IS NOT NULL AND (regexp_matches(path, '^[^/]*1/de/') OR CASE WHEN regexp_matches(path, '/doc_[^/]*117\.txt$') THEN true WHEN path LIKE '%17.txt' THEN false ELSE path LIKE '%7.txt' END)""",
+    "bounded_reads": rf"""WITH {DOCS}, c AS (SELECT path, text, strlen(text) > 2048 AS long, list_max(list_filter(range(0, 2049), lambda k: strlen(left(text, k)) <= 2048))::INT AS fit FROM docs),
+k AS (SELECT *, CASE WHEN NOT long THEN text WHEN contains(left(text, fit), chr(10)) THEN regexp_extract(left(text, fit), '(?s)^.*\n') END AS kept FROM c)
+SELECT path, CASE WHEN text IS NULL THEN 'io' WHEN regexp_matches(coalesce(kept, text), '^\s*$') THEN 'empty' ELSE 'text' END AS status, CASE WHEN status = 'text' THEN coalesce(strlen(kept), 2048)::INT END AS bytes,
+  (status = 'text' AND long) AS truncated, CASE WHEN status = 'text' THEN length(coalesce(kept, '')) - length(replace(coalesce(kept, ''), chr(10), '')) END::INT AS ends FROM k""",
+    "folded_tree": """WITH f AS (SELECT DISTINCT 'all/' || source || '/by_lang/' || lang || '/doc_' || doc_id || '.txt' AS path FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL), p AS (SELECT path, string_split(path, '/') AS s FROM f),
+d AS (SELECT DISTINCT array_to_string(s[1:k], '/') AS dir, k FROM (SELECT s, unnest(range(1, len(s)))::INT AS k FROM p)), kids AS (SELECT array_to_string(string_split(dir, '/')[1:k - 1], '/') AS dir, count(*) AS n FROM d GROUP BY 1),
+own AS (SELECT array_to_string(s[1:len(s) - 1], '/') AS dir, count(*) AS n FROM p GROUP BY 1), shown AS (SELECT d.dir FROM d LEFT JOIN kids USING (dir) LEFT JOIN own USING (dir) WHERE own.n > 0 OR kids.n > 1),
+placed AS (SELECT a.dir, count(b.dir) AS depth, max(length(b.dir)) AS taken FROM shown a LEFT JOIN shown b ON starts_with(a.dir, b.dir || '/') GROUP BY 1)
+SELECT 'dir' AS kind, depth, substr(dir, coalesce(taken + 2, 1)) AS name, dir AS path FROM placed UNION ALL SELECT 'file', depth + 1, s[-1], path FROM p JOIN placed ON dir = array_to_string(s[1:len(s) - 1], '/')""",
     "grep_literal": f"WITH {DOCS}, {lines_of('docs')}, {matches('the th')} SELECT * FROM matches",
     "grep_regex": f"WITH {DOCS}, {lines_of('docs')}, {matches('[aeiou]{3}r+e')} SELECT * FROM matches",
     "grep_group_loop": f"WITH {DOCS}, {lines_of('docs')}, {matches('(?:th|er|en)+ing')} SELECT * FROM matches",

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.operators import callers, find, frecency, grep, lexical, repo_map, semantic, structural, symbols, tags
+from siftline.operators import callers, find, frecency, grep, ignored, lexical, path_tree, repo_map, semantic, structural, symbols, tags
 from siftline.plans.corpus_sql import QUESTION
+from siftline.sources import tree
 from siftline.sources.tables import code_corpus, documents_corpus, opens_log, pages_corpus, table
 
 
@@ -73,6 +74,26 @@ def map_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("path", shown.alias("symbols"), "in_degree", F.round("weight", 6).alias("weight"))
 
 
+def ignored_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of the top, of each source and of each language below it, over the documents' paths."""
+    docs = table(spark, sf_dir, "documents")
+    rule = lambda folder, n, pattern: docs.select(folder.alias("dir"), F.lit(n).alias("n"), F.lit(pattern).alias("pattern")).distinct()
+    rules = rule(F.lit(""), 0, "*7.txt").unionByName(rule(F.col("source"), 1, "!*17.txt")).unionByName(rule(F.concat("source", F.lit("/"), "lang"), 0, "doc_*117.txt"))
+    closed = docs.filter("source LIKE '%1'").select(F.col("source").alias("dir"), F.lit(0).alias("n"), F.lit("/de/").alias("pattern")).distinct()
+    return ignored.ignored(documents_corpus(spark, sf_dir), rules.unionByName(closed))
+
+
+def bounded_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = documents_corpus(spark, sf_dir).select("path", tree.bounded(F.col("text").cast("binary"), 2048).alias("r"))
+    return files.select("path", "r.status", "r.bytes", "r.truncated", F.regexp_count("r.text", F.lit("\n")).alias("ends"))
+
+
+def folded_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat(F.lit("all/"), "source", F.lit("/by_lang/"), "lang", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return path_tree.path_tree(docs.select(path.alias("path"))).select("kind", "depth", "name", "path")
+
+
 def _docs(act):
     return lambda spark, sf_dir: act(documents_corpus(spark, sf_dir))
 
@@ -86,6 +107,9 @@ QUERIES = {
     "find_filtered": _docs(lambda f: find.find(f, "src1/ doc_*[13579].txt !src1/de/ !fr doc")),
     "find_dir_counts": _docs(lambda f: find.directory_counts(find.find(f, "doc"))),
     "find_frecency": find_frecency,
+    "ignored_paths": ignored_paths,
+    "bounded_reads": bounded_reads,
+    "folded_tree": folded_tree,
     "grep_literal": _docs(lambda f: grep.grep(f, "the th")),
     "grep_regex": _docs(lambda f: grep.grep(f, "[aeiou]{3}r+e", literal=False)),
     "grep_group_loop": _docs(lambda f: grep.grep(f, "(th|er|en)+ing", literal=False)),

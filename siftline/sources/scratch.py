@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local: dict[str, str] = {}
 
@@ -29,6 +30,15 @@ def stored(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+#: Rows of paths or keys up to this many are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """The stored rows, marked for broadcast if they are at most BROADCAST_ROWS."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
 def release(spark: SparkSession) -> None:
     """Delete what `stored` wrote in this application. Call it once results have been saved."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder(spark))
