@@ -38,7 +38,7 @@ TABLE_ROWS = 1_000_000
 #: Bytes of text that are hashed at a time.
 SLICE = 2 << 20
 #: A random number for each byte at each place in a block of eight, and an odd step between blocks.
-PLACES, STEP = np.random.default_rng(20).integers(1 << 64, size=(8, 256), dtype=np.uint64), np.uint64(0x9E3779B97F4A7C15)
+PLACES, STEP = np.random.default_rng(20).integers(1 << 64, size=8 * 256, dtype=np.uint64), np.uint64(0x9E3779B97F4A7C15)
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 WHITE = byte_class(b" \t\n\x0b\x0c\r")
 
@@ -61,13 +61,17 @@ def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     first[1:] &= ~inside[:-1]
     first[offsets[:-1][offsets[:-1] < len(flat)]] = inside[offsets[:-1][offsets[:-1] < len(flat)]]
     begins, where = np.flatnonzero(first), np.flatnonzero(inside)
-    at = np.searchsorted(where, begins)
+    at = np.flatnonzero(first[where])
     sizes = np.diff(np.append(at, len(where)))
-    place = np.arange(len(where)) - np.repeat(at, sizes)
-    blocks = np.flatnonzero((place & 7) == 0)
-    sums = np.add.reduceat(PLACES[place & 7, LOWER[flat[where]]], blocks) if len(blocks) else np.zeros(0, np.uint64)
-    sums = mixed(sums + (place[blocks] >> 3).astype(np.uint64) * STEP)
-    h = mixed(np.add.reduceat(sums, np.searchsorted(blocks, at))).view(np.int64) if len(at) else sums.view(np.int64)
+    place = np.arange(len(where), dtype=np.int32) - np.repeat(at.astype(np.int32), sizes)
+    within = (place & 7).astype(np.uint16)
+    blocks = np.flatnonzero(within == 0)
+    if len(at):
+        sums = np.add.reduceat(PLACES.take((within << 8) | LOWER[flat[where]]), blocks)
+        sums = mixed(sums + (place[blocks] >> 3).astype(np.uint64) * STEP)
+        h = mixed(np.add.reduceat(sums, starts_of((sizes + 7) >> 3))).view(np.int64)
+    else:
+        h = np.zeros(0, np.int64)
     n_words = np.diff(np.searchsorted(begins, offsets))
     out = np.full(len(begins) + len(texts), END, np.int64)
     out[np.arange(len(begins)) + np.repeat(np.arange(len(texts)), n_words)] = h

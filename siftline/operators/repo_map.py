@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.fixed_values import CAPSULE_CANDIDATES, CAPSULE_MENTIONS, CODE_EXTENSIONS, DOC_LINE, DOC_LINES, IMPORT_SPECS, IMPORT_WORDS, MENTION_OF_DEFINITION, PAGE_MAX
@@ -50,13 +50,6 @@ def repo_map(files: DataFrame, frecency: DataFrame | None = None, modified: Data
     return rows.select("path", "symbols", "in_degree", changed.alias("modified"), (fre + changed.cast("double") + F.log1p(F.col("in_degree"))).alias("weight"))
 
 
-def fitting(ranked: DataFrame, size: Column, order: list[Column], budget: int) -> DataFrame:
-    """The longest head of the order whose blocks, with a newline between, fit the budget: for one page of at most that many rows."""
-    page = ranked.orderBy(*order).limit(budget)
-    total = F.sum(size + 1).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - 1
-    return page.withColumn("__total", total).filter(F.col("__total") <= budget).drop("__total")
-
-
 def definition(files: DataFrame, symbol: str, ignore_case: bool = False, within: str | None = None) -> DataFrame:
     """At most one row path, line, kind, doc: the definition among the files that mention the symbol most, sources first."""
     name = bounded(quoted(symbol))
@@ -99,4 +92,16 @@ def capsule(files: DataFrame, symbol: str, ignore_case: bool = False, within: st
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-__all__ = ["capsule", "definition", "fitting", "import_keys", "in_degrees", "repo_map"]
+def capsule_totals(files: DataFrame, symbol: str, ignore_case: bool = False, within: str | None = None) -> DataFrame:
+    """part (caller, import, all), n, files: how many rows the parts of a dossier have before its limit, and in how many files; `all` counts the definition's file too."""
+    inside = path_filter(F.col("path"), within)
+    files = stored(files.filter(mentions(symbol, ignore_case)).select("path", "text"))
+    part = lambda name, rows: rows.select(F.lit(name).alias("part"), "path")
+    importing = IMPORT_WORDS + r"[^\n]*" + bounded(quoted(symbol))
+    rows = part("caller", callers(files, symbol, 1, ignore_case)).unionByName(part("import", grep(files, importing, literal=False, ignore_case=ignore_case))).filter(inside)
+    rows = stored(rows.unionByName(part("definition", definition(files, symbol, ignore_case, within))))
+    count = (F.count(F.lit(1)).alias("n"), F.count_distinct("path").alias("files"))
+    return rows.filter("part <> 'definition'").groupBy("part").agg(*count).unionByName(rows.agg(F.lit("all").alias("part"), *count))
+
+
+__all__ = ["capsule", "capsule_totals", "definition", "import_keys", "in_degrees", "repo_map"]

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import re
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import functions as F
 
 from siftline.functions.fixed_values import MAX_CHARS, PAGE_DEFAULT, PAGE_MAX, QUESTION_WORDS, REGEX_SYNTAX, SUMMARY_TOP
 
@@ -18,24 +21,31 @@ def page_size(limit: int | float | None) -> int:
     return min(PAGE_MAX, int(limit))
 
 
+#: A column that pages are ordered by, and whether the largest comes first. Nulls are least.
+Key = tuple[str, bool]
+MATCHES: tuple[Key, ...] = (("path", False), ("line", False), ("col", False))
+
+
 @dataclass(frozen=True)
 class Cursor:
-    """Where a search goes on; it holds for as many rows as there were when it was made."""
+    """Where a search goes on: after the row with these keys, in the snapshot that the first page saw."""
 
     query: str
-    offset: int
+    snapshot: str
+    last: list
+    shown: int
     total: int
 
     def token(self) -> str:
         return base64.urlsafe_b64encode(json.dumps(asdict(self)).encode()).decode()
 
     @staticmethod
-    def of(token: str, query: str, total: int) -> Cursor:
+    def of(token: str, query: str, snapshot: str) -> Cursor:
         try:
             found = Cursor(**json.loads(base64.urlsafe_b64decode(token)))
         except (ValueError, TypeError) as e:
             raise ValueError("not a cursor") from e
-        if found.query != query or found.total != total:
+        if found.query != query or found.snapshot != snapshot:
             raise ValueError("results changed since page 1; run it again without a cursor")
         return found
 
@@ -47,13 +57,45 @@ class Page:
     next: str | None
 
 
-def page(ordered: DataFrame, query: str, limit: int | None = None, token: str | None = None) -> Page:
-    """A page of an ordered relation, and the token of the next one."""
-    size, total = page_size(limit), ordered.count()
-    offset = Cursor.of(token, query, total).offset if token else 0
-    rows = ordered.offset(offset).limit(size).collect()
-    after = offset + len(rows)
-    return Page(rows, total, Cursor(query, after, total).token() if after < total else None)
+def snapshot(rows: DataFrame) -> str:
+    """What tells whether the files behind a relation changed: a digest of their names, sizes and times. Relations without files are one snapshot."""
+    spark = rows.sparkSession
+    digest = hashlib.sha256()
+    for name in sorted(rows.inputFiles()):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+        digest.update(f"{name} {status.getLen()} {status.getModificationTime()}\n".encode())
+    return digest.hexdigest()[:16]
+
+
+def after(keys: Sequence[Key], last: Sequence) -> Column:
+    """Whether a row comes after the one with these key values."""
+    out, same = F.lit(False), F.lit(True)
+    for (name, down), value in zip(keys, last):
+        c, v = F.col(name), F.lit(value)
+        if value is None:
+            later = F.lit(False) if down else c.isNotNull()
+        else:
+            later = (c < v) | c.isNull() if down else c > v
+        out, same = out | same & F.coalesce(later, F.lit(False)), same & c.eqNullSafe(v)
+    return out
+
+
+def page(rows: DataFrame, keys: Sequence[Key], query: str, limit: int | None = None, token: str | None = None, source: DataFrame | None = None) -> Page:
+    """A page in the order of the keys, which name a row, and the token of the next one.
+
+    A page is one top-k: a later one seeks the rows after the last one shown, and counts nothing. The rows are counted for the first page alone. source: the
+    relation whose files the snapshot is of, if not rows.
+    """
+    size, now = page_size(limit), snapshot(rows if source is None else source)
+    known = Cursor.of(token, query, now) if token else None
+    total = known.total if known else rows.count()
+    left = rows.filter(after(keys, known.last)) if known else rows
+    order = [F.desc_nulls_last(c) if down else F.asc_nulls_first(c) for c, down in keys]
+    got = left.orderBy(*order).limit(size + 1).collect()
+    shown, more = got[:size], len(got) > size
+    at = (known.shown if known else 0) + len(shown)
+    return Page(shown, total, Cursor(query, now, [shown[-1][c] for c, _ in keys], at, total).token() if more else None)
 
 
 def match_text(row: Row, concise: bool = False) -> str:
@@ -92,6 +134,11 @@ def nothing_found(pattern: str, literal: bool = True) -> str:
     return "; ".join([f'0 matches for "{pattern}" ({"literal" if literal else "expression"})', *hints])
 
 
+def nothing_found_by_path(query: str, scanned: int, relaxed: str | None = None) -> str:
+    """What to say of a path search without matches: how many files there were, and what else was tried."""
+    return f'0 matches{f" for {query!r}" if relaxed else ""} ({scanned} files scanned{f"; relaxed to {relaxed!r}" if relaxed else ""})'
+
+
 def within_budget(text: str, max_chars: int | None, counts: dict[str, int]) -> str:
     """The text, or where it is too long the largest counts."""
     if max_chars is not None and not 1 <= max_chars:

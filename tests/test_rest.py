@@ -6,15 +6,15 @@ from siftline.streaming import opens
 
 
 def test_pages(spark):
-    rows = spark.range(75).withColumnRenamed("id", "n").orderBy("n")
-    first = pages.page(rows, "q")
+    rows = spark.range(75).withColumnRenamed("id", "n")
+    first = pages.page(rows, [("n", False)], "q")
     assert len(first.rows) == 30 and first.total == 75
-    second = pages.page(rows, "q", 50, first.next)
+    second = pages.page(rows, [("n", False)], "q", 50, first.next)
     assert [r.n for r in second.rows] == list(range(30, 75)) and second.next is None
     with pytest.raises(ValueError):
-        pages.page(rows, "other", 50, first.next)
+        pages.page(rows, [("n", False)], "other", 50, first.next)
     with pytest.raises(ValueError):
-        pages.Cursor.of("x", "q", 1)
+        pages.Cursor.of("x", "q", "")
     assert [pages.page_size(x) for x in (None, 0, -1, float("nan"), 7, 99)] == [30, 30, 30, 30, 7, 50]
     assert pages.within_budget("abcdef", 3, {"x": 1, "y": 2}) == "y: 2, x: 1" and pages.within_budget("abc", 3, {}) == "abc"
     assert pages.human_size(10) == "10 B" and pages.human_size(2048) == "2.0 KB"
