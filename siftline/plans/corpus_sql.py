@@ -115,6 +115,14 @@ SELECT c.path, 'def ' || regexp_extract(text, '(?m)^def (\w+)', 1) AS symbols, c
     "capsule": rf"""WITH {CODE}, {lines_of('code')}, {SYMBOLS}, {_RING1},
 i AS (SELECT path, line, 1 AS col, raw AS text FROM lines WHERE regexp_matches(raw, '(import|from)\b.*\bpart_1\b') ORDER BY path, line LIMIT 10), c AS (SELECT path, line, col, text FROM ring1 ORDER BY path, line LIMIT 10)
 SELECT 'definition' AS part, 'parts/part_1.py' AS path, 1 AS line, 1 AS col, 'def' AS text UNION ALL SELECT 'caller', * FROM c UNION ALL SELECT 'import', * FROM i""",
+    "capsule_totals": rf"""WITH {CODE}, {lines_of('code')}, {SYMBOLS}, {_RING1}, r AS (SELECT 'caller' AS part, path FROM ring1 UNION ALL SELECT 'import', path FROM lines WHERE regexp_matches(raw, '(import|from)\b.*\bpart_1\b') UNION ALL SELECT 'definition', 'parts/part_1.py')
+SELECT part, count(*) AS n, count(DISTINCT path) AS files FROM r WHERE part <> 'definition' GROUP BY 1 UNION ALL SELECT 'all', count(*), count(DISTINCT path) FROM r""",
+    "map_fitting": rf"""WITH {CODE}, k AS (SELECT path, regexp_extract(text, '^from (\S+) import ', 1) AS spec FROM code), n AS (SELECT spec, count(DISTINCT path) AS n FROM k WHERE spec <> '' GROUP BY 1),
+d AS (SELECT c.path, coalesce(n, 0) AS in_degree, length(c.path || ':  def ' || regexp_extract(text, '(?m)^def (\w+)', 1)) + 2 AS size FROM code c LEFT JOIN n ON regexp_extract(c.path, '([^/]*)\.py$', 1) = spec)
+SELECT path, in_degree FROM (SELECT *, sum(size) OVER (ORDER BY in_degree DESC, path) - 1 AS upto FROM d) WHERE upto <= 8000""",
+    "grep_later_page": f"WITH {DOCS}, {lines_of('docs')}, {matches('the th')} SELECT * FROM matches WHERE (path, line, col) > ('src1/en/doc_5', 1, 1) ORDER BY path, line, col LIMIT 50",
+    "judged_names": f"""WITH {DOCS}, {lines_of('docs')}, {counts(KEYWORDS)}, l AS (SELECT path, round({_LEX}, 6) AS lex FROM counts, idf), r AS (SELECT path, row_number() OVER (ORDER BY lex DESC, path) - 1 AS place FROM l QUALIFY place < 128)
+SELECT place // 64 AS request, format('e{{:03d}}', place % 64) AS key, path, CASE WHEN length(path) % 7 <> 0 AND length(path) % 10 <= 8 THEN (length(path) % 10) / 8 END AS p FROM r""",
     "lexical_counts": f"WITH {DOCS}, {lines_of('docs')}, {counts(KEYWORDS)} SELECT * FROM counts",
     "lexical_idf": f"WITH {DOCS}, {lines_of('docs')}, {counts(KEYWORDS)} " + " UNION ALL ".join(f"SELECT '{w}' AS keyword, round(w{i}, 9) AS weight FROM idf" for i, w in enumerate(KEYWORDS)),
     "lexical_rank": f"WITH {DOCS}, {lines_of('docs')}, {counts(KEYWORDS)} SELECT path, round({_LEX}, 6) AS lex FROM counts, idf",

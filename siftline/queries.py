@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.functions.fixed_values import CANDIDATES, MAP_CHARS, NAME_BATCH, PAGE_MAX
 from siftline.operators import callers, find, frecency, grep, ignored, lexical, path_tree, repo_map, semantic, structural, symbols, tags
+from siftline.operators.budget import fitting
+from siftline.plans import pages
 from siftline.plans.corpus_sql import QUESTION
 from siftline.sources import tree
+from siftline.sources.scratch import stored
 from siftline.sources.tables import code_corpus, documents_corpus, opens_log, pages_corpus, table
 
 
@@ -94,6 +98,29 @@ def folded_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return path_tree.path_tree(docs.select(path.alias("path"))).select("kind", "depth", "name", "path")
 
 
+def map_fitting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The heaviest files of the map, as many as fit the map's budget when shown."""
+    rows = map_rows(spark, sf_dir)
+    size = F.length("path") + F.length("symbols") + 4
+    return fitting(rows, size, [F.desc("in_degree"), F.asc("path")], MAP_CHARS).select("path", "in_degree")
+
+
+def grep_later_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page of matches that follows a given one, sought by its last row."""
+    found = grep.grep(documents_corpus(spark, sf_dir), "the th").filter(pages.after(pages.MATCHES, ("src1/en/doc_5", 1, 1)))
+    return grep.in_order(found).limit(PAGE_MAX)
+
+
+def judged_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for the best names, and the answers of a judge that leaves out some and gives the others backwards."""
+    counts, words = _ranking(spark, sf_dir)
+    counts = stored(counts)
+    best = lexical.lexical_scores(counts, words, lexical.idf(counts, words)).withColumn("lex", F.round("lex", 6)).orderBy(F.desc("lex"), "path").limit(CANDIDATES)
+    asked = stored(semantic.requests(best, NAME_BATCH, [F.desc("lex"), F.asc("path")], "e", 3))
+    given = semantic.answers(asked, "path", QUESTION, lambda question, entries: {k: len(t) % 10 / 8 for k, t in reversed(entries.items()) if len(t) % 7})
+    return semantic.answered(asked, given).select("request", "key", "path", "p")
+
+
 def _docs(act):
     return lambda spark, sf_dir: act(documents_corpus(spark, sf_dir))
 
@@ -137,6 +164,10 @@ QUERIES = {
     "module_in_degree": _code(repo_map.in_degrees),
     "repo_map": map_rows,
     "capsule": _code(lambda f: repo_map.capsule(f, "part_1")),
+    "capsule_totals": _code(lambda f: repo_map.capsule_totals(f, "part_1")),
+    "map_fitting": map_fitting,
+    "grep_later_page": grep_later_page,
+    "judged_names": judged_names,
     "lexical_counts": lexical_counts,
     "lexical_idf": lexical_idf,
     "lexical_rank": lexical_rank,
