@@ -137,6 +137,16 @@ def test_suffix_tree_against_brute_force(spark):
         assert (r.score, r.mean_depth) == pytest.approx(brute(texts[r.doc_id])[:2])
 
 
+def test_places():
+    rnd = np.random.default_rng(3)
+    for table in (np.unique(rnd.integers(-(1 << 62), 1 << 62, 9000)), np.arange(5000) * 7, np.sort(rnd.choice(1 << 20, 6000, replace=False)) << 40):
+        keys = np.concatenate([rnd.choice(table, 6000), rnd.integers(-(1 << 62), 1 << 62, 3000), table[:50] + 1])
+        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+        want = np.where(table[at] == keys, at, -1)
+        assert (suffix_tree.find(table, keys) == want).all() and (suffix_tree.find(table, keys[:100]) == want[:100]).all()
+        assert (suffix_tree.find(table, keys[::2]) == want[::2]).all()
+
+
 def test_symbols_of_regular_words():
     morse = [0]
     while len(morse) < 4096:
