@@ -2,7 +2,6 @@ import pytest
 
 from siftline.plans import pages
 from siftline.sources import open_store
-from siftline.streaming import opens
 
 
 def test_pages(spark):
@@ -44,18 +43,6 @@ def test_store(spark, tmp_path):
     assert (row.path, row.opened, row["last"].month) == ("a", 2, 2)
 
 
-def test_stream(spark, tmp_path):
-    log = spark.createDataFrame([("a",), ("a",), ("b",)], "path string").selectExpr("path", "timestamp'2024-01-01' AS ts")
-    log.write.parquet(str(tmp_path / "in"))
-    kept = str(tmp_path / "counts")
-    run = lambda: opens.into_table(opens.counted(opens.opens(spark, str(tmp_path / "in"))), kept, str(tmp_path / "state")).awaitTermination()
-    run()
-    assert {r.path: r.opened for r in opens.current(spark, kept).collect()} == {"a": 2, "b": 1}
-    log.limit(1).write.mode("append").parquet(str(tmp_path / "in"))
-    run()
-    assert {r.path: r.opened for r in opens.current(spark, kept).collect()} == {"a": 3, "b": 1}
-
-
 def test_rewritten_text_is_not_filled_again(corpus):
     from siftline.operators.structural import rewrite_preview, structural
 
