@@ -17,10 +17,15 @@ IMPORTING = IMPORT_WORDS + r"[^\n]*"
 MEMBER = r"\.([\w$]+)"
 
 
-def sites(files: DataFrame, ignore_case: bool = False) -> DataFrame:
-    """path, line, col, text, sym, form (0 call, 1 import, 2 member), owner (the nearest symbol above) of each site.
+#: Symbols of a ring up to this many go into the expressions that look for their sites; more meet the sites by a join.
+AMONG = 10_000
 
-    Lines that define the symbol are no sites of it. One pass over the texts serves any number of symbols.
+
+def sites(files: DataFrame, ignore_case: bool = False, owners: bool = True, among: list[str] | None = None) -> DataFrame:
+    """path, line, col, text, sym, form (0 call, 1 import, 2 member), owner (the nearest symbol above, null unless asked for) of each site.
+
+    Lines that define the symbol are no sites of it. One pass over the texts serves any number of symbols. among: the symbols whose sites
+    are wanted; lines that name none of them go no further than that test, and no site of another symbol leaves its row.
     """
     fold = F.lower if ignore_case else (lambda c: c)
     none = F.slice(F.array(F.struct(F.lit("").alias("sym"), F.lit(0).alias("col"), F.lit(0).alias("form"))), 1, 0)
@@ -39,6 +44,15 @@ def sites(files: DataFrame, ignore_case: bool = False) -> DataFrame:
         cut = lambda some: F.transform(F.filter(some, lambda x: F.contains(x["sym"], F.lit("$"))), lambda x: x.withField("sym", F.regexp_extract(x["sym"], r"^\w+", 0)))
         return let(named(raw, MEMBER, 2), lambda some: F.concat(some, F.filter(cut(some), lambda x: x["sym"] != "")))
 
+    def wanted(sym: Column) -> Column:
+        return F.lit(True) if among is None else fold(sym).isin(among)
+
+    def touches(raw: Column) -> Column:
+        if among is None:
+            return F.lit(True)
+        tokens = lambda pattern: F.exists(F.regexp_extract_all(raw, F.lit(pattern), F.lit(1)), wanted)
+        return tokens(f"({IDENTIFIER})") | (F.contains(raw, F.lit("$")) & tokens(r"(\w+)"))
+
     def of_line(raw: Column, i: Column, symbols: Column) -> Column:
         def of_text(text: Column) -> Column:
             shape = F.regexp_extract(text, DEFINING_SHAPE + rf"({IDENTIFIER})\s*\([^;]*\)\s*[:{{]", 1)
@@ -47,13 +61,14 @@ def sites(files: DataFrame, ignore_case: bool = False) -> DataFrame:
                 F.when(raw.rlike(IMPORT_WORDS), imported(raw)).otherwise(none),
                 F.when(F.contains(raw, F.lit(".")), membered(raw)).otherwise(none),
             )
-            kept = let(shape, lambda defined: F.filter(every, lambda x: (fold(x["sym"]) != fold(defined)) & ~_constructs(text, x["sym"])))
+            kept = let(shape, lambda defined: F.filter(every, lambda x: wanted(x["sym"]) & (fold(x["sym"]) != fold(defined)) & ~_constructs(text, x["sym"])))
             row = lambda x, owner: F.struct((i + 1).alias("line"), x["col"].alias("col"), text.alias("text"), fold(x["sym"]).alias("sym"), x["form"].alias("form"), owner.alias("owner"))
-            return F.when(~text.rlike(DEFINING), let(_owner(symbols, i + 1), lambda owner: F.transform(kept, lambda x: row(x, owner))))
+            owner = _owner(symbols, i + 1) if owners else F.lit(None).cast("string")
+            return F.when(~text.rlike(DEFINING), let(owner, lambda owner: F.transform(kept, lambda x: row(x, owner))))
 
-        return F.when(raw.rlike(r"[(.]|" + IMPORT_WORDS), let(row_text(raw), of_text))
+        return F.when(raw.rlike(r"[(.]|" + IMPORT_WORDS) & touches(raw), let(row_text(raw), of_text))
 
-    return _exploded(files, of_line, True)
+    return _exploded(files, of_line, owners)
 
 
 def _owner(symbols: Column, line: Column) -> Column:
@@ -115,7 +130,7 @@ def callers(files: DataFrame, symbol: str, depth: int = 1, ignore_case: bool = F
     """path, line, col, text, depth, via: the sites of symbol, then those of the symbols around them, each line once.
 
     A ring is an equi-join of sites and symbols, less the lines that were seen. Rings before the last are stored, as later ones
-    start from them; all sites of the corpus are stored only where two rings need them.
+    start from them. Each ring looks for the sites of its symbols alone, unless they are more than AMONG, and for owners only if a ring follows.
     """
     if not symbol:
         raise ValueError("a symbol is needed")
@@ -125,8 +140,6 @@ def callers(files: DataFrame, symbol: str, depth: int = 1, ignore_case: bool = F
     ring = pattern_sites(files, symbol, ignore_case, owners=depth > 1).withColumn("rank", F.lit(None).cast("struct<path:string,line:int>"))
     out = _once(ring).withColumn("depth", F.lit(1))
     if depth > 1:
-        known = sites(files, ignore_case)
-        known = stored(known) if depth > 2 else known
         asked = spark.createDataFrame([(first,)], "sym string")
     for n in range(2, depth + 1):
         out = stored(out)
@@ -134,8 +147,10 @@ def callers(files: DataFrame, symbol: str, depth: int = 1, ignore_case: bool = F
         fold = F.lower if ignore_case else (lambda c: c)
         # Symbols in the order in which their sites come; that order decides which symbol a line is found by.
         around = last.filter("owner IS NOT NULL").groupBy(fold(F.col("owner")).alias("sym")).agg(F.min(F.struct("path", "line")).alias("rank"))
-        around = around.join(asked, "sym", "left_anti")
+        around = stored(around.join(asked, "sym", "left_anti"))
         asked = asked.unionByName(around.select("sym"))
+        some = [r.sym for r in around.select("sym").limit(AMONG + 1).collect()]
+        known = sites(files, ignore_case, n < depth, some if len(some) <= AMONG else None)
         ring = known.join(around, "sym").join(out.select("path", "line"), ["path", "line"], "left_anti")
         out = out.unionByName(_once(ring).withColumn("depth", F.lit(n)))
     return out.select("path", "line", "col", "text", "depth", F.col("sym").alias("via"))

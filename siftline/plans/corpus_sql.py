@@ -95,6 +95,19 @@ SELECT m.path, m.line, m.col, m.text, coalesce(before, '') AS before, coalesce(a
     "grep_capped": f"WITH {DOCS}, {lines_of('docs')}, {matches('the th')} SELECT * FROM matches ORDER BY path, line, col LIMIT 1000",
     "grep_enclosing": f"WITH {CODE}, {lines_of('code')}, {SYMBOLS}, {matches('part_7')} SELECT m.path, m.line, m.col, m.text, s.kind || ' ' || s.name || ' ' || s.line AS enclosing FROM matches m ASOF LEFT JOIN symbols s ON m.path = s.path AND s.line <= m.line",
     "outline": f"WITH {CODE}, {lines_of('code')}, {SYMBOLS} SELECT path, line, strpos(raw, name)::INT AS col, kind, name FROM symbols",
+    "outline_languages": """WITH s AS (
+SELECT 'ts/part_' || p_partkey || '.ts' AS path, unnest([{'line': 3, 'col': 14, 'kind': 'class', 'name': 'Part_' || p_partkey}, {'line': 4, 'col': 3, 'kind': 'method', 'name': 'size'}, {'line': 7, 'col': 7, 'kind': 'const', 'name': 'make_' || p_partkey}]) AS x FROM part
+UNION ALL SELECT 'go/supplier_' || s_suppkey || '.go', unnest([{'line': 2, 'col': 6, 'kind': 'type', 'name': 'Supplier_' || s_suppkey}, {'line': 3, 'col': 21 + length(s_suppkey::VARCHAR), 'kind': 'func', 'name': 'Name_' || s_suppkey}]) FROM supplier
+UNION ALL SELECT 'c/supplier_' || s_suppkey || '.c', unnest([{'line': 2, 'col': 8, 'kind': 'struct', 'name': 'Box_' || s_suppkey}, {'line': 3, 'col': 5, 'kind': 'function', 'name': 'supplier_' || s_suppkey}]) FROM supplier
+UNION ALL SELECT 'java/Customer_' || c_custkey || '.java', unnest([{'line': 2, 'col': 14, 'kind': 'class', 'name': 'Customer_' || c_custkey}, {'line': 3, 'col': 10, 'kind': 'ctor', 'name': 'Customer_' || c_custkey}, {'line': 4, 'col': 21, 'kind': 'method', 'name': 'total_' || c_custkey}]) FROM customer
+UNION ALL SELECT 'rust/nation_' || n_nationkey || '.rs', unnest([{'line': 2, 'col': 12, 'kind': 'struct', 'name': 'Nation_' || n_nationkey}, {'line': 3, 'col': 6, 'kind': 'impl', 'name': 'Nation_' || n_nationkey}, {'line': 4, 'col': 14, 'kind': 'fn', 'name': 'of_' || n_nationkey}]) FROM nation
+UNION ALL SELECT 'doc/region_' || r_regionkey || '.md', unnest([{'line': 1, 'col': 3, 'kind': 'heading', 'name': 'Region_' || r_regionkey}, {'line': 2, 'col': 3, 'kind': 'list', 'name': 'item_' || r_regionkey}]) FROM region)
+SELECT path, x.line::INT AS line, x.col::INT AS col, x.kind AS kind, x.name AS name FROM s""",
+    "import_forms": """WITH files AS (SELECT 'ts/part_' || p_partkey || '.ts' AS path, CASE WHEN p_partkey % 2 = 0 THEN 'part_1' ELSE 'part_2' END AS key FROM part UNION ALL SELECT 'go/supplier_' || s_suppkey || '.go', NULL FROM supplier UNION ALL SELECT 'c/supplier_' || s_suppkey || '.c', 'supplier_1' FROM supplier
+UNION ALL SELECT 'java/Customer_' || c_custkey || '.java', NULL FROM customer UNION ALL SELECT 'rust/nation_' || n_nationkey || '.rs', 'nation_1' FROM nation UNION ALL SELECT 'doc/region_' || r_regionkey || '.md', NULL FROM region),
+n AS (SELECT key, count(*) AS n FROM files WHERE key IS NOT NULL GROUP BY key), own AS (SELECT *, lower(regexp_extract(path, '([^/]*)[.][a-z]*$', 1)) AS name FROM files)
+SELECT path, coalesce(n, 0) - CASE WHEN own.key = name THEN 1 ELSE 0 END AS in_degree FROM own LEFT JOIN n ON n.key = name""",
+    "capsule_documented": "SELECT 'definition' AS part, 'ts/part_1.ts' AS path, 3 AS line, 1 AS col, 'class' || chr(10) || '/** Part 1. */' AS text FROM part WHERE p_partkey = 1",
     "outline_kind_counts": f"WITH {CODE}, {lines_of('code')}, {SYMBOLS} SELECT kind, count(*) AS n FROM symbols GROUP BY 1",
     "callers_d1": f"WITH {CODE}, {lines_of('code')}, {SYMBOLS}, {_RING1} SELECT path, line, col, text, 1 AS depth, 'part_1' AS via FROM ring1",
     "callers_d2": rf"""WITH {CODE}, {lines_of('code')}, {SYMBOLS}, {_RING1} SELECT path, line, col, text, 1 AS depth, 'part_1' AS via FROM ring1

@@ -12,7 +12,7 @@ from siftline.plans import pages
 from siftline.plans.corpus_sql import QUESTION
 from siftline.sources import tree
 from siftline.sources.scratch import stored
-from siftline.sources.tables import code_corpus, documents_corpus, opens_log, pages_corpus, table
+from siftline.sources.tables import code_corpus, documents_corpus, opens_log, pages_corpus, polyglot_corpus, table
 
 
 def _last_event(spark: SparkSession, sf_dir: str):
@@ -150,6 +150,9 @@ QUERIES = {
     "grep_capped": _docs(lambda f: grep.capped(grep.grep(f, "the th"), 1000)),
     "grep_enclosing": grep_enclosing,
     "outline": _code(symbols.outline),
+    "outline_languages": lambda spark, sf_dir: symbols.outline(polyglot_corpus(spark, sf_dir), 1),
+    "import_forms": lambda spark, sf_dir: repo_map.in_degrees(polyglot_corpus(spark, sf_dir)),
+    "capsule_documented": lambda spark, sf_dir: repo_map.capsule(polyglot_corpus(spark, sf_dir), "Part_1"),
     "outline_kind_counts": _code(lambda f: symbols.kind_counts(symbols.outline(f))),
     "callers_d1": _code(lambda f: callers.callers(f, "part_1")),
     "callers_d2": _code(lambda f: callers.callers(f, "part_1", 2)),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -44,6 +44,24 @@ def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.unionByName(parts).unionByName(reports)
 
 
+def polyglot_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small sources in other languages: a module for each part (TypeScript), supplier (Go and C), customer (Java), nation (Rust) and region (Markdown)."""
+
+    def made(name: str, key: str, path: str, *lines: str | Column) -> DataFrame:
+        n = F.col(key).cast("string")
+        filled = lambda x: F.replace(F.lit(x), F.lit("#n"), n) if isinstance(x, str) else x
+        text = F.concat(F.concat_ws("\n", *map(filled, lines)), F.lit("\n"))
+        return table(spark, sf_dir, name).select(filled(path).alias("path"), text.alias("text"))
+
+    imported = F.when(F.col("p_partkey") % 2 == 0, "import a from '../ts/part_1'").otherwise("const a = require('../ts/part_2')")
+    out = made("part", "p_partkey", "ts/part_#n.ts", imported, "/** Part #n. */", "export class Part_#n {", "  size(a) {", "  }", "}", "const make_#n = () => 1")
+    out = out.unionByName(made("supplier", "s_suppkey", "go/supplier_#n.go", "// Supplier #n", "type Supplier_#n struct {}", "func (s *Supplier_#n) Name_#n() {}"))
+    out = out.unionByName(made("supplier", "s_suppkey", "c/supplier_#n.c", '#include "supplier_1.h"', "struct Box_#n {", "int supplier_#n(int a) {"))
+    out = out.unionByName(made("customer", "c_custkey", "java/Customer_#n.java", "// Customer #n", "public class Customer_#n {", "  public Customer_#n(int a) {", "  public static int total_#n(int a) {", "}"))
+    out = out.unionByName(made("nation", "n_nationkey", "rust/nation_#n.rs", "use nation_1;", "pub struct Nation_#n {}", "impl Nation_#n {}", "pub async fn of_#n() {}"))
+    return out.unionByName(made("region", "r_regionkey", "doc/region_#n.md", "# Region_#n", "- item_#n"))
+
+
 def opens_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, ts: events as a log of opened paths."""
     rows = table(spark, sf_dir, "events").join(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), F.col("user_id") == F.col("doc_id"))
