@@ -13,6 +13,7 @@ from siftline.operators.budget import fitting
 from siftline.plans import pages
 from siftline.plans.path_query import parse, path_filter, scope_pin
 from siftline.sources import tables, tree
+from siftline.sources.scratch import stored
 
 
 @dataclass
@@ -145,5 +146,5 @@ class Corpus:
 
     def rank(self, question: str, extra: tuple[str, ...] = ()) -> DataFrame:
         words = lexical.keywords(question, extra)
-        counts = lexical.keyword_counts(self.files, words)
+        counts = stored(lexical.keyword_counts(self.files, words))
         return lexical.lexical_scores(counts, words, lexical.idf(counts, words)).orderBy(F.desc("lex"), "path")

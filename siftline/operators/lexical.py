@@ -59,12 +59,12 @@ def eligible(path: Column, size: Column, hidden: bool = False) -> Column:
     return out if hidden else out & ~name.startswith(".")
 
 
-def keyword_counts(files: DataFrame, words: list[str]) -> DataFrame:
-    """path and counts (array by keyword) over the rows' texts of the lines that have any; within each file's row."""
+def keyword_counts(files: DataFrame, words: list[str], clipped: bool = False) -> DataFrame:
+    """path and counts (array by keyword) over the lines that have any; within each file's row. clipped: over what a result row shows of a line, its first 500 characters."""
     any_word = "(?iu)" + "|".join(map(quoted, words)) if words else r"\z\A."
     zero = F.array(*[F.lit(0).cast("long") for _ in words]).cast("array<bigint>")
     hits = F.filter(line_array(F.col("text")), lambda x: x.rlike(any_word))
-    rows = files.select("path", F.transform(hits, lambda x: F.lower(row_text(x))).alias("lines"))
+    rows = files.select("path", F.transform(hits, lambda x: F.lower(row_text(x) if clipped else x)).alias("lines"))
     add = lambda acc, x: F.zip_with(acc, F.array(*[occurrences(x, w).cast("long") for w in words]).cast("array<bigint>"), lambda a, b: a + b)
     return rows.select("path", F.aggregate("lines", zero, add).alias("counts"))
 
@@ -92,34 +92,53 @@ def clip(text: str, size: int) -> str:
     return text.encode()[: max(0, size)].decode(errors="ignore")
 
 
-def windows_of(text: str | None, size: int, words: list[str], weights: list[float]) -> list[dict]:
-    """Runs of whole lines, each behind its number, of at most `size` bytes; a longer line is cut and stands alone."""
+def pieces_of(line: str, room: int) -> list[str]:
+    """The line in pieces of at most `room` UTF-8 bytes (of one character at least)."""
+    out = []
+    while line:
+        head = clip(line, room) or line[0]
+        out.append(head)
+        line = line[len(head) :]
+    return out
+
+
+def windows_of(text: str | None, size: int, words: list[str], weights: list[float], clipped: bool = False) -> list[dict]:
+    """Runs of whole lines, each behind its number, of at most `size` bytes. A longer line stands alone, in as many windows as it takes; clipped: cut to one."""
     lines = (text or "").split("\n")
     if lines[-1] == "":
         lines.pop()
-    out, at = [], 0
-    while at < len(lines):
-        first, used, parts = at, 0, []
-        while at < len(lines) and used < size:
-            line = lines[at].removesuffix("\r")
-            lead = f"L{at + 1}| "
-            if parts and used + len(line.encode()) + len(lead) + 1 > size:
-                break
-            parts.append(f"{lead}{clip(line, size - used - len(lead) - 1)}\n")
-            used += len(parts[-1].encode())
-            at += 1
-        whole = "".join(parts)
+    out: list[dict] = []
+
+    def add(first: int, last: int, whole: str) -> None:
         low = whole.lower()
-        out.append({"start": first + 1, "stop": at, "text": whole, "score": float(sum(w * math.log1p(low.count(k)) for k, w in zip(words, weights)))})
+        out.append({"start": first, "stop": last, "text": whole, "score": float(sum(w * math.log1p(low.count(k)) for k, w in zip(words, weights)))})
+
+    first, used, parts = 1, 0, []
+    for number, line in enumerate(lines, 1):
+        line, lead = line.removesuffix("\r"), f"L{number}| "
+        need = len(line.encode()) + len(lead) + 1
+        if parts and used + need > size:
+            add(first, number - 1, "".join(parts))
+            used, parts = 0, []
+        if need > size:
+            room = size - len(lead) - 1
+            for piece in [clip(line, room)] if clipped else pieces_of(line, room):
+                add(number, number, f"{lead}{piece}\n")
+            continue
+        first = first if parts else number
+        parts.append(f"{lead}{line}\n")
+        used += need
+    if parts:
+        add(first, len(lines), "".join(parts))
     return out
 
 
-def passages(files: DataFrame, words: list[str], weights: list[float], size: int = WINDOW_BYTES) -> DataFrame:
-    """path, start, stop, text, score of the byte-bounded passages of each file."""
+def passages(files: DataFrame, words: list[str], weights: list[float], size: int = WINDOW_BYTES, clipped: bool = False) -> DataFrame:
+    """path, start, stop, text, score of the byte-bounded passages of each file; see windows_of."""
 
     @F.pandas_udf(PASSAGES)
     def cut(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: windows_of(t, size, words, weights))
+        return text.map(lambda t: windows_of(t, size, words, weights, clipped))
 
     return files.select("path", F.explode(cut("text")).alias("p")).select("path", "p.start", "p.stop", "p.text", "p.score")
 
@@ -128,7 +147,7 @@ def selected_windows(found: DataFrame, limit: int = WINDOWS) -> DataFrame:
     """A file's best passages by score, then place; evenly spread ones where no passage of the file has a score."""
     by_file = Window.partitionBy("path")
     rows = found.withColumn("n", F.count(F.lit(1)).over(by_file)).withColumn("best", F.max("score").over(by_file))
-    rows = rows.withColumn("at", F.row_number().over(by_file.orderBy("start")) - 1).withColumn("rank", F.row_number().over(by_file.orderBy(F.desc("score"), "start")))
+    rows = rows.withColumn("at", F.row_number().over(by_file.orderBy("start", "text")) - 1).withColumn("rank", F.row_number().over(by_file.orderBy(F.desc("score"), "start", "text")))
     # at = floor(k (n - 1) / step) for some k below the limit
     step = max(limit - 1, 1)
     k = F.ceil(F.col("at") * step / (F.col("n") - 1))

@@ -30,10 +30,10 @@ def in_degrees(files: DataFrame) -> DataFrame:
 
 def _with_degrees(files: DataFrame, *more: Column) -> DataFrame:
     """in_degrees with more columns over path and text, in the same projection."""
-    files = files.filter("text IS NOT NULL")
-    importers = files.select(F.explode(import_keys(F.col("text"))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("importers"))
-    own = let(module_key(F.col("path")), lambda key: F.array_contains(import_keys(F.col("text")), key)).cast("long")
-    rows = files.select("path", module_key(F.col("path")).alias("key"), own.alias("own"), *more).join(importers, "key", "left")
+    # What a file imports is worked out once, into a narrow table.
+    narrow = stored(files.filter("text IS NOT NULL").select("path", module_key(F.col("path")).alias("key"), import_keys(F.col("text")).alias("keys"), *more))
+    importers = narrow.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("importers"))
+    rows = narrow.withColumn("own", F.array_contains("keys", F.col("key")).cast("long")).drop("keys").join(importers, "key", "left")
     return rows.withColumn("in_degree", F.coalesce("importers", F.lit(0)) - F.col("own")).drop("key", "own", "importers")
 
 

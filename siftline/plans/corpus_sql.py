@@ -43,7 +43,7 @@ def fuzzy(words: str) -> str:
 def counts(words: list[str]) -> str:
     either = "|".join(words)
     sums = ", ".join(f"coalesce(sum((length(t) - length(replace(t, '{w}', ''))) // {len(w)}), 0)::BIGINT AS k{i}" for i, w in enumerate(words))
-    return f"""hit AS (SELECT path, lower({TRIM}) AS t FROM lines WHERE regexp_matches(raw, '(?i){either}')), counts AS (SELECT d.path, {sums} FROM docs d LEFT JOIN hit h ON d.path = h.path GROUP BY d.path),
+    return f"""hit AS (SELECT path, lower(raw) AS t FROM lines WHERE regexp_matches(raw, '(?i){either}')), counts AS (SELECT d.path, {sums} FROM docs d LEFT JOIN hit h ON d.path = h.path GROUP BY d.path),
 idf AS (SELECT {", ".join(f"least(6.0, greatest(0.5, ln((count(*) + 1) / (count(*) FILTER (k{i} > 0) + 1)))) AS w{i}" for i in range(len(words)))} FROM counts)"""
 
 
@@ -56,12 +56,16 @@ _RING1 = rf"""owned AS (SELECT l.path, l.line, l.raw, s.name AS owner FROM lines
 ring1 AS (SELECT path, line, CASE WHEN regexp_matches(raw, '{_CALL}') THEN strpos(raw, 'part_1') ELSE 1 END::INT AS col, trim(raw) AS text, owner FROM owned
   WHERE NOT regexp_matches(raw, '^\s*def\s') AND (regexp_matches(raw, '{_CALL}') OR regexp_matches(raw, '(import|from)\b.*[^\w$]part_1([^\w$]|$)')))"""
 
-# A window ends with the last line whose running size still fits, or with its first line; windows follow each other by recursion.
-_PASSAGES = f"""needs AS (SELECT path, line, raw, strlen(raw) + strlen('L' || line || '| ') + 1 AS need FROM lines), ends AS (SELECT *, sum(need) OVER (PARTITION BY path ORDER BY line) AS c FROM needs),
-nexts AS (SELECT a.path, a.line AS start, greatest(a.line, b.line) AS stop FROM ends a ASOF LEFT JOIN ends b ON a.path = b.path AND a.c - a.need + 1024 >= b.c),
+# Units are lines, or pieces of a line that is too long, which stand alone. A window ends with the last unit whose running size still fits, or with its first;
+# windows follow each other by recursion.
+_PASSAGES = f"""sized AS (SELECT path, line, raw, 'L' || line || '| ' AS lead, strlen(raw) + strlen('L' || line || '| ') + 1 AS need FROM lines),
+cut AS (SELECT path, line, lead, need, 0 AS k, ''::VARCHAR AS piece, raw AS rest FROM sized WHERE need > 1024
+  UNION ALL SELECT path, line, lead, need, k + 1, left(rest, fit), substr(rest, fit + 1) FROM (SELECT *, list_max(list_filter(range(0, 1025), lambda n: strlen(left(rest, n)) <= 1023 - strlen(lead)))::INT AS fit FROM cut WHERE rest <> '')),
+units AS (SELECT path, line, 0 AS k, lead || raw || chr(10) AS piece, need FROM sized WHERE need <= 1024 UNION ALL SELECT path, line, k, lead || piece || chr(10), 1025 FROM cut WHERE k > 0),
+ends AS (SELECT *, row_number() OVER w AS u, sum(need) OVER w AS c FROM units WINDOW w AS (PARTITION BY path ORDER BY line, k)),
+nexts AS (SELECT a.path, a.u AS start, greatest(a.u, b.u) AS stop FROM ends a ASOF LEFT JOIN ends b ON a.path = b.path AND a.c - a.need + 1024 >= b.c),
 windows AS (SELECT path, start, stop FROM nexts WHERE start = 1 UNION ALL SELECT n.path, n.start, n.stop FROM windows w JOIN nexts n ON n.path = w.path AND n.start = w.stop + 1),
-pieces_of AS (SELECT w.path, w.start, w.stop, e.line, 'L' || e.line || '| ' || CASE WHEN need > 1024 THEN left(raw, list_max(list_filter(range(0, 1025), lambda k: strlen(left(raw, k)) <= 1024 - (need - strlen(raw))))::INT) ELSE raw END || chr(10) AS piece FROM windows w JOIN ends e ON e.path = w.path AND e.line BETWEEN w.start AND w.stop),
-texts AS (SELECT path, start, stop, string_agg(piece, '' ORDER BY line) AS text FROM pieces_of GROUP BY ALL),
+texts AS (SELECT w.path, w.start AS u, min(line) AS start, max(line) AS stop, string_agg(piece, '' ORDER BY e.u) AS text FROM windows w JOIN ends e ON e.path = w.path AND e.u BETWEEN w.start AND w.stop GROUP BY w.path, w.start),
 passages AS (SELECT path, start::INT AS start, stop::INT AS stop, text, {" + ".join(f"w{i} * ln(1 + (length(lower(text)) - length(replace(lower(text), '{w}', ''))) // {len(w)})" for i, w in enumerate(KEYWORDS))} AS score FROM texts, idf)"""
 _TRACK = r"(?:^|[^\w$])track\s*\("
 
@@ -141,7 +145,7 @@ SELECT place // 64 AS request, format('e{{:03d}}', place % 64) AS key, path, CAS
     "lexical_rank": f"WITH {DOCS}, {lines_of('docs')}, {counts(KEYWORDS)} SELECT path, round({_LEX}, 6) AS lex FROM counts, idf",
     "passages": f"WITH RECURSIVE {DOCS}, {lines_of('docs')}, {counts(KEYWORDS)}, {_PASSAGES} SELECT * FROM passages",
     "select_windows": f"""WITH RECURSIVE {DOCS}, {lines_of('docs')}, {counts(KEYWORDS)}, {_PASSAGES},
-ranked AS (SELECT *, count(*) OVER (PARTITION BY path) AS n, max(score) OVER (PARTITION BY path) AS best, row_number() OVER (PARTITION BY path ORDER BY start) - 1 AS place, row_number() OVER (PARTITION BY path ORDER BY score DESC, start) AS rank FROM passages)
+ranked AS (SELECT *, count(*) OVER (PARTITION BY path) AS n, max(score) OVER (PARTITION BY path) AS best, row_number() OVER (PARTITION BY path ORDER BY start, text) - 1 AS place, row_number() OVER (PARTITION BY path ORDER BY score DESC, start, text) AS rank FROM passages)
 SELECT path, start, stop, text, score FROM ranked WHERE n <= 3 OR CASE WHEN best = 0 THEN place IN (0, (n - 1) // 2, n - 1) ELSE rank <= 3 END""",
     "heat_merge": """WITH r AS (SELECT l_orderkey AS path, l_linenumber AS start, l_linenumber + (l_quantity::INT % 3) AS stop, l_discount * 10 AS p FROM lineitem), k AS (SELECT path, start, stop, max(p) AS p FROM r WHERE p >= 0.2 GROUP BY ALL),
 f AS (SELECT *, CASE WHEN start <= max(stop) OVER (PARTITION BY path ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS fresh FROM k),

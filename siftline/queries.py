@@ -57,6 +57,7 @@ def lexical_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts, words = _ranking(spark, sf_dir)
+    counts = stored(counts)  # narrow; both the weights and the scores come from it
     return lexical.lexical_scores(counts, words, lexical.idf(counts, words)).withColumn("lex", F.round("lex", 6))
 
 

@@ -124,7 +124,7 @@ def test_keywords_and_ranking(corpus):
 
 
 def test_passages(corpus, spark):
-    rows = lexical.windows_of("aa\nbbbbbbbbbb\ncc\n", 10, [], [])
+    rows = lexical.windows_of("aa\nbbbbbbbbbb\ncc\n", 10, [], [], clipped=True)
     assert [(r["start"], r["stop"]) for r in rows] == [(1, 1), (2, 2), (3, 3)] and rows[1]["text"] == "L2| bbbbb\n"
     made = lambda scores: spark.createDataFrame([("f", i + 1, i + 1, "", float(s)) for i, s in enumerate(scores)], "path string, start int, stop int, text string, score double")
     starts = lambda rows: sorted(r.start for r in rows.collect())
