@@ -168,18 +168,18 @@ def marks_by_text(marked: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.diff(np.searchsorted(np.flatnonzero(marked), offsets))
 
 
-def added(docs: DataFrame, text_col: str, keep: tuple[str, ...], fields: str, make) -> DataFrame:
+def added(docs: DataFrame, text_col: str, keep: tuple[str, ...], fields: str, make, beside: tuple[Column, ...] = ()) -> DataFrame:
     """The kept columns (as k0, k1, ..., whatever their names) and further ones. make() is called once a task and gives a function
-    from a text array to the further columns' values. See named()."""
-    rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text"))
+    from a text array (and the arrays of the columns beside it) to the further columns' values. See named()."""
+    rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], *[c.alias(f"b{i}") for i, c in enumerate(beside)], F.col(text_col).alias("text"))
     schema = docs.sparkSession.createDataFrame([], fields).schema
-    out = StructType([*rows.schema.fields[:-1], *schema.fields])
+    out = StructType([*rows.schema.fields[: len(keep)], *schema.fields])
 
     def run(batches):
         act = make()
         for part in slices(batches):
-            new = [x if isinstance(x, pa.Array) else pa.array(x) for x in act(part.column("text"))]
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], out.names)
+            new = [x if isinstance(x, pa.Array) else pa.array(x) for x in act(part.column("text"), *part.columns[len(keep) : -1])]
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *new], out.names)
 
     return rows.mapInArrow(run, out)
 

@@ -4,7 +4,8 @@ Texts are lower-cased and every run of characters other than letters becomes one
 language on a bounded hash sample of labelled rows (`fit_chars` characters a language, expected). All models
 lie in sorted hash arrays: for every n-gram that any language has, a row of log probabilities. A text's language is that of the lowest
 cross-entropy per character. Its score is the chance that this is right, fitted by logistic regression on labelled rows
-kept out of the models; below the smallest score at which those rows reach `precision`, `accepted` is false.
+kept out of the models; below the smallest score at which those rows reach `precision`, `accepted` is false. A model is fitted for each of the `most_langs` languages
+with the most characters, a stated bound on what a dirty lang column can bring to the driver; every text is scored by all of them.
 
 Edge cases: null texts and texts without letters are `und` with score 0 and not accepted; rows with a null language or text
 teach nothing; a language with few rows is learnt from all of them; without any labelled row every text is `und`; ties take the first language in alphabetical order;
@@ -176,11 +177,13 @@ def sampled(rows: DataFrame, salt: str, share: dict[str, float]) -> DataFrame:
     return rows.filter(draw < limit)
 
 
-def fit(labelled: DataFrame, order: int = 4, fit_chars: int = 4_000_000, check_rows: int = 1000, precision: float = 0.995) -> Identifier:
-    """labelled: doc_id, lang, text. Models see about fit_chars characters a language, the calibration about check_rows rows."""
+def fit(labelled: DataFrame, order: int = 4, fit_chars: int = 4_000_000, check_rows: int = 1000, precision: float = 0.995, most_langs: int = 400) -> Identifier:
+    """labelled: doc_id, lang, text. Models see about fit_chars characters a language, and so many in all as most_langs / 10 languages of that size; the calibration about check_rows rows."""
     labelled = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND lang != 'und'")
     is_check = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(5)) == 0
-    sizes = labelled.groupBy("lang").agg(F.sum(F.when(~is_check, F.length("text"))).alias("chars"), F.sum(F.length("text")).alias("all"), F.sum(is_check.cast("long")).alias("rows")).collect()  # a row a language
+    sizes = labelled.groupBy("lang").agg(F.sum(F.when(~is_check, F.length("text"))).alias("chars"), F.sum(F.length("text")).alias("all"), F.sum(is_check.cast("long")).alias("rows"))
+    sizes = sizes.orderBy(F.desc("all"), "lang").limit(most_langs).collect()
+    fit_chars = min(fit_chars, fit_chars * most_langs // (10 * max(len(sizes), 1)))
     # A language all of whose rows are to be kept out is learnt from them nevertheless.
     few = [r["lang"] for r in sizes if not r["chars"] and r["all"]]
     share = {r["lang"]: fit_chars / (r["chars"] or r["all"]) for r in sizes if r["all"]}

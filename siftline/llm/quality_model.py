@@ -1,39 +1,46 @@
-"""Quality classifier: a factorisation machine over hashed words and structure statistics.
+"""Quality classifier: a factorisation machine over hashed words, structure statistics and metadata.
 
-A document is the unit vector of its word counts in 2^bits hash buckets and a dozen statistics of its structure (lengths, letter case,
-symbols, repetition). The machine has a bias, a weight and a low-rank vector a feature; pairwise interactions cost linear time by the
+A document is the unit vector of its word counts in 2^bits hash buckets, a dozen statistics of its structure (lengths, letter case,
+symbols, repetition), and its metadata: the number of characters that the source states (n_chars), and how far that is from the text's. The machine has a bias, a weight and a low-rank vector a feature; pairwise interactions cost linear time by the
 identity sum_{i<j} <v_i,v_j> x_i x_j = 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2). It is fitted with Adam on the
 logistic loss over a hash sample of at most about `fit_rows` labelled documents, so the driver's share is bounded; scoring runs
 over Arrow slices on the executors.
 
 Edge cases: null and empty texts have statistics of zero and a score like any other text; null labels teach nothing; a document
 labelled twice teaches with either label; with no labels, or labels of one kind, the score is their smoothed share;
-repeated rows are scored each; an empty table gives no rows; labels, lang, source and doc_id never enter a score, and
-other columns are ignored, whatever their names.
+repeated rows are scored each; an empty table gives no rows; labels, lang, source and doc_id never enter a score; n_chars that is null, negative, no number or no column of the
+table counts as what the text has; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm.common import Hashes, added, byte_class, documents, marks_by_text, named, remainder, slices, utf8, words_of
 from siftline.llm.quality_rules import duplicate_lines
 
-STATISTICS = 14
+STATISTICS = 16
+METADATA = "n_chars"
 UPPER, LOWER, DIGIT = byte_class(bytes(range(65, 91))), byte_class(bytes(range(97, 123))), byte_class(bytes(range(48, 58)))
 SYMBOL, SHOUT, STOP, WHITE = byte_class(b"#*$%&|<>@^~{}[]\\"), byte_class(b"!?"), byte_class(b".,;:"), byte_class(b" \t\n\x0b\x0c\r")
 
 
+def stated(docs: DataFrame) -> Column:
+    """The number of characters that the table states of a text, null if it states none."""
+    return F.col(METADATA).cast("string").try_cast("double") if METADATA in docs.columns else F.lit(None).cast("double")
+
+
 class Features:
-    """Turns text arrays into (text, bucket, value) triples and statistics."""
+    """Turns arrays of texts and of their stated characters into (text, bucket, value) triples and statistics."""
 
     def __init__(self, bits: int):
         self.buckets, self.memo = 1 << bits, Hashes()
 
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def __call__(self, texts: pa.Array, stated_chars: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         words = [words_of(t, lower=True) for t in texts.to_pylist()]
         lengths = np.array([len(w) for w in words], np.int64)
         get = self.memo.__getitem__
@@ -51,9 +58,13 @@ class Features:
         share = lambda table: marks_by_text(table[flat], offsets) / np.maximum(size, 1)
         lines, doubled = duplicate_lines(texts)
         per_word = lambda x: x / np.maximum(lengths, 1)
+        chars = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(float)
+        told = pc.fill_null(stated_chars, -1.0).to_numpy(zero_copy_only=False)
+        told = np.where(np.isfinite(told) & (told >= 0), told, chars)
         columns = [
             np.log1p(lengths), np.log1p(size), share(~WHITE) * size / np.maximum(lengths, 1), share(UPPER), share(LOWER), share(DIGIT), share(SYMBOL), share(SHOUT),
             share(STOP), per_word(np.bincount(where, minlength=len(words))), per_word(most), per_word(np.bincount(text[same], minlength=len(words))), doubled / np.maximum(lines, 1), per_word(lines),
+            np.log1p(told), np.log1p(told) - np.log1p(chars),
         ]
         return where, bucket, n / norm[where], np.stack(columns, axis=1)
 
@@ -128,12 +139,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).filter("__id IS NOT NULL AND __y IS NOT NULL").distinct()
     share = min(1.0, fit_rows / max(1, known.count()))
     known = known.filter(F.pmod(F.xxhash64(F.lit("fit"), "__id"), F.lit(1_000_003)) < F.lit(int(share * 1_000_003)))
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(known), "__id").select("__y", "text")  # about fit_rows rows
+    texts = docs.select(F.col(id_col).alias("__id"), stated(docs).alias("stated"), F.col(text_col).alias("text")).join(F.broadcast(known), "__id").select("__y", "stated", "text")  # about fit_rows rows
 
     def run(batches):
         features = Features(bits)
         for part in slices(batches):
-            where, bucket, value, statistics = features(part.column("text"))
+            where, bucket, value, statistics = features(part.column("text"), part.column("stated"))
             offsets = np.searchsorted(where, np.arange(part.num_rows + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (bucket.astype(np.int32), value.astype(np.float32))]
             yield pa.RecordBatch.from_arrays([part.column("__y"), *lists, pa.array(list(statistics), pa.list_(pa.float64()))], ["y", "bucket", "value", "statistics"])
@@ -153,13 +164,14 @@ def scored(docs: DataFrame, machine: Machine, keep: tuple[str, ...] = ("doc_id",
     def make():
         own = shared.value
         features = Features(own.bits)
-        return lambda texts: [own.probability(*features(texts))]
+        return lambda texts, told: [own.probability(*features(texts, told))]
 
-    return named(added(docs, text_col, keep, "score double", make), keep, "score")
+    return named(added(docs, text_col, keep, "score double", make, (stated(docs),)), keep, "score")
 
 
 def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text")
+    docs = documents(spark, sf_dir)
+    docs = docs.select("doc_id", "text", stated(docs).alias(METADATA))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     machine = learn(docs, labels.filter(remainder("doc_id", 5) != 0))
     found = scored(docs, machine)
