@@ -2,9 +2,53 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from siftline.llm import bpe, chat_template, exact_dedup, language_id, license_scan, mixing, packing, prefix_trie, quality_model, quality_rules, simhash, spelling, suffix_tree
 
+
+def suffix_tree_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op1_suffix_tree that SQL can express."""
+    found = suffix_tree.op1_suffix_tree(spark, sf_dir)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4_license_scan that SQL can express."""
+    return license_scan.op4_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+#: CRC-32 of a text's bytes below 128, by its table of 256 remainders.
+CRC = """polynomial AS (
+  SELECT list(c ORDER BY i) AS crcs FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) AS t(i))
+), ids AS (
+  SELECT doc_id, text, xor(list_reduce(list_prepend(4294967295, [ascii(x)::BIGINT FOR x IN string_split(doc_id::VARCHAR, '')]), lambda r, b: xor(crcs[xor(r, b) % 256 + 1], r // 256)), 4294967295) AS crc FROM documents, polynomial
+)"""
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SUFFIX_TREE_BASE = rf"""
+WITH {CRC}, tokens AS (
+  SELECT doc_id, crc % 7 = 2 AS held_out, unnest(list_append(regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+'), '')) AS token FROM ids
+), counts AS (
+  SELECT token, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY token
+), total AS (
+  SELECT sum(c)::BIGINT AS n, count(*) AS v FROM counts
+)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, n AS train_tokens, round(sum(log10((coalesce(c, 0) + 1) / (n + v + 1))), 6) AS base_score
+FROM tokens LEFT JOIN counts USING (token), total GROUP BY doc_id, held_out, n
+"""
+LICENSE_BASE = rf"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), p AS (
+  SELECT doc_id, w, list_filter(range(len(w)), lambda k: w[k + 1] = 'mit' AND w[k + 2] = 'license') AS mit, list_filter(range(len(w)), lambda k: w[k + 1] = 'apache' AND w[k + 2] = 'license') AS apache,
+    list_filter(range(len(w)), lambda k: w[k + 1] = 'general' AND w[k + 2] = 'public' AND w[k + 3] = 'license') AS gpl FROM w
+)
+SELECT doc_id, len(w) AS n_words, len(mit) + len(apache) + len(gpl) AS n_base, list_min(list_concat(mit, apache, gpl)) AS first_word, list_max(list_concat(mit, apache, gpl)) AS last_word,
+  array_to_string(list_filter([CASE WHEN len(apache) > 0 THEN 'apache' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(mit) > 0 THEN 'mit' END], lambda x: x IS NOT NULL), ',') AS base_labels FROM p
+"""
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_suffix_tree": suffix_tree.op1_suffix_tree,
@@ -17,6 +61,8 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_simhash": simhash.op9_simhash,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "suffix_tree_base": suffix_tree_base,
+    "license_base": license_base,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_spelling_variants": spelling.op12_spelling_variants,
     "op13_mixing": mixing.op13_mixing,
@@ -26,6 +72,8 @@ ORACLE_SQL = {
     "op5_chat_template": chat_template.ORACLE_OP5,
     "op8_exact_dedup": exact_dedup.ORACLE_OP8,
     "op10_quality_rules": quality_rules.ORACLE_OP10,
+    "suffix_tree_base": SUFFIX_TREE_BASE,
+    "license_base": LICENSE_BASE,
     "op11_prefix_trie": prefix_trie.ORACLE_OP11,
     "op12_spelling_variants": spelling.ORACLE_OP12,
     "op13_mixing": mixing.ORACLE_OP13,
