@@ -97,6 +97,31 @@ class Corpus:
             text = pages.within_budget(text, max_chars, counts)
         return Shown(text, found.total, found.next)
 
+    def _page(self, rows: DataFrame, keys: tuple[pages.Key, ...], query: str, show, by: str, limit: int | None, token: str | None, max_chars: int | None) -> Shown:
+        """A page of rows as text; where it is longer than max_chars, the counts of what `by` names."""
+        found = pages.page(rows, keys, query, limit, token, self.files)
+        if not found.rows:
+            return Shown("0 matches", found.total, None)
+        text = "\n".join(map(show, found.rows))
+        if max_chars is not None and len(text) > min(max_chars, MAX_CHARS):
+            counts = {r[by]: r.n for r in grep.summary(rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")), by, pages.SUMMARY_TOP).collect()}
+            text = pages.within_budget(text, max_chars, counts)
+        return Shown(text, found.total, found.next)
+
+    def outline_page(self, within: str | None = None, depth: int = 0, limit: int | None = None, token: str | None = None, max_chars: int | None = None, concise: bool = False) -> Shown:
+        """A page of symbols; counts by kind where it is too long."""
+        return self._page(symbols.outline(self.within(within), depth), pages.MATCHES, f"outline {within!r} {depth}", lambda r: pages.symbol_text(r, concise), "kind", limit, token, max_chars)
+
+    def callers_page(self, symbol: str, depth: int = 1, within: str | None = None, limit: int | None = None, token: str | None = None, max_chars: int | None = None, **options) -> Shown:
+        """A page of callers, ring by ring; counts by file where it is too long."""
+        rows = self.callers(symbol, depth, within=within, **options)
+        return self._page(rows, (("depth", False), *pages.MATCHES), f"callers {symbol!r} {depth} {within!r} {sorted(options.items())!r}", pages.caller_text, "path", limit, token, max_chars)
+
+    def structural_page(self, pattern: str, within: str | None = None, limit: int | None = None, token: str | None = None, max_chars: int | None = None, concise: bool = False, **options) -> Shown:
+        """A page of structural matches; counts by file where it is too long."""
+        rows = structural.structural(self.within(within), pattern, **options)
+        return self._page(rows, pages.MATCHES, f"structural {pattern!r} {within!r} {sorted(options.items())!r}", lambda r: pages.match_text(r, concise), "path", limit, token, max_chars)
+
     def tree(self, within: str | None = None) -> DataFrame:
         return path_tree.path_tree(self.within(within)).orderBy("key")
 

@@ -172,7 +172,7 @@ def compiled(pattern: str) -> regex.Pattern:
     try:
         return regex.compile(body, flags | (regex.UNICODE if flags and not body.isascii() else regex.ASCII))
     except regex.error as wrong:
-        raise ValueError(f"{pattern!r} is not an expression that can be searched for: {wrong}") from None
+        raise ValueError(f"invalid regex: {pattern if len(pattern) <= 200 else pattern[:200] + '…'} ({wrong})") from None
 
 
 def text_lines(text: str | None) -> tuple[list[str], bool]:

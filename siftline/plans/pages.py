@@ -99,12 +99,23 @@ def page(rows: DataFrame, keys: Sequence[Key], query: str, limit: int | None = N
 
 
 def match_text(row: Row, concise: bool = False) -> str:
-    """path:line:col: text, with its context around it."""
+    """path:line:col: text, and below it its context, indented, those before it first."""
     if concise:
         return f"{row.path}:{row.line}"
     fields = row.asDict()
     before, after = fields.get("before") or [], fields.get("after") or []
-    return "\n".join([*(f"    {row.line - len(before) + i}: {x}" for i, x in enumerate(before)), f"{row.path}:{row.line}:{row.col}: {row.text}", *(f"    {row.line + 1 + i}: {x}" for i, x in enumerate(after))])
+    around = [*((row.line - len(before) + i, x) for i, x in enumerate(before)), *((row.line + 1 + i, x) for i, x in enumerate(after))]
+    return "\n".join([f"{row.path}:{row.line}:{row.col}: {row.text}", *(f"  {row.path}:{n}: {x}" for n, x in around)])
+
+
+def caller_text(row: Row) -> str:
+    """A site, how sure it is, and in deeper rings how far it is and through what."""
+    deeper = f" [depth {row.depth} via {row.via}]" if row.depth > 1 else ""
+    return f"{row.path}:{row.line}:{row.col}: {row.text}{' (possible)' if row.certainty == 'possible' else ''}{deeper}"
+
+
+def symbol_text(row: Row, concise: bool = False) -> str:
+    return row.name if concise else f"{row.path}:{row.line}: {row.kind} {row.name}"
 
 
 def grep_text(rows: list[Row], tags: dict[str, str], concise: bool = False) -> str:

@@ -109,3 +109,38 @@ def test_map_within_budget(corpus):
 def test_capsule_totals(corpus):
     got = {r.part: (r.n, r.files) for r in capsule_totals(corpus(FILES), "core").collect()}
     assert got == {"caller": (16, 8), "import": (8, 8), "all": (25, 9)}
+
+
+def test_pages_of_other_kinds(corpus):
+    c = Corpus(corpus(FILES))
+    first = c.outline_page(limit=4)
+    assert first.text.split("\n")[:2] == ["core.py:1: def core", "src/m0.py:2: def f0"] and first.total == 9
+    assert len(c.outline_page(limit=50, token=first.next, concise=True).text.split("\n")) == 5
+    assert c.outline_page(max_chars=5).text == "def: 9"
+    near = c.callers_page("core", 2, limit=3)
+    assert near.text.startswith("src/m0.py:1:1: import core\nsrc/m0.py:3:5: core()") and near.total == 16
+    assert c.callers_page("core", 2, limit=50, token=near.next).text.count("\n") == 12
+    assert c.structural_page("kind:call", limit=2).text == "src/m0.py:3:5: core()\nsrc/m1.py:3:5: core()"
+    assert c.structural_page("kind:class").text == "0 matches"
+    context = c.grep_page("core()", limit=1, tagged=False, before=1)
+    assert context.text == "core.py:1:5: def core():"
+    assert c.grep_page("core()", within="src/", limit=1, tagged=False, before=2, after=1).text == "src/m0.py:3:5: core()\n  src/m0.py:1: import core\n  src/m0.py:2: def f0():"
+
+
+def test_params():
+    from siftline.plans import params
+
+    assert [params.text({"a": x}, "a") for x in ("x", "", 3, None)] == ["x", None, None, None] and params.text({}, "a") is None
+    assert params.strict_text({"a": "x"}, "a") == "x" and params.strict_text({"a": ""}, "a") is None
+    assert [params.context({"a": x}, "a") for x in (2, -1, 99, None, "3", float("nan"), 4.0)] == [2, 0, 5, 0, 0, 0, 4]
+    assert [params.chars({"a": x}, "a") for x in (7, None, "x", 10**9)] == [7, None, None, 1_000_000]
+    assert params.root({"cwd": "/tmp"}) == "/tmp" and params.root({}) is None
+    assert params.enclosing({"expand": "function"}) and not params.enclosing({"expand": "none"}) and not params.enclosing({})
+    assert params.extra_keywords({"grep_keywords": ["a", "b"]}) == ("a", "b") and params.extra_keywords({}) == ()
+    for act, given in ((params.strict_text, 3), (params.context, 1.5), (params.chars, 0), (params.chars, 1.5)):
+        with pytest.raises(ValueError, match="^a"):
+            act({"a": given}, "a")
+    with pytest.raises(ValueError, match="absolute"):
+        params.root({"cwd": "src"})
+    with pytest.raises(ValueError, match="array of strings"):
+        params.extra_keywords({"grep_keywords": "a"})
