@@ -15,7 +15,9 @@ point are tied to its smallest close member. That gives the same components with
 fingerprints of the sets differ in about 15 % of their bits, for which no exact set of thresholds is affordable. The programme
 therefore chooses thresholds so that a pair at the limit is met in some partition with a chance of `recall`, whatever the corpus size; closer
 pairs are met more surely. Candidates within `max_bits` of all bits are confirmed on the sets themselves, nearest pairs
-first; later ones only where the first left their ends in different components. In a crowded bucket the minimum spanning forest stands for all pairs. A value that very many classes have
+first; later ones only where the first left their ends in different components. In a crowded bucket the minimum spanning forest stands for all pairs at first. Then
+its members are dealt out to blocks, every two blocks meet in one task with their sets, and each pair that is still apart is tested there; what a task gives are the links
+that join its components, no more than it has rows. So no link within a bucket is lost, and no pairs are handed on. A value that very many classes have
 in a partition gets pivots: classes close to a pivot are linked to it and leave that partition to the others.
 
 Edge cases: a text of fewer words than a shingle is one shingle, a text without words (or null) has fingerprint zero and
@@ -290,6 +292,8 @@ def forest(wide: np.ndarray, max_bits: int) -> np.ndarray:
 RUN, PAIRS = 2048, 8
 #: A value gets so many pivots if it has more classes in its partition than CROWD and than OVER times the even share.
 CROWD, OVER, PIVOTS = 4096, 8, 4
+#: Members of a crowded bucket in a block, of which two meet in a task; bytes of their sets as bits there.
+UNIT_ROWS, UNIT_BYTES = 1024, 256 << 20
 
 
 class Spots:
@@ -344,7 +348,7 @@ def wide_of(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def pairs_in_runs(spot: np.ndarray, wide: np.ndarray, node: np.ndarray, max_bits: int) -> list[np.ndarray]:
-    """[a, b, bits] of different nodes of a run of equal spots that are within max_bits; of a crowded run those that span its groups."""
+    """[a, b, bits] of different nodes of a run of equal spots that are within max_bits; of a crowded run those that span its groups, and [spot, size, -1]."""
     begins = np.flatnonzero(np.concatenate(([True], spot[1:] != spot[:-1], [True])))
     size = np.diff(begins)
     crowded, run = size > RUN, np.repeat(np.arange(len(size)), size)
@@ -361,17 +365,103 @@ def pairs_in_runs(spot: np.ndarray, wide: np.ndarray, node: np.ndarray, max_bits
     x, y = pairs.T
     bits = np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1).astype(np.int64)
     rows = np.stack([np.maximum(node[x], node[y]), np.minimum(node[x], node[y]), bits], axis=1)
-    rows = np.unique(rows[rows[:, 0] != rows[:, 1]], axis=0)
+    at = np.flatnonzero(crowded)
+    marks = np.stack([spot[begins[at]], size[at], np.full(len(at), -1)], axis=1).astype(np.int64)
+    rows = np.concatenate([np.unique(rows[rows[:, 0] != rows[:, 1]], axis=0), marks])
     return [rows[:, k] for k in range(3)]
 
 
-def candidates(classes: DataFrame, share: float, recall: float, max_bits: int) -> DataFrame:
-    """a, b, bits: pairs of classes (wide0, wide1, node) that meet in a partition and differ in max_bits or fewer."""
+def in_bits(sets: list[np.ndarray]) -> np.ndarray | None:
+    """The sets as rows of bits over what occurs in them, None where that would be too large."""
+    flat = np.concatenate(sets)
+    names, at = np.unique(flat, return_inverse=True)
+    words = -(-len(names) // 64)
+    if words * len(sets) * 8 > UNIT_BYTES:
+        return None
+    marks = np.zeros((len(sets), words * 64), bool)
+    marks[np.repeat(np.arange(len(sets)), [len(x) for x in sets]), at] = True
+    return np.packbits(marks, axis=1).view(np.uint64)
+
+
+def links_in_unit(side: np.ndarray, comp: np.ndarray, node: np.ndarray, wide: np.ndarray, sets: list[np.ndarray], max_bits: int, jaccard: float) -> list[tuple[int, int]]:
+    """Pairs (larger, smaller node) of the unit's two sides (or of its one) that join different components: within max_bits, and with such sets."""
+    first, second = np.flatnonzero(side == 0), np.flatnonzero(side != 0)
+    one = not len(first) or not len(second)
+    if one:
+        first = second = np.arange(len(side))
+    bits, sizes = in_bits(sets), np.array([len(x) for x in sets])
+    _, group = np.unique(comp, return_inverse=True)
+    out = []
+    for i in first:
+        others = second[second > i] if one else second
+        others = others[group[others] != group[i]]
+        small_, large = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
+        others = others[small_ >= jaccard * large - 1e-9]
+        others = others[np.bitwise_count(wide[others] ^ wide[i]).sum(axis=1) <= max_bits]
+        if not len(others):
+            continue
+        if bits is None:
+            shared = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in others])
+        else:
+            shared = np.bitwise_count(bits[others] & bits[i]).sum(axis=1).astype(np.int64)
+        for j in others[shared >= jaccard * (sizes[others] + sizes[i] - shared) - 1e-9]:
+            if group[i] != group[j]:
+                out.append((max(node[i], node[j]), min(node[i], node[j])))
+                group[group == group[j]] = group[i]
+    return out
+
+
+def crowd_links(crowd: DataFrame, found: DataFrame, sets: DataFrame, max_bits: int, jaccard: float) -> DataFrame:
+    """a, b: the links that crowded spots still give between components. crowd: spot, size, node, wide0, wide1; found: node, root."""
+    named = sets.select(F.col("row_key").alias("node"), "shingles").join(found, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    blocks = F.ceil(F.col("size") / UNIT_ROWS).cast("int")
+    own = F.pmod(F.xxhash64("spot", "node"), blocks).cast("int")
+    rows = crowd.select("spot", "node", "wide0", "wide1", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    rows = rows.select("spot", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "wide0", "wide1")
+    keys = ["spot", "p", "q"]
+    dealt = rows.join(named, "node").repartition(*keys).sortWithinPartitions(*keys)
+
+    def solve(parts):
+        table = pa.Table.from_batches(parts)
+        comp, node = table.column("comp").to_numpy(), table.column("node").to_numpy()
+        if len(np.unique(comp)) < 2:
+            return []
+        wide = np.stack([table.column(c).to_numpy().astype(np.uint64) for c in ("wide0", "wide1")], axis=1)
+        sets = [np.asarray(x.values) for chunk in table.column("shingles").chunks for x in chunk]
+        return links_in_unit(table.column("side").to_numpy(), comp, node, wide, sets, max_bits, jaccard)
+
+    def run(batches):
+        held, now = [], None
+        for batch in batches:
+            values = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in keys], axis=1)
+            cuts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1), len(values)]
+            for begin, end in zip(cuts, cuts[1:]):
+                if begin == end:
+                    continue
+                key = tuple(values[begin])
+                if held and key != now:
+                    yield from given(solve(held))
+                    held = []
+                now = key
+                held.append(batch.slice(begin, end - begin))
+        if held:
+            yield from given(solve(held))
+
+    def given(pairs):
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs)], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def candidates(classes: DataFrame, share: float, recall: float, max_bits: int) -> tuple[DataFrame, DataFrame | None]:
+    """a, b, bits: pairs of classes (wide0, wide1, node) that meet in a partition and differ in max_bits or fewer; and the members of crowded
+    spots (spot, size, node, wide0, wide1), of whose pairs only some are given, None if there are no such spots."""
     spark = classes.sparkSession
     n, both = bit_counts(classes, ("wide0", "wide1"))
     schema = "a long, b long, bits long"
     if n < 2:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema), None
     spots = Spots(covering(n, both, share, recall), max_bits // 2)
 
     def values(batches):
@@ -432,10 +522,15 @@ def candidates(classes: DataFrame, share: float, recall: float, max_bits: int) -
             yield solve(held)
 
     keys = classes.mapInArrow(emitted, "spot long, wide0 long, wide1 long, node long")
-    found = keys.repartition("spot").sortWithinPartitions("spot").mapInArrow(met, schema)
+    met_rows = stored(keys.repartition("spot").sortWithinPartitions("spot").mapInArrow(met, schema), "met")
+    found = met_rows.filter("bits >= 0")
     if spots.crowds:
         found = found.unionByName(classes.mapInArrow(to_pivots, schema))
-    return found.groupBy("a", "b").agg(F.min("bits").alias("bits"))
+    pairs = found.groupBy("a", "b").agg(F.min("bits").alias("bits"))
+    crowded = met_rows.filter("bits < 0").select(F.col("a").alias("spot"), F.col("b").alias("size"))
+    if crowded.isEmpty():
+        return pairs, None
+    return pairs, stored(keys.join(small(crowded), "spot").select("spot", "size", "node", "wide0", "wide1"), "crowd")
 
 
 def spans(text: str | None, size: int) -> list[bytes]:
@@ -500,7 +595,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sketches = stored(rows.mapInArrow(sketch, "row_key long, doc_id long, wide0 long, wide1 long, name binary"), "sketches")
     # Rows with equal sets are a class, named by its smallest row.
     classes = stored(sketches.groupBy("name").agg(F.min(F.struct("row_key", "wide0", "wide1")).alias("x")).select("name", F.col("x.row_key").alias("node"), "x.wide0", "x.wide1"), "classes")
-    pairs = stored(candidates(classes.select("wide0", "wide1", "node"), limit_share(jaccard), recall, max_bits), "candidates")
+    pairs, crowd = candidates(classes.select("wide0", "wide1", "node"), limit_share(jaccard), recall, max_bits)
+    pairs = stored(pairs, "candidates")
     ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("row_key")).distinct(), "candidate-rows")
     sets = stored(rows.select("row_key", "text").join(small(ends), "row_key", "left_semi").mapInArrow(sets_of, "row_key long, shingles array<int>"), "shingle-sets")
     # Each row's nearest pair first; then those whose ends are still apart.
@@ -512,6 +608,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     apart = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
     apart = apart.select("a", "b").join(nearest, ["a", "b"], "left_anti")
     found = stored(components(first.unionByName(alike(apart, sets, jaccard))), "similar-roots")
+    if crowd is not None:
+        more = stored(crowd_links(crowd, found, sets, max_bits, jaccard), "crowd-links")
+        found = stored(components(found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "similar-roots")
     named = classes.join(found, "node", "left").select("name", F.coalesce("root", "node").alias("component"))
     grouped = stored(sketches.select("row_key", "doc_id", "name").join(named, "name").select("row_key", "doc_id", "component"), "similar-groups")
     return grouped.join(grouped.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("row_key", "doc_id", "component", "component_id")

@@ -670,6 +670,63 @@ def test_a_crowd_gets_pivots(spark, monkeypatch):
     assert all(found[i] == 0 for i in range(200)) and all(found[i] == i - i % 2 for i in range(200, 240))
 
 
+def test_a_crowd_loses_no_links(spark, monkeypatch):
+    """Near copies of one text of all degrees, most pairs below the limit: the same components as all pairs give, whatever the blocks."""
+    rng = np.random.default_rng(21)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    base = [str(x) for x in rng.choice(vocabulary, 120)]
+    rows = [edited(rng, base, vocabulary, "scattered", int(rng.integers(1, 14))) for _ in range(500)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]) - 1e-9:
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    want = [find(i) for i in range(len(rows))]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    monkeypatch.setattr(simhash, "PAIRS", 1)
+    monkeypatch.setattr(simhash, "UNIT_ROWS", 90)
+    for unit_bytes in (simhash.UNIT_BYTES, 0):
+        monkeypatch.setattr(simhash, "UNIT_BYTES", unit_bytes)
+        found = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+        assert 100 < len(set(want)) < 450
+        assert all(want[i] == want[c] for i, c in found.items())  # nothing is joined that all pairs keep apart
+        assert len(set(found.values())) <= len(set(want)) + 2
+
+
+def test_recall_on_the_tables(spark):
+    """Every pair of documents at the limit or above is in one component, and no component joins what all pairs keep apart."""
+    sf = "/root/testdata/sf0.01"
+    rows = duckdb.sql(f"SELECT doc_id, text FROM '{sf}/documents.parquet' ORDER BY doc_id").fetchall()
+    sets = {i: {tuple(w[k : k + 5]) for w in [words(t)] for k in range(max(1, len(w) - 4))} for i, t in rows if words(t)}
+    by_shingle = collections.defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            by_shingle[x].append(i)
+    shared = collections.Counter((a, b) for ids in by_shingle.values() for k, a in enumerate(ids) for b in ids[:k])
+    alike = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n) - 1e-9]
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in alike:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    assert len(alike) >= 3 and all(found[a] == found[b] for a, b in alike)
+    assert all(find(i) == find(found[i]) for i in sets)
+
+
 def test_similar_documents_repeats_and_ids(spark):
     """A much repeated passage doesn't make texts alike; rows with one doc_id stay apart."""
     rng = np.random.default_rng(12)
