@@ -18,6 +18,8 @@ from pyspark.sql.types import StructType
 
 #: Bytes of text that one step of a Python task holds at a time (one longer text still forms a step).
 STEP_BYTES = 8 << 20
+#: As much for steps whose words become Python objects.
+WORD_BYTES = 3 << 20
 #: Entries of a per-task memo before it is emptied; bounds a worker's memory, never the result.
 MEMO_ENTRIES = 400_000
 
@@ -177,7 +179,7 @@ def added(docs: DataFrame, text_col: str, keep: tuple[str, ...], fields: str, ma
 
     def run(batches):
         act = make()
-        for part in slices(batches):
+        for part in slices(batches, "text", WORD_BYTES):
             new = [x if isinstance(x, pa.Array) else pa.array(x) for x in act(part.column("text"), *part.columns[len(keep) : -1])]
             yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *new], out.names)
 

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import Hashes, added, byte_class, documents, marks_by_text, named, remainder, slices, utf8, words_of
+from siftline.llm.common import WORD_BYTES, Hashes, added, byte_class, documents, marks_by_text, named, remainder, slices, utf8, words_of
 from siftline.llm.quality_rules import duplicate_lines
 
 STATISTICS = 16
@@ -143,7 +143,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches):
         features = Features(bits)
-        for part in slices(batches):
+        for part in slices(batches, "text", WORD_BYTES):
             where, bucket, value, statistics = features(part.column("text"), part.column("stated"))
             offsets = np.searchsorted(where, np.arange(part.num_rows + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (bucket.astype(np.int32), value.astype(np.float32))]
