@@ -31,6 +31,8 @@ from siftline.llm.tokens import load_ranks, units
 
 #: Characters of text whose new units are replayed together.
 BLOCK_CHARS = 8 << 20
+#: Characters of units that a task remembers from block to block; characters of a unit that may come into the corpus's table.
+MEMO_CHARS, TABLE_CHARS = 16 << 20, 64
 
 
 class MergeReplay:
@@ -157,11 +159,12 @@ class Numbers(dict):
 
     def __init__(self, units_: list[str] = ()):
         super().__init__(zip(units_, range(len(units_))))
-        self.listed = list(units_)
+        self.listed, self.chars = list(units_), 0
 
     def __missing__(self, unit: str) -> int:
         n = self[unit] = len(self.listed)
         self.listed.append(unit)
+        self.chars += len(unit)
         return n
 
 
@@ -196,13 +199,13 @@ class BlockEncoder:
     def joined(self, cuts: list[np.ndarray]) -> list[bytes]:
         self.solve()
         out = [b"".join(map(self.ids.__getitem__, x.tolist())) for x in cuts]
-        if len(self.ids) > len(self.known) + MEMO_ENTRIES:
+        if len(self.ids) > len(self.known) + MEMO_ENTRIES or self.numbers.chars > MEMO_CHARS:
             self.clear()
         return out
 
 
 def counted(texts: DataFrame) -> DataFrame:
-    """unit, n: how often each unit occurs in the column text."""
+    """unit, n: how often each unit of at most TABLE_CHARS characters occurs in the column text. (A text without spaces is one unit.)"""
 
     def run(batches):
         held: Counter = Counter()
@@ -212,7 +215,7 @@ def counted(texts: DataFrame) -> DataFrame:
 
         for part in slices(batches, "text", 2 << 20):
             for t in part.column("text").to_pylist():
-                held.update(units(t or ""))
+                held.update(u for u in units(t or "") if len(u) <= TABLE_CHARS)
             if len(held) > MEMO_ENTRIES:
                 yield batch()
                 held.clear()
@@ -223,8 +226,8 @@ def counted(texts: DataFrame) -> DataFrame:
 
 
 def frequent(texts: DataFrame, ranks_path: str, pattern: str, table_units: int) -> dict[str, bytes]:
-    """Ids of the most frequent units, at most table_units, none that occurs once or has more than 64 characters."""
-    counts = stored(counted(texts).filter("n > 1 AND length(unit) <= 64").withColumn("step", F.floor(4 * F.log2("n"))), "units")
+    """Ids of the most frequent units, at most table_units, none that occurs once or has more than TABLE_CHARS characters."""
+    counts = stored(counted(texts).filter("n > 1").withColumn("step", F.floor(4 * F.log2("n"))), "units")
     steps = sorted(counts.groupBy("step").count().collect(), reverse=True)  # a few hundred rows
     least, room = float("inf"), table_units
     for step, n in steps:

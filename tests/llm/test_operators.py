@@ -459,6 +459,19 @@ def test_bpe(spark, sample, ranks):
         assert got.loc[i].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
 
 
+def test_texts_without_spaces(ranks, monkeypatch):
+    """Units are whole texts there; what a task remembers of them is bounded by characters, and the ids stay the same."""
+    rng = np.random.default_rng(9)
+    texts = ["".join(chr(0x3042 + int(x)) for x in rng.integers(0, 60, 3000)) for _ in range(40)] + ["短い", "a" * 100, None]
+    reference = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    monkeypatch.setattr(bpe, "MEMO_CHARS", 10_000)
+    block = bpe.BlockEncoder(ranks, P.PATTERN, {"known": np.array(reference.encode_ordinary("known"), "<u4").tobytes()})
+    for at in range(0, len(texts), 5):
+        got = block.encode(texts[at : at + 5])
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [reference.encode_ordinary(t or "") for t in texts[at : at + 5]]
+        assert block.numbers.chars <= 10_000
+
+
 def test_bpe_edges(odd, empty):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     rows = bpe.decode(bpe.encode(odd, path, P.PATTERN, keep=("doc_id", "row_key", "text"), table_units=3), path).collect()
