@@ -2,26 +2,26 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def tag_of(text: str) -> str:
-    """Low 16 bits of XXH32 over the text without its mark, with line feeds alone and without blanks at line ends."""
-    plain = re.sub(r"\r\n?", "\n", text.removeprefix("﻿"))
-    return f"{xxhash.xxh32_intdigest(re.sub(r'[ \t\r]+(?=\n|\Z)', '', plain).encode()) & 0xFFFF:04X}"
+def plain(text: Column) -> Column:
+    """The text without its mark, with line feeds alone and without blanks at line ends."""
+    feeds = F.regexp_replace(F.regexp_replace(text, "^﻿", ""), r"\r\n?", "\n")
+    return F.regexp_replace(feeds, r"(?<![ \t\r])[ \t\r]++(?=\n|\z)", "")
 
 
 def content_tag(text: Column | str) -> Column:
-    @F.pandas_udf("string")
-    def tagged(texts: pd.Series) -> pd.Series:
-        return texts.map(tag_of, na_action="ignore")
+    """Low 16 bits of XXH32 over the plain text; null of a null text."""
+
+    @F.pandas_udf("int")
+    def low_bits(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: xxhash.xxh32_intdigest(t.encode()) & 0xFFFF, na_action="ignore")
 
-    return tagged(text)
+    return F.lpad(F.hex(low_bits(plain(F.col(text) if isinstance(text, str) else text))), 4, "0")
 
 
 def header(path: Column, tag: Column) -> Column:

@@ -69,7 +69,30 @@ texts AS (SELECT w.path, w.start AS u, min(line) AS start, max(line) AS stop, st
 passages AS (SELECT path, start::INT AS start, stop::INT AS stop, text, {" + ".join(f"w{i} * ln(1 + (length(lower(text)) - length(replace(lower(text), '{w}', ''))) // {len(w)})" for i, w in enumerate(KEYWORDS))} AS score FROM texts, idf)"""
 _TRACK = r"(?:^|[^\w$])track\s*\("
 
+
+
+def _xxh32() -> str:
+    """SQL of content tags: XXH32 (seed 0) of plain(path, text), by stripes of 16 bytes, then words of four, then bytes."""
+    p1, p2, p3, p4, p5 = (f"{x}::UBIGINT" for x in (2654435761, 2246822519, 3266489917, 668265263, 374761393))
+    top = "4294967296::UBIGINT"
+    mul = lambda a, b: f"((({a}) * {b}) % {top})"
+    add = lambda a, b: f"((({a}) + ({b})) % {top})"
+    turn = lambda a, n: f"((({a}) * {1 << n}) % {top} + ({a}) // {1 << (32 - n)})"
+    word = lambda at: f"('0x' || substr(h, {at} + 6, 2) || substr(h, {at} + 4, 2) || substr(h, {at} + 2, 2) || substr(h, {at}, 2))::UBIGINT"
+    lane = lambda k, start: f"list_reduce(list_prepend({start}, [{word(f'32 * i + {8 * k + 1}')} FOR i IN range(n // 16)]), lambda v, x: {mul(turn(add('v', mul('x', p2)), 13), p1)})"
+    words = f"list_reduce(list_prepend(a, [{word('n // 16 * 32 + 8 * i + 1')} FOR i IN range(n % 16 // 4)]), lambda v, x: {mul(turn(add('v', mul('x', p3)), 17), p4)})"
+    last = f"list_reduce(list_prepend(b, [('0x' || substr(h, n // 4 * 8 + 2 * i + 1, 2))::UBIGINT FOR i IN range(n % 4)]), lambda v, x: {mul(turn(add('v', mul('x', p5)), 11), p1)})"
+    starts = ("(2654435761 + 2246822519 - 4294967296)::UBIGINT", p2, "0::UBIGINT", "(4294967296 - 2654435761)::UBIGINT")
+    lanes = ", ".join(f"{lane(k, s)} AS v{k}" for k, s in enumerate(starts))
+    whole = add(add(turn("v0", 1), turn("v1", 7)), add(turn("v2", 12), turn("v3", 18)))
+    mixes = [mul(f"xor({x}, {x} // {1 << n})", p) for x, n, p in (("c", 15, p2), ("d", 13, p3))]
+    return f"""bytes AS (SELECT path, hex(encode(text)) AS h, strlen(text) AS n FROM plain), lanes AS (SELECT *, {lanes} FROM bytes), a AS (SELECT *, {add(f"CASE WHEN n >= 16 THEN {whole} ELSE {p5} END", "n::UBIGINT")} AS a FROM lanes),
+b AS (SELECT *, {words} AS b FROM a), c AS (SELECT *, {last} AS c FROM b), d AS (SELECT path, {mixes[0]} AS d FROM c), e AS (SELECT path, {mixes[1]} AS e FROM d)
+SELECT path, right('0000' || hex(xor(e, e // 65536) % 65536), 4) AS tag FROM e UNION ALL SELECT path, NULL FROM docs WHERE text IS NULL"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "content_tags": rf"WITH {DOCS}, plain AS (SELECT path, regexp_replace(regexp_replace(regexp_replace(text, '^\x{{FEFF}}', ''), '\r\n?', chr(10), 'g'), '(?m)[ \t\r]+$', '', 'g') AS text FROM docs WHERE text IS NOT NULL), {_xxh32()}",
     "find_fuzzy": f"WITH {DOCS} {fuzzy('src1 doc en')}",
     "find_filtered": rf"WITH {DOCS}, kept AS (SELECT * FROM docs WHERE (path = 'src1' OR starts_with(path, 'src1/')) AND regexp_matches(path, '(^|/)doc_[^/]*[13579]\.txt$') AND NOT (path = 'src1/de' OR starts_with(path, 'src1/de/')) AND NOT list_contains(string_split(path, '/'), 'fr')) {fuzzy('doc').replace('FROM docs', 'FROM kept')}",
     "find_dir_counts": f"WITH {DOCS}, f AS ({fuzzy('doc')}) SELECT regexp_replace(path, '/[^/]*$', '') AS dir, count(*) AS n FROM f GROUP BY 1",

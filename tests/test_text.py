@@ -150,8 +150,11 @@ def test_search(corpus):
     assert semantic.search(files, "the retry budget", failing).count() == 0
 
 
-def test_tags():
-    assert tags.tag_of("a \n b\t\r\nc") == "80BA" and tags.tag_of("hello\n") == "5BF9" and tags.tag_of("﻿hello \r\n") == "5BF9" and tags.tag_of("") == "5D05"
+def test_tags(corpus):
+    texts = {"a": "a \n b \t\r\nc", "b": "hello\n", "c": "\ufeffhello \r\n", "d": "", "e": None, "f": " \t" * 5000 + "x", "g": "a\n b\nc"}
+    got = {r.path: r.tag for r in corpus(texts).select("path", tags.content_tag("text").alias("tag")).collect()}
+    assert (got["a"], got["b"], got["c"], got["d"], got["e"]) == ("80BA", "5BF9", "5BF9", "5D05", None) and got["a"] == got["g"] != got["f"]
+
 
 
 def test_tree(spark, tmp_path):
