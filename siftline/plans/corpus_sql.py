@@ -58,15 +58,19 @@ ring1 AS (SELECT path, line, CASE WHEN regexp_matches(raw, '{_CALL}') THEN strpo
 
 # Units are lines, or pieces of a line that is too long, which stand alone. A window ends with the last unit whose running size still fits, or with its first;
 # windows follow each other by recursion.
-_PASSAGES = f"""sized AS (SELECT path, line, raw, 'L' || line || '| ' AS lead, strlen(raw) + strlen('L' || line || '| ') + 1 AS need FROM lines),
-cut AS (SELECT path, line, lead, need, 0 AS k, ''::VARCHAR AS piece, raw AS rest FROM sized WHERE need > 1024
-  UNION ALL SELECT path, line, lead, need, k + 1, left(rest, fit), substr(rest, fit + 1) FROM (SELECT *, list_max(list_filter(range(0, 1025), lambda n: strlen(left(rest, n)) <= 1023 - strlen(lead)))::INT AS fit FROM cut WHERE rest <> '')),
-units AS (SELECT path, line, 0 AS k, lead || raw || chr(10) AS piece, need FROM sized WHERE need <= 1024 UNION ALL SELECT path, line, k, lead || piece || chr(10), 1025 FROM cut WHERE k > 0),
+def _passages(size: int) -> str:
+    return f"""sized AS (SELECT path, line, raw, 'L' || line || '| ' AS lead, strlen(raw) + strlen('L' || line || '| ') + 1 AS need FROM lines),
+cut AS (SELECT path, line, lead, need, 0 AS k, ''::VARCHAR AS piece, raw AS rest FROM sized WHERE need > {size}
+  UNION ALL SELECT path, line, lead, need, k + 1, left(rest, fit), substr(rest, fit + 1) FROM (SELECT *, list_max(list_filter(range(0, {size + 1}), lambda n: strlen(left(rest, n)) <= {size - 1} - strlen(lead)))::INT AS fit FROM cut WHERE rest <> '')),
+units AS (SELECT path, line, 0 AS k, lead || raw || chr(10) AS piece, need FROM sized WHERE need <= {size} UNION ALL SELECT path, line, k, lead || piece || chr(10), {size + 1} FROM cut WHERE k > 0),
 ends AS (SELECT *, row_number() OVER w AS u, sum(need) OVER w AS c FROM units WINDOW w AS (PARTITION BY path ORDER BY line, k)),
-nexts AS (SELECT a.path, a.u AS start, greatest(a.u, b.u) AS stop FROM ends a ASOF LEFT JOIN ends b ON a.path = b.path AND a.c - a.need + 1024 >= b.c),
+nexts AS (SELECT a.path, a.u AS start, greatest(a.u, b.u) AS stop FROM ends a ASOF LEFT JOIN ends b ON a.path = b.path AND a.c - a.need + {size} >= b.c),
 windows AS (SELECT path, start, stop FROM nexts WHERE start = 1 UNION ALL SELECT n.path, n.start, n.stop FROM windows w JOIN nexts n ON n.path = w.path AND n.start = w.stop + 1),
 texts AS (SELECT w.path, w.start AS u, min(line) AS start, max(line) AS stop, string_agg(piece, '' ORDER BY e.u) AS text FROM windows w JOIN ends e ON e.path = w.path AND e.u BETWEEN w.start AND w.stop GROUP BY w.path, w.start),
 passages AS (SELECT path, start::INT AS start, stop::INT AS stop, text, {" + ".join(f"w{i} * ln(1 + (length(lower(text)) - length(replace(lower(text), '{w}', ''))) // {len(w)})" for i, w in enumerate(KEYWORDS))} AS score FROM texts, idf)"""
+
+
+_PASSAGES = _passages(1024)
 _TRACK = r"(?:^|[^\w$])track\s*\("
 
 
@@ -91,7 +95,21 @@ b AS (SELECT *, {words} AS b FROM a), c AS (SELECT *, {last} AS c FROM b), d AS
 SELECT path, right('0000' || hex(xor(e, e // 65536) % 65536), 4) AS tag FROM e UNION ALL SELECT path, NULL FROM docs WHERE text IS NULL"""
 
 
+#: The judge of lengths (see queries.length_judge): names, then windows; sketches all pass.
+_CASCADE = f"""WITH RECURSIVE {DOCS.replace("FROM documents", "FROM documents WHERE text <> ''")}, {lines_of("docs")}, {counts(KEYWORDS)},
+lexed AS (SELECT path, {_LEX} AS lex FROM counts, idf), named AS (SELECT path, lex, row_number() OVER (ORDER BY lex DESC, path) AS place FROM lexed QUALIFY place <= 128),
+chosen AS (SELECT path FROM named ORDER BY place > 2, CASE WHEN length(path) % 7 <> 0 THEN length(path) % 10 / 9 ELSE 0 END DESC, place LIMIT 20),
+{_passages(8192).replace("FROM lines)", "FROM lines WHERE path IN (SELECT path FROM chosen))", 1)},
+ranked AS (SELECT *, count(*) OVER (PARTITION BY path) AS n, max(score) OVER (PARTITION BY path) AS best, row_number() OVER (PARTITION BY path ORDER BY start, text) - 1 AS place, row_number() OVER (PARTITION BY path ORDER BY score DESC, start, text) AS rank FROM passages),
+picked AS (SELECT path, start, stop, text, score FROM ranked WHERE n <= 24 OR CASE WHEN best = 0 THEN place IN (SELECT k * (n - 1) // 23 FROM range(24) AS r(k)) ELSE rank <= 24 END),
+seen AS (SELECT path, start, stop, length(text) % 10 / 9 AS p FROM (SELECT * FROM picked ORDER BY score DESC, path, start LIMIT 40) WHERE length(text) % 7 <> 0),
+k AS (SELECT path, start, stop, max(p) AS p FROM seen WHERE p >= 0.2 GROUP BY ALL),
+f AS (SELECT *, CASE WHEN start <= max(stop) OVER (PARTITION BY path ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS fresh FROM k),
+total AS (SELECT path, count(*) AS n_lines FROM lines GROUP BY path), looked AS (SELECT path, sum(stop - start + 1)::BIGINT AS lines_seen FROM seen GROUP BY path)
+SELECT f.path, round(max(p), 6) AS score, sum(fresh)::INT AS n_ranges, any_value(lines_seen) AS lines_seen, any_value(lines_seen) < any_value(n_lines) AS truncated FROM f JOIN looked USING (path) JOIN total USING (path) GROUP BY f.path"""
+
 ORACLE_SQL: dict[str, str] = {
+    "cascade_of_lengths": _CASCADE,
     "content_tags": rf"WITH {DOCS}, plain AS (SELECT path, regexp_replace(regexp_replace(regexp_replace(text, '^\x{{FEFF}}', ''), '\r\n?', chr(10), 'g'), '(?m)[ \t\r]+$', '', 'g') AS text FROM docs WHERE text IS NOT NULL), {_xxh32()}",
     "find_fuzzy": f"WITH {DOCS} {fuzzy('src1 doc en')}",
     "find_filtered": rf"WITH {DOCS}, kept AS (SELECT * FROM docs WHERE (path = 'src1' OR starts_with(path, 'src1/')) AND regexp_matches(path, '(^|/)doc_[^/]*[13579]\.txt$') AND NOT (path = 'src1/de' OR starts_with(path, 'src1/de/')) AND NOT list_contains(string_split(path, '/'), 'fr')) {fuzzy('doc').replace('FROM docs', 'FROM kept')}",
