@@ -49,6 +49,53 @@ SELECT doc_id, len(w) AS n_words, len(mit) + len(apache) + len(gpl) AS n_base, l
   array_to_string(list_filter([CASE WHEN len(apache) > 0 THEN 'apache' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(mit) > 0 THEN 'mit' END], lambda x: x IS NOT NULL), ',') AS base_labels FROM p
 """
 
+
+
+def _xxh64(seed: int) -> str:
+    """SQL of XXH64: hashed(key, x) from texts(key, text), by stripes of 32 bytes, then words of eight, of four, then bytes."""
+    p1, p2, p3, p4, p5 = (f"{x}::UHUGEINT" for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+    top = "18446744073709551616::UHUGEINT"
+    mul = lambda a, b: f"((({a}) * {b}) % {top})"
+    add = lambda *x: f"(({' + '.join(f'({y})' for y in x)}) % {top})"
+    turn = lambda a, n: f"((({a}) * {1 << n}) % {top} + ({a}) // {1 << (64 - n)})"
+    little = lambda at, n: "('0x' || " + " || ".join(f"substr(h, {at} + {2 * k}, 2)" for k in range(n - 1, -1, -1)) + ")::UBIGINT::UHUGEINT"
+    round_ = lambda v, x: mul(turn(add(v, mul(x, p2)), 31), p1)
+    starts = [(seed + a) % (1 << 64) for a in (11400714785074694791 + 14029467366897019727, 14029467366897019727, 0, -11400714785074694791)]
+    lanes = ", ".join(f"list_reduce(list_prepend({v}::UHUGEINT, [{little(f'64 * i + {16 * k + 1}', 8)} FOR i IN range(n // 32)]), lambda v, x: {round_('v', 'x')}) AS v{k}" for k, v in enumerate(starts))
+    whole = add(*(turn(f"v{k}", n) for k, n in enumerate((1, 7, 12, 18))))
+    for k in range(4):
+        whole = add(mul(f"xor({whole}, {round_('0::UHUGEINT', f'v{k}')})", p1), p4)
+    eights = f"list_reduce(list_prepend(a, [{little('n // 32 * 64 + 16 * i + 1', 8)} FOR i IN range(n % 32 // 8)]), lambda v, x: {add(mul(turn('xor(v, ' + round_('0::UHUGEINT', 'x') + ')', 27), p1), p4)})"
+    four = f"CASE WHEN n % 8 >= 4 THEN {add(mul(turn('xor(b, ' + mul(little('n // 8 * 16 + 1', 4), p1) + ')', 23), p2), p3)} ELSE b END"
+    ones = f"list_reduce(list_prepend(c, [('0x' || substr(h, n // 4 * 8 + 2 * i + 1, 2))::UBIGINT::UHUGEINT FOR i IN range(n % 4)]), lambda v, x: {mul(turn('xor(v, ' + mul('x', p5) + ')', 11), p1)})"
+    return f"""bytes AS (SELECT text, hex(encode(text)) AS h, strlen(text) AS n FROM texts), lanes AS (SELECT *, {lanes} FROM bytes), sa AS (SELECT *, {add(f"CASE WHEN n >= 32 THEN {whole} ELSE {(seed + 2870177450012600261) % (1 << 64)}::UHUGEINT END", "n::UHUGEINT")} AS a FROM lanes),
+sb AS (SELECT *, {eights} AS b FROM sa), sc AS (SELECT *, {four} AS c FROM sb), sd AS (SELECT *, {ones} AS d FROM sc), se AS (SELECT text, {mul("xor(d, d // 8589934592)", p2)} AS e FROM sd), sf AS (SELECT text, {mul("xor(e, e // 536870912)", p3)} AS f FROM se),
+hashed AS (SELECT text, xor(f, f // 4294967296)::UBIGINT AS x FROM sf)"""
+
+
+ORACLE_OP9 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all({LOWERED}, '[^ 	-]+') AS w FROM documents
+), shingles AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) > 2 THEN [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS text FROM w
+), texts AS (
+  SELECT DISTINCT text FROM shingles
+), {_xxh64(42)}, prints AS (
+  SELECT doc_id, {" + ".join(f"CASE WHEN 2 * sum((x >> {b}) & 1) > count(*) THEN {1 << b}::UBIGINT ELSE 0::UBIGINT END" for b in range(64))} AS fp FROM shingles JOIN hashed USING (text) GROUP BY doc_id
+), p AS (
+  SELECT doc_id, coalesce(fp, 0)::UBIGINT AS fp FROM documents LEFT JOIN prints USING (doc_id)
+), f AS (
+  SELECT fp, min(doc_id) AS least FROM p GROUP BY fp
+), near AS (
+  SELECT a.fp AS a, b.fp AS b FROM f a JOIN f b ON a.fp <> b.fp AND bit_count(xor(a.fp, b.fp)) <= 2
+), reach AS (
+  SELECT fp AS a, fp AS b FROM f UNION SELECT reach.a, near.b FROM reach JOIN near ON near.a = reach.b
+), roots AS (
+  SELECT reach.a AS fp, min(f.least) AS component_id FROM reach JOIN f ON f.fp = reach.b GROUP BY reach.a
+)
+SELECT doc_id, lower(lpad(hex(fp), 16, '0')) AS fingerprint, component_id FROM p JOIN roots USING (fp)
+"""
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_suffix_tree": suffix_tree.op1_suffix_tree,
@@ -71,6 +118,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op5_chat_template": chat_template.ORACLE_OP5,
     "op8_exact_dedup": exact_dedup.ORACLE_OP8,
+    "op9_simhash": ORACLE_OP9,
     "op10_quality_rules": quality_rules.ORACLE_OP10,
     "suffix_tree_base": SUFFIX_TREE_BASE,
     "license_base": LICENSE_BASE,
