@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 #: Bytes of text that one step of a Python task holds at a time (one longer text still forms a step).
 STEP_BYTES = 8 << 20
 #: As much for steps whose words become Python objects.
-WORD_BYTES = 3 << 20
+WORD_BYTES = 2 << 20
 #: Entries of a per-task memo before it is emptied; bounds a worker's memory, never the result.
 MEMO_ENTRIES = 400_000
 

@@ -613,7 +613,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         found = stored(components(found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "similar-roots")
     named = classes.join(found, "node", "left").select("name", F.coalesce("root", "node").alias("component"))
     grouped = stored(sketches.select("row_key", "doc_id", "name").join(named, "name").select("row_key", "doc_id", "component"), "similar-groups")
-    return grouped.join(grouped.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("row_key", "doc_id", "component", "component_id")
+    # Stored, so that the join has no other use for its partitions and Spark may split that of a large component.
+    least = stored(grouped.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component-ids")
+    return grouped.join(least, "component").select("row_key", "doc_id", "component", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, max_bits: int = 2) -> DataFrame:
