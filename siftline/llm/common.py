@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 #: Bytes of text that one step of a Python task holds at a time (one longer text still forms a step).
 STEP_BYTES = 8 << 20
@@ -25,6 +26,8 @@ MEMO_ENTRIES = 400_000
 
 #: Row numbers up to this many are broadcast (8 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of texts in rows that are broadcast.
+BROADCAST_BYTES = 16 << 20
 #: The column that numbers rows.
 ROW = "__siftline_row"
 
@@ -83,7 +86,11 @@ def numbered(docs: DataFrame, name: str = ROW) -> DataFrame:
 
 
 def small(rows: DataFrame) -> DataFrame:
-    """The stored rows of numbers, marked for broadcast if they are at most BROADCAST_ROWS."""
+    """The stored rows, marked for broadcast if they are at most BROADCAST_ROWS, and their texts BROADCAST_BYTES."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in rows.schema.fields if isinstance(f.dataType, StringType)]
+    if texts:
+        n, size = rows.agg(F.count(F.lit(1)), F.sum(reduce(lambda a, b: a + b, texts))).first()
+        return F.broadcast(rows) if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else rows
     return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
 
 
