@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, NumericType, StringType, TimestampType
 
 _local: dict[str, str] = {}
 
@@ -30,13 +31,20 @@ def stored(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-#: Rows of paths or keys up to this many are broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: Rows of paths or keys up to this many, and so many bytes of texts in them, are broadcast; more are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 
 
 def small(rows: DataFrame) -> DataFrame:
-    """The stored rows, marked for broadcast if they are at most BROADCAST_ROWS."""
-    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+    """The stored rows, marked for broadcast if they are within both bounds; arrays and structs count by their JSON."""
+    plain = (NumericType, BooleanType, DateType, TimestampType)
+    size = F.lit(0)
+    for f in rows.schema.fields:
+        if not isinstance(f.dataType, plain):
+            text = F.col(f.name) if isinstance(f.dataType, StringType) else F.to_json(F.struct(f.name))
+            size = size + F.coalesce(F.octet_length(text), F.lit(0))
+    n, held = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(rows) if n <= BROADCAST_ROWS and held <= BROADCAST_BYTES else rows
 
 
 def release(spark: SparkSession) -> None:
