@@ -148,6 +148,19 @@ def _repeats_group(pattern: str) -> bool:
     return any(m[1] and not m[3] and (m[1] in "*+" or m[1].endswith(",}") or int(m[2] or 0) > GROUP_TURNS) for m in _PIECE.finditer(pattern))
 
 
+#: A repeated group of single characters, escapes of kinds of them, or classes without a `-`, `^` or class inside.
+_ONE = r"(?:[A-Za-z0-9_ ]|\\[wdsWDS.]|\[[A-Za-z0-9_]+\])"
+_SINGLES = re.compile(rf"(?<!\\)\((?:\?:)?({_ONE}(?:\|{_ONE})*)\)(?=[*+{{])")
+
+
+def flattened(pattern: str) -> str:
+    """The expression with repeated groups of single characters, such as (a|b)*, as classes, which Java's engine repeats without its stack. It has the same matches, so long as
+    no group is referred to."""
+    if re.search(r"\\[1-9k]|\(\?P", pattern) or re.search(r"\[[^\]]*\(", pattern):
+        return pattern
+    return _SINGLES.sub(lambda m: "[" + re.sub(r"\||(?<!\\)[\[\]]", "", m[1]) + "]", pattern)
+
+
 def in_columns(pattern: str) -> bool:
     """Whether the expression is safe on Java's engine, whatever the line. What cannot be read is not."""
     try:

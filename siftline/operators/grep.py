@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.functions.expressions import bounded_hits, bounded_test, compiled, in_columns, may_be_empty
+from siftline.functions.expressions import bounded_hits, bounded_test, compiled, flattened, in_columns, may_be_empty
 from siftline.functions.fixed_values import CONTEXT_MAX, MATCH_CAP, MATCH_SECONDS
 from siftline.functions.text import insensitive, let, line_array, match_columns, quoted, row_text, whole_word
 from siftline.operators.symbols import SYMBOL, symbol_array
@@ -45,6 +45,7 @@ def grep(
     MatchOverBudget where one text takes it more than `seconds`.
     """
     rx = search_pattern(pattern, literal, ignore_case, word, smart_case)
+    rx = rx if literal else flattened(rx)
     before, after = (max(0, min(CONTEXT_MAX, int(n))) for n in (before, after))
     rows = files.select("path", "text")
     if literal and not ignore_case and not smart_case:

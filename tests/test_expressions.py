@@ -5,7 +5,7 @@ import time
 import pytest
 
 from siftline.functions import fixed_values as fixed
-from siftline.functions.expressions import in_columns
+from siftline.functions.expressions import flattened, in_columns
 from siftline.operators.grep import grep
 from siftline.operators.structural import structural
 from siftline.operators.symbols import outline
@@ -62,6 +62,20 @@ def test_engines_agree(corpus):
         assert sorted(map(tuple, grep(files, plain, literal=False).collect())) == sorted(map(tuple, grep(files, grouped, literal=False).collect()))
 
 
+def test_groups_of_single_characters_are_classes():
+    assert flattened("(a|b)*c") == "[ab]*c" and in_columns(flattened("(a|b)*c"))
+    assert flattened(r"(?:\w|-)+x(\d|[ab_])+y") == r"(?:\w|-)+x[\dab_]+y"
+    for kept in (r"(a|b)*\1", "(ab|c)*", "(a|b)", "(a|b)?", r"\(a|b\)*", "[(]a|b)*", "(a|^)*", "(?P<x>a|b)*"):
+        assert flattened(kept) == kept
+    rnd = random.Random(6)
+    for pattern in ("(a|b)*c", "(?:a|b|_)+", r"x(\d|a){2,5}", "(c| )*?a", r"(\w|[ab])+ ", "(a)+(b)*"):
+        flat = flattened(pattern)
+        assert flat != pattern
+        for _ in range(3000):
+            line = "".join(rnd.choice("abcx1_ ") for _ in range(rnd.randrange(14)))
+            assert [m.span() for m in re.finditer(pattern, line)] == [m.span() for m in re.finditer(flat, line)]
+
+
 def test_choice_of_engine():
     assert all(map(in_columns, ["foo.*bar", r"\w+\s+\w+", "[aeiou]{3}r+e", r"\b(?:stand|der)\b", "(?i)license", "(ab){3}x", r"v\d+(?:\.\d+)?"]))
     assert not any(map(in_columns, ["foo.*bar.*baz", "a*a*b", "(a|b)*c", r"(?:\w+\.)+", "(ab){1000}", "((a{1,9}){1,9}b){1,9}", r"(.*?), (.*?)!"]))
