@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import MEMO_ENTRIES, documents, slices, small, stored
+from siftline.llm.common import WORD_BYTES, documents, slices, small, stored
 
 #: Words of at least LETTERS code points that occur LEAST times; a form occurs TIMES as often as its variants.
 LETTERS, LEAST, TIMES = 6, 5, 5
@@ -34,6 +34,8 @@ LOWER = {i: i + 32 for i in range(ord("A"), ord("Z") + 1)}
 #: Every SLIPth run (by hash) lacks a code point, as a misspelling whose form is known.
 SLIP = 199
 UNIT_WORDS = 2048
+#: Distinct words that a task counts before it hands on what it has.
+HELD_WORDS = 150_000
 UNIT = ("m", "i", "j", "upto", "pre", "suf")
 
 
@@ -55,11 +57,11 @@ def vocabulary(docs: DataFrame, least: int = LEAST, slip=slipped) -> DataFrame:
 
     def count(batches):
         counts: Counter = Counter()
-        for part in slices(batches):
+        for part in slices(batches, "text", WORD_BYTES):
             for ident, text in zip(part.column("ident").to_pylist(), part.column("text").to_pylist()):
                 for run, n in Counter(RUN.findall(text.translate(LOWER))).items():
                     counts[slip(ident, run)] += n
-                if len(counts) > MEMO_ENTRIES:
+                if len(counts) > HELD_WORDS:
                     yield flush(counts)
                     counts.clear()
         if counts:
