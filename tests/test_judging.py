@@ -27,6 +27,13 @@ def test_answers_in_any_order_and_missing(asked):
     assert sorted(r.path for r in unanswered(asked, given).collect()) == ["p4", "p6"]
 
 
+def test_a_request_without_any_answer(asked):
+    given = answers(asked, "body", "q", lambda question, entries: {} if "text 6" in entries.values() else dict.fromkeys(entries, 0.5)).cache()
+    assert [(r.path, r.p) for r in answered(asked, given).orderBy("path").collect()] == [(f"p{i}", 0.5 if i < 6 else None) for i in range(7)]
+    assert [r.path for r in unanswered(asked, given).collect()] == ["p6"]
+    assert answers(asked, "body", "q", lambda question, entries: {}).count() == 0
+
+
 def test_a_failed_request_costs_its_answers(asked):
     def judge(question, entries):
         if "text 3" in entries.values():
