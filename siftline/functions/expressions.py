@@ -2,8 +2,9 @@
 
 Spark's own expressions run on Java's engine, which calls itself once for each turn of a repeated group: a few thousand turns on one line
 end the executor. It has no time limit either. So an expression goes there only if neither can happen by its shape: repeats are of single
-characters, of groups a stated number of times, or possessive, and at most one of them can hand characters on to what follows it. All others go to a
-matcher in Arrow batches, whose stack is on the heap and which gives up after a stated time for each text, by name.
+characters, of groups a stated number of times, or possessive, and at most one of them can hand characters on to what follows it. All others go to
+Arrow batches. Those in which a long repeat of single characters may be walked anew from each of many starts are read by Arrow's own expressions (RE2), in time
+linear in the line, if these find the same matches; the rest by a matcher whose stack is on the heap and which gives up after a stated time for each text, by name.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from re import _constants as codes
 from re import _parser
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -177,6 +180,79 @@ def may_be_empty(pattern: str) -> bool:
         return False  # only the matcher knows it, and it sees for itself
 
 
+_ENDS = {codes.AT_BEGINNING: r"\A", codes.AT_BEGINNING_STRING: r"\A", codes.AT_END: r"\z", codes.AT_END_STRING: r"\z", codes.AT_BOUNDARY: r"\b"}
+_KINDS = {codes.CATEGORY_DIGIT: "0-9", codes.CATEGORY_SPACE: r"\x{9}-\x{d} ", codes.CATEGORY_WORD: "0-9A-Za-z_", codes.CATEGORY_NOT_DIGIT: r"\D", codes.CATEGORY_NOT_WORD: r"\W"}
+
+
+def _written(items) -> str:
+    """A sequence in RE2's words. An error where the two might differ."""
+    out = []
+    for op, x in items:
+        if op is codes.LITERAL:
+            out.append(rf"\x{{{x:x}}}")
+        elif op is codes.NOT_LITERAL:
+            out.append(rf"[^\x{{{x:x}}}]")
+        elif op is codes.ANY:
+            out.append("(?s:.)")
+        elif op is codes.IN and x == [(codes.CATEGORY, codes.CATEGORY_NOT_SPACE)]:
+            out.append(f"[^{_KINDS[codes.CATEGORY_SPACE]}]")
+        elif op is codes.IN:
+            parts = {codes.NEGATE: lambda _: "^", codes.LITERAL: lambda y: rf"\x{{{y:x}}}", codes.RANGE: lambda y: rf"\x{{{y[0]:x}}}-\x{{{y[1]:x}}}", codes.CATEGORY: _KINDS.__getitem__}
+            out.append("[" + "".join(parts[kind](y) for kind, y in x) + "]")
+        elif op in (codes.MAX_REPEAT, codes.MIN_REPEAT) and x[2].getwidth()[0]:
+            most = "" if x[1] is codes.MAXREPEAT else x[1]
+            out.append(f"(?:{_written(x[2])}){{{x[0]},{most}}}{'?' if op is codes.MIN_REPEAT else ''}")
+        elif op is codes.SUBPATTERN and not x[1] and not x[2]:
+            out.append(f"(?:{_written(x[3])})")
+        elif op is codes.BRANCH:
+            out.append(f"(?:{'|'.join(map(_written, x[1]))})")
+        elif op is codes.AT and x in _ENDS:
+            out.append(_ENDS[x])
+        else:
+            raise ValueError(op)
+    return "".join(out)
+
+
+def linear(pattern: str) -> str | None:
+    """The expression for RE2, which takes time linear in the line, if it finds the same matches there and none without characters; else None."""
+    if re.search(r"\[\[|\[:|--|&&|\|\||~~|\{(?!\d*,?\d*\})", pattern):
+        return None  # the matcher may read these in ways of its own
+    try:
+        tree = _parser.parse(pattern)
+        if tree.state.flags & ~re.UNICODE or not tree.getwidth()[0]:
+            return None
+        out = f"({_written(tree)})"
+        pc.match_substring_regex(pa.array([""]), out)
+        return out
+    except (re.error, pa.ArrowInvalid, ValueError, KeyError, OverflowError, RecursionError):
+        return None
+
+
+def _long_repeats(items):
+    """Characters of each repeat of single ones that may be long."""
+    for op, x in items:
+        if op in (codes.MAX_REPEAT, codes.MIN_REPEAT):
+            one = _set_of(*x[2][0]) if len(x[2]) == 1 else None
+            if one is None:
+                yield from _long_repeats(x[2])
+            elif x[1] > GROUP_TURNS:
+                yield one
+        elif op is codes.SUBPATTERN:
+            yield from _long_repeats(x[3])
+        elif op is codes.BRANCH:
+            for some in x[1]:
+                yield from _long_repeats(some)
+
+
+def restarts(pattern: str) -> bool:
+    """Whether a match may begin again within what a long repeat has walked, which is quadratic on Java's engine and linear on RE2."""
+    if linear(pattern) is None:
+        return False
+    tree = _parser.parse(pattern)
+    first, _ = _first(tree)
+    return any(first & some for some in _long_repeats(tree))
+
+
 def compiled(pattern: str) -> regex.Pattern:
     """The matcher's expression; an expression that it does not know is refused by name, before any task runs."""
     flags, body = 0, pattern
@@ -215,23 +291,61 @@ def hits_of(text: str | None, rx: regex.Pattern, seconds: float, first: bool = F
     return out
 
 
+#: Characters of texts whose lines are matched together.
+STEP_CHARS = 4 << 20
+
+
+def linear_hits(texts: pd.Series, expression: str) -> list[list[dict]]:
+    """As hits_of, of many texts, by an expression of `linear`."""
+    out: list[list[dict]] = []
+    lines, owner, held = [], [], 0
+
+    def solve() -> None:
+        found = pc.indices_nonzero(pc.match_substring_regex(pa.array(lines, pa.string()), expression)).to_pylist()
+        hit = [lines[i] for i in found]
+        seen = set().union(*hit)
+        mark = next(c for c in map(chr, range(0xE000, 0xF900)) if c not in seen)
+        marked = pc.replace_substring_regex(pa.array(hit, pa.string()), expression, mark + r"\1").to_pylist()
+        for i, line in zip(found, marked):
+            at, columns = 1, []
+            for piece in line.split(mark)[:-1]:
+                at += len(piece)
+                columns.append(at)
+            k, number = owner[i]
+            out[k].append({"line": number, "columns": columns})
+        lines.clear()
+        owner.clear()
+
+    for text in texts:
+        some, _ = text_lines(text)
+        owner += [(len(out), number) for number in range(1, len(some) + 1)]
+        out.append([])
+        lines += some
+        held += len(text or "")
+        if held > STEP_CHARS:
+            solve()
+            held = 0
+    solve()
+    return out
+
+
 def bounded_hits(text: Column, pattern: str, seconds: float = MATCH_SECONDS) -> Column:
-    """(line, columns) of each line with a match, by the matcher with a time limit for each text."""
-    rx = compiled(pattern)
+    """(line, columns) of each line with a match, in linear time or by the matcher with a time limit for each text."""
+    rx, fast = compiled(pattern), linear(pattern) if restarts(pattern) else None
 
     @F.pandas_udf(HIT)
     def found(texts: pd.Series) -> pd.Series:
-        return pd.Series([hits_of(t, rx, seconds) for t in texts])
+        return pd.Series([hits_of(t, rx, seconds) for t in texts] if fast is None else linear_hits(texts, fast), dtype=object)
 
     return found(text)
 
 
 def bounded_test(text: Column, pattern: str, seconds: float = MATCH_SECONDS) -> Column:
-    """Whether a line of the text has a match, by the matcher with a time limit for each text."""
-    rx = compiled(pattern)
+    """Whether a line of the text has a match, in linear time or by the matcher with a time limit for each text."""
+    rx, fast = compiled(pattern), linear(pattern) if restarts(pattern) else None
 
     @F.pandas_udf("boolean")
     def found(texts: pd.Series) -> pd.Series:
-        return pd.Series([bool(hits_of(t, rx, seconds, first=True)) for t in texts])
+        return pd.Series([bool(hits_of(t, rx, seconds, first=True)) for t in texts] if fast is None else list(map(bool, linear_hits(texts, fast))), dtype=bool)
 
     return found(text)

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.functions.expressions import bounded_hits, bounded_test, compiled, flattened, in_columns, may_be_empty
+from siftline.functions.expressions import bounded_hits, bounded_test, compiled, flattened, in_columns, may_be_empty, restarts
 from siftline.functions.fixed_values import CONTEXT_MAX, MATCH_CAP, MATCH_SECONDS
 from siftline.functions.text import insensitive, let, line_array, match_columns, quoted, row_text, whole_word
 from siftline.operators.symbols import SYMBOL, symbol_array
@@ -33,7 +33,7 @@ def hit_lines(lines: Column, pattern: str) -> Column:
 
 def has_match(text: Column, pattern: str) -> Column:
     """Whether a line of the text has a match of an expression."""
-    return F.exists(line_array(text), lambda x: x.rlike(pattern)) if in_columns(pattern) else bounded_test(text, pattern)
+    return F.exists(line_array(text), lambda x: x.rlike(pattern)) if in_columns(pattern) and not restarts(pattern) else bounded_test(text, pattern)
 
 
 def grep(
@@ -41,8 +41,8 @@ def grep(
 ) -> DataFrame:
     """path, line, col, text of every match in files (path, text); before, after (arrays) and enclosing as asked.
 
-    Expressions that are not safe on Java's engine, and those that may match nothing, go to the matcher, which raises
-    MatchOverBudget where one text takes it more than `seconds`.
+    Expressions that are not safe on Java's engine, or quadratic there, and those that may match nothing, go to Arrow batches: the quadratic ones
+    to RE2 where it reads them alike, the others to the matcher, which raises MatchOverBudget where one text takes it more than `seconds`.
     """
     rx = search_pattern(pattern, literal, ignore_case, word, smart_case)
     rx = rx if literal else flattened(rx)
@@ -50,7 +50,7 @@ def grep(
     rows = files.select("path", "text")
     if literal and not ignore_case and not smart_case:
         rows = rows.filter(F.contains(F.col("text"), F.lit(pattern)))
-    given = not literal and (may_be_empty(rx) or not in_columns(rx))
+    given = not literal and (may_be_empty(rx) or not in_columns(rx) or restarts(rx))
     if given:
         rows = rows.withColumn("found", bounded_hits(F.col("text"), rx, seconds))
     elif not literal:

@@ -5,7 +5,7 @@ import time
 import pytest
 
 from siftline.functions import fixed_values as fixed
-from siftline.functions.expressions import flattened, in_columns
+from siftline.functions.expressions import compiled, flattened, hits_of, in_columns, linear, linear_hits, restarts
 from siftline.operators.grep import grep
 from siftline.operators.structural import structural
 from siftline.operators.symbols import outline
@@ -109,3 +109,23 @@ def test_possessive_patterns_find_the_same():
             assert (a and (a.span(g), a.start())) == (b and (b.span(g), b.start())), (new.pattern, line)
             met += a is not None
     assert met > 10_000
+
+
+def test_two_gaps_on_long_lines_in_linear_time(corpus):
+    """Lines on which the matcher went over its three seconds at 0.5 GB: many starts, many middles, and no end."""
+    open_end = "the " * 5_000 + "ing " * 5_000
+    start = time.time()
+    found = grep(corpus({"x": f"{open_end}\n{open_end}and é the ing\n"}), "the.*ing.*and", literal=False).collect()
+    assert [(r.line, r.col) for r in found] == [(2, 1)] and time.time() - start < 10
+
+
+def test_linear_agrees_with_the_matcher():
+    rnd = random.Random(5)
+    lines = ["".join(rnd.choice("abcd é_1\v") for _ in range(rnd.randrange(40))) for _ in range(400)]
+    texts = ["\n".join(lines[i : i + 20]) + "\n" * (i % 40 == 0) for i in range(0, 400, 20)] + [None, "", "\n"]
+    for pattern in ("a.*b.*c", "a.*?b", "(a|ab)(c|bcd)*d", r"\w+\s*b", r"\ba", "^a|b$", "[^ab]{2,3}c?", r"[\wé]+\d", r"\S+a", r"(?:ab|[\Wc])+?d", "a|aa", r"\.|a{2}", "[]a]b"):
+        assert linear(pattern), pattern
+        assert linear_hits(texts, linear(pattern)) == [hits_of(t, compiled(pattern), 3) for t in texts], pattern
+    for pattern in ("a*", "(?i)ab", r"(a)\1", "(?=a)b", "a++b", "(a*)*b", "(?:ab){e<=1}", "[[:alpha:]]b", r"\Ba", "a{1,2000}", r"[\Sa]b"):
+        assert linear(pattern) is None, pattern
+    assert restarts("the.*ing.*and") and restarts("[ab]*c") and not restarts("[aeiou]{3}r+e") and not restarts("stand|der")
