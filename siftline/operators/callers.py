@@ -15,6 +15,8 @@ IDENTIFIER = r"[\w$]+"
 CALLED = r"(?<![\w$])([\w$]+)(?=\s*\()"
 IMPORTING = IMPORT_WORDS + r"[^\n]*"
 MEMBER = r"\.([\w$]+)"
+#: What a site can be, by its number in the column form.
+FORMS = ("call", "import", "member")
 
 
 #: Symbols of a ring up to this many go into the expressions that look for their sites; more meet the sites by a join.
@@ -126,8 +128,8 @@ def _tagged(columns: Column, form: int) -> Column:
     return F.transform(columns, lambda c: F.struct(c.alias("col"), F.lit(form).alias("form")))
 
 
-def callers(files: DataFrame, symbol: str, depth: int = 1, ignore_case: bool = False) -> DataFrame:
-    """path, line, col, text, depth, via: the sites of symbol, then those of the symbols around them, each line once.
+def callers(files: DataFrame, symbol: str, depth: int = 1, ignore_case: bool = False, forms: tuple[str, ...] = FORMS) -> DataFrame:
+    """path, line, col, text, depth, via: the sites of symbol, then those of the symbols around them, each line once. forms: the kinds of sites that count.
 
     A ring is an equi-join of sites and symbols, less the lines that were seen. Rings before the last are stored, as later ones
     start from them. Each ring looks for the sites of its symbols alone, unless they are more than AMONG, and for owners only if a ring follows.
@@ -135,9 +137,10 @@ def callers(files: DataFrame, symbol: str, depth: int = 1, ignore_case: bool = F
     if not symbol:
         raise ValueError("a symbol is needed")
     depth = max(1, min(3, depth))
+    counts = F.col("form").isin([FORMS.index(x) for x in forms])
     spark = files.sparkSession
     first = symbol.lower() if ignore_case else symbol
-    ring = pattern_sites(files, symbol, ignore_case, owners=depth > 1).withColumn("rank", F.lit(None).cast("struct<path:string,line:int>"))
+    ring = pattern_sites(files, symbol, ignore_case, owners=depth > 1).filter(counts).withColumn("rank", F.lit(None).cast("struct<path:string,line:int>"))
     out = _once(ring).withColumn("depth", F.lit(1))
     if depth > 1:
         asked = spark.createDataFrame([(first,)], "sym string")
@@ -151,7 +154,7 @@ def callers(files: DataFrame, symbol: str, depth: int = 1, ignore_case: bool = F
         asked = asked.unionByName(around.select("sym"))
         some = [r.sym for r in around.select("sym").limit(AMONG + 1).collect()]
         known = sites(files, ignore_case, n < depth, some if len(some) <= AMONG else None)
-        ring = known.join(around, "sym").join(out.select("path", "line"), ["path", "line"], "left_anti")
+        ring = known.filter(counts).join(around, "sym").join(out.select("path", "line"), ["path", "line"], "left_anti")
         out = out.unionByName(_once(ring).withColumn("depth", F.lit(n)))
     return out.select("path", "line", "col", "text", "depth", F.col("sym").alias("via"))
 

@@ -64,3 +64,21 @@ def test_registry(spark):
     queries, oracle = entry.queries(), entry.oracle_sql()
     assert set(oracle) <= set(queries)
     assert entry.entry(spark).columns == ["path", "line", "col", "text"]
+
+
+def test_calls_alone_in_pages(spark, tmp_path):
+    """A page whose prose has an import word before the symbol's name is a site of the operator, but no row of the query, as its SQL has it."""
+    import duckdb
+
+    from siftline.operators.callers import callers
+    from siftline.plans.corpus_sql import ORACLE_SQL
+    from siftline.queries import QUERIES
+
+    pages = [(1, "x;track(1);\n<p>St from erth</p> m.ads-track.example.com\n a.track\n"), (2, "from the track (a)\n")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = QUERIES["callers_pages"](spark, str(tmp_path))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(map(tuple, found.collect())) == sorted(db.execute(ORACLE_SQL["callers_pages"]).fetchall())
+    files = spark.createDataFrame([(str(n), text) for n, text in pages], "path string, text string")
+    assert sorted((r.path, r.line) for r in callers(files, "track").collect()) == [("1", 1), ("1", 2), ("1", 3), ("2", 1)]
