@@ -383,21 +383,38 @@ def in_bits(sets: list[np.ndarray]) -> np.ndarray | None:
     return np.packbits(marks, axis=1).view(np.uint64)
 
 
-def links_in_unit(side: np.ndarray, comp: np.ndarray, node: np.ndarray, wide: np.ndarray, sets: list[np.ndarray], max_bits: int, jaccard: float) -> list[tuple[int, int]]:
-    """Pairs (larger, smaller node) of the unit's two sides (or of its one) that join different components: within max_bits, and with such sets."""
+def rarest(sets: list[np.ndarray], jaccard: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of each set its rarest members, one more than two sets of this similarity may differ in, so that any two such sets have one in common; and the sets that have each."""
+    sizes = np.array([len(x) for x in sets])
+    _, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, start = np.repeat(np.arange(len(sets)), sizes), np.repeat(np.cumsum(sizes) - sizes, sizes)
+    order = np.lexsort((at, often[at], owner))
+    most = sizes - np.ceil(jaccard * sizes - 1e-6).astype(np.int64) + 1
+    kept = np.arange(len(order)) - start < most[owner]
+    name, owner = at[order][kept], owner[kept]
+    by_name = np.argsort(name, kind="stable")
+    having = np.split(owner[by_name], np.cumsum(np.bincount(name, minlength=len(often)))[:-1])
+    return np.split(name, np.cumsum(np.bincount(owner, minlength=len(sets)))[:-1]), having
+
+
+def links_in_unit(side: np.ndarray, comp: np.ndarray, node: np.ndarray, sets: list[np.ndarray], jaccard: float) -> list[tuple[int, int]]:
+    """Pairs (larger, smaller node) of the unit's two sides (or of its one) with such sets that join different components, whatever their fingerprints."""
     first, second = np.flatnonzero(side == 0), np.flatnonzero(side != 0)
     one = not len(first) or not len(second)
     if one:
         first = second = np.arange(len(side))
     bits, sizes = in_bits(sets), np.array([len(x) for x in sets])
     _, group = np.unique(comp, return_inverse=True)
+    names, having = rarest(sets, jaccard)
     out = []
     for i in first:
-        others = second[second > i] if one else second
+        met = np.zeros(len(side), bool)
+        for name in names[i]:
+            met[having[name]] = True
+        others = second[met[second] & (second > i)] if one else second[met[second]]
         others = others[group[others] != group[i]]
         small_, large = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
         others = others[small_ >= jaccard * large - 1e-9]
-        others = others[np.bitwise_count(wide[others] ^ wide[i]).sum(axis=1) <= max_bits]
         if not len(others):
             continue
         if bits is None:
@@ -411,13 +428,13 @@ def links_in_unit(side: np.ndarray, comp: np.ndarray, node: np.ndarray, wide: np
     return out
 
 
-def crowd_links(crowd: DataFrame, found: DataFrame, sets: DataFrame, max_bits: int, jaccard: float) -> DataFrame:
-    """a, b: the links that crowded spots still give between components. crowd: spot, size, node, wide0, wide1; found: node, root."""
+def crowd_links(crowd: DataFrame, found: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
+    """a, b: the links that crowded spots still give between components. crowd: spot, size, node; found: node, root; sets: those of all the crowd's nodes."""
     named = sets.select(F.col("row_key").alias("node"), "shingles").join(found, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     blocks = F.ceil(F.col("size") / UNIT_ROWS).cast("int")
     own = F.pmod(F.xxhash64("spot", "node"), blocks).cast("int")
-    rows = crowd.select("spot", "node", "wide0", "wide1", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    rows = rows.select("spot", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "wide0", "wide1")
+    rows = crowd.select("spot", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    rows = rows.select("spot", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node")
     keys = ["spot", "p", "q"]
     dealt = rows.join(named, "node").repartition(*keys).sortWithinPartitions(*keys)
 
@@ -426,9 +443,8 @@ def crowd_links(crowd: DataFrame, found: DataFrame, sets: DataFrame, max_bits: i
         comp, node = table.column("comp").to_numpy(), table.column("node").to_numpy()
         if len(np.unique(comp)) < 2:
             return []
-        wide = np.stack([table.column(c).to_numpy().astype(np.uint64) for c in ("wide0", "wide1")], axis=1)
         sets = [np.asarray(x.values) for chunk in table.column("shingles").chunks for x in chunk]
-        return links_in_unit(table.column("side").to_numpy(), comp, node, wide, sets, max_bits, jaccard)
+        return links_in_unit(table.column("side").to_numpy(), comp, node, sets, jaccard)
 
     def run(batches):
         held, now = [], None
@@ -456,7 +472,7 @@ def crowd_links(crowd: DataFrame, found: DataFrame, sets: DataFrame, max_bits: i
 
 def candidates(classes: DataFrame, share: float, recall: float, max_bits: int) -> tuple[DataFrame, DataFrame | None]:
     """a, b, bits: pairs of classes (wide0, wide1, node) that meet in a partition and differ in max_bits or fewer; and the members of crowded
-    spots (spot, size, node, wide0, wide1), of whose pairs only some are given, None if there are no such spots."""
+    spots (spot, size, node), of whose pairs only some are given, None if there are no such spots."""
     spark = classes.sparkSession
     n, both = bit_counts(classes, ("wide0", "wide1"))
     schema = "a long, b long, bits long"
@@ -530,7 +546,7 @@ def candidates(classes: DataFrame, share: float, recall: float, max_bits: int) -
     crowded = met_rows.filter("bits < 0").select(F.col("a").alias("spot"), F.col("b").alias("size"))
     if crowded.isEmpty():
         return pairs, None
-    return pairs, stored(keys.join(small(crowded), "spot").select("spot", "size", "node", "wide0", "wide1"), "crowd")
+    return pairs, stored(keys.join(small(crowded), "spot").select("spot", "size", "node").distinct(), "crowd")
 
 
 def spans(text: str | None, size: int) -> list[bytes]:
@@ -597,7 +613,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     classes = stored(sketches.groupBy("name").agg(F.min(F.struct("row_key", "wide0", "wide1")).alias("x")).select("name", F.col("x.row_key").alias("node"), "x.wide0", "x.wide1"), "classes")
     pairs, crowd = candidates(classes.select("wide0", "wide1", "node"), limit_share(jaccard), recall, max_bits)
     pairs = stored(pairs, "candidates")
-    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("row_key")).distinct(), "candidate-rows")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("row_key"))
+    if crowd is not None:  # all its members, also those that no fingerprint is near
+        ends = ends.unionByName(crowd.select(F.col("node").alias("row_key")))
+    ends = stored(ends.distinct(), "candidate-rows")
     sets = stored(rows.select("row_key", "text").join(small(ends), "row_key", "left_semi").mapInArrow(sets_of, "row_key long, shingles array<int>"), "shingle-sets")
     # Each row's nearest pair first; then those whose ends are still apart.
     both = pairs.select("a", "b", "bits", F.explode(F.array("a", "b")).alias("x"))
@@ -609,7 +628,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     apart = apart.select("a", "b").join(nearest, ["a", "b"], "left_anti")
     found = stored(components(first.unionByName(alike(apart, sets, jaccard))), "similar-roots")
     if crowd is not None:
-        more = stored(crowd_links(crowd, found, sets, max_bits, jaccard), "crowd-links")
+        more = stored(crowd_links(crowd, found, sets, jaccard), "crowd-links")
         found = stored(components(found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "similar-roots")
     named = classes.join(found, "node", "left").select("name", F.coalesce("root", "node").alias("component"))
     grouped = stored(sketches.select("row_key", "doc_id", "name").join(named, "name").select("row_key", "doc_id", "component"), "similar-groups")

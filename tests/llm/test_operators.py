@@ -781,3 +781,21 @@ def test_hosts(spark):
 def test_rules_edges(odd, empty):
     got = quality_rules.rated(odd, ("doc_id", "row_key", "block")).collect()
     assert len(got) == odd.count() and {r.n_words for r in got if r.doc_id in (0, 1, 2)} == {0} and quality_rules.rated(empty).count() == 0
+
+
+def test_a_crowd_is_tested_on_its_sets_alone(spark):
+    """Pairs at the limit count whatever their fingerprints, also of members that none is near: against all pairs of random sets."""
+    rng = np.random.default_rng(8)
+    base = rng.choice(1 << 20, 40, replace=False).astype(np.int32)
+    sets = [np.unique(np.concatenate([rng.choice(base, 36, replace=False), rng.choice(1 << 20, int(rng.integers(0, 8))).astype(np.int32)])) for _ in range(120)] + [np.zeros(0, np.int32)]
+    pairs = {(i, j) for i in range(len(sets)) for j in range(i) if len(s := np.intersect1d(sets[i], sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j]) - len(s)) - 1e-9 and len(s)}
+
+    def roots(links):
+        edges = spark.createDataFrame(sorted(links), "a long, b long")
+        return {(r.node, r.root) for r in simhash.components(edges).collect()}
+
+    assert 50 < len(pairs) < 5000
+    crowd = spark.createDataFrame([(7, len(sets), i) for i in range(len(sets))], "spot long, size long, node long")
+    given = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(sets)], "row_key long, shingles array<int>")
+    none = spark.createDataFrame([], "node long, root long")
+    assert roots(tuple(r) for r in simhash.crowd_links(crowd, none, given, 0.8).collect()) == roots(pairs)
