@@ -178,9 +178,14 @@ def sketches(found: DataFrame, words: list[str], weights: list[float], budget: i
     return found.withColumn("sketch", of("text", "start"))
 
 
+#: Ranges that a task merges: narrow rows, of which Spark would else put tens of MB as compressed, millions of them, together.
+TASK_RANGES = 250_000
+
+
 def merged_heat(ranges: DataFrame, threshold: float) -> DataFrame:
     """path, start, stop, p, snippet: ranges of enough p, joined where they touch, with the largest p and the first snippet."""
-    kept = ranges.filter((F.col("p") >= threshold) & (F.col("p") > 0) & (F.col("start") <= F.col("stop"))).repartition("path")
+    tasks = -(-ranges.count() // TASK_RANGES)
+    kept = ranges.filter((F.col("p") >= threshold) & (F.col("p") > 0) & (F.col("start") <= F.col("stop"))).repartition(max(1, tasks), "path")
     # Equal ranges are one, so that the order has no ties; the shuffle by path serves this, the windows and the groups.
     kept = kept.groupBy("path", "start", "stop").agg(F.max("p").alias("p"), F.min("snippet").alias("snippet"))
     order = Window.partitionBy("path").orderBy("start", "stop")

@@ -82,3 +82,14 @@ def test_calls_alone_in_pages(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == sorted(db.execute(ORACLE_SQL["callers_pages"]).fetchall())
     files = spark.createDataFrame([(str(n), text) for n, text in pages], "path string, text string")
     assert sorted((r.path, r.line) for r in callers(files, "track").collect()) == [("1", 1), ("1", 2), ("1", 3), ("2", 1)]
+
+
+def test_merging_tasks_stay_small(spark, monkeypatch):
+    """A task gets so many ranges, however small Spark finds them, and merges the same."""
+    from siftline.operators import lexical
+
+    rows = spark.range(4000).selectExpr("id % 400 AS path", "cast(id / 400 * 3 AS int) AS start", "cast(id / 400 * 3 AS int) + cast(id % 4 AS int) AS stop", "0.5 AS p", "'' AS snippet")
+    whole = sorted(map(tuple, lexical.merged_heat(rows, 0.2).collect()))
+    monkeypatch.setattr(lexical, "TASK_RANGES", 100)
+    parts = lexical.merged_heat(rows, 0.2)
+    assert parts.rdd.getNumPartitions() == 40 and sorted(map(tuple, parts.collect())) == whole
