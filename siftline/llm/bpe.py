@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from siftline.llm.common import MEMO_ENTRIES, documents, slices, stored
 from siftline.llm.tokens import load_ranks, units
 
+#: Units beside the table that a block hands on to the next: few of them come again.
+BLOCK_MEMO = 100_000
 #: Characters of text whose new units are replayed together.
 BLOCK_CHARS = 8 << 20
 #: Characters of units that a task remembers from block to block; characters of a unit that may come into the corpus's table.
@@ -43,14 +45,14 @@ class MergeReplay:
         #: left id << 32 | right id -> id of the two joined: every way to cut a token into two tokens.
         self.merges = {ranks[t[:i]] << 32 | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
         self.keys = np.sort(np.fromiter(self.merges, np.int64, len(self.merges)))
-        self.values = np.array([self.merges[k] for k in self.keys.tolist()], np.int64)
-        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)])
+        self.values = np.array([self.merges[k] for k in self.keys.tolist()], np.int32)
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
 
     def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of ids, -1 where they don't merge."""
         if not len(self.keys):
-            return np.full(len(left), -1)
-        key = left << 32 | right
+            return np.full(len(left), -1, np.int32)
+        key = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.values[at], -1)
 
@@ -70,12 +72,13 @@ class MergeReplay:
         corpus = np.frombuffer(b"".join(words), np.uint8)
         lengths = np.array([len(w) for w in words])
         ends = np.cumsum(lengths)
-        starts, places = ends - lengths, np.arange(len(corpus))
-        word, odd = np.repeat(np.arange(len(words)), lengths), np.zeros(len(words), bool)
+        # A block has far fewer than 2^31 symbols: half the memory of 64-bit places.
+        starts, places = ends - lengths, np.arange(len(corpus), dtype=np.int32)
+        word, odd = np.repeat(np.arange(len(words), dtype=np.int32), lengths), np.zeros(len(words), bool)
         symbol, following, before = self.byte_ids[corpus], places + 1, places - 1
         following[ends - 1], before[starts] = -1, -1
         #: The inverted index: a merge's rank -> positions of its pairs' left symbols. current: the rank at a position now.
-        current, index, queue = np.full(len(corpus), -1), {}, []
+        current, index, queue = np.full(len(corpus), -1, np.int32), {}, []
 
         def enter(rank: np.ndarray, at: np.ndarray) -> None:
             at, rank = at[rank >= 0], rank[rank >= 0]
@@ -105,7 +108,7 @@ class MergeReplay:
             symbol[p], following[p], current[q] = r, after, -1
             inside = after >= 0
             before[after[inside]] = p[inside]
-            right = np.full(len(p), -1)
+            right = np.full(len(p), -1, np.int32)
             right[inside] = self.joined(symbol[p[inside]], symbol[after[inside]])
             current[p] = right
             prior = before[p]
@@ -199,7 +202,7 @@ class BlockEncoder:
     def joined(self, cuts: list[np.ndarray]) -> list[bytes]:
         self.solve()
         out = [b"".join(map(self.ids.__getitem__, x.tolist())) for x in cuts]
-        if len(self.ids) > len(self.known) + MEMO_ENTRIES or self.numbers.chars > MEMO_CHARS:
+        if len(self.ids) > len(self.known) + BLOCK_MEMO or self.numbers.chars > MEMO_CHARS:
             self.clear()
         return out
 
@@ -249,8 +252,26 @@ def frequent(texts: DataFrame, ranks_path: str, pattern: str, table_units: int)
     return dict(zip(rows["unit"], map(bytes, rows["ids"])))
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), table_units: int = 200_000) -> DataFrame:
-    """The kept columns and `ids` (binary, little-endian unsigned 32-bit) of each row's whole text."""
+def decoded_batches(batches, ranks_path: str):
+    """The batches with a column `decoded`, the bytes that the column ids stands for."""
+    by_id = dict(sorted((i, b) for b, i in load_ranks(ranks_path).items()))
+    blob = np.frombuffer(b"".join(by_id.values()), np.uint8)
+    length = np.zeros(max(by_id) + 1, np.int32)
+    length[list(by_id)] = [len(b) for b in by_id.values()]
+    first = np.cumsum(length, dtype=np.int32) - length
+    for part in slices(batches, "ids", 1 << 19):
+        held = part.column("ids").to_pylist()
+        ids = np.frombuffer(b"".join(held), "<u4")
+        sizes = length[ids]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        data = blob[np.repeat(first[ids] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        stops = np.concatenate(([0], ends))[np.cumsum([len(x) // 4 for x in held])].tolist()
+        texts = [data[a:b] for a, b in zip([0, *stops[:-1]], stops)]
+        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], [*part.schema.names, "decoded"])
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), table_units: int = 200_000, decoded: bool = False) -> DataFrame:
+    """The kept columns and `ids` (binary, little-endian unsigned 32-bit) of each row's whole text; decoded: also what `decode` adds, in the same Python process."""
     rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text"))
     known = docs.sparkSession.sparkContext.broadcast(frequent(rows.select("text"), ranks_path, pattern, table_units))
     schema = rows.drop("text").withColumn("ids", F.lit(b"")).schema
@@ -275,36 +296,23 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
                 held, size = [], 0
         yield from solved()
 
-    found = rows.mapInArrow(run, schema)
-    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "ids")
+    if decoded:
+        found = rows.mapInArrow(lambda batches: decoded_batches(run(batches), ranks_path), rows.drop("text").withColumns({"ids": F.lit(b""), "decoded": F.lit(b"")}).schema)
+    else:
+        found = rows.mapInArrow(run, schema)
+    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *found.columns[len(keep) :])
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """The same rows with `decoded`, the bytes that the ids stand for."""
     schema = encoded.withColumn("decoded", F.lit(b"")).schema
 
-    def run(batches):
-        by_id = dict(sorted((i, b) for b, i in load_ranks(ranks_path).items()))
-        blob = np.frombuffer(b"".join(by_id.values()), np.uint8)
-        length = np.zeros(max(by_id) + 1, np.int64)
-        length[list(by_id)] = [len(b) for b in by_id.values()]
-        first = np.cumsum(length) - length
-        for part in slices(batches, "ids", 2 << 20):
-            held = part.column("ids").to_pylist()
-            ids = np.frombuffer(b"".join(held), "<u4")
-            sizes = length[ids]
-            ends = np.cumsum(sizes)
-            data = blob[np.repeat(first[ids] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
-            stops = np.concatenate(([0], ends))[np.cumsum([len(x) // 4 for x in held])].tolist()
-            texts = [data[a:b] for a, b in zip([0, *stops[:-1]], stops)]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], [*part.schema.names, "decoded"])
-
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(lambda batches: decoded_batches(batches, ranks_path), schema)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    both = decode(encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN), path)
+    both = encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN, decoded=True)
     return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -799,3 +799,18 @@ def test_a_crowd_is_tested_on_its_sets_alone(spark):
     given = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(sets)], "row_key long, shingles array<int>")
     none = spark.createDataFrame([], "node long, root long")
     assert roots(tuple(r) for r in simhash.crowd_links(crowd, none, given, 0.8).collect()) == roots(pairs)
+
+
+def test_bpe_decodes_in_one_process(spark):
+    """Ids and bytes of one pass are those of encode and decode one after the other, and the plan has a Python step less."""
+    import public_tokenizers
+
+    from siftline.llm import bpe
+
+    path, texts = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), ["", None, "aé b" * 50, "x" * 3000, "one two\n two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    both = bpe.encode(docs, path, public_tokenizers.PATTERN, decoded=True)
+    apart = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    assert sorted(map(tuple, both.collect()), key=lambda r: r[0]) == sorted(map(tuple, apart.collect()), key=lambda r: r[0])
+    assert {r.doc_id: bytes(r.decoded) for r in both.collect()} == {i: (t or "").encode() for i, t in enumerate(texts)}
+    assert [x._jdf.queryExecution().executedPlan().toString().count("MapInArrow") for x in (both, apart)] == [1, 2]
