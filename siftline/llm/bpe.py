@@ -4,7 +4,8 @@ Texts are cut into units that can be encoded apart (see tokens.units). A first p
 The frequent ones, at most `table_units` of them, form a table whose partitions are each laid out as one corpus of symbols, with links to the
 next and the previous symbol of the same word. An inverted index leads from a merge's rank to the positions of its pairs.
 Merges are replayed over all positions in rank order; each touches only the pair and its two neighbours, whose new pairs enter the
-index. The ids go back to the tasks as a broadcast of bounded size. A second pass encodes the texts: units beyond the table,
+index. As words don't touch each other, a step takes the positions of the next few thousand pairs, whatever their ranks, and merges in
+each word those of the word's lowest rank; the others wait in the index. The ids go back to the tasks as a broadcast of bounded size. A second pass encodes the texts: units beyond the table,
 most of which occur once, are replayed where they stand, by the same replay over a block of texts. Words that are in the
 vocabulary get their id at once, as `tiktoken` gives it. A very long word costs no more per symbol than a short one.
 
@@ -18,23 +19,38 @@ extra columns make no difference; an empty table gives no rows.
 from __future__ import annotations
 
 import heapq
-from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import MEMO_ENTRIES, documents, slices, stored
-from siftline.llm.tokens import load_ranks, units
+from siftline.llm.common import documents, slices, stored
+from siftline.llm.tokens import load_ranks
 
 #: Units beside the table that a block hands on to the next: few of them come again.
 BLOCK_MEMO = 100_000
-#: Characters of text whose new units are replayed together.
-BLOCK_CHARS = 8 << 20
+#: Bytes of text whose new units are replayed together.
+BLOCK_BYTES = 4 << 20
 #: Characters of units that a task remembers from block to block; characters of a unit that may come into the corpus's table.
 MEMO_CHARS, TABLE_CHARS = 16 << 20, 64
+#: Places of pairs that a step of the replay takes from its index, of as many ranks as it takes.
+STEP_PAIRS = 1 << 12
+#: Counts of units that a task holds, for about COUNTED_BYTES of text each, before it sums them; those that it hands on at once.
+COUNTED_ROWS, COUNTED_BYTES, HANDED_ROWS = 1_000_000, 8 << 20, 20_000
+#: Bytes of UTF-8 that are white space, and those with which longer white space may begin.
+SPACE_BYTES = np.array([chr(i).isspace() if i < 128 else False for i in range(256)])
+SPACE_LEADS = np.isin(np.arange(256), sorted({chr(i).encode()[0] for i in range(128, 0x10000) if chr(i).isspace()}))
+
+
+def changes(values: np.ndarray) -> np.ndarray:
+    """Where a sorted array has another value than before."""
+    out = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=out[1:])
+    return out
 
 
 class MergeReplay:
@@ -79,52 +95,64 @@ class MergeReplay:
         following[ends - 1], before[starts] = -1, -1
         #: The inverted index: a merge's rank -> positions of its pairs' left symbols. current: the rank at a position now.
         current, index, queue = np.full(len(corpus), -1, np.int32), {}, []
+        live = np.ones(len(corpus), bool)
 
         def enter(rank: np.ndarray, at: np.ndarray) -> None:
             at, rank = at[rank >= 0], rank[rank >= 0]
-            order = np.argsort(rank, kind="stable")
+            order = np.argsort(rank)
             at, rank = at[order], rank[order]
-            cuts = np.flatnonzero(np.diff(rank, prepend=-1))
-            for r, some in zip(rank[cuts].tolist(), np.split(at, cuts[1:])):
-                if r not in index:
-                    index[r] = []
+            cuts = np.flatnonzero(changes(rank))
+            ranks, cuts = rank[cuts].tolist(), cuts.tolist()
+            for r, start, end in zip(ranks, cuts, [*cuts[1:], len(at)]):
+                if r in index:
+                    index[r].append(at[start:end])
+                else:
+                    index[r] = [at[start:end]]
                     heapq.heappush(queue, r)
-                index[r].append(some)
 
         inner = np.flatnonzero(following >= 0)
         current[inner] = self.joined(symbol[inner], symbol[inner + 1])
         enter(current, places)
+        room = STEP_PAIRS
         while queue:
-            r = heapq.heappop(queue)
-            p = np.unique(np.concatenate(index.pop(r)))
-            p = p[current[p] == r]  # else a neighbour's merge took one of the two
+            some, met = [], 0
+            while queue and met < room:
+                r = heapq.heappop(queue)
+                some += index[r]
+                met += sum(map(len, index.pop(r)))
+            p = np.concatenate(some)
+            p = np.sort(p[(current[p] >= 0) & (current[p] <= r)])  # else a neighbour's merge took one of the two
+            p = p[changes(p)]
+            if not len(p):
+                continue
+            rank = current[p]
+            heads = np.flatnonzero(changes(word[p]))
+            later = p[:0]
+            if len(heads) < len(p):  # of the pairs of one word those of its lowest rank; the others wait
+                lowest = rank == np.repeat(np.minimum.reduceat(rank, heads), np.diff(heads, append=len(p)))
+                p, rank, later = p[lowest], rank[lowest], p[~lowest]
+            room = min(2 * room, STEP_PAIRS) if len(p) >= len(later) else max(1, room // 2)
             q = following[p]
-            chained = np.concatenate(([False], q[:-1] == p[1:]))[: len(p)]
+            chained = np.concatenate(([False], q[:-1] == p[1:]))
             if chained.any():  # of a run like a a a a every other pair, from its left
                 at = np.arange(len(p))
                 odd_place = (at - np.maximum.accumulate(np.where(chained, 0, at))) % 2 == 1
-                p, q = p[~odd_place], q[~odd_place]
+                p, q, rank = p[~odd_place], q[~odd_place], rank[~odd_place]
             after = following[q]
-            symbol[p], following[p], current[q] = r, after, -1
-            inside = after >= 0
+            symbol[p], following[p], current[q], live[q] = rank, after, -1, False
+            inside = np.flatnonzero(after >= 0)
             before[after[inside]] = p[inside]
             right = np.full(len(p), -1, np.int32)
-            right[inside] = self.joined(symbol[p[inside]], symbol[after[inside]])
+            right[inside] = self.joined(rank[inside], symbol[after[inside]])
             current[p] = right
             prior = before[p]
-            left_of = p[prior >= 0]
-            prior = prior[prior >= 0]
-            left = self.joined(symbol[prior], symbol[left_of])
+            inside = np.flatnonzero(prior >= 0)
+            prior, own = prior[inside], rank[inside]
+            left = self.joined(symbol[prior], own)
             current[prior] = left
-            odd[word[p[(right >= 0) & (right <= r)]]] = True
-            odd[word[prior[(left >= 0) & (left <= r)]]] = True
-            enter(np.concatenate((right, left)), np.concatenate((p, prior)))
-        live = np.zeros(len(corpus), bool)
-        at = starts
-        while len(at):
-            live[at] = True
-            at = following[at]
-            at = at[at >= 0]
+            odd[word[p[(right >= 0) & (right <= rank)]]] = True
+            odd[word[prior[(left >= 0) & (left <= own)]]] = True
+            enter(np.concatenate((right, left, current[later])), np.concatenate((p, prior, later)))
         return symbol[live], np.bincount(word[live], minlength=len(words)), odd
 
     def one(self, word: bytes) -> list[int]:
@@ -158,77 +186,160 @@ class MergeReplay:
 
 
 class Numbers(dict):
-    """Numbers units from 0 as they come, and lists them."""
+    """Numbers words from 0 as they come, and lists them."""
 
-    def __init__(self, units_: list[str] = ()):
-        super().__init__(zip(units_, range(len(units_))))
-        self.listed, self.chars = list(units_), 0
+    def __init__(self):
+        self.listed, self.chars = [], 0
 
-    def __missing__(self, unit: str) -> int:
-        n = self[unit] = len(self.listed)
-        self.listed.append(unit)
-        self.chars += len(unit)
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self.listed)
+        self.listed.append(word)
+        self.chars += len(word)
         return n
 
 
+@lru_cache(maxsize=1)
+def replay_of(ranks_path: str) -> MergeReplay:
+    """The merges of a rank file, worked out once in a Python process."""
+    return MergeReplay(load_ranks(ranks_path))
+
+
+#: Units, and the ids of each.
+Known = tuple[pa.StringArray, pa.BinaryArray]
+
+
+def known_of(ids: dict[str, bytes]) -> Known:
+    return pa.array(ids.keys(), pa.string()), pa.array(ids.values(), pa.binary())
+
+
 class BlockEncoder:
-    """Encodes blocks of texts with a table of units whose ids are known; what blocks add to it is dropped once it is large."""
+    """Encodes blocks of texts with a table of units whose ids are known; words that blocks add to it are dropped once they are many.
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, known: dict[str, bytes] | None = None):
-        self.replay = MergeReplay(ranks)
+    The texts' bytes stay in Arrow buffers: units are stretches between offsets, their numbers come from a dictionary of the block, and
+    ids are taken by number, so that Python sees only the distinct units beside the table.
+    """
+
+    def __init__(self, replay: MergeReplay | dict[bytes, int], pattern: str, known: Known | dict[str, bytes] = ()):
+        self.replay = replay if isinstance(replay, MergeReplay) else MergeReplay(replay)
         self.findall = regex.compile(pattern).findall
-        self.known = known or {}
+        self.known, self.known_ids = known_of(known) if isinstance(known, dict) else known or known_of({})
         self.clear()
 
     def clear(self) -> None:
-        self.numbers, self.ids = Numbers(list(self.known)), list(self.known.values())
-
-    def cut(self, text: str | None) -> np.ndarray:
-        """Numbers of the text's units."""
-        return np.array(list(map(self.numbers.__getitem__, units(text or ""))), np.int32)
-
-    def solve(self) -> None:
-        """Find the ids of units that have none yet, all in one replay."""
-        fresh = self.numbers.listed[len(self.ids) :]
-        words = list(map(self.findall, fresh))
-        todo = list({w for ws in words for w in ws})
-        found = dict(zip(todo, self.replay.encode([w.encode("utf-8") for w in todo])))
-        self.ids += [b"".join(map(found.__getitem__, ws)) for ws in words]
+        self.numbers, self.ids = Numbers(), []
+
+    def solve(self, fresh: list[str]) -> pa.BinaryArray:
+        """Ids of units that are not in the table; words that have none yet get theirs in one replay."""
+        # Units that begin with a space and another character are cut from one text as they are one by one.
+        apart = [i for i, u in enumerate(fresh) if len(u) < 2 or u[0] != " " or u[1].isspace()]
+        order = np.concatenate((np.array(apart, np.int64), np.delete(np.arange(len(fresh)), apart)))
+        ordered = [fresh[i] for i in order.tolist()]
+        flat = [w for u in ordered[: len(apart)] for w in self.findall(u)] + self.findall("".join(ordered[len(apart) :]))
+        stops, lengths = np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat))), np.cumsum(np.fromiter(map(len, ordered), np.int64, len(ordered)))
+        if len(flat) and stops[-1] == lengths[-1]:
+            ends = np.searchsorted(stops, lengths, side="right")  # words up to the end of each unit
+        else:  # a pattern that leaves characters out
+            words = list(map(self.findall, ordered))
+            flat, ends = [w for ws in words for w in ws], np.cumsum([len(ws) for ws in words])
+        numbers = np.fromiter(map(self.numbers.__getitem__, flat), np.int32, len(flat))
+        self.ids += self.replay.encode([w.encode("utf-8") for w in self.numbers.listed[len(self.ids) :]])
+        return regrouped(pa.array(self.ids, pa.binary()).take(pa.array(numbers)), ends).take(pa.array(np.argsort(order)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes."""
-        return self.joined([self.cut(t) for t in texts])
-
-    def joined(self, cuts: list[np.ndarray]) -> list[bytes]:
-        self.solve()
-        out = [b"".join(map(self.ids.__getitem__, x.tolist())) for x in cuts]
-        if len(self.ids) > len(self.known) + BLOCK_MEMO or self.numbers.chars > MEMO_CHARS:
+        return self.joined([stretches(pa.array(texts, pa.string()))]).to_pylist()
+
+    def joined(self, cuts: list[tuple[pa.StringArray, np.ndarray]]) -> pa.BinaryArray:
+        """Ids of each text of a block, cut by `stretches`."""
+        distinct = pa.chunked_array([x for x, _ in cuts], pa.string()).combine_chunks().dictionary_encode()
+        listed = distinct.dictionary
+        at = pc.index_in(listed, value_set=self.known)
+        new = pc.is_null(at)
+        fresh = listed.filter(new).to_pylist()
+        ids, places = self.known_ids, pc.fill_null(at, 0).to_numpy(zero_copy_only=False).copy()
+        if fresh:
+            ids = pa.concat_arrays([ids, self.solve(fresh)])
+            places[new.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(fresh))
+        counts = np.cumsum([0, *(len(x) for x, _ in cuts)])
+        ends = np.concatenate([n + ends for n, (_, ends) in zip(counts, cuts)]) if cuts else np.zeros(0, np.int64)
+        out = regrouped(ids.take(pa.array(places[distinct.indices.to_numpy()])), ends)
+        if len(self.ids) > BLOCK_MEMO or self.numbers.chars > MEMO_CHARS:
             self.clear()
         return out
 
 
-def counted(texts: DataFrame) -> DataFrame:
+def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of a column of strings or binary values, from 0, and its bytes."""
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    _, offsets, data = column.buffers()
+    if not len(column):
+        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
+    offsets = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return offsets - offsets[0], data[offsets[0] : offsets[-1]]
+
+
+def regrouped(values: pa.BinaryArray, ends: np.ndarray) -> pa.BinaryArray:
+    """Values joined: each up to the given number of values, from where the one before ends."""
+    offsets, data = buffers(values)
+    offsets = np.concatenate(([0], offsets[ends])).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def stretches(texts: pa.Array) -> tuple[pa.StringArray, np.ndarray]:
+    """The units of all texts (those of tokens.units, null: none) over the texts' own bytes, and the number of units up to each text's end."""
+    offsets, data = buffers(pc.fill_null(texts, ""))
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    at = np.flatnonzero(data == 32)
+    at = at[~edge[at + 1]]  # a space that ends a text begins no unit
+    follows = data[at + 1]
+    at = at[~SPACE_BYTES[follows]]
+    doubtful = np.flatnonzero(SPACE_LEADS[data[at + 1]])
+    if len(doubtful):
+        loose = [bytes(data[i + 1 : i + 4]).decode("utf-8", "ignore")[:1].isspace() for i in at[doubtful].tolist()]
+        at = np.delete(at, doubtful[loose])
+    edge[at] = True
+    starts = np.flatnonzero(edge[:-1])
+    cuts = np.append(starts, len(data)).astype(np.int32)
+    found = pa.StringArray.from_buffers(len(starts), pa.py_buffer(cuts), pa.py_buffer(data))
+    return found, np.searchsorted(starts, offsets[1:])
+
+
+def counted(texts: DataFrame, step_bytes: int = COUNTED_BYTES, most_rows: int = COUNTED_ROWS) -> DataFrame:
     """unit, n: how often each unit of at most TABLE_CHARS characters occurs in the column text. (A text without spaces is one unit.)"""
 
+    def summed(held):
+        table = pa.Table.from_arrays([pa.concat_arrays(x) for x in zip(*held)], ["unit", "n"])
+        return table.group_by("unit", use_threads=False).aggregate([("n", "sum")]).rename_columns(["unit", "n"]) if len(held) > 1 else table
+
     def run(batches):
-        held: Counter = Counter()
+        block, size, held, rows = [], 0, [], 0
 
-        def batch():
-            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["unit", "n"])
+        def folded():
+            counts = pa.chunked_array(block, pa.string()).value_counts()
+            counts = counts.filter(pc.less_equal(pc.utf8_length(counts.field("values")), TABLE_CHARS))
+            held.append((counts.field("values"), counts.field("counts")))
+            return len(counts)
 
         for part in slices(batches, "text", 2 << 20):
-            for t in part.column("text").to_pylist():
-                held.update(u for u in units(t or "") if len(u) <= TABLE_CHARS)
-            if len(held) > MEMO_ENTRIES:
-                yield batch()
-                held.clear()
+            block.append(stretches(part.column("text"))[0])
+            size += part.column("text").nbytes
+            if size > step_bytes:
+                rows += folded()
+                block, size = [], 0
+            if rows > most_rows:
+                yield from summed(held).to_batches(HANDED_ROWS)
+                held, rows = [], 0
+        if block:
+            folded()
         if held:
-            yield batch()
+            yield from summed(held).to_batches(HANDED_ROWS)
 
     return texts.mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
-def frequent(texts: DataFrame, ranks_path: str, pattern: str, table_units: int) -> dict[str, bytes]:
+def frequent(texts: DataFrame, ranks_path: str, pattern: str, table_units: int) -> Known:
     """Ids of the most frequent units, at most table_units, none that occurs once or has more than TABLE_CHARS characters."""
     counts = stored(counted(texts).filter("n > 1").withColumn("step", F.floor(4 * F.log2("n"))), "units")
     steps = sorted(counts.groupBy("step").count().collect(), reverse=True)  # a few hundred rows
@@ -240,34 +351,34 @@ def frequent(texts: DataFrame, ranks_path: str, pattern: str, table_units: int)
         least = step
 
     def run(batches):
-        block = BlockEncoder(load_ranks(ranks_path), pattern)
+        block = BlockEncoder(replay_of(ranks_path), pattern)
         names = [u for b in batches for u in b.column("unit").to_pylist()]
         if names:
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(block.encode(names), pa.binary())], ["unit", "ids"])
 
     if least == float("inf"):
-        return {}
+        return known_of({})
     chosen = counts.filter(F.col("step") >= least).select("unit").repartition("unit")
-    rows = chosen.mapInArrow(run, "unit string, ids binary").toPandas()  # at most table_units rows
-    return dict(zip(rows["unit"], map(bytes, rows["ids"])))
+    rows = chosen.mapInArrow(run, "unit string, ids binary").toArrow()  # at most table_units rows
+    return rows["unit"].cast(pa.string()).combine_chunks(), rows["ids"].cast(pa.binary()).combine_chunks()
 
 
 def decoded_batches(batches, ranks_path: str):
     """The batches with a column `decoded`, the bytes that the column ids stands for."""
-    by_id = dict(sorted((i, b) for b, i in load_ranks(ranks_path).items()))
+    by_id = dict(sorted((i, b) for b, i in replay_of(ranks_path).ranks.items()))
     blob = np.frombuffer(b"".join(by_id.values()), np.uint8)
     length = np.zeros(max(by_id) + 1, np.int32)
     length[list(by_id)] = [len(b) for b in by_id.values()]
     first = np.cumsum(length, dtype=np.int32) - length
     for part in slices(batches, "ids", 1 << 19):
-        held = part.column("ids").to_pylist()
-        ids = np.frombuffer(b"".join(held), "<u4")
+        offsets, held = buffers(part.column("ids"))
+        ids = np.frombuffer(held.tobytes(), "<u4")
         sizes = length[ids]
         ends = np.cumsum(sizes, dtype=np.int64)
-        data = blob[np.repeat(first[ids] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
-        stops = np.concatenate(([0], ends))[np.cumsum([len(x) // 4 for x in held])].tolist()
-        texts = [data[a:b] for a, b in zip([0, *stops[:-1]], stops)]
-        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], [*part.schema.names, "decoded"])
+        data = blob[np.repeat(first[ids] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        stops = np.concatenate(([0], ends))[offsets // 4].astype(np.int32)
+        texts = pa.BinaryArray.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(stops), pa.py_buffer(data)])
+        yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, "decoded"])
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), table_units: int = 200_000, decoded: bool = False) -> DataFrame:
@@ -277,23 +388,22 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     schema = rows.drop("text").withColumn("ids", F.lit(b"")).schema
 
     def run(batches):
-        block = BlockEncoder(load_ranks(ranks_path), pattern, known.value)
-        held, size = [], 0
+        block = BlockEncoder(replay_of(ranks_path), pattern, known.value)
+        held, cuts, size = [], [], 0
 
         def solved():
-            flat = block.joined([x for _, cuts in held for x in cuts])
-            at = 0
-            for columns, cuts in held:
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(flat[at : at + len(cuts)], pa.binary())], schema.names)
-                at += len(cuts)
+            flat, at = block.joined(cuts), 0
+            for columns, n in held:
+                yield pa.RecordBatch.from_arrays([*columns, flat.slice(at, n)], schema.names)
+                at += n
 
         for part in slices(batches, "text", 2 << 20):
-            texts = part.column("text").to_pylist()
-            held.append((part.columns[:-1], [block.cut(t) for t in texts]))
-            size += sum(len(t or "") for t in texts)
-            if size > BLOCK_CHARS:
+            held.append((part.columns[:-1], part.num_rows))
+            cuts.append(stretches(part.column("text")))
+            size += part.column("text").nbytes
+            if size > BLOCK_BYTES:
                 yield from solved()
-                held, size = [], 0
+                held, cuts, size = [], [], 0
         yield from solved()
 
     if decoded:

@@ -10,6 +10,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -814,3 +815,48 @@ def test_bpe_decodes_in_one_process(spark):
     assert sorted(map(tuple, both.collect()), key=lambda r: r[0]) == sorted(map(tuple, apart.collect()), key=lambda r: r[0])
     assert {r.doc_id: bytes(r.decoded) for r in both.collect()} == {i: (t or "").encode() for i, t in enumerate(texts)}
     assert [x._jdf.queryExecution().executedPlan().toString().count("MapInArrow") for x in (both, apart)] == [1, 2]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "é", " ", "  ", "\n", "\x00", "\x1c", "\x85", "\xa0", "«", "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u2060", "“", "\u3000", "日", " \xa0", " “", " \u3000"]), max_size=12).map("".join) | st.none(), max_size=8), st.integers(0, 3))
+def test_units_over_bytes(texts, skipped):
+    """The cuts of Arrow buffers are those of each text, in slices too."""
+    found, ends = bpe.stretches(pa.array(texts, pa.string()).slice(skipped))
+    got, ends = found.to_pylist(), [0, *ends.tolist()]
+    assert [got[a:b] for a, b in zip(ends, ends[1:])] == [tokens.units(t or "") for t in texts[skipped:]]
+
+
+@pytest.mark.parametrize("step", [1, 3, 50, 1 << 12])
+def test_replay_takes_many_ranks_at_once(ranks, monkeypatch, step):
+    """The replay looks pairs up for thousands of places at once, not rank by rank, and the ids don't depend on how many."""
+    rng = np.random.default_rng(4)
+    words_ = ["".join("etaoinshrdlu"[i] for i in rng.integers(0, 12, n)) for n in rng.integers(2, 12, 3000)] + ["ab" * 500, "aaa" * 333]
+    reference = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    monkeypatch.setattr(bpe, "STEP_PAIRS", step, raising=False)
+    replay, looks = bpe.MergeReplay(ranks), []
+    monkeypatch.setattr(replay, "joined", lambda left, right: looks.append(len(left)) or bpe.MergeReplay.joined(replay, left, right))
+    assert [np.frombuffer(x, "<u4").tolist() for x in replay.encode([w.encode() for w in words_])] == [reference.encode_ordinary(w) for w in words_]
+    if step == 1 << 12:
+        assert len(looks) < 300, len(looks)  # rank by rank: over 2,000
+
+
+def test_pattern_that_leaves_characters_out(ranks):
+    """What the pattern doesn't match has no ids, whichever unit it stands in."""
+    texts = ["ab 12 cd", " 34", "ef5 gh", None, "", "12"]
+    block, letters = bpe.BlockEncoder(ranks, r" ?[a-z]+"), tiktoken.Encoding("own", pat_str=r" ?[a-z]+", mergeable_ranks=ranks, special_tokens={})
+    assert [np.frombuffer(x, "<u4").tolist() for x in block.encode(texts)] == [letters.encode_ordinary(t or "") for t in texts]
+
+
+def test_counted_units(spark):
+    """Counts are whole however often a task sums them and hands them on; units of more than TABLE_CHARS characters are left out."""
+    texts = [None, "", " ", "a b  c", "a b", "é " * 70, "x" * 65 + " " + "é" * 63] * 5
+    want = collections.Counter(u for t in texts for u in tokens.units(t or "") if len(u) <= 64)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    rows_a_batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows_a_batch)
+    spark.conf.set(rows_a_batch, "2")
+    try:
+        for limits in ((1 << 20, 1 << 20), (0, 1 << 20), (0, 5), (0, 0)):
+            assert {r.unit: r.n for r in bpe.counted(docs, *limits).collect()} == want
+    finally:
+        spark.conf.set(rows_a_batch, before)
