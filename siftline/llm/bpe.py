@@ -139,6 +139,10 @@ class MergeReplay:
                 odd_place = (at - np.maximum.accumulate(np.where(chained, 0, at))) % 2 == 1
                 p, q, rank = p[~odd_place], q[~odd_place], rank[~odd_place]
             after = following[q]
+            # Where the next pair merges too: the left one, which comes first, may join with that one's left symbol before.
+            beside = np.flatnonzero(after[:-1] == p[1:])
+            early = self.joined(rank[beside], symbol[after[beside]])
+            odd[word[p[beside[(early >= 0) & (early <= rank[beside])]]]] = True
             symbol[p], following[p], current[q], live[q] = rank, after, -1, False
             inside = np.flatnonzero(after >= 0)
             before[after[inside]] = p[inside]

@@ -860,3 +860,10 @@ def test_counted_units(spark):
             assert {r.unit: r.n for r in bpe.counted(docs, *limits).collect()} == want
     finally:
         spark.conf.set(rows_a_batch, before)
+
+
+def test_replay_of_equal_pairs_side_by_side():
+    """cb cb: once the first is merged, cbc comes before the second."""
+    ranks_ = {bytes([b]): b for b in range(256)} | {b"cbc": 256, b"cb": 257}
+    replay = bpe.MergeReplay(ranks_)
+    assert [np.frombuffer(x, "<u4").tolist() for x in replay.encode([b"cbcb", b"cbcbcb"])] == [[256, 98], [256, 98, 257]]
