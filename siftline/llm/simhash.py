@@ -33,6 +33,7 @@ from math import acos, comb, log, pi
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -292,8 +293,8 @@ def forest(wide: np.ndarray, max_bits: int) -> np.ndarray:
 RUN, PAIRS = 2048, 8
 #: A value gets so many pivots if it has more classes in its partition than CROWD and than OVER times the even share.
 CROWD, OVER, PIVOTS = 4096, 8, 4
-#: Members of a crowded bucket in a block, of which two meet in a task; bytes of their sets as bits there.
-UNIT_ROWS, UNIT_BYTES = 1024, 256 << 20
+#: Rows of a crowded bucket, and members of their sets, in a block, of which two meet in a task; bytes of the common members as bits there.
+UNIT_ROWS, UNIT_MEMBERS, UNIT_BYTES = 1024, 1 << 19, 32 << 20
 
 
 class Spots:
@@ -371,57 +372,51 @@ def pairs_in_runs(spot: np.ndarray, wide: np.ndarray, node: np.ndarray, max_bits
     return [rows[:, k] for k in range(3)]
 
 
-def in_bits(sets: list[np.ndarray]) -> np.ndarray | None:
-    """The sets as rows of bits over what occurs in them, None where that would be too large."""
-    flat = np.concatenate(sets)
-    names, at = np.unique(flat, return_inverse=True)
-    words = -(-len(names) // 64)
-    if words * len(sets) * 8 > UNIT_BYTES:
-        return None
-    marks = np.zeros((len(sets), words * 64), bool)
-    marks[np.repeat(np.arange(len(sets)), [len(x) for x in sets]), at] = True
-    return np.packbits(marks, axis=1).view(np.uint64)
-
-
-def rarest(sets: list[np.ndarray], jaccard: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Of each set its rarest members, one more than two sets of this similarity may differ in, so that any two such sets have one in common; and the sets that have each."""
-    sizes = np.array([len(x) for x in sets])
-    _, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner, start = np.repeat(np.arange(len(sets)), sizes), np.repeat(np.cumsum(sizes) - sizes, sizes)
-    order = np.lexsort((at, often[at], owner))
-    most = sizes - np.ceil(jaccard * sizes - 1e-6).astype(np.int64) + 1
-    kept = np.arange(len(order)) - start < most[owner]
-    name, owner = at[order][kept], owner[kept]
-    by_name = np.argsort(name, kind="stable")
-    having = np.split(owner[by_name], np.cumsum(np.bincount(name, minlength=len(often)))[:-1])
-    return np.split(name, np.cumsum(np.bincount(owner, minlength=len(sets)))[:-1]), having
-
-
-def links_in_unit(side: np.ndarray, comp: np.ndarray, node: np.ndarray, sets: list[np.ndarray], jaccard: float) -> list[tuple[int, int]]:
-    """Pairs (larger, smaller node) of the unit's two sides (or of its one) with such sets that join different components, whatever their fingerprints."""
+def links_in_unit(side: np.ndarray, comp: np.ndarray, node: np.ndarray, flat: np.ndarray, sizes: np.ndarray, jaccard: float) -> list[tuple[int, int]]:
+    """Pairs (larger, smaller node) of the unit's two sides (or of its one) with such sets that join different components, whatever their fingerprints.
+
+    flat: the members of the sets, one set after the other. What is held is a few numbers for each of them, however many different ones there are: a
+    common member, of at least one set in 64, is a bit of each set; the sets that have another one are listed with it.
+    """
     first, second = np.flatnonzero(side == 0), np.flatnonzero(side != 0)
     one = not len(first) or not len(second)
     if one:
         first = second = np.arange(len(side))
-    bits, sizes = in_bits(sets), np.array([len(x) for x in sets])
     _, group = np.unique(comp, return_inverse=True)
-    names, having = rarest(sets, jaccard)
+    _, name, often = np.unique(flat, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    common = np.flatnonzero(often * 64 >= len(sizes))
+    common = common[np.argsort(-often[common], kind="stable")[: UNIT_BYTES * 8 // len(sizes)]]
+    column = np.full(len(often), -1, np.int32)
+    column[common] = np.arange(len(common))
+    at = column[name]
+    n_common = np.bincount(owner[at >= 0], minlength=len(sizes))
+    bits = np.zeros((len(sizes), -(-len(common) // 64)), np.uint64)
+    np.bitwise_or.at(bits, (owner[at >= 0], at[at >= 0] >> 6), np.uint64(1) << (at[at >= 0] & 63).astype(np.uint64))
+    # The others that two sets have at least, by set and by name.
+    left = (at < 0) & (often[name] > 1)
+    name, owner = name[left], owner[left]
+    ends = np.searchsorted(owner, np.arange(len(sizes) + 1))
+    having = owner[np.argsort(name, kind="stable")]
+    often[common] = 0
+    often[often == 1] = 0
+    starts = np.cumsum(often) - often
+
+    def enough(shared, i, others):
+        return (shared > 0) & (shared >= jaccard * (sizes[others] + sizes[i] - shared) - 1e-9)
+
     out = []
     for i in first:
-        met = np.zeros(len(side), bool)
-        for name in names[i]:
-            met[having[name]] = True
-        others = second[met[second] & (second > i)] if one else second[met[second]]
+        others = second[second > i] if one else second
         others = others[group[others] != group[i]]
-        small_, large = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
-        others = others[small_ >= jaccard * large - 1e-9]
-        if not len(others):
-            continue
-        if bits is None:
-            shared = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in others])
-        else:
-            shared = np.bitwise_count(bits[others] & bits[i]).sum(axis=1).astype(np.int64)
-        for j in others[shared >= jaccard * (sizes[others] + sizes[i] - shared) - 1e-9]:
+        names = name[ends[i] : ends[i + 1]]
+        n = often[names]
+        places = np.repeat(starts[names] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shared = np.bincount(having[places], minlength=len(sizes))[others]
+        able = enough(shared + np.minimum(n_common[others], n_common[i]), i, others)
+        others, shared = others[able], shared[able]
+        shared = shared + np.bitwise_count(bits[others] & bits[i]).sum(axis=1, dtype=np.int64)
+        for j in others[enough(shared, i, others)]:
             if group[i] != group[j]:
                 out.append((max(node[i], node[j]), min(node[i], node[j])))
                 group[group == group[j]] = group[i]
@@ -431,9 +426,10 @@ def links_in_unit(side: np.ndarray, comp: np.ndarray, node: np.ndarray, sets: li
 def crowd_links(crowd: DataFrame, found: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
     """a, b: the links that crowded spots still give between components. crowd: spot, size, node; found: node, root; sets: those of all the crowd's nodes."""
     named = sets.select(F.col("row_key").alias("node"), "shingles").join(found, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    blocks = F.ceil(F.col("size") / UNIT_ROWS).cast("int")
+    long = crowd.join(sets.select(F.col("row_key").alias("node"), F.size("shingles").alias("members")), "node").groupBy("spot").agg(F.sum("members").alias("members"))
+    blocks = F.ceil(F.greatest(F.col("size") / UNIT_ROWS, F.col("members") / UNIT_MEMBERS, F.lit(1))).cast("int")
     own = F.pmod(F.xxhash64("spot", "node"), blocks).cast("int")
-    rows = crowd.select("spot", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    rows = crowd.join(small(stored(long, "crowd-members")), "spot").select("spot", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     rows = rows.select("spot", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node")
     keys = ["spot", "p", "q"]
     dealt = rows.join(named, "node").repartition(*keys).sortWithinPartitions(*keys)
@@ -443,8 +439,8 @@ def crowd_links(crowd: DataFrame, found: DataFrame, sets: DataFrame, jaccard: fl
         comp, node = table.column("comp").to_numpy(), table.column("node").to_numpy()
         if len(np.unique(comp)) < 2:
             return []
-        sets = [np.asarray(x.values) for chunk in table.column("shingles").chunks for x in chunk]
-        return links_in_unit(table.column("side").to_numpy(), comp, node, sets, jaccard)
+        lists = table.column("shingles")
+        return links_in_unit(table.column("side").to_numpy(), comp, node, pc.list_flatten(lists).to_numpy(), pc.list_value_length(lists).to_numpy(), jaccard)
 
     def run(batches):
         held, now = [], None

@@ -802,6 +802,55 @@ def test_a_crowd_is_tested_on_its_sets_alone(spark):
     assert roots(tuple(r) for r in simhash.crowd_links(crowd, none, given, 0.8).collect()) == roots(pairs)
 
 
+def test_a_unit_of_long_sets_stays_small():
+    """Memory follows the members, not sets times different members; whatever is common, the components are those of all pairs."""
+    import tracemalloc
+
+    rng = np.random.default_rng(9)
+    page = rng.choice(1 << 20, 200, replace=False)
+    sets = [np.unique(rng.integers(-(1 << 31), 1 << 31, 600)) for _ in range(900)]
+    sets += [np.unique(np.concatenate([page, x[: 10 + i // 2]])) for i, x in enumerate(sets[:60])]  # alike by common members alone, some pairs above the limit
+    sets += [np.concatenate([x[: 600 - k], np.arange(k) - k * 1000]) for k, x in zip(range(30, 130), sets[100:200])]  # Jaccard 0.90 down to 0.65
+    sets = [x.astype(np.int32) for x in (*sets, np.zeros(0))]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if (len(sets[i]) < 300 or j == i - 960 + 100) and (n := len(np.intersect1d(sets[i], sets[j]))) >= 0.8 * (len(sets[i]) + len(sets[j]) - n) - 1e-9 and n]
+
+    def roots(links):
+        root = list(range(len(sets)))
+        for a, b in links:
+            x, y = sorted((root[a], root[b]))
+            root = [x if r == y else r for r in root]
+        return root
+
+    node, flat, sizes = np.arange(len(sets)), np.concatenate(sets), np.array([len(x) for x in sets])
+    for side in (np.zeros(len(sets), int), node % 2):
+        tracemalloc.start()
+        links = simhash.links_in_unit(side, node.copy(), node, flat, sizes, 0.8)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 100 * len(flat)  # the sets as bits: 900 and more a member
+        assert roots(links) == roots([x for x in pairs if len(set(side)) == 1 or side[x[0]] != side[x[1]]])
+    assert 80 < len(pairs) < 2000
+
+
+def test_blocks_of_a_crowd_by_members(spark, monkeypatch):
+    """A crowd of few rows with long sets is dealt out to more blocks than one of short sets, and loses no link by it."""
+    rng = np.random.default_rng(10)
+    base = rng.choice(1 << 20, 300, replace=False)
+    sets = [np.unique(np.concatenate([rng.choice(base, 280, replace=False), rng.choice(1 << 20, int(rng.integers(0, 30)))])) for _ in range(60)]
+    pairs = {(i, j) for i in range(len(sets)) for j in range(i) if len(s := np.intersect1d(sets[i], sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j]) - len(s)) - 1e-9}
+    crowd = spark.createDataFrame([(7, len(sets), i) for i in range(len(sets))], "spot long, size long, node long")
+    given = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(sets)], "row_key long, shingles array<int>")
+    none = spark.createDataFrame([], "node long, root long")
+    roots = lambda links: {(r.node, r.root) for r in simhash.components(spark.createDataFrame(sorted(links), "a long, b long")).collect()}
+    counts = []
+    for members in (simhash.UNIT_MEMBERS, 2000):
+        monkeypatch.setattr(simhash, "UNIT_MEMBERS", members)
+        links = [tuple(r) for r in simhash.crowd_links(crowd, none, given, 0.8).collect()]
+        assert roots(links) == roots(pairs)
+        counts.append(len(links))
+    assert counts[0] == len(sets) - 1 < counts[1]  # a tree in one block; more where blocks don't know of each other
+
+
 def test_bpe_decodes_in_one_process(spark):
     """Ids and bytes of one pass are those of encode and decode one after the other, and the plan has a Python step less."""
     import public_tokenizers
